@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["joins"]
+FAMILIES = ["joins", "history"]
 
 
 def load_all() -> None:
