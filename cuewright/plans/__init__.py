@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["joins", "history"]
+FAMILIES = ["joins", "history", "windows"]
 
 
 def load_all() -> None:
