@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["joins", "history", "windows"]
+FAMILIES = ["joins", "history", "windows", "corpus"]
 
 
 def load_all() -> None:

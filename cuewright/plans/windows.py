@@ -151,8 +151,8 @@ def downloads(spark, sf_dir):
 
 @query(
     "win_rolling_rate",
-    sql=f"""WITH d AS (SELECT user_id AS job_id, epoch_ms(ts) AS at_ms, event_id AS sample_no,
-  CAST(SUM(CAST(ROUND(value*100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS BIGINT) AS bytes_done FROM events),
+    sql=f"""WITH d AS (SELECT user_id AS job_id, (epoch_us(ts)//1000) AS at_ms, event_id AS sample_no,
+  CAST(SUM(CAST(ROUND(value*100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts)//1000), event_id) AS BIGINT) AS bytes_done FROM events),
 f AS (SELECT *, MIN((at_ms, sample_no, bytes_done)) OVER w AS a, MAX((at_ms, sample_no, bytes_done)) OVER w AS b FROM d WINDOW w AS (PARTITION BY job_id ORDER BY at_ms RANGE BETWEEN {RATE_MS} PRECEDING AND CURRENT ROW)),
 r AS (SELECT job_id, at_ms, sample_no, bytes_done, 400000::BIGINT AS total_bytes, CASE WHEN b[1]>a[1] THEN (b[3]-a[3])*1000.0::DOUBLE/(b[1]-a[1]) ELSE 0.0::DOUBLE END AS rate FROM f)
 SELECT job_id, at_ms, sample_no, bytes_done, ROUND(rate, 9) AS rate, ROUND(CASE WHEN rate>0 AND total_bytes>bytes_done THEN (total_bytes-bytes_done)/rate END, 3) AS eta_s FROM r""",

@@ -184,6 +184,8 @@ def with_views(names: str, body: str) -> str:
         add(name)
     heads = ", ".join(f"{n} AS ({SQL[n].strip()})" for n in ordered)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {heads}, {body[5:]}"
     return f"WITH {heads} {body}"
