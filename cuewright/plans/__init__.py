@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["joins", "history", "windows", "corpus"]
+FAMILIES = ["joins", "history", "windows", "corpus", "text"]
 
 
 def load_all() -> None:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuewright.functions.lists import let
+
 ASS_HEADER = """[Script Info]
 ScriptType: v4.00+
 PlayResX: 1920
@@ -76,11 +76,6 @@ def _centis(ms: Column) -> Column:
     return F.greatest(F.bround(ms / 10).cast("long"), F.lit(1)).cast("string")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once, not again for each use inside a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def even_split(text: Column, start: Column, end: Column) -> Column:
     """Tokens of the text spread evenly over the span as (text, start, end) structs."""
     tidy = F.trim(F.regexp_replace(text, r"\s+", " "))
