@@ -38,9 +38,6 @@ def norm_alnum(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.norm_alnum(F.col("text")).alias("norm"))
 
 
-BARE = "REPLACE(regexp_replace(text, '[\\x00-\\x1f]*[!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~\\pP&&[^'']]', '', 'g'), '  ', ' ')"
-
-
 @query(
     "str_norm_strip_punct",
     sql="""WITH b AS (SELECT doc_id, lang, REPLACE(REPLACE(regexp_replace(REPLACE(text, '''', chr(1)), '[\\pP$+<=>^`|~]', '', 'g'), chr(1), ''''), '  ', ' ') AS bare FROM documents)
