@@ -68,12 +68,20 @@ def next_known(name: str, value: Column) -> Step:
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest key: one partial count per key, one number to the driver."""
-    if keys:
-        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    else:
-        counts = df.agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(F.max("_n")).first()[0] or 0
+    """Rows of the largest key: one partial count per key, one number to the driver.
+
+    Counted once per session and plan. The number only picks between two plans that give the
+    same rows, so a table that grew since costs speed, never correctness.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.agg(F.max("_n"))
+    known = (df.sparkSession.sparkContext.applicationId, top.semanticHash())
+    if known not in _counted:
+        _counted[known] = top.first()[0] or 0
+    return _counted[known]
+
+
+_counted: dict[tuple[str, int], int] = {}
 
 
 def scan(
@@ -82,11 +90,15 @@ def scan(
     order: Sequence[str | Column],
     steps: Sequence[Step],
     limit: int | None = None,
+    bound: int | None = None,
 ) -> DataFrame:
-    """Add ``steps`` to ``df``. ``order`` must be total inside a key for repeatable results."""
+    """Add ``steps`` to ``df``. ``order`` must be total inside a key for repeatable results.
+
+    ``bound`` is a number of rows no key exceeds, where the caller knows one; without it the
+    largest key is counted.
+    """
     limit = rows_per_task(df.sparkSession) if limit is None else limit
-    biggest = largest_group(df, keys)
-    if biggest <= limit:
+    if (largest_group(df, keys) if bound is None else bound) <= limit:
         return _scan_whole(df, keys, order, steps)
     return _scan_sliced(df, keys, order, steps, limit)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuewright.operators.ordered import (
     following,
+    largest_group,
     last_known,
     max_before,
     next_known,
@@ -38,9 +39,10 @@ def newest_events(events: DataFrame, cap: int = EVENT_CAP) -> DataFrame:
 def speakers_by_gap(segs: DataFrame, speakers: int | None = None, gap_ms: int = SPEAKER_GAP_MS) -> DataFrame:
     """Label moves on to the next speaker after every silence longer than the gap."""
     n = speakers if speakers is not None and speakers >= 1 else 2
-    seen = scan(segs, ["job_id"], ["seg_no"], [previous("_end", F.col("end_ms"))])
+    bound = largest_group(segs, ["job_id"])
+    seen = scan(segs, ["job_id"], ["seg_no"], [previous("_end", F.col("end_ms"))], bound=bound)
     jump = F.when(F.col("start_ms") - F.col("_end") > gap_ms, 1).otherwise(0)
-    counted = scan(seen, ["job_id"], ["seg_no"], [running_sum("_jumps", jump)])
+    counted = scan(seen, ["job_id"], ["seg_no"], [running_sum("_jumps", jump)], bound=bound)
     label = F.concat(F.lit("Speaker "), (F.pmod(F.col("_jumps"), F.lit(n)) + 1).cast("string"))
     return counted.withColumn("gap_speaker", label).drop("_end", "_jumps")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuewright.operators.asof import asof
 from cuewright.operators.intervals import interval_join
-from cuewright.operators.ordered import following, scan, sum_before
+from cuewright.operators.ordered import following, largest_group, scan, sum_before
 
 AUDIO_ONLY_HARD_CAP = 1.8
 UNDERRUN_TOLERANCE = 0.95
@@ -255,7 +255,8 @@ def fit_plan(segs: DataFrame, totals: DataFrame, settings: FitSettings = FitSett
     ``segs`` has natural_ms (length of the generated speech); ``totals`` one total_ms per job.
     Placement is summed in whole microseconds so the result does not depend on slice order.
     """
-    ahead = scan(segs, ["job_id"], ["seg_no"], [following("next_start", F.col("start_ms"))])
+    bound = largest_group(segs, ["job_id"])
+    ahead = scan(segs, ["job_id"], ["seg_no"], [following("next_start", F.col("start_ms"))], bound=bound)
     rows = ahead.join(totals, "job_id")
     start, end, nxt = F.col("start_ms"), F.col("end_ms"), F.col("next_start")
     roomy = F.least(F.greatest(end, nxt - settings.guard_ms, start), F.greatest(nxt, end))
@@ -272,7 +273,8 @@ def fit_plan(segs: DataFrame, totals: DataFrame, settings: FitSettings = FitSett
     rows = rows.withColumn("step_us", F.col("span_us") + pause)
     first = F.min_by("start_ms", "seg_no")
     base = segs.groupBy("job_id").agg((first * 1000).alias("origin_us"))
-    placed = scan(rows, ["job_id"], ["seg_no"], [sum_before("passed_us", F.col("step_us"))]).join(base, "job_id")
+    placed = scan(rows, ["job_id"], ["seg_no"], [sum_before("passed_us", F.col("step_us"))], bound=bound)
+    placed = placed.join(base, "job_id")
     new_start = F.col("origin_us") + F.col("passed_us")
     spill = F.col("natural_ms") / F.col("audio_rate") - F.col("slot_ms") * F.col("video_ratio")
     overflow = F.when(spill > 1e-3, spill).otherwise(F.lit(0.0))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cuewright.session import ship_package
 from cuewright.views import with_views
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +19,14 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable[[Plan]
     def register(plan: Plan) -> Plan:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = plan
+
+        @wraps(plan)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return plan(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_views(views, sql) if views else sql.strip()
         return plan

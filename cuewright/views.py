@@ -11,7 +11,6 @@ MS_PER_CHAR_NUM, MS_PER_CHAR_DEN = 1000, 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
