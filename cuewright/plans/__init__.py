@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["joins", "history", "windows", "corpus", "text", "scalars", "evaluation", "grouped"]
+FAMILIES = ["joins", "history", "windows", "corpus", "text", "scalars", "evaluation", "grouped", "streams"]
 
 
 def load_all() -> None:
