@@ -31,9 +31,8 @@ class Sentences(StatefulProcessor):
         self.state = handle.getValueState("open", "buffer string, first boolean, sentence_no long")
 
     def _out(self, key, number: int, sentences: list[str]) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"session": [key[0]] * len(sentences), "sentence_no": range(number + 1, number + 1 + len(sentences)), "sentence": sentences}
-        )
+        texts = pd.Series(sentences, dtype="object")
+        return pd.DataFrame({"session": key[0], "sentence_no": texts.index + number + 1, "sentence": texts}).astype({"sentence": "object"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         buffer, first, number = self.state.get() if self.state.exists() else ("", True, 0)
