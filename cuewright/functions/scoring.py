@@ -17,25 +17,32 @@ COUNTS = "truth string, hypo string, substitutions long, deletions long, inserti
 
 
 def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
-    """(substitutions, deletions, insertions) of a shortest alignment with fewest substitutions.
+    """(substitutions, deletions, insertions) of a shortest alignment.
 
-    Distances carry the substitution count in their low part, so one vectorised row update
-    minimises both. The other two follow from the lengths.
+    Among equally short ones the path read from the end prefers a deletion, takes an insertion
+    only where it saves an edit, and pairs words otherwise. Substitutions of that path are
+    carried along row by row; deletions and insertions follow from the lengths.
     """
-    scale = len(ref) + len(hyp) + 1
+    shared = min(len(ref), len(hyp))
+    head = next((i for i in range(shared) if ref[i] != hyp[i]), shared)
+    tail = next((i for i in range(shared - head) if ref[-1 - i] != hyp[-1 - i]), shared - head)
+    ref, hyp = ref[head : len(ref) - tail], hyp[head : len(hyp) - tail]
     ids = {w: i for i, w in enumerate(dict.fromkeys(ref + hyp))}
     h = np.array([ids[w] for w in hyp], dtype=np.int64)
-    steps = np.arange(len(hyp) + 1, dtype=np.int64) * scale
-    row = steps.copy()
+    steps = np.arange(len(hyp) + 1, dtype=np.int64)
+    row, subs = steps.copy(), np.zeros_like(steps)
     for i, word in enumerate(ref, 1):
-        best = np.empty_like(row)
-        best[0] = i * scale
-        best[1:] = np.minimum(row[:-1] + np.where(h == ids[word], 0, scale + 1), row[1:] + scale)
-        row = np.minimum.accumulate(best - steps) + steps
-    distance, subs = divmod(int(row[-1]), scale)
-    surplus = distance - subs
-    deletions = (surplus + len(ref) - len(hyp)) // 2
-    return subs, deletions, surplus - deletions
+        differs = h != ids[word]
+        best = row + 1
+        best[1:] = np.minimum(best[1:], row[:-1] + differs)
+        best = np.minimum.accumulate(best - steps) + steps
+        dropped = row + 1 == best
+        inserted = np.concatenate(([False], ~dropped[1:] & (best[:-1] == row[:-1] - 1)))
+        paired = np.concatenate((subs[:1], subs[:-1] + differs))
+        source = np.maximum.accumulate(np.where(inserted, 0, steps))
+        row, subs = best, np.where(dropped, subs, paired)[source]
+    deletions = (int(row[-1]) - int(subs[-1]) + len(ref) - len(hyp)) // 2
+    return int(subs[-1]), deletions, int(row[-1]) - int(subs[-1]) - deletions
 
 
 # Fixed values of the multilingual normaliser; punctuation is taken by Unicode category.

@@ -133,6 +133,11 @@ def quote(text: str) -> str:
     return "".join(f"\\{c}" if c in r"\.[]{}()*+-?^$|/&#~" else c for c in text)
 
 
+def count_class(text: Column, members: str) -> Column:
+    """Characters of a text in a character class, from the length lost when runs of them go."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{members}]+", ""))
+
+
 def rewrite_matches(text: Column, pattern: str, rewrite: Callable[[Column], Column]) -> Column:
     """Replace every match by an expression of it, in one left-to-right pass."""
     between = F.split(text, pattern, -1)
@@ -256,20 +261,20 @@ def inline_overrides(text: Column) -> Column:
 
 def script_ratio(text: Column, lang: Column) -> Column:
     """Share of letters in the language's script block; 1 without a block or letters."""
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    letters = count_class(text, r"\p{L}")
     out = F.lit(1.0)
     for code, (lo, hi) in SCRIPT_BLOCKS.items():
-        inside = F.regexp_count(text, F.lit(rf"[\x{{{lo:04x}}}-\x{{{hi:04x}}}&&\p{{L}}]"))
+        inside = count_class(text, rf"\x{{{lo:04x}}}-\x{{{hi:04x}}}&&\p{{L}}")
         out = F.when(lang == code, inside / letters).otherwise(out)
     return F.when(letters == 0, F.lit(1.0)).otherwise(out)
 
 
 def registered_script_ratio(text: Column, lang: Column) -> Column:
     """As ``script_ratio`` with marks counted; null without a block or letters."""
-    letters = F.regexp_count(text, F.lit(r"[\p{L}\p{Mn}\p{Mc}]"))
+    letters = count_class(text, r"\p{L}\p{Mn}\p{Mc}")
     out = F.lit(None).cast("double")
     for code, (lo, hi) in SCRIPT_BLOCKS.items():
-        inside = F.regexp_count(text, F.lit(rf"[\x{{{lo:04x}}}-\x{{{hi:04x}}}&&[\p{{L}}\p{{Mn}}\p{{Mc}}]]"))
+        inside = count_class(text, rf"\x{{{lo:04x}}}-\x{{{hi:04x}}}&&[\p{{L}}\p{{Mn}}\p{{Mc}}]")
         out = F.when(lang == code, inside / letters).otherwise(out)
     return F.when(letters > 0, out)
 
@@ -324,21 +329,31 @@ def add_punctuation(text: Column) -> Column:
 
 def polish(text: Column) -> Column:
     """Blanks squeezed, first Latin letter capital, a stop at the end unless already closed."""
-    tidy = strip(F.regexp_replace(text, r"[ \t]{2,}", " "))
-    first = F.left(tidy, F.lit(1))
-    latin = first.rlike(r"^[a-zß-öø-ÿ\x{100}-\x{24f}]$") & (F.lower(first) == first) & (F.length(F.upper(first)) == 1)
-    tidy = F.when(latin, F.concat(F.upper(first), F.substr(tidy, F.lit(2)))).otherwise(tidy)
-    body = F.regexp_replace(tidy, r"[\"'”’»›)\]}」』）】]+$", "")
-    closed = body.rlike("[.!?…。！？।॥]$")
-    cut = F.regexp_replace(tidy, r"(?U)[,;:、，；：]$", "")
-    trimmed = F.when(cut != tidy, F.regexp_replace(cut, r"(?U)\s+$", "")).otherwise(tidy)
-    last = F.right(trimmed, F.lit(1))
-    stop = (
-        F.when(last.rlike(r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{ff66}-\x{ff9f}]"), "。")
-        .when(last.rlike(r"[\x{0900}-\x{097f}]"), "।")
-        .otherwise(".")
-    )
-    return F.when((tidy == "") | closed, tidy).when(trimmed == "", "").otherwise(F.concat(trimmed, stop))
+
+    def capital(tidy: Column) -> Column:
+        first = F.left(tidy, F.lit(1))
+        latin = first.rlike(r"^[a-zß-öø-ÿ\x{100}-\x{24f}]$") & (F.lower(first) == first) & (F.length(F.upper(first)) == 1)
+        return F.when(latin, F.concat(F.upper(first), F.substr(tidy, F.lit(2)))).otherwise(tidy)
+
+    def close(tidy: Column) -> Column:
+        # Only the end matters: the last mark before any closing quotes and brackets.
+        mark = F.regexp_extract(tidy, r"([^\"'”’»›)\]}」』）】])[\"'”’»›)\]}」』）】]*$", 1)
+        return F.when((tidy == "") | mark.rlike("^[.!?…。！？।॥]$"), tidy).otherwise(let(undangled(tidy), stopped))
+
+    def undangled(tidy: Column) -> Column:
+        dangling = F.right(tidy, F.lit(1)).isin(*",;:、，；：")
+        return F.when(dangling, F.rtrim(F.left(tidy, F.length(tidy) - 1))).otherwise(tidy)
+
+    def stopped(tidy: Column) -> Column:
+        last = F.right(tidy, F.lit(1))
+        stop = (
+            F.when(last.rlike(r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{ff66}-\x{ff9f}]"), "。")
+            .when(last.rlike(r"[\x{0900}-\x{097f}]"), "।")
+            .otherwise(".")
+        )
+        return F.when(tidy == "", "").otherwise(F.concat(tidy, stop))
+
+    return let(let(strip(F.regexp_replace(text, r"[ \t]{2,}", " ")), capital), close)
 
 
 PAUSE = r"(?i)\[\s*pause(?>\s+(\d+(?:\.\d+)?)\s*(ms|s)?)?\s*\]"

@@ -272,7 +272,7 @@ def process_samples(df: DataFrame, process, columns: Sequence[str], schema: str)
     """Run a batch function over samples; failing samples become rows with ``error`` set.
 
     ``process(pdf)`` maps a frame to one with the schema's columns. When a batch raises, its
-    rows are tried one at a time so that only the bad ones are marked.
+    rows are tried again in halves, down to the bad ones.
     """
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
@@ -283,7 +283,8 @@ def process_samples(df: DataFrame, process, columns: Sequence[str], schema: str)
             if len(pdf) == 1:
                 blank = {n: [pdf[n].iloc[0] if n in pdf else None] for n in names}
                 return pd.DataFrame({**blank, "error": [f"{type(failure).__name__}: {failure}"]})
-            return pd.concat([safe(pdf.iloc[[i]]) for i in range(len(pdf))], ignore_index=True)
+            half = len(pdf) // 2
+            return pd.concat([safe(pdf.iloc[:half]), safe(pdf.iloc[half:])], ignore_index=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -112,7 +112,7 @@ def retime_chunks(plan: DataFrame, batch: int) -> DataFrame:
 
     gap = F.when(F.col("start_ms") > cursor + CHUNK_EPS_MS, piece(cursor, F.col("start_ms"), F.lit(1.0)))
     own = F.when(
-        F.col("effective_ms") > F.col("start_ms"), piece(F.col("start_ms"), F.col("effective_ms"), F.bround("video_ratio", 4))
+        F.col("effective_ms") > F.col("start_ms"), piece(F.col("start_ms"), F.col("effective_ms"), F.col("stretch_ratio"))
     )
     body = seen.select("job_id", F.explode(F.array_compact(F.array(gap, own))).alias("c"))
     ends = plan.groupBy("job_id").agg(F.max("effective_ms").alias("_end"), F.max("total_ms").alias("_total"))

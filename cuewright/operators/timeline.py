@@ -287,6 +287,7 @@ def fit_plan(segs: DataFrame, totals: DataFrame, settings: FitSettings = FitSett
         "total_ms",
         F.bround("audio_rate", 6).alias("audio_rate"),
         F.bround("video_ratio", 6).alias("video_ratio"),
+        F.bround("video_ratio", 4).alias("stretch_ratio"),
         new_start.alias("new_start_us"),
         (new_start + F.col("span_us")).alias("new_end_us"),
         F.when(overflow > 0, F.lit("overflow_trimmed")).otherwise(F.col("base_status")).alias("status"),

@@ -8,6 +8,7 @@ from cuewright import views
 from cuewright.functions import scoring, speech
 from cuewright.operators import evaluation
 from cuewright.plans.registry import query
+from cuewright.session import spread
 from cuewright.views import table
 
 # In these pairs the hypothesis differs from the truth word by word only where " th" lost its
@@ -28,7 +29,7 @@ def pairs(spark, sf_dir):
 
 
 def scores(spark, sf_dir):
-    rows = pairs(spark, sf_dir)
+    rows = spread(pairs(spark, sf_dir))
     lang, name = F.col("lang_name"), F.lit("plain")
     norm = [scoring.normalize_by_name(F.col(c), lang, name) for c in ("truth", "hypo")]
     return scoring.wer_counts(rows, ["conv_id", "turn", "lang_name"], *norm)
@@ -127,7 +128,7 @@ FROM (SELECT doc_id, '(Sam 23:17) x ' || regexp_replace(text, '[^a-zA-ZÀ-ÿ0-9
 )
 def norm_multilingual(spark, sf_dir):
     body = F.concat(F.lit("(Sam 23:17) x "), F.regexp_replace("text", r"[^a-zA-ZÀ-ÿ0-9 .,;:!?%*#&@()\n-]", " "))
-    rows = table(spark, sf_dir, "documents").select("doc_id", body.alias("t"), F.when(F.col("lang") == "en", "eng").otherwise("*").alias("iso"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", body.alias("t"), F.when(F.col("lang") == "en", "eng").otherwise("*").alias("iso"))
     return rows.select("doc_id", scoring.normalize_multilingual(F.col("t"), F.col("iso")).alias("norm"))
 
 
@@ -140,7 +141,7 @@ def udf_normalizer(spark, sf_dir):
     """The normaliser is chosen by a column of the row."""
     name = F.when(F.col("lang") == "en", "alnum").otherwise("plain")
     straight = F.translate("text", "‘’", "''")
-    return table(spark, sf_dir, "documents").select("doc_id", scoring.normalize_by_name(straight, F.col("lang"), name).alias("norm"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", scoring.normalize_by_name(straight, F.col("lang"), name).alias("norm"))
 
 
 @query(

@@ -9,11 +9,12 @@ from cuewright.functions import chunks, describe, spoken
 from cuewright.operators import segmenting
 from cuewright.plans import shapes
 from cuewright.plans.registry import query
+from cuewright.session import spread
 from cuewright.views import table
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
 def pieces(rows, column):

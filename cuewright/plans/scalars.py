@@ -10,6 +10,7 @@ from cuewright.functions.hashing import canonical_sql
 from cuewright.operators import documents, timeline
 from cuewright.plans import shapes
 from cuewright.plans.registry import query
+from cuewright.session import spread
 from cuewright.sources.subtitles import clock
 from cuewright.views import table
 
@@ -31,7 +32,7 @@ def _classes(t: str) -> str:
 )
 def script_weight(spark, sf_dir):
     kana = F.replace("text", F.lit("th"), F.lit("か"))
-    return table(spark, sf_dir, "documents").select("doc_id", speech.script_weight(kana).alias("weight"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", speech.script_weight(kana).alias("weight"))
 
 
 @query(

@@ -41,7 +41,7 @@ spans AS (SELECT *, CAST(ROUND(slot_ms*1000*v) AS BIGINT) AS span_us,
     GREATEST(COALESCE(nxt-effective_ms, 0), 0)*1000 AS pause_us, natural_ms/a - slot_ms*v AS spill FROM vids),
 placed AS (SELECT *, FIRST_VALUE(start_ms) OVER (PARTITION BY job_id ORDER BY seg_no)*1000
     + COALESCE(SUM(span_us+pause_us) OVER (PARTITION BY job_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ns FROM spans),
-fit AS (SELECT job_id, seg_no, start_ms, end_ms, effective_ms, total_ms, ROUND_EVEN(a, 6) AS audio_rate, ROUND_EVEN(v, 6) AS video_ratio,
+fit AS (SELECT job_id, seg_no, start_ms, end_ms, effective_ms, total_ms, ROUND_EVEN(a, 6) AS audio_rate, ROUND_EVEN(v, 6) AS video_ratio, ROUND_EVEN(v, 4) AS stretch_ratio,
     CAST(ns AS BIGINT) AS new_start_us, CAST(ns+span_us AS BIGINT) AS new_end_us,
     CASE WHEN spill > 1e-3 THEN 'overflow_trimmed'
       WHEN need <= 1+1e-9 THEN CASE WHEN need > 1e-9 AND need < 0.95 THEN 'audio_slowed' ELSE 'fits' END

@@ -8,11 +8,12 @@ from cuewright import views
 from cuewright.functions import text as T
 from cuewright.operators.ordered import row_number, scan
 from cuewright.plans.registry import query
+from cuewright.session import spread
 from cuewright.views import table
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
 CODES = {"en": "zh", "de": "ko", "es": "ru"}

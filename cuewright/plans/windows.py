@@ -100,7 +100,7 @@ def fit_cursor(spark, sf_dir):
     views="v_segments",
     sql=f"""WITH {shapes.FIT_SQL},
 c AS (SELECT *, COALESCE(MAX(effective_ms) OVER (PARTITION BY job_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cur FROM fit),
-k AS (SELECT job_id, cur AS a, start_ms AS b, 1.0::DOUBLE AS r FROM c WHERE start_ms > cur+1 UNION ALL SELECT job_id, start_ms, effective_ms, ROUND_EVEN(video_ratio, 4) FROM c WHERE effective_ms > start_ms
+k AS (SELECT job_id, cur AS a, start_ms AS b, 1.0::DOUBLE AS r FROM c WHERE start_ms > cur+1 UNION ALL SELECT job_id, start_ms, effective_ms, stretch_ratio FROM c WHERE effective_ms > start_ms
   UNION ALL SELECT job_id, MAX(effective_ms), MAX(total_ms), 1.0 FROM fit GROUP BY 1 HAVING MAX(total_ms) > MAX(effective_ms)+1)
 SELECT job_id, a AS chunk_start, b AS chunk_end, r AS ratio, ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY a, b) AS chunk_no, (ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY a, b)-1)//4 AS batch_no FROM k""",
 )

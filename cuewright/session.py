@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_TASK = "cuewright.rowsPerTask"
 BROADCAST_ROWS = "cuewright.broadcastRows"
@@ -61,6 +61,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over the cores where the input has fewer splits than there are cores.
+
+    Meant for costly row-wise work on small inputs; a large table has splits enough and is
+    left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(cores)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the Python workers of this application the package, once."""
     context = spark.sparkContext
