@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.operators.ordered import row_number, running_sum, scan
+from cuewright.operators.pergroup import by_group
 from cuewright.session import rows_per_task
 
 BUCKETS, SHORTEST_MS, LONGEST_MS = 20, 500, 30_000
@@ -142,12 +143,17 @@ def pack_tokens(df: DataFrame, budget: int) -> DataFrame:
     group; packing has always been local to the shards one loader reads.
     """
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        return pdf.assign(batch_no=fill_batches(pdf["length"].to_numpy(), budget))
+    fits = df.filter(F.col("length") <= budget)
+    out = "shard long, id long, length long, batch_no long"
+    return by_group(fits, ["shard"], ["id"], ["id", "length"], _filler(budget), out)
 
-    fits = df.filter(F.col("length") <= budget).select("shard", "id", "length")
-    return fits.groupBy("shard").applyInPandas(pack, "shard long, id long, length long, batch_no long")
+
+def _filler(budget: int):
+    def pack(key: tuple, rows: list[tuple]) -> list[tuple]:
+        numbers = fill_batches(np.array([size for _, size in rows], dtype=np.int64), budget)
+        return [(*key, ident, size, n) for (ident, size), n in zip(rows, numbers.tolist())]
+
+    return pack
 
 
 def pack_longest_first(df: DataFrame, budget_ms: int) -> DataFrame:
@@ -160,13 +166,8 @@ def pack_longest_first(df: DataFrame, budget_ms: int) -> DataFrame:
     numbered = scan(df.select("id", "duration_ms"), [], [F.desc("duration_ms"), F.asc("id")], [row_number("_rn")])
     blocks = numbered.withColumn("block", F.floor((F.col("_rn") - 1) / block_rows))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        return pdf.assign(batch_no=fill_batches(pdf["duration_ms"].to_numpy(), budget_ms))[
-            ["block", "id", "duration_ms", "batch_no"]
-        ]
-
-    return blocks.groupBy("block").applyInPandas(pack, "block long, id long, duration_ms long, batch_no long")
+    out = "block long, id long, duration_ms long, batch_no long"
+    return by_group(blocks, ["block"], ["_rn"], ["id", "duration_ms"], _filler(budget_ms), out)
 
 
 def pack_buckets(df: DataFrame, budget_ms: int, max_rows: int | None = None, drop_last: bool = False) -> DataFrame:
@@ -175,22 +176,19 @@ def pack_buckets(df: DataFrame, budget_ms: int, max_rows: int | None = None, dro
     ``df`` has shard, id and duration_ms within the bucket range.
     """
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        numbers, number, held, longest = [], 0, 0, 0
-        for ms in pdf["duration_ms"]:
+    def pack(key: tuple, rows: list[tuple]) -> list[tuple]:
+        out, number, held, longest = [], 0, 0, 0
+        for ident, ms in rows:
             held, longest = held + 1, max(longest, ms)
-            numbers.append(number)
+            out.append((*key, ident, ms, number))
             if longest * (held + 1) >= budget_ms or (max_rows is not None and held >= max_rows):
                 number, held, longest = number + 1, 0, 0
-        pdf = pdf.assign(batch_no=numbers)
-        return pdf[pdf["batch_no"] < number] if drop_last and held else pdf
+        return out[: len(out) - held] if drop_last else out
 
     kept = df.filter(F.col("duration_ms").between(SHORTEST_MS, LONGEST_MS))
     keyed = kept.select("shard", duration_bucket(F.col("duration_ms")).alias("bucket"), "id", "duration_ms")
-    return keyed.groupBy("shard", "bucket").applyInPandas(
-        pack, "shard long, bucket long, id long, duration_ms long, batch_no long"
-    )
+    out = "shard long, bucket long, id long, duration_ms long, batch_no long"
+    return by_group(keyed, ["shard", "bucket"], ["id"], ["id", "duration_ms"], pack, out)
 
 
 def packed_rows(packed: DataFrame, budget: int) -> DataFrame:

@@ -12,20 +12,27 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.operators.ordered import largest_group, row_number, scan
+from cuewright.operators.pergroup import by_group
 from cuewright.session import rows_per_task, shared_dir
 
-Heads = Callable[[pd.DataFrame], Sequence[int]]
+Heads = Callable[[dict[str, list]], Sequence[int]]
 
 
-def _head_rows(heads: Heads, pdf: pd.DataFrame) -> np.ndarray:
-    starts = np.asarray(heads(pdf), dtype=np.int64)
-    sizes = np.diff(np.append(starts, len(pdf)))
-    return np.repeat(pdf["_rn"].to_numpy()[starts], sizes)
+def _runner(heads: Heads, needs: Sequence[str]):
+    """Head row numbers of one run of rows, each row led by its own number."""
+
+    def run(key: tuple, rows: list[tuple]) -> list[tuple]:
+        numbers, *columns = zip(*rows)
+        starts = list(heads({name: list(c) for name, c in zip(needs, columns)}))
+        sizes = np.diff([*starts, len(rows)])
+        head = np.repeat(np.asarray(numbers)[starts], sizes)
+        return [(*key, n, h) for n, h in zip(numbers, head.tolist())]
+
+    return run
 
 
 def greedy_groups(
@@ -33,7 +40,7 @@ def greedy_groups(
 ) -> DataFrame:
     """Adds ``head``, the row number of the first row of each row's group.
 
-    ``heads(pdf)`` gets rows in order with the ``needs`` columns, beginning at a head, and
+    ``heads(columns)`` gets the ``needs`` columns of rows in order, beginning at a head, and
     returns the positions of all heads. Everything before its last head must be settled by the
     rows it saw.
     """
@@ -52,12 +59,8 @@ def greedy_groups(
 
 
 def _whole(numbered, keys, heads, needs, key_schema) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        return pdf[[*keys, "_rn"]].assign(head=_head_rows(heads, pdf))
-
-    slim = numbered.select(*keys, "_rn", *needs)
-    return slim.groupBy(*keys).applyInPandas(run, f"{key_schema}, _rn long, head long")
+    run = _runner(heads, needs)
+    return by_group(numbered, keys, ["_rn"], ["_rn", *needs], run, f"{key_schema}, _rn long, head long")
 
 
 def _chunked(numbered, keys, heads, needs, key_schema, limit) -> DataFrame:
@@ -68,13 +71,11 @@ def _chunked(numbered, keys, heads, needs, key_schema, limit) -> DataFrame:
     entries = own.select(*by).distinct().withColumn("_entry", F.col("_chunk") * limit + 1)
     w = Window.partitionBy(*keys).orderBy("_chunk")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        return pdf[[*by, "_rn"]].assign(head=_head_rows(heads, pdf))
+    run = _runner(heads, needs)
 
     def grouped(todo: DataFrame) -> DataFrame:
         rows = offered.join(todo, by).filter(F.col("_rn") >= F.col("_entry"))
-        return rows.groupBy(*by).applyInPandas(run, f"{key_schema}, _chunk long, _rn long, head long")
+        return by_group(rows, by, ["_rn"], ["_rn", *needs], run, f"{key_schema}, _chunk long, _rn long, head long")
 
     done = grouped(entries).checkpoint()
     while True:

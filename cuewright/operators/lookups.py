@@ -125,19 +125,23 @@ def cache_hits(jobs: DataFrame, tries: int = 5) -> DataFrame:
 
 
 def job_library(jobs: DataFrame, events: DataFrame, types: Sequence[str], limit: int) -> DataFrame:
-    """Finished jobs of the given types with their newest parseable ``done`` event."""
+    """Finished jobs of the given types with their newest parseable ``done`` event.
+
+    Events of other jobs and those that cannot be ``done`` are left out before any JSON is read.
+    """
     shape = "struct<type: string, output: string, title: string, duration_s: string, chapters: string>"
+    jobs = jobs.filter((F.col("status") == "done") & F.col("type").isin(*types))
     done = (
-        events.withColumn("d", F.from_json("payload", shape))
-        .filter((F.col("d.type") == "done"))
+        events.filter(F.contains("payload", F.lit('"done"')))
+        .join(jobs.select("job_id"), "job_id", "left_semi")
+        .withColumn("d", F.from_json("payload", shape))
         .groupBy("job_id")
-        .agg(F.max_by("d", "seq").alias("d"))
+        .agg(F.max_by("d", F.when(F.col("d.type") == "done", F.col("seq"))).alias("d"))
         .filter(F.coalesce("d.output", F.lit("")) != "")
     )
     title = F.coalesce(F.nullif(F.col("d.title"), F.lit("")), F.get_json_object("meta_json", "$.title"))
     return (
-        jobs.filter((F.col("status") == "done") & F.col("type").isin(*types))
-        .join(done, "job_id")
+        jobs.join(done, "job_id")
         .select(
             "job_id",
             "type",

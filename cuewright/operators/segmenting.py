@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cuewright.operators.greedy import greedy_groups
 from cuewright.operators.intervals import interval_join
 from cuewright.operators.ordered import following, largest_group, previous, running_sum, scan
+from cuewright.operators.pergroup import by_group
 from cuewright.operators.sequences import label_runs
 from cuewright.operators.timeline import majority_speaker, near_other_speaker
 
@@ -29,13 +30,12 @@ FOLD_PASSES, STITCH_PASSES = 64, 32
 SLICE_MIN_MS, REF_MIN_MS, REF_IDEAL_MS, REF_MAX_MS, SEGMENT_REF_MS = 1500, 5000, 8000, 15000, 3000
 CUE_MIN_MS, CUE_MIN_CHARS, CUE_MAX_CHARS, CUE_MAX_CPS = 1200, 8, 84, 17
 SLICE_BLOCKS = 256
+WORD_NEEDS = ["word_start", "word_end", "chars", "pause", "ends_sentence", "ends_clause"]
 
 
-def _sentence_heads(pdf: pd.DataFrame) -> list[int]:
+def _sentence_heads(columns: dict[str, list]) -> list[int]:
     """First word of every segment of a greedy grouping into sentences of about the ideal length."""
-    begin, stop = pdf["word_start"].tolist(), pdf["word_end"].tolist()
-    chars, pause = pdf["chars"].tolist(), pdf["pause"].tolist()
-    sentence, clause = pdf["ends_sentence"].tolist(), pdf["ends_clause"].tolist()
+    begin, stop, chars, pause, sentence, clause = (columns[c] for c in WORD_NEEDS)
     heads, head, held = [0], 0, 0
 
     def open_at(i: int) -> None:
@@ -76,8 +76,7 @@ def words_to_segments(words: DataFrame, limit: int | None = None) -> DataFrame:
         F.col("word").rlike(SENTENCE_TAIL).alias("ends_sentence"),
         F.col("word").rlike(CLAUSE_TAIL).alias("ends_clause"),
     )
-    needs = ["word_start", "word_end", "chars", "pause", "ends_sentence", "ends_clause"]
-    grouped = greedy_groups(rows, ["job_id"], ["seg_no", "word_no"], _sentence_heads, needs, limit)
+    grouped = greedy_groups(rows, ["job_id"], ["seg_no", "word_no"], _sentence_heads, WORD_NEEDS, limit)
     pieces = F.array_sort(F.collect_list(F.struct("_rn", "word")))
     return grouped.groupBy("job_id", "head").agg(
         F.min_by("word_start", "_rn").alias("start_ms"),
@@ -199,17 +198,14 @@ def _in_blocks(segs: DataFrame, barrier: Column, steps: list[tuple], limit: int
     counted = scan(walled, ["job_id"], ["seg_no"], [running_sum("_block", F.col("_wall"))], limit, bound)
     keyed = counted.withColumn("_group", F.floor(F.col("_block") / SLICE_BLOCKS)).select(*SEGMENT_COLUMNS, "_group")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg_no")
-        job = pdf["job_id"].iloc[0]
-        parts = [_Part(*row) for row in zip(pdf["start_ms"], pdf["end_ms"], pdf["text"], pdf["speaker_id"], pdf["seg_no"])]
+    def run(key: tuple, rows: list[tuple]) -> list[tuple]:
+        parts = [_Part(*row) for row in rows]
         for step, passes in steps:
             parts = _repeat(step, parts, passes)
-        return pd.DataFrame(
-            [(job, p.first, p.start, p.end, p.text, p.speaker, p.joined) for p in parts], columns=[*SEGMENT_COLUMNS, "joined"]
-        )
+        return [(key[0], p.first, p.start, p.end, p.text, p.speaker, p.joined) for p in parts]
 
-    return keyed.groupBy("job_id", "_group").applyInPandas(run, SEGMENT_SCHEMA)
+    needs = ["start_ms", "end_ms", "text", "speaker_id", "seg_no"]
+    return by_group(keyed, ["job_id", "_group"], ["seg_no"], needs, run, SEGMENT_SCHEMA)
 
 
 def _tidy(segs: DataFrame) -> DataFrame:
@@ -364,12 +360,12 @@ def resplit_speakers(segs: DataFrame, words: DataFrame, turns: DataFrame) -> Dat
     )
 
 
-def _cue_heads(pdf: pd.DataFrame) -> list[int]:
+def _cue_heads(columns: dict[str, list]) -> list[int]:
     """First cue of every merged cue."""
     heads: list[int] = []
     start = end = 0
     text = who = ""
-    for i, (a, b, t, s) in enumerate(zip(pdf["start_ms"], pdf["end_ms"], pdf["text"], pdf["speaker_id"])):
+    for i, (a, b, t, s) in enumerate(zip(*columns.values())):
         tiny = min(end - start, b - a) < CUE_MIN_MS or min(len(text), len(t)) < CUE_MIN_CHARS
         joined = f"{text} {t}".strip()
         fits = len(joined) <= CUE_MAX_CHARS and len(joined) * 1000 <= CUE_MAX_CPS * max(1, b - start)
@@ -411,21 +407,22 @@ def reference_slices(segs: DataFrame) -> DataFrame:
     w = Window.partitionBy("job_id", "speaker_id", "near_other", step).orderBy(F.desc("dur_ms"), "seg_no")
     few = fit.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= REF_MAX_MS // SLICE_MIN_MS)
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        ranked = pdf.sort_values(["near_other", "dur_ms", "seg_no"], ascending=[True, False, True])
+    def pick(key: tuple, ranked: list[tuple]) -> list[tuple]:
         total, taken = 0, []
-        for at, ms in zip(ranked.index, ranked["dur_ms"]):
+        for ms, number in ranked:
             if taken and total + ms > REF_MAX_MS:
                 continue
-            taken.append(at)
+            taken.append((*key, number, ms))
             total += ms
             if total >= REF_IDEAL_MS:
                 break
-        chosen = ranked.loc[taken if total >= REF_MIN_MS else []].sort_values("seg_no")
-        return chosen[["job_id", "speaker_id", "seg_no", "dur_ms"]]
+        return sorted(taken, key=lambda t: t[2]) if total >= REF_MIN_MS else []
 
-    slim = few.select("job_id", "speaker_id", "seg_no", "dur_ms", "near_other")
-    return slim.groupBy("job_id", "speaker_id").applyInPandas(pick, "job_id long, speaker_id string, seg_no long, dur_ms long")
+    ranked = few.withColumn("_longest", -F.col("dur_ms"))
+    order = ["near_other", "_longest", "seg_no"]
+    return by_group(
+        ranked, ["job_id", "speaker_id"], order, ["dur_ms", "seg_no"], pick, "job_id long, speaker_id string, seg_no long, dur_ms long"
+    )
 
 
 def segment_references(segs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,8 +75,8 @@ def test_asof_both_directions(spark):
 
 
 def test_chunked_grouping_equals_single_pass(spark):
-    def pack_heads(pdf):
-        numbers = fill_batches(pdf["size"].to_numpy(), 20)
+    def pack_heads(columns):
+        numbers = fill_batches(np.array(columns["size"]), 20)
         return [i for i in range(len(numbers)) if i == 0 or numbers[i] != numbers[i - 1]]
 
     rnd = random.Random(5)
@@ -89,12 +90,10 @@ def test_chunked_grouping_equals_single_pass(spark):
 def test_chunked_grouping_refuses_a_group_longer_than_a_chunk(spark):
     df = spark.createDataFrame([(1, i) for i in range(60)], "job_id int, i int")
     with pytest.raises(ValueError, match="longer than"):
-        greedy_groups(df, ["job_id"], ["i"], lambda pdf: [0], [], limit=10)
+        greedy_groups(df, ["job_id"], ["i"], lambda columns: [0], [], limit=10)
 
 
 def test_fill_batches_matches_a_plain_loop():
-    import numpy as np
-
     rnd = random.Random(1)
     for _ in range(300):
         sizes = [rnd.randint(1, 30) for _ in range(rnd.randint(0, 40))]
