@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuewright import views
-from cuewright.functions import chunks, describe, spoken
+from cuewright.functions import chunks, describe, nepali, spoken
 from cuewright.operators import segmenting
 from cuewright.plans import shapes
 from cuewright.plans.registry import query
@@ -211,3 +211,14 @@ def reference_slices(spark, sf_dir):
 def segment_refs(spark, sf_dir):
     original = F.when(F.col("seg_no") % 2 == 0, F.upper("speaker_id")).otherwise("")
     return segmenting.segment_references(views.segments(spark, sf_dir).withColumn("text_original", original))
+
+
+LOANWORDS = {"office": "अफिस", "bank": "बैंक", "nepal": "नेपाल"}
+
+
+@query("str_nepali_normalize")
+def nepali_normalize(spark, sf_dir):
+    """German rows are taken as Nepali ones with Latin words in them."""
+    lang = F.when(F.col("lang") == "de", "ne").otherwise(F.col("lang"))
+    body = F.concat(F.lit("Rs 1500, 2082-05-15, 7:30 बजे, NEA office [pause 1s] "), "text")
+    return docs(spark, sf_dir).select("doc_id", nepali.normalize_nepali(body, lang, LOANWORDS).alias("out"))
