@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.operators.ordered import row_number, running_sum, scan
+from cuewright.operators.ordered import largest_group, row_number, running_sum, scan
 from cuewright.operators.pergroup import by_group
 from cuewright.session import rows_per_task
 
@@ -31,8 +31,9 @@ def shard_size(total: int, per_shard: int, min_shards: int) -> int:
 
 def assign_shards(df: DataFrame, order: Sequence[str], per_shard: int, min_shards: int = 1) -> DataFrame:
     """Adds ``shard``: consecutive samples in a global order, a fixed number per shard."""
-    size = shard_size(df.count(), per_shard, min_shards)
-    numbered = scan(df, [], order, [row_number("_rn")])
+    total = largest_group(df, [])
+    size = shard_size(total, per_shard, min_shards)
+    numbered = scan(df, [], order, [row_number("_rn")], bound=total)
     return numbered.withColumn("shard", F.floor((F.col("_rn") - 1) / size)).drop("_rn")
 
 

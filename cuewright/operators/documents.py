@@ -29,22 +29,33 @@ def explode_segments(jobs: DataFrame, payload: str) -> DataFrame:
 def flatten_keys(df: DataFrame, payload: str, depth: int = 6) -> DataFrame:
     """Dotted path and value of every leaf of nested JSON objects.
 
-    One pass per level of the document: a level holds the objects still to be opened, so the
-    work is linear in the number of keys. Objects below ``depth`` levels fail loudly.
+    The levels of a document are opened inside its row, so the table is read once. Objects
+    nested deeper than ``depth`` fail loudly.
     """
     keep = [c for c in df.columns if c != payload]
-    level = df.select(*keep, F.lit("").alias("path"), F.col(payload).alias("node"))
-    leaves = None
-    for _ in range(depth):
-        opened = level.select(*keep, "path", F.explode(F.from_json("node", "map<string,string>")).alias("key", "value"))
-        path = F.when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
-        inner = F.coalesce(F.size(F.json_object_keys("value")), F.lit(0)) > 0
-        step = opened.select(*keep, path.alias("path"), "value", inner.alias("_inner"))
-        leaf = step.filter(~F.col("_inner")).select(*keep, "path", "value")
-        leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        level = step.filter("_inner").select(*keep, "path", F.col("value").alias("node"))
-    too_deep = F.raise_error(F.concat(F.lit(f"objects nested below {depth} levels at "), F.col("path"))).cast("string")
-    return leaves.unionByName(level.select(*keep, "path", too_deep.alias("value")))
+
+    def opened(level: Column) -> Column:
+        def children(e: Column) -> Column:
+            def child(kv: Column) -> Column:
+                path = F.when(e["path"] == "", kv["key"]).otherwise(F.concat_ws(".", e["path"], kv["key"]))
+                return F.struct(path.alias("path"), kv["value"].alias("node"))
+
+            entries = F.map_entries(F.from_json(e["node"], "map<string,string>"))
+            return F.transform(F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")), child)
+
+        return F.flatten(F.transform(level, children))
+
+    def is_object(e: Column) -> Column:
+        return F.coalesce(F.size(F.json_object_keys(e["node"])), F.lit(0)) > 0
+
+    rows = df.withColumn("_l0", F.array(F.struct(F.lit("").alias("path"), F.col(payload).alias("node"))))
+    for i in range(depth):
+        rows = rows.withColumn(f"_o{i}", opened(F.col(f"_l{i}")))
+        rows = rows.withColumn(f"_l{i + 1}", F.filter(f"_o{i}", is_object))
+    too_deep = F.raise_error(F.concat(F.lit(f"objects nested below {depth} levels at "), F.get(f"_l{depth}", F.lit(0))["path"]))
+    leaves = F.concat(*[F.filter(f"_o{i}", lambda e: ~is_object(e)) for i in range(depth)])
+    checked = F.when(F.size(f"_l{depth}") > 0, too_deep.cast(rows.schema["_l0"].dataType)).otherwise(leaves)
+    return rows.select(*keep, F.explode(checked).alias("e")).select(*keep, "e.path", F.col("e.node").alias("value"))
 
 
 def recognised_words(results: DataFrame, payload: str) -> DataFrame:

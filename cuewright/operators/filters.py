@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuewright.session import small_side
+
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -87,8 +89,9 @@ def allowed_properties(props: Column, allowed: Sequence[str], longest: int) -> C
 def resolve_languages(df: DataFrame, column: str, dim: DataFrame) -> DataFrame:
     """Adds ``iso_code``: registered tag, registered base tag, name, else a 2-3 letter prefix.
 
-    ``dim`` is the small language table (code, name).
+    ``dim`` is the language table (code, name), broadcast where its size allows.
     """
+    dim = small_side(dim)
     plain = F.lower(F.trim(F.col(column)))
     key = F.replace(plain, F.lit("_"), F.lit("-"))
     base = F.split_part(key, F.lit("-"), F.lit(1))
@@ -97,7 +100,7 @@ def resolve_languages(df: DataFrame, column: str, dim: DataFrame) -> DataFrame:
     start = dim.select(F.col("code").alias("_base"), F.col("code").alias("_by_base"))
     named = dim.select(F.col("name").alias("_plain"), F.col("code").alias("_by_name"))
     for side, on in ((whole, "_key"), (start, "_base"), (named, "_plain")):
-        rows = rows.join(F.broadcast(side), on, "left")
+        rows = rows.join(side, on, "left")
     prefix = F.when(F.col("_base").rlike("^[a-z]{2,3}$"), F.col("_base"))
     code = F.coalesce("_by_key", "_by_base", "_by_name", prefix)
     empty = F.col("_key").isNull() | F.col("_key").isin("", "auto")

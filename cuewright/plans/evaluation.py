@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cuewright import views
 from cuewright.functions import scoring, speech
+from cuewright.functions import text as T
 from cuewright.operators import evaluation
 from cuewright.plans.registry import query
 from cuewright.session import spread
@@ -173,3 +174,16 @@ def case_runner(spark, sf_dir):
 def udaf_wer(spark, sf_dir):
     """Error rates need sums only; no custom aggregate function."""
     return evaluation.micro_wer(scores(spark, sf_dir), ["lang_name"])
+
+
+@query(
+    "str_token_drift",
+    views="v_pairs",
+    sql=f"""WITH {PAIRS_SQL}, t AS (SELECT conv_id, turn, regexp_extract_all(LOWER(truth), '[\\pL\\pM\\pN_]+') AS tw, regexp_extract_all(LOWER(hypo), '[\\pL\\pM\\pN_]+') AS hw FROM pairs),
+d AS (SELECT conv_id, turn, CASE WHEN len(tw)=0 THEN CASE WHEN len(hw)=0 THEN 0.0::DOUBLE ELSE 1.0 END ELSE len(list_filter(list_zip(tw, hw), lambda p: p[1] IS DISTINCT FROM p[2]))/CAST(len(tw) AS DOUBLE) END AS d FROM t)
+SELECT conv_id, turn, ROUND_EVEN(d, 3) AS drift, d >= 0.5 AS flagged FROM d""",
+)
+def token_drift(spark, sf_dir):
+    drift = T.token_drift(F.col("truth"), F.col("hypo"))
+    rows = spread(pairs(spark, sf_dir)).select("conv_id", "turn", drift.alias("d"))
+    return rows.select("conv_id", "turn", F.bround("d", 3).alias("drift"), (F.col("d") >= 0.5).alias("flagged"))

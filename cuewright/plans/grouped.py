@@ -100,7 +100,7 @@ def udtf_chunks(spark, sf_dir):
     """The chunker as a table function joined laterally in SQL."""
     from pyspark.sql.functions import udtf
 
-    @udtf(returnType="pos bigint, piece string")
+    @udtf(returnType="pos bigint, piece string", useArrow=True)
     class Chunks:
         def eval(self, text: str, limit: int):
             yield from enumerate(chunks.chunk_by_chars(text or "", limit))

@@ -10,6 +10,7 @@ from cuewright.operators import filters, lookups, rollups
 from cuewright.operators.timeline import top_per_group
 from cuewright.plans import shapes
 from cuewright.plans.registry import query
+from cuewright.session import small_side
 from cuewright.views import table
 
 
@@ -28,7 +29,7 @@ LANG_DIM = rows_sql(LANGUAGES, "code, iso3, name")
 
 
 def _languages(spark):
-    return F.broadcast(spark.createDataFrame(LANGUAGES, "code string, iso3 string, name string"))
+    return small_side(spark.createDataFrame(LANGUAGES, "code string, iso3 string, name string"))
 
 
 @query(

@@ -320,10 +320,3 @@ def mask_placeholders(spark, sf_dir):
     rows = docs(spark, sf_dir).select("doc_id", T.mask_placeholders(body).alias("m"))
     back = T.unmask_placeholders(F.replace("m.masked", F.lit("__V_0__"), F.lit("__ V _ 0 __")), F.col("m.vars"), F.col("m.tags"))
     return rows.select("doc_id", F.col("m.masked").alias("masked"), back.alias("restored"))
-
-
-@query("str_token_drift")
-def token_drift(spark, sf_dir):
-    drift = T.token_drift(F.col("truth"), F.col("hypo"))
-    rows = views.pairs(spark, sf_dir).select("conv_id", "turn", drift.alias("d"))
-    return rows.select("conv_id", "turn", F.bround("d", 3).alias("drift"), (F.col("d") >= 0.5).alias("flagged"))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 ROWS_PER_TASK = "cuewright.rowsPerTask"
 BROADCAST_ROWS = "cuewright.broadcastRows"
@@ -61,6 +62,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def small_side(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a side within the bound; a larger one is left to shuffle.
+
+    At most one row more than the bound is counted.
+    """
+    bound = broadcast_rows(df.sparkSession)
+    return broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out over the cores where the input has fewer splits than there are cores.
 
