@@ -54,29 +54,30 @@ def majority_speaker(segs: DataFrame, turns: DataFrame, relabel: bool = True) ->
     """
     known = turns.dropna(subset=["speaker", "turn_start", "turn_end"])
     slim = segs.select("job_id", "seg_no", "start_ms", "end_ms")
-    per_speaker = (
-        _touching(slim, known)
-        .groupBy("job_id", "seg_no", "speaker")
-        .agg(F.sum("overlap_ms").alias("overlap_ms"), F.min("turn_no").alias("first_turn"))
-    )
-    best = per_speaker.groupBy("job_id", "seg_no").agg(
-        F.max_by(F.struct("speaker", "overlap_ms"), F.struct("overlap_ms", -F.col("first_turn"))).alias("best")
-    )
-    # Twice the midpoint stays an integer; doubling the turn ends keeps the comparison exact.
-    mids = slim.withColumn("mid2", F.col("start_ms") + F.col("end_ms"))
-    around = interval_join(
-        mids,
+    overlap = F.least("end_ms", "turn_end") - F.greatest("start_ms", "turn_start")
+    # Twice the midpoint stays an integer, compared with doubled turn ends.
+    mid2 = F.col("start_ms") + F.col("end_ms")
+    around = (F.col("turn_start") * 2 <= mid2) & (mid2 <= F.col("turn_end") * 2)
+    met = interval_join(
+        slim,
         known,
         ["job_id"],
-        (F.floor(F.col("mid2") / 2), F.ceil(F.col("mid2") / 2)),
+        (F.col("start_ms"), F.col("end_ms")),
         (F.col("turn_start"), F.col("turn_end")),
-        (F.col("turn_start") * 2 <= F.col("mid2")) & (F.col("mid2") <= F.col("turn_end") * 2),
+        (overlap > 0) | around,
+    )
+    per_speaker = met.groupBy("job_id", "seg_no", "speaker").agg(
+        F.sum(F.when(overlap > 0, overlap)).alias("overlap_ms"),
+        F.min(F.when(overlap > 0, F.col("turn_no"))).alias("first_turn"),
+        F.min(F.when(around, F.col("turn_no"))).alias("mid_turn"),
+    )
+    rank = F.when(F.col("overlap_ms").isNotNull(), F.struct("overlap_ms", -F.col("first_turn")))
+    best = per_speaker.groupBy("job_id", "seg_no").agg(
+        F.max_by(F.struct("speaker", "overlap_ms"), rank).alias("best"), F.min_by("speaker", "mid_turn").alias("mid_speaker")
     )
-    mid = around.groupBy("job_id", "seg_no").agg(F.min_by("speaker", "turn_no").alias("mid_speaker"))
     found = F.coalesce(F.col("best.speaker"), F.col("mid_speaker"))
     return (
         segs.join(best, ["job_id", "seg_no"], "left")
-        .join(mid, ["job_id", "seg_no"], "left")
         .select(
             *segs.columns,
             F.coalesce(display_label(found) if relabel else found, F.col("speaker_id")).alias("assigned"),
