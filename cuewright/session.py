@@ -82,11 +82,16 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the Python workers of this application the package, once."""
+    """Give the Python workers of this application the package, once.
+
+    Executors get an archive; the driver's own streaming worker reads the import path instead.
+    """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = context.environment.get("PYTHONPATH")
+    context.environment["PYTHONPATH"] = f"{here}{os.pathsep}{known}" if known else here
     folder = tempfile.mkdtemp(prefix="spark-")
     context.addPyFile(shutil.make_archive(f"{folder}/cuewright", "zip", here, "cuewright"))
     _shipped.add(context.applicationId)
