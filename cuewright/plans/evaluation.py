@@ -12,21 +12,31 @@ from cuewright.plans.registry import query
 from cuewright.session import spread
 from cuewright.views import table
 
-# In these pairs the hypothesis differs from the truth word by word only where " th" lost its
-# letters; a lone "th" disappears. The SQL aligns by position after taking lone ones out.
+# Counting errors by position needs pairs with one best alignment. Words altered here carry a letter
+# that occurs nowhere else, so an altered word matches nothing: any other alignment costs more.
+# Words are lost at the end of some turns and added at the end of others.
+MARK = "ǂ"
+PAIRS_SQL = f"""pairs AS (SELECT conv_id, turn, lang_name, CASE turn%3 WHEN 0 THEN truth || ' {MARK}q {MARK}r' ELSE truth END AS truth,
+  CASE turn%3 WHEN 1 THEN REPLACE(truth, ' th', ' {MARK}') || ' {MARK}x' ELSE REPLACE(truth, ' th', ' {MARK}') END AS hypo FROM v_pairs)"""
 SCORES_SQL = """
 n AS (SELECT conv_id, turn, lang_name, TRIM(regexp_replace(LOWER(truth), '\\s+', ' ', 'g')) AS t, TRIM(regexp_replace(LOWER(hypo), '\\s+', ' ', 'g')) AS h FROM pairs),
 w AS (SELECT *, string_split(t, ' ') AS tw, list_filter(string_split(h, ' '), lambda x: x <> '') AS hw FROM n),
-sc AS (SELECT conv_id, turn, lang_name, len(list_filter(list_zip(tw, hw), lambda p: p[1] <> p[2])) AS substitutions, 0::BIGINT AS deletions, 0::BIGINT AS insertions,
-  len(list_filter(list_zip(tw, hw), lambda p: p[1] <> p[2]))/CAST(GREATEST(len(list_filter(tw, lambda x: x <> '')), 1) AS DOUBLE) AS wer, len(tw) AS word_num FROM w)"""
-PAIRS_SQL = "pairs AS (SELECT conv_id, turn, lang_name, regexp_replace(truth, '\\bth\\b', 'x', 'g') AS truth, REPLACE(regexp_replace(truth, '\\bth\\b', 'x', 'g'), ' th', ' ') AS hypo FROM v_pairs)"
+e AS (SELECT *, len(list_filter(list_zip(tw, hw), lambda p: p[1] <> p[2])) AS substitutions, GREATEST(len(tw)-len(hw), 0) AS deletions, GREATEST(len(hw)-len(tw), 0) AS insertions FROM w),
+sc AS (SELECT conv_id, turn, lang_name, substitutions, deletions, insertions, (substitutions+deletions+insertions)/CAST(GREATEST(len(tw), 1) AS DOUBLE) AS wer, len(tw) AS word_num FROM e)"""
 
 
 def pairs(spark, sf_dir):
-    """Evaluation pairs without lone "th" words, whose alignment by position is the shortest."""
+    """Evaluation pairs with substituted, lost and added words."""
     rows = views.pairs(spark, sf_dir)
-    truth = F.regexp_replace("truth", r"\bth\b", "x")
-    return rows.withColumn("truth", truth).withColumn("hypo", F.replace(truth, F.lit(" th"), F.lit(" ")))
+    turn = F.col("turn") % 3
+    heard = F.replace("truth", F.lit(" th"), F.lit(f" {MARK}"))
+    return rows.select(
+        "conv_id",
+        "turn",
+        "lang_name",
+        F.when(turn == 0, F.concat("truth", F.lit(f" {MARK}q {MARK}r"))).otherwise(F.col("truth")).alias("truth"),
+        F.when(turn == 1, F.concat(heard, F.lit(f" {MARK}x"))).otherwise(heard).alias("hypo"),
+    )
 
 
 def scores(spark, sf_dir):
@@ -180,7 +190,7 @@ def udaf_wer(spark, sf_dir):
     "str_token_drift",
     views="v_pairs",
     sql=f"""WITH {PAIRS_SQL}, t AS (SELECT conv_id, turn, regexp_extract_all(LOWER(truth), '[\\pL\\pM\\pN_]+') AS tw, regexp_extract_all(LOWER(hypo), '[\\pL\\pM\\pN_]+') AS hw FROM pairs),
-d AS (SELECT conv_id, turn, CASE WHEN len(tw)=0 THEN CASE WHEN len(hw)=0 THEN 0.0::DOUBLE ELSE 1.0 END ELSE len(list_filter(list_zip(tw, hw), lambda p: p[1] IS DISTINCT FROM p[2]))/CAST(len(tw) AS DOUBLE) END AS d FROM t)
+d AS (SELECT conv_id, turn, CASE WHEN len(tw)=0 THEN CASE WHEN len(hw)=0 THEN 0.0::DOUBLE ELSE 1.0 END ELSE (len(list_filter(list_zip(tw, hw), lambda p: p[1] IS DISTINCT FROM p[2])))/CAST(len(tw) AS DOUBLE) END AS d FROM t)
 SELECT conv_id, turn, ROUND_EVEN(d, 3) AS drift, d >= 0.5 AS flagged FROM d""",
 )
 def token_drift(spark, sf_dir):
