@@ -192,8 +192,8 @@ def _jobs(spark, sf_dir):
 @query(
     "join_job_library",
     sql=f"""WITH {JOBS_SQL},
-ev AS (SELECT l_orderkey AS job_id, l_linenumber AS seq, l_returnflag, l_linestatus, l_suppkey, l_quantity FROM lineitem),
-done AS (SELECT * FROM ev WHERE l_returnflag <> 'R' QUALIFY ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY seq DESC, l_suppkey DESC) = 1)
+ev AS (SELECT l_orderkey AS job_id, l_linenumber AS seq, l_returnflag, l_linestatus, l_suppkey, l_quantity, l_partkey, l_extendedprice FROM lineitem),
+done AS (SELECT * FROM ev WHERE l_returnflag <> 'R' QUALIFY ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY seq DESC, l_suppkey DESC, l_partkey DESC, l_extendedprice DESC) = 1)
 SELECT j.job_id, j.type, 'out' || l_suppkey || '.m4b' AS output, CASE WHEN l_quantity < 20 THEN 'T' || l_suppkey ELSE 'meta ' || j.job_id END AS title,
   ROUND_EVEN(CAST(l_quantity AS DOUBLE), 2) AS duration_s, CASE WHEN l_quantity < 10 THEN 0 ELSE CAST(seq AS BIGINT) END AS chapters, created_at
 FROM jobs j JOIN done d ON d.job_id=j.job_id WHERE status='done' AND type IN ('audiobook', 'story') AND l_linestatus='F'
@@ -213,7 +213,7 @@ def job_library(spark, sf_dir):
         F.when(F.col("l_returnflag") == "R", "").otherwise("}"),
     )
     events = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("job_id"), F.struct("l_linenumber", "l_suppkey").alias("seq"), payload.alias("payload")
+        F.col("l_orderkey").alias("job_id"), F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice").alias("seq"), payload.alias("payload")
     )
     return lookups.job_library(_jobs(spark, sf_dir), events, ["audiobook", "story"], 50)
 
@@ -252,7 +252,7 @@ def missing_keys(spark, sf_dir):
     return lookups.missing_keys(part.select("key"), locales, ["de", "fr"])
 
 
-GLOSS_SQL = """auto AS (SELECT l_suppkey AS project_id, l_orderkey*10+l_linenumber AS position, l_partkey, p_name AS source,
+GLOSS_SQL = """auto AS (SELECT l_suppkey AS project_id, l_orderkey*10+l_linenumber AS position, l_partkey, l_extendedprice, p_name AS source,
     CASE WHEN l_quantity < 5 THEN p_name WHEN l_quantity < 8 THEN ' ' ELSE LOWER(p_brand) || '-' || l_orderkey END AS target
   FROM lineitem JOIN part ON p_partkey=l_partkey),
 usr AS (SELECT ps.s_suppkey AS project_id, UPPER(p_name) AS source, p_brand AS target FROM part JOIN supplier ps ON ps.s_suppkey = p_size)"""
@@ -260,7 +260,7 @@ usr AS (SELECT ps.s_suppkey AS project_id, UPPER(p_name) AS source, p_brand AS t
 
 def _glossary(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     joined = items.join(part, F.col("p_partkey") == F.col("l_partkey"))
     target = (
         F.when(F.col("l_quantity") < 5, F.col("p_name"))
@@ -269,7 +269,7 @@ def _glossary(spark, sf_dir):
     )
     auto = joined.select(
         F.col("l_suppkey").alias("project_id"),
-        F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("p"), F.col("l_partkey").alias("k")).alias("position"),
+        F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("p"), F.col("l_partkey").alias("k"), F.col("l_extendedprice").alias("e")).alias("position"),
         F.col("p_name").alias("source"),
         target.alias("target"),
     )
@@ -284,7 +284,7 @@ def _glossary(spark, sf_dir):
     "anti_glossary_new",
     sql=f"""WITH {GLOSS_SQL}, ok AS (SELECT * FROM auto WHERE TRIM(target)<>'' AND NOT (source=target AND source LIKE '% %'))
 SELECT project_id, source, target FROM ok WHERE NOT EXISTS (SELECT 1 FROM usr WHERE usr.project_id=ok.project_id AND LOWER(usr.source)=LOWER(ok.source))
-QUALIFY ROW_NUMBER() OVER (PARTITION BY project_id, LOWER(source) ORDER BY position, l_partkey) = 1""",
+QUALIFY ROW_NUMBER() OVER (PARTITION BY project_id, LOWER(source) ORDER BY position, l_partkey, l_extendedprice) = 1""",
 )
 def glossary_new(spark, sf_dir):
     user, auto = _glossary(spark, sf_dir)
@@ -296,7 +296,7 @@ def glossary_new(spark, sf_dir):
     sql=f"""WITH {GLOSS_SQL}, ok AS (SELECT * FROM auto WHERE TRIM(target)<>'')
 SELECT project_id, source, target, 'user' AS origin FROM usr UNION ALL
 SELECT project_id, source, target, 'auto' FROM (SELECT * FROM ok WHERE NOT EXISTS (SELECT 1 FROM usr WHERE usr.project_id=ok.project_id AND LOWER(usr.source)=LOWER(ok.source))
-QUALIFY ROW_NUMBER() OVER (PARTITION BY project_id, LOWER(source) ORDER BY position, l_partkey) = 1) z""",
+QUALIFY ROW_NUMBER() OVER (PARTITION BY project_id, LOWER(source) ORDER BY position, l_partkey, l_extendedprice) = 1) z""",
 )
 def merge_glossary(spark, sf_dir):
     user, auto = _glossary(spark, sf_dir)
