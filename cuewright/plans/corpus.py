@@ -175,7 +175,11 @@ def src_sql_tables(spark, sf_dir):
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
-@query("src_file_inventory")
+@query(
+    "src_file_inventory",
+    views="v_manifest",
+    sql=f"""WITH {SHARD_SQL} SELECT shard, CAST(SUM(LENGTH('{{"id":' || id || ',"audio_path":"' || audio_path || '","language_id":"' || language_id || '","duration_ms":' || duration_ms || '}}')+1) AS BIGINT) AS bytes FROM sh GROUP BY 1""",
+)
 def src_file_inventory(spark, sf_dir):
     path = scratch_path(spark, "inventory")
     writers.write_shards(sharded(spark, sf_dir), path, PER_SHARD)

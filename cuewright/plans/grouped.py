@@ -31,7 +31,14 @@ def chunk_punctuation(spark, sf_dir):
     return pieces(docs(spark, sf_dir), chunks.punctuation_chunks_of(F.col("text"), 200, 50))
 
 
-@query("str_wrap_lines", views="v_segments")
+@query(
+    "str_wrap_lines",
+    views="v_segments",
+    sql="""WITH t AS (SELECT job_id, seg_no, string_split(TRIM(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS tk FROM v_segments WHERE TRIM(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
+w AS (SELECT job_id, seg_no, UNNEST(tk) AS w, UNNEST(range(1, len(tk)+1)) AS i, LENGTH(tk[1]) AS first FROM t),
+c AS (SELECT *, SUM(LENGTH(w)+1) OVER (PARTITION BY job_id, seg_no ORDER BY i)-1 AS upto FROM w)
+SELECT job_id, seg_no, CASE WHEN first > 42 OR upto <= 42 THEN 0::BIGINT ELSE 1 END AS pos, STRING_AGG(w, ' ' ORDER BY i) AS line FROM c GROUP BY 1,2,3""",
+)
 def wrap_lines(spark, sf_dir):
     rows = views.segments(spark, sf_dir).select("job_id", "seg_no", F.posexplode(chunks.lines_of(F.col("text"))).alias("pos", "line"))
     return rows.withColumn("pos", F.col("pos").cast("long"))
@@ -164,13 +171,40 @@ def scene_cuts(spark, sf_dir):
     return segmenting.scene_cuts(views.segments(spark, sf_dir), cuts)
 
 
-@query("grp_smooth_labels", views="v_words v_turns")
+LABEL_SQL = """
+ov AS (SELECT w.job_id, w.seg_no, w.word_no, t.speaker, SUM(LEAST(word_end, turn_end)-GREATEST(word_start, turn_start)) AS o, MIN(turn_no) AS f
+  FROM v_words w JOIN v_turns t ON w.job_id=t.job_id AND LEAST(word_end, turn_end) > GREATEST(word_start, turn_start) GROUP BY 1,2,3,4),
+best AS (SELECT * FROM ov QUALIFY ROW_NUMBER() OVER (PARTITION BY job_id, seg_no, word_no ORDER BY o DESC, f) = 1),
+mid AS (SELECT w.job_id, w.seg_no, w.word_no, ARG_MIN(t.speaker, t.turn_no) AS speaker FROM v_words w JOIN v_turns t
+  ON w.job_id=t.job_id AND turn_start*2 <= word_start+word_end AND word_start+word_end <= turn_end*2 GROUP BY 1,2,3),
+lab AS (SELECT w.*, 'Speaker ' || CAST(CAST(SUBSTR(COALESCE(b.speaker, m.speaker), 9) AS INT)+1 AS VARCHAR) AS l FROM v_words w
+  LEFT JOIN best b USING (job_id, seg_no, word_no) LEFT JOIN mid m USING (job_id, seg_no, word_no)),
+fil AS (SELECT job_id, seg_no, word_no, word, word_start, word_end, COALESCE(LAST_VALUE(l IGNORE NULLS) OVER (PARTITION BY job_id, seg_no ORDER BY word_no ROWS UNBOUNDED PRECEDING),
+  FIRST_VALUE(l IGNORE NULLS) OVER (PARTITION BY job_id, seg_no ORDER BY word_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS l FROM lab),
+nx AS (SELECT *, LEAD(l) OVER (PARTITION BY job_id, seg_no ORDER BY word_no) AS n, LEAD(1) OVER (PARTITION BY job_id, seg_no ORDER BY word_no) AS more FROM fil),
+sm AS (SELECT job_id, seg_no, word_no, l AS label FROM nx WHERE word_no=1
+  UNION ALL SELECT x.job_id, x.seg_no, x.word_no, CASE WHEN x.more=1 AND x.l IS DISTINCT FROM s.label AND s.label IS NOT DISTINCT FROM x.n THEN s.label ELSE x.l END
+  FROM sm s JOIN nx x ON x.job_id=s.job_id AND x.seg_no=s.seg_no AND x.word_no=s.word_no+1)"""
+
+
+@query("grp_smooth_labels", views="v_words v_turns", sql=f"WITH RECURSIVE {LABEL_SQL} SELECT job_id, seg_no, word_no, label FROM sm")
 def smooth_labels(spark, sf_dir):
     out = segmenting.smoothed_words(views.words(spark, sf_dir), views.turns(spark, sf_dir))
     return out.select("job_id", "seg_no", "word_no", "label")
 
 
-@query("grp_resplit_speakers", views="v_words v_turns")
+@query(
+    "grp_resplit_speakers",
+    views="v_words v_turns",
+    sql=f"""WITH RECURSIVE {LABEL_SQL},
+c AS (SELECT sm.*, word, word_start, word_end, CASE WHEN LAG(label) OVER w IS NOT DISTINCT FROM label AND LAG(1) OVER w IS NOT NULL THEN 0 ELSE 1 END AS ch
+  FROM sm JOIN fil USING (job_id, seg_no, word_no) WINDOW w AS (PARTITION BY sm.job_id, sm.seg_no ORDER BY sm.word_no)),
+r AS (SELECT *, CAST(SUM(ch) OVER (PARTITION BY job_id, seg_no ORDER BY word_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM c),
+g AS (SELECT job_id, seg_no, run, ANY_VALUE(label) AS label, MIN(word_start) AS a, MAX(word_end) AS b, STRING_AGG(word, ' ' ORDER BY word_no) AS t FROM r GROUP BY 1,2,3),
+m AS (SELECT *, MAX(run) OVER (PARTITION BY job_id, seg_no) AS n FROM g QUALIFY n > 1)
+SELECT s.job_id, s.seg_no, COALESCE(run-1, 0) AS piece, CASE WHEN run > 1 THEN a ELSE start_ms END AS start_ms, CASE WHEN run < n THEN b ELSE end_ms END AS end_ms,
+  COALESCE(t, s.text) AS text, COALESCE(label, speaker_id) AS speaker_id FROM v_segments s LEFT JOIN m ON m.job_id=s.job_id AND m.seg_no=s.seg_no""",
+)
 def resplit_speakers(spark, sf_dir):
     return segmenting.resplit_speakers(views.segments(spark, sf_dir), views.words(spark, sf_dir), views.turns(spark, sf_dir))
 
@@ -188,13 +222,35 @@ def subtitle_split(spark, sf_dir):
     )
 
 
-@query("grp_subtitle_merge", views="v_words")
+@query(
+    "grp_subtitle_merge",
+    views="v_words",
+    sql="""WITH RECURSIVE fr AS (SELECT job_id, seg_no*100000+(word_no-1)//(seg_no%4+1) AS cue, ANY_VALUE(speaker_id) AS who, MIN(word_start) AS a, MAX(word_end) AS b, STRING_AGG(word, ' ' ORDER BY word_no) AS t FROM v_words GROUP BY 1,2),
+c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY cue) AS rn FROM fr),
+m AS (SELECT job_id, rn, rn AS head, a, b, t, who FROM c WHERE rn=1
+  UNION ALL SELECT job_id, rn, CASE WHEN ok THEN head ELSE rn END, CASE WHEN ok THEN pa ELSE a END, b, CASE WHEN ok THEN pt || ' ' || t ELSE t END, who FROM (
+    SELECT c.job_id, c.rn, m.head, m.a AS pa, m.t AS pt, c.a, c.b, c.t, c.who, (m.b-m.a < 1200 OR c.b-c.a < 1200 OR LENGTH(m.t) < 8 OR LENGTH(c.t) < 8) AND LENGTH(m.t)+1+LENGTH(c.t) <= 84
+      AND (LENGTH(m.t)+1+LENGTH(c.t))*1000 <= 17*GREATEST(c.b-m.a, 1) AND NOT regexp_matches(m.t || ' ', '[.!?。！？]+\\s+') AND m.who=c.who AS ok
+    FROM m JOIN c ON c.job_id=m.job_id AND c.rn=m.rn+1) z)
+SELECT job_id, head, ARG_MAX(a, rn) AS start_ms, MAX(b) AS end_ms, ARG_MAX(t, rn) AS text, ARG_MAX(who, rn) AS speaker_id, COUNT(*) AS merged FROM m GROUP BY 1,2""",
+)
 def subtitle_merge(spark, sf_dir):
     cues = fragments(spark, sf_dir).withColumnRenamed("seg_no", "cue_no")
     return segmenting.merge_cues(cues)
 
 
-@query("grp_reference_slices", views="v_segments")
+@query(
+    "grp_reference_slices",
+    views="v_segments",
+    sql="""WITH RECURSIVE h AS (SELECT job_id, seg_no, speaker_id, start_ms, CAST(FLOOR((start_ms+end_ms)/2.0) AS BIGINT) AS end_ms FROM v_segments),
+k AS (SELECT *, end_ms-start_ms AS dur_ms, EXISTS (SELECT 1 FROM h o WHERE o.job_id=s.job_id AND o.speaker_id<>s.speaker_id AND GREATEST(o.start_ms-s.end_ms, s.start_ms-o.end_ms) < 300) AS near FROM h s),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY job_id, speaker_id ORDER BY near, dur_ms DESC, seg_no) AS rn FROM k WHERE dur_ms >= 1500 AND job_id%7<>0),
+p AS (SELECT job_id, speaker_id, seg_no, dur_ms, rn, TRUE AS taken, dur_ms AS total FROM r WHERE rn=1
+  UNION ALL SELECT r.job_id, r.speaker_id, r.seg_no, r.dur_ms, r.rn, p.total < 8000 AND p.total+r.dur_ms <= 15000, CASE WHEN p.total < 8000 AND p.total+r.dur_ms <= 15000 THEN p.total+r.dur_ms ELSE p.total END
+  FROM p JOIN r ON r.job_id=p.job_id AND r.speaker_id=p.speaker_id AND r.rn=p.rn+1),
+t AS (SELECT job_id, speaker_id, MAX(total) AS total FROM p GROUP BY 1,2)
+SELECT job_id, speaker_id, seg_no, dur_ms FROM p JOIN t USING (job_id, speaker_id) WHERE taken AND t.total >= 5000""",
+)
 def reference_slices(spark, sf_dir):
     """Slices come from the segments cut to half their length, which brings them into range."""
     segs = views.segments(spark, sf_dir)

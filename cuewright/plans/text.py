@@ -117,7 +117,21 @@ def number_ranges(spark, sf_dir):
 LEXICON = {"the": "thuh", "de": "duh", "the heonand": "never", "Dr.": "Doctor"}
 
 
-@query("str_apply_lexicon")
+def _respell(text: str, key: str, spoken: str) -> str:
+    """Whole-word replacement in SQL; twice, since neighbouring words share their separator."""
+    other = "[^\\pL\\pM\\pN_]"
+    right = f"({other}|$)" if key[-1].isalnum() else "()"
+    for _ in range(2):
+        text = f"regexp_replace({text}, '(^|{other}){key}{right}', '\\1{spoken}\\2', 'gi')"
+    return text
+
+
+LEXICON_SQL = "text"
+for _key, _spoken in [("the heonand", "never"), ("the", "thuh"), ("Dr[.]", "Doctor"), ("de", "duh")]:
+    LEXICON_SQL = _respell(LEXICON_SQL, _key, _spoken)
+
+
+@query("str_apply_lexicon", sql=f"SELECT doc_id, {LEXICON_SQL} AS out FROM documents")
 def apply_lexicon(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.apply_lexicon(F.col("text"), LEXICON).alias("out"))
 
