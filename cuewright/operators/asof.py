@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.operators.ordered import last_known, next_known, scan
+from cuewright.operators.ordered import largest_group, last_known, next_known, scan
 
 
 def asof(
@@ -18,12 +18,16 @@ def asof(
     right_time: str,
     left_id: str,
     right_id: str,
+    left_bound: int | None = None,
 ) -> DataFrame:
     """``left`` plus ``_before`` (latest right row at or before) and ``_after`` (first at or after).
 
     Both are structs of all right columns, null when there is none. Ids settle equal times:
-    ``_before`` takes the last id, ``_after`` the first.
+    ``_before`` takes the last id, ``_after`` the first. ``left_bound`` is a number of left rows
+    no key exceeds, where counting them would cost more than it tells.
     """
+    left_bound = largest_group(left, on) if left_bound is None else left_bound
+    bound = left_bound + 2 * largest_group(right, on)
     rstruct = F.struct(*[F.col(c) for c in right.columns])
     rtype = right.select(rstruct.alias("s")).schema["s"].dataType
     ltype = left.select(F.struct("*").alias("s")).schema["s"].dataType
@@ -48,5 +52,6 @@ def asof(
             last_known("_before", F.when(F.col("_rank") == 0, F.col("_r"))),
             next_known("_after", F.when(F.col("_rank") == 2, F.col("_r"))),
         ],
+        bound=bound,
     )
     return seen.filter(F.col("_rank") == 1).select("_l.*", "_before", "_after")

@@ -203,6 +203,7 @@ def frames_near_segments(segs: DataFrame, frames: DataFrame, margin_ms: int = FR
         "mid2",
         "seg_no",
         "frame_ms",
+        largest_group(slim, ["job_id"]),
     )
     back, ahead = F.col("mid2") - F.col("_before.mid2"), F.col("_after.mid2") - F.col("mid2")
     nearest = F.when(F.col("_after").isNull() | (back <= ahead), F.col("_before")).otherwise(F.col("_after"))

@@ -10,7 +10,7 @@ from cuewright.operators import filters, lookups, rollups
 from cuewright.operators.timeline import top_per_group
 from cuewright.plans import shapes
 from cuewright.plans.registry import query
-from cuewright.session import small_side
+from cuewright.session import small_side, spread
 from cuewright.views import table
 
 
@@ -106,7 +106,7 @@ def dictionary_inert(spark, sf_dir):
 
 def _projects(spark, sf_dir):
     """Dub projects: the conversations' roles written as project JSON, some of it broken."""
-    rows = table(spark, sf_dir, "lineitem").select(
+    rows = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag")).select(
         F.col("l_orderkey").alias("project_id"),
         F.concat(
             F.lit('{"segments": [{"profile_id": "p'),
