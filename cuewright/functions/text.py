@@ -66,7 +66,7 @@ HOME_SHAPES = [
 ]
 ERROR_RULES = [
     ("GPU_OOM", ["cuda out of memory", "mps backend out of memory", "hip out of memory", "out of memory on device"]),
-    ("LICENSE_REQUIRED", []),  # needs both a model marker and an access marker
+    ("PYANNOTE_LICENSE_REQUIRED", []),  # needs both a model marker and an access marker
     ("HF_AUTH_FAILED", ["401 client error", "403 client error", "gatedrepoerror", "repository not found", "invalid user token", "huggingface_hub.errors"]),
     ("DISK_FULL", ["no space left on device", "errno 28", "disk quota exceeded"]),
     ("FFMPEG_MISSING", ["ffmpeg not found", "ffmpeg is not installed", "no such file or directory: 'ffmpeg'"]),

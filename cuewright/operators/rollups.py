@@ -22,12 +22,20 @@ BUILDS = ["current", "outdated", "unknown"]
 
 
 def usage_summary(takes: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """One row of totals: takes, starred, seconds, active days, first and last, table counts."""
-    ms = F.round(F.col("duration_seconds") * 1000).cast("long")
+    """One row of totals: takes, starred, audio and compute seconds, active days, first and last, table counts.
+
+    Seconds are summed as whole milliseconds.
+    """
+
+    def seconds(column: str) -> Column:
+        ms = F.round(F.col(column) * 1000).cast("long")
+        return F.round(F.coalesce(F.sum(ms), F.lit(0)) / 1000, 1)
+
     out = takes.agg(
         F.count(F.lit(1)).alias("takes"),
         F.count_if(F.coalesce("starred", F.lit(0)) == 1).alias("starred"),
-        F.round(F.coalesce(F.sum(ms), F.lit(0)) / 1000, 1).alias("audio_seconds"),
+        seconds("duration_seconds").alias("audio_seconds"),
+        seconds("generation_time").alias("compute_seconds"),
         F.count_distinct(F.to_date("created_at")).alias("active_days"),
         F.min("created_at").alias("first_at"),
         F.max("created_at").alias("last_at"),

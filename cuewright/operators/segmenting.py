@@ -333,9 +333,12 @@ def smoothed_words(words: DataFrame, turns: DataFrame) -> DataFrame:
     filled = labelled.withColumn("label", F.coalesce(back, ahead))
     rows = F.array_sort(F.collect_list(F.struct("word_no", "label", "word", "word_start", "word_end")))
     per = filled.groupBy(*keys).agg(rows.alias("ws"))
-    smooth = per.withColumn("ls", F.transform("ws", lambda x: x["label"])).withColumn("ls", smoothed(F.col("ls")))
-    out = smooth.select(*keys, F.posexplode("ws").alias("pos", "x"), "ls")
-    return out.select(*keys, "x.word_no", "x.word", "x.word_start", "x.word_end", F.get("ls", F.col("pos")).alias("label"))
+    named = per.withColumn("ls", F.transform("ws", lambda x: x["label"]))
+    # Most segments have one speaker and nothing to smooth.
+    one = F.size(F.array_distinct("ls")) <= 1
+    smooth = named.withColumn("ls", F.when(one, F.col("ls")).otherwise(smoothed(F.col("ls"))))
+    paired = F.zip_with("ws", "ls", lambda x, y: F.struct(x["word_no"], x["word"], x["word_start"], x["word_end"], y.alias("label")))
+    return smooth.select(*keys, F.explode(paired).alias("x")).select(*keys, "x.*")
 
 
 def resplit_speakers(segs: DataFrame, words: DataFrame, turns: DataFrame) -> DataFrame:

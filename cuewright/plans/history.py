@@ -261,7 +261,7 @@ usr AS (SELECT ps.s_suppkey AS project_id, UPPER(p_name) AS source, p_brand AS t
 def _glossary(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    joined = items.join(part, F.col("p_partkey") == F.col("l_partkey"))
+    joined = spread(items).join(part, F.col("p_partkey") == F.col("l_partkey"))
     target = (
         F.when(F.col("l_quantity") < 5, F.col("p_name"))
         .when(F.col("l_quantity") < 8, " ")
@@ -352,12 +352,14 @@ def purge_finished(spark, sf_dir):
     "agg_usage_summary",
     views="v_takes",
     sql="""SELECT COUNT(*) AS takes, COUNT(*) FILTER (starred=1) AS starred, ROUND(SUM(CAST(ROUND(duration_seconds*1000) AS BIGINT))/1000.0, 1) AS audio_seconds,
+  ROUND(SUM(CAST(ROUND(duration_seconds*0.25*1000) AS BIGINT))/1000.0, 1) AS compute_seconds,
   COUNT(DISTINCT CAST(created_at AS DATE)) AS active_days, MIN(created_at) AS first_at, MAX(created_at) AS last_at,
   (SELECT COUNT(*) FROM supplier) AS voices, (SELECT COUNT(*) FROM orders) AS dubs, (SELECT COUNT(*) FROM part) AS projects FROM v_takes""",
 )
 def usage_summary(spark, sf_dir):
     dims = {"voices": "supplier", "dubs": "orders", "projects": "part"}
-    return rollups.usage_summary(views.takes(spark, sf_dir), {k: table(spark, sf_dir, t) for k, t in dims.items()})
+    takes = views.takes(spark, sf_dir).withColumn("generation_time", F.col("duration_seconds") * 0.25)
+    return rollups.usage_summary(takes, {k: table(spark, sf_dir, t) for k, t in dims.items()})
 
 
 @query(

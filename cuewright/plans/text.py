@@ -281,7 +281,7 @@ NEEDLE = "CASE k%8 WHEN 0 THEN 'CUDA out of memory' WHEN 1 THEN 'pyannote: acces
 
 @query(
     "str_classify_error",
-    sql="""SELECT event_id, CASE CAST(json_extract_string(props, '$.k') AS INT)%8 WHEN 0 THEN 'GPU_OOM' WHEN 1 THEN 'LICENSE_REQUIRED' WHEN 2 THEN 'HF_AUTH_FAILED' WHEN 3 THEN 'DISK_FULL' WHEN 4 THEN 'FFMPEG_MISSING' WHEN 5 THEN 'NETWORK_ERROR' ELSE 'UNKNOWN' END AS error_class FROM events""",
+    sql="""SELECT event_id, CASE CAST(json_extract_string(props, '$.k') AS INT)%8 WHEN 0 THEN 'GPU_OOM' WHEN 1 THEN 'PYANNOTE_LICENSE_REQUIRED' WHEN 2 THEN 'HF_AUTH_FAILED' WHEN 3 THEN 'DISK_FULL' WHEN 4 THEN 'FFMPEG_MISSING' WHEN 5 THEN 'NETWORK_ERROR' ELSE 'UNKNOWN' END AS error_class FROM events""",
 )
 def classify_error(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("int")

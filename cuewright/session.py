@@ -39,7 +39,7 @@ def build_session(master: str = "local[*]", partitions: int = 8, **extra: str) -
 
 def rows_per_task(spark: SparkSession) -> int:
     """Most rows of one group that a single window or grouped task may hold."""
-    return int(spark.conf.get(ROWS_PER_TASK, "2000000"))
+    return int(spark.conf.get(ROWS_PER_TASK, "1000000"))
 
 
 def broadcast_rows(spark: SparkSession) -> int:
