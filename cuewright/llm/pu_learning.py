@@ -61,14 +61,12 @@ def fit(
     unlabelled: Sparse | Dense,
     prior: float,
     ridge: float = 1e-4,
-    lasso: float = 0.0,
     steps: int = 300,
     rate: float = 0.05,
     beta: float = 0.0,
 ) -> tuple[np.ndarray, float]:
     """Weights and intercept minimising the non-negative risk with Adam steps over all examples.
 
-    ``lasso`` shrinks weights after each step, so features that carry nothing end at exactly 0.
     Without positives or without unlabelled examples the model is the prior alone.
     """
     width = positive.width
@@ -96,6 +94,4 @@ def fit(
         fix = np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w -= step * fix * m / (np.sqrt(v) + 1e-8)
         b -= step * fix * mb / (np.sqrt(vb) + 1e-8)
-        if lasso:
-            w = np.sign(w) * np.maximum(np.abs(w) - step * lasso, 0.0)
     return w, b

@@ -45,11 +45,16 @@ def shape(text: str) -> np.ndarray:
 
 
 def word_set(text: str, width: int) -> np.ndarray:
-    """Sorted buckets below ``width`` of the distinct lower-case letter words of ``text``."""
+    """Sorted buckets below ``width`` of the distinct lower-case letter words and word beginnings.
+
+    Beginnings of four and five letters stand for the forms of one stem.
+    """
     if len(_known) > 1_000_000:
         _known.clear()
+    found = set(WORD.findall(text.lower()))
+    found |= {w[:n] + "*" for n in (4, 5) for w in found if len(w) > n}
     buckets = set()
-    for word in set(WORD.findall(text.lower())):
+    for word in found:
         code = _known.get(word)
         if code is None:
             code = _known[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
