@@ -9,18 +9,31 @@ from cuewright.session import scratch_path, ship_package
 
 NO_ID = (1 << 63) - 1
 BLANKS = r"[\x20\x09-\x0D]+"
+KEY = ["doc_id", "key"]
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key, doc_id, text`` of every row and no other column, so that extra columns cannot clash.
+    """``doc_id, key, text`` of every row and no other column, so that extra columns cannot clash.
 
-    ``key`` is a digest of id and text: rows without an id, and rows that share an id, stay apart,
-    while repeated rows share a key and hence their result. A null text reads as the empty text.
+    ``key`` is a hash of the text: rows that share an id, or have none, stay apart, while repeated
+    rows agree in both columns and so share one result. A null id reads as ``NO_ID``, larger than
+    any other; a null text reads as the empty text.
     """
     ship_package(docs.sparkSession)
-    ident, text = docs[id_col].cast("long"), F.coalesce(docs[text_col], F.lit(""))
-    key = F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("")), F.lit(":"), text))
-    return docs.select(key.alias("key"), ident.alias("doc_id"), text.alias("text"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    ident = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
+    return docs.select(ident.alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+
+def real_id() -> Column:
+    """The id as it was given: null where ``keyed`` put ``NO_ID``."""
+    return F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
+
+
+def pieces(df: DataFrame, per_piece: int) -> int:
+    """How many parts of about ``per_piece`` bytes the texts of ``df`` make; one number to the driver."""
+    total = df.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(8, -(-total // per_piece))
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
