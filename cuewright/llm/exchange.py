@@ -135,11 +135,14 @@ def answers(packed: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndar
     return packed.groupBy("bucket").applyInArrow(run, ANSWERS)
 
 
-def answered(docs: DataFrame, replies: DataFrame) -> DataFrame:
-    """``doc_id, key, text, replies``: each document with its bits; repeated rows share theirs."""
+def answered(docs: DataFrame, replies: DataFrame, how: str = "left") -> DataFrame:
+    """``doc_id, key, text, replies``: each document with its bits; repeated rows share theirs.
+
+    ``how="inner"`` leaves out documents without any yes.
+    """
     once = replies.dropDuplicates(["doc_id", "key", "bucket"])
     grouped = once.groupBy(*KEY).agg(F.collect_list(F.struct("bucket", "bits")).alias("replies"))
-    return docs.join(grouped, KEY, "left").select(*KEY, "text", "replies")
+    return docs.join(grouped, KEY, how).select(*KEY, "text", "replies")
 
 
 def read_bits(replies: list[dict] | None, hashes: np.ndarray, buckets: int, asked: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:

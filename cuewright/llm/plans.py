@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import quality_classifier, quality_rules, toxicity, window_dedup
+from cuewright.llm import quality_classifier, quality_rules, suffix_dedup, toxicity, window_dedup
 from cuewright.plans.registry import query
 
 
@@ -84,3 +84,10 @@ FROM t LEFT JOIN k ON t.doc_id = k.doc_id
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = window_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return cut.select("doc_id", "n_bytes", "n_removed", n_spans, F.sha2("kept", 256).alias("kept_sha256"))
