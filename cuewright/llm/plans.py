@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import quality_classifier, quality_rules, suffix_dedup, toxicity, window_dedup
+from cuewright.llm import near_dup, quality_classifier, quality_rules, suffix_dedup, toxicity, window_dedup
 from cuewright.plans.registry import query
 
 
@@ -91,3 +91,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     n_spans = F.size("spans").cast("long").alias("n_spans")
     return cut.select("doc_id", "n_bytes", "n_removed", n_spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_near_dup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
