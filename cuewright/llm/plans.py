@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import decontamination, near_dup, quality_classifier, quality_rules, suffix_dedup, toxicity, window_dedup
+from cuewright.llm import chat_format, decontamination, mixing, near_dup, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, window_dedup
 from cuewright.plans.registry import query
 
 
@@ -123,3 +123,64 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+
+
+STYLES = (
+    ("System: ", "User: ", "Assistant: "),
+    ("### System:\n", "### Human:\n", "### Assistant:\n"),
+    ("[system] ", "[user] ", "[bot] "),
+    ("Instructions: ", "Q: ", "A: "),
+)
+
+
+def raw_transcripts(conversations: DataFrame) -> DataFrame:
+    """The conversations as lines of raw transcripts, with the true turn and role of each line.
+
+    The style of markers differs between conversations, and every fifth turn after the first comes
+    without its marker, after a blank line only.
+    """
+    turns = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    style = F.pmod(F.coalesce(F.col("conv"), F.lit(0)), F.lit(len(STYLES)))
+    marker = F.lit("")
+    for s, marks in enumerate(STYLES):
+        for role, mark in zip(chat_format.ROLES, marks):
+            marker = F.when((style == s) & (F.col("role") == role), mark).otherwise(marker)
+    silent = (F.col("turn") > 0) & (F.crc32(F.concat_ws(":", "conv", "turn").cast("binary")) % 5 == 0)
+    lines = F.split(F.concat(F.when(silent, "").otherwise(marker), "text"), "\n")
+    flat = turns.select("conv", "turn", "role", F.posexplode(lines).alias("i", "line")).filter(F.trim("line") != "")
+    part = F.floor(F.col("turn") / 256).cast("long").alias("part")
+    no = F.shiftleft("turn", 32) + F.col("i")
+    blank = (F.col("i") == 0) & (F.col("turn") > 0)
+    return flat.select("conv", "turn", "role", part, no.alias("no"), "i", "line", blank.alias("blank"))
+
+
+@query("op1_chat_format")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = raw_transcripts(table(spark, sf_dir, "conversations"))
+    labelled = lines.filter(F.crc32(F.col("conv").cast("string").cast("binary")) % 5 != 0)
+    model = chat_format.train(labelled.select("conv", "turn", F.col("i").alias("no"), "line", "blank", "role"))
+    return chat_format.render(lines.select("conv", "part", "no", "line", "blank"), model)
+
+
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.load(VOCABULARY))
+
+
+MIX = {"en": 0.5, "de": 0.15, "fr": 0.15, "es": 0.15, "poor": 0.05}
+
+
+def domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, domain`` of the labelled documents: poor quality, else the language."""
+    known = labels.select("doc_id", "quality").join(docs.select("doc_id", "lang"), "doc_id")
+    return known.select("doc_id", F.when(F.col("quality") == 0, "poor").otherwise(F.col("lang")).alias("domain"))
+
+
+@query("op6_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, domains(docs, table(spark, sf_dir, "labels")), MIX)
+    return mixed.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(MIX)], "rate")
