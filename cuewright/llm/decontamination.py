@@ -98,7 +98,7 @@ def contaminated(
     met = lists.join(small_side(queries), "item").filter(F.col("n_q") >= F.size("picks"))
 
     def starts_of(k: int) -> Column:
-        return F.transform(F.filter("p", lambda e: e["q"] == F.col("picks")[k]), lambda e: e["d"])
+        return F.transform(F.filter("p", lambda e: e["q"] == F.get("picks", F.lit(k))), lambda e: e["d"])
 
     aligned = met.select(*KEY, "item_id", "s", "phrase", "picks", *[starts_of(k).alias(f"d{k}") for k in range(RAREST)])
     exact, near = F.col("d0"), F.size("d0") > 0
