@@ -541,3 +541,29 @@ def token_drift(reference: Column, hypothesis: Column) -> Column:
         return F.levenshtein(line(b["r"]), line(b["h"]))
 
     return let(F.struct(tokens(reference).alias("r"), tokens(hypothesis).alias("h")), score)
+
+
+HIDDEN = r"(?is)<(script|style|head)\b.*?</(script|style|head)\s*>"
+HEADING = r"(?is)<(title|h1|h2)\b[^>]*>(.*?)</(title|h1|h2)\s*>"
+BREAKING = r"(?is)<(p|br|div|h1|h2|h3|li|tr)\b[^>]*>"
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def page_text(html: Column) -> list[Column]:
+    """Title and visible text of a page, as columns ``title`` and ``body``.
+
+    The first heading outside the head is the title and leaves the text; scripts, styles and the head
+    are dropped, block tags break lines, and at most one blank line stands in a row.
+    """
+    shown = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
+    title = F.btrim(F.regexp_replace(F.regexp_extract(shown, HEADING, 2), r"(?s)<[^>]*>", ""), F.lit("\n "))
+    heading = F.regexp_substr(shown, F.lit(HEADING))
+    at = F.position(heading, shown)
+    around = F.concat(F.substring(shown, F.lit(1), at - 1), F.lit("<br>"), F.substring(shown, at + F.length(heading), F.length(shown)))
+    rest = F.when(heading.isNull(), shown).otherwise(around)
+    body = F.regexp_replace(F.regexp_replace(rest, BREAKING, "\n"), r"(?s)<[^>]*>", "")
+    body = F.regexp_replace(F.regexp_replace(body, r"[ \t\r]*\n[ \t\r]*", "\n"), r"\n{3,}", "\n\n")
+    out = {"title": title, "body": F.btrim(body, F.lit("\n\t\r "))}
+    for entity, char in ENTITIES.items():
+        out = {name: F.replace(column, F.lit(entity), F.lit(char)) for name, column in out.items()}
+    return [column.alias(name) for name, column in out.items()]

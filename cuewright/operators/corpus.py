@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from cuewright.operators.ordered import largest_group, row_number, running_sum, scan
 from cuewright.operators.pergroup import by_group
-from cuewright.session import rows_per_task
 
 BUCKETS, SHORTEST_MS, LONGEST_MS = 20, 500, 30_000
 PAD_POSITION, PAD_DOCUMENT, NO_LOSS = 0, -1, -100
 
 
 def uniform(*parts: Column) -> Column:
-    """Repeatable draw from [0, 1) made of the hashed parts."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
+    """Repeatable draw from [0, 1): the first 48 bits of the MD5 of the parts joined by colons."""
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
+    return F.conv(F.left(digest, F.lit(12)), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
 def shard_size(total: int, per_shard: int, min_shards: int) -> int:
@@ -100,7 +100,7 @@ def batches_by_duration(df: DataFrame, size: int) -> DataFrame:
 
 def seeded_shuffle(df: DataFrame, seed: int, epoch: int) -> DataFrame:
     """Adds ``position`` in a permutation fixed by seed and epoch."""
-    keyed = df.withColumn("_key", F.xxhash64("id", F.lit(seed), F.lit(epoch)))
+    keyed = df.withColumn("_key", F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)), F.lit(str(epoch)))))
     return scan(keyed, [], ["_key", "id"], [row_number("position")]).drop("_key")
 
 
@@ -110,13 +110,18 @@ def weighted_mux(df: DataFrame, weights: Column, seed: int, stop_early: bool = F
     Every source gets exponential arrival times with its weight as rate; merging them by time
     draws sources with the same law as choosing one by weight at each step, without a serial
     loop. With ``stop_early`` rows after the first exhausted source's next arrival are left out.
-    ``df`` has source and id.
+    ``df`` has source and id. Waits are whole numbers of 2**-20, so that running sums do not depend
+    on how the rows are sliced.
     """
-    wait = -F.log(F.lit(1.0) - uniform(F.lit(seed), F.col("source"), F.col("id"))) / weights
+
+    def waiting(draw: Column, weight: Column) -> Column:
+        return F.floor(-F.log(F.lit(1.0) - draw) / weight * float(1 << 20)).cast("long")
+
+    wait = waiting(uniform(F.lit(seed), F.col("source"), F.col("id")), weights)
     timed = scan(df.withColumn("_wait", wait), ["source"], ["id"], [running_sum("_at", F.col("_wait"))])
     if stop_early:
         ends = timed.groupBy("source").agg(F.max("_at").alias("_end"), F.first(weights).alias("_w"))
-        extra = -F.log(F.lit(1.0) - uniform(F.lit(seed), F.col("source"), F.lit("end"))) / F.col("_w")
+        extra = waiting(uniform(F.lit(seed), F.col("source"), F.lit("end")), F.col("_w"))
         cut = ends.agg(F.min(F.col("_end") + extra).alias("_cut")).withColumn("_one", F.lit(1))
         timed = timed.withColumn("_one", F.lit(1)).join(F.broadcast(cut), "_one").filter(F.col("_at") < F.col("_cut"))
         timed = timed.drop("_one", "_cut")
@@ -158,17 +163,14 @@ def _filler(budget: int):
 
 
 def pack_longest_first(df: DataFrame, budget_ms: int) -> DataFrame:
-    """Longest-first packing to a duration budget; a longer sample stands alone.
+    """Longest-first packing to a duration budget inside each shard; a longer sample stands alone.
 
-    The descending order is cut into blocks of a bounded number of rows, one group each; a
-    data set within the bound is one block, otherwise at most one batch per block is less full.
+    ``df`` has shard, id and duration_ms. A shard holds a fixed number of samples, which bounds the
+    group, so the batches do not depend on the size of the table.
     """
-    block_rows = rows_per_task(df.sparkSession)
-    numbered = scan(df.select("id", "duration_ms"), [], [F.desc("duration_ms"), F.asc("id")], [row_number("_rn")])
-    blocks = numbered.withColumn("block", F.floor((F.col("_rn") - 1) / block_rows))
-
-    out = "block long, id long, duration_ms long, batch_no long"
-    return by_group(blocks, ["block"], ["_rn"], ["id", "duration_ms"], _filler(budget_ms), out)
+    ranked = df.select("shard", (-F.col("duration_ms")).alias("_rank"), "id", "duration_ms")
+    out = "shard long, id long, duration_ms long, batch_no long"
+    return by_group(ranked, ["shard"], ["_rank", "id"], ["id", "duration_ms"], _filler(budget_ms), out)
 
 
 def pack_buckets(df: DataFrame, budget_ms: int, max_rows: int | None = None, drop_last: bool = False) -> DataFrame:

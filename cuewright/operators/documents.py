@@ -26,12 +26,25 @@ def explode_segments(jobs: DataFrame, payload: str) -> DataFrame:
     return rows.select(*keep, F.col("pos").cast("long").alias("pos"), "s.*")
 
 
-def flatten_keys(df: DataFrame, payload: str, depth: int = 6) -> DataFrame:
+def nesting(json: Column) -> Column:
+    """Deepest nesting of braces outside of strings."""
+    braces = F.regexp_replace(F.regexp_replace(json, r'"(?:[^"\\]|\\.)*"', ""), r"[^{}]+", "")
+    steps = F.transform(F.split(braces, ""), lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def walk(a: Column, step: Column) -> Column:
+        return F.struct((a["now"] + step).alias("now"), F.greatest(a["most"], a["now"] + step).alias("most"))
+
+    return F.aggregate(steps, start, walk, lambda a: a["most"])
+
+
+def flatten_keys(df: DataFrame, payload: str) -> DataFrame:
     """Dotted path and value of every leaf of nested JSON objects.
 
-    The levels of a document are opened inside its row, so the table is read once. Objects
-    nested deeper than ``depth`` fail loudly.
+    The levels of a document are opened inside its row; how many there are is asked of the data
+    first, one number to the driver.
     """
+    depth = max(1, df.agg(F.max(nesting(F.col(payload)))).first()[0] or 0)
     keep = [c for c in df.columns if c != payload]
 
     def opened(level: Column) -> Column:
@@ -52,10 +65,8 @@ def flatten_keys(df: DataFrame, payload: str, depth: int = 6) -> DataFrame:
     for i in range(depth):
         rows = rows.withColumn(f"_o{i}", opened(F.col(f"_l{i}")))
         rows = rows.withColumn(f"_l{i + 1}", F.filter(f"_o{i}", is_object))
-    too_deep = F.raise_error(F.concat(F.lit(f"objects nested below {depth} levels at "), F.get(f"_l{depth}", F.lit(0))["path"]))
     leaves = F.concat(*[F.filter(f"_o{i}", lambda e: ~is_object(e)) for i in range(depth)])
-    checked = F.when(F.size(f"_l{depth}") > 0, too_deep.cast(rows.schema["_l0"].dataType)).otherwise(leaves)
-    return rows.select(*keep, F.explode(checked).alias("e")).select(*keep, "e.path", F.col("e.node").alias("value"))
+    return rows.select(*keep, F.explode(leaves).alias("e")).select(*keep, "e.path", F.col("e.node").alias("value"))
 
 
 def recognised_words(results: DataFrame, payload: str) -> DataFrame:
@@ -89,26 +100,24 @@ def recognised_words(results: DataFrame, payload: str) -> DataFrame:
     return rows.select(*keep, F.col("pos").cast("long").alias("pos"), "w.*")
 
 
-def _ordered_digest(df: DataFrame, by: Sequence[str], number: str, piece: str, digest, head: Column, block: int) -> DataFrame:
+def _ordered_digest(df: DataFrame, by: Sequence[str], number: str, piece: str, digest, head: Column) -> DataFrame:
     """``digest`` of the pieces in order per key, as column ``d``.
 
-    Pieces are joined in blocks of consecutive numbers. A key of one block has the plain digest
-    of its pieces, a longer one the digest of its block digests, so that no task ever holds
-    all pieces of a key.
+    Pieces are joined in blocks of ``DIGEST_BLOCK`` consecutive numbers, and the digest of a key is
+    the digest of its block digests, whatever its size; so no task ever holds all pieces of a key.
     """
-    numbered = df.withColumn("_block", F.floor(F.col(number) / block))
+    numbered = df.withColumn("_block", F.floor(F.col(number) / DIGEST_BLOCK))
     pieces = F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.col(piece).alias("p"))))
     joined = F.concat(head, F.array_join(F.transform(pieces, lambda e: e["p"]), ""))
     blocks = numbered.groupBy(*by, "_block").agg(digest(joined).alias("_d"))
     digests = F.transform(F.array_sort(F.collect_list(F.struct("_block", "_d"))), lambda e: e["_d"])
-    whole = F.when(F.count(F.lit(1)) == 1, F.min("_d")).otherwise(digest(F.array_join(digests, "")))
-    return blocks.groupBy(*by).agg(whole.alias("d"))
+    return blocks.groupBy(*by).agg(digest(F.array_join(digests, "")).alias("d"))
 
 
-def transcript_digest(segs: DataFrame, block: int = DIGEST_BLOCK) -> DataFrame:
+def transcript_digest(segs: DataFrame) -> DataFrame:
     """Digest of a job's trimmed texts in order, each followed by NUL."""
     ended = segs.withColumn("_text", F.concat(F.trim(F.coalesce("text", F.lit(""))), F.lit("\0")))
-    out = _ordered_digest(ended, ["job_id"], "seg_no", "_text", lambda c: F.sha2(c, 256), F.lit(""), block)
+    out = _ordered_digest(ended, ["job_id"], "seg_no", "_text", lambda c: F.sha2(c, 256), F.lit(""))
     return out.select("job_id", F.left("d", F.lit(16)).alias("digest"))
 
 
@@ -123,12 +132,12 @@ def segment_cache_key(text: Column, voice: Column, speed: Column, rate: int, eng
     return short_sha1(body, 20)
 
 
-def chapter_cache_key(spans: DataFrame, by: Sequence[str], rate: int, engine: str, block: int = DIGEST_BLOCK) -> DataFrame:
+def chapter_cache_key(spans: DataFrame, by: Sequence[str], rate: int, engine: str) -> DataFrame:
     """Key of a chapter over its ordered spans (span_no, voice, text, pause_ms, speed)."""
     each = canonical({"voice": F.col("voice"), "text": F.col("text"), "pause": F.col("pause_ms"), "speed": F.col("speed").cast("double")})
     digests = spans.withColumn("_span", F.sha1(each))
     head = F.lit(f"sr={rate};engine={engine};")
-    out = _ordered_digest(digests, by, "span_no", "_span", F.sha1, head, block)
+    out = _ordered_digest(digests, by, "span_no", "_span", F.sha1, head)
     return out.select(*by, F.left("d", F.lit(20)).alias("cache_key"))
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def by_group(
@@ -24,29 +26,33 @@ def by_group(
 ) -> DataFrame:
     """``run(key, rows)`` for each key, ``rows`` being tuples of the ``needs`` columns in order.
 
-    The number of partitions is fixed: the work is in Python, where merging small partitions
-    would leave cores idle.
+    Rows with a null key form one group per null key. The number of partitions is fixed: the work is
+    in Python, where merging small partitions would leave cores idle.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = list(dict.fromkeys([*keys, *order, *needs]))
     sorted_rows = df.select(*columns).repartition(parts, *keys).sortWithinPartitions(*keys, *order)
-    names = [part.strip().split(" ")[0].strip("`") for part in schema.split(",")]
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
     places = [columns.index(c) for c in needs]
     width = len(keys)
 
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        values = zip(*rows) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, kinds)], schema=kinds)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, held = None, []
-        for pdf in batches:
+        for batch in batches:
             out: list[tuple] = []
-            rows = zip(*[pdf[c].tolist() for c in columns])
+            rows = zip(*[batch.column(c).to_pylist() for c in columns])
             for key, group in groupby(rows, key=lambda r: r[:width]):
                 if held and key != open_key:
                     out += run(open_key, held)
                     held = []
                 open_key = key
                 held += [tuple(r[p] for p in places) for r in group]
-            yield pd.DataFrame(out, columns=names)
+            yield batch_of(out)
         if held:
-            yield pd.DataFrame(run(open_key, held), columns=names)
+            yield batch_of(run(open_key, held))
 
-    return sorted_rows.select(*[F.col(c) for c in columns]).mapInPandas(stream, schema)
+    return sorted_rows.select(*[F.col(c) for c in columns]).mapInArrow(stream, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.functions.hashing import short_sha1
+from cuewright.functions.text import scrub
 from cuewright.operators.ordered import row_number, scan
 
 JOURNAL_SIZE = 50
@@ -56,11 +57,12 @@ def distribution(df: DataFrame, column: str, limit: int | None = None) -> DataFr
 
 
 def error_fingerprint(error_class: Column, kind: Column, message: Column) -> Column:
-    return short_sha1(F.concat_ws("|", error_class, kind, F.left(message, F.lit(200))))
+    """Digest of class, kind and the start of the message, personal parts taken out first."""
+    return short_sha1(F.concat_ws("|", error_class, kind, F.left(scrub(message), F.lit(200))))
 
 
 def error_journal(errors: DataFrame, keep: int = JOURNAL_SIZE) -> DataFrame:
-    """Per fingerprint: count, first and last seen, first message, last non-empty route.
+    """Per fingerprint: count, first and last seen, first message (scrubbed), last non-empty route.
 
     ``errors`` has fingerprint, error_class, message, route, created_at, event_id.
     """
@@ -68,7 +70,7 @@ def error_journal(errors: DataFrame, keep: int = JOURNAL_SIZE) -> DataFrame:
     routed = F.when(F.coalesce("route", F.lit("")) != "", at)
     entries = errors.groupBy("fingerprint").agg(
         F.min_by("error_class", at).alias("error_class"),
-        F.min_by("message", at).alias("message"),
+        scrub(F.min_by("message", at)).alias("message"),
         F.max_by("route", routed).alias("route"),
         F.min("created_at").alias("first_seen"),
         F.max("created_at").alias("last_seen"),

@@ -22,7 +22,6 @@ from cuewright.operators.ordered import (
 )
 from cuewright.operators.timeline import FitSettings, near_other_speaker
 
-SPEAKER_GAP_MS = 1200
 EVENT_CAP = 500
 BORROW_MAX_MS = 3000
 RATE_WINDOW_MS = 8000
@@ -36,17 +35,6 @@ def newest_events(events: DataFrame, cap: int = EVENT_CAP) -> DataFrame:
     return events.join(last, "job_id").filter(F.col("seq") > F.col("_last") - cap).drop("_last")
 
 
-def speakers_by_gap(segs: DataFrame, speakers: int | None = None, gap_ms: int = SPEAKER_GAP_MS) -> DataFrame:
-    """Label moves on to the next speaker after every silence longer than the gap."""
-    n = speakers if speakers is not None and speakers >= 1 else 2
-    bound = largest_group(segs, ["job_id"])
-    seen = scan(segs, ["job_id"], ["seg_no"], [previous("_end", F.col("end_ms"))], bound=bound)
-    jump = F.when(F.col("start_ms") - F.col("_end") > gap_ms, 1).otherwise(0)
-    counted = scan(seen, ["job_id"], ["seg_no"], [running_sum("_jumps", jump)], bound=bound)
-    label = F.concat(F.lit("Speaker "), (F.pmod(F.col("_jumps"), F.lit(n)) + 1).cast("string"))
-    return counted.withColumn("gap_speaker", label).drop("_end", "_jumps")
-
-
 def fill_labels(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str) -> DataFrame:
     """Missing labels take the one before them, leading ones the one after; adds ``filled``."""
     looked = scan(df, keys, order, [last_known("_back", F.col(label)), next_known("_ahead", F.col(label))])

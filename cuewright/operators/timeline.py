@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from cuewright.operators.asof import asof
 from cuewright.operators.intervals import interval_join
-from cuewright.operators.ordered import following, largest_group, scan, sum_before
+from cuewright.operators.ordered import following, largest_group, previous, running_sum, scan, sum_before
 
 AUDIO_ONLY_HARD_CAP = 1.8
 UNDERRUN_TOLERANCE = 0.95
 EPS = 1e-9
 ADJACENT_GUARD_MS = 300
 FRAME_MARGIN_MS = 500
+GAP_SPEAKERS = 2
+SPEAKER_GAP_MS = 1200
 
 
 @dataclass(frozen=True)
@@ -46,13 +48,26 @@ def display_label(raw: Column) -> Column:
     return F.when(number != "", F.concat(F.lit("Speaker "), (number.cast("long") + 1).cast("string"))).otherwise(raw)
 
 
+def speakers_by_gap(segs: DataFrame, speakers: int | None = None, gap_ms: int = SPEAKER_GAP_MS) -> DataFrame:
+    """Label moves on to the next speaker after every silence longer than the gap."""
+    n = speakers if speakers is not None and speakers >= 1 else 2
+    bound = largest_group(segs, ["job_id"])
+    seen = scan(segs, ["job_id"], ["seg_no"], [previous("_end", F.col("end_ms"))], bound=bound)
+    jump = F.when(F.col("start_ms") - F.col("_end") > gap_ms, 1).otherwise(0)
+    counted = scan(seen, ["job_id"], ["seg_no"], [running_sum("_jumps", jump)], bound=bound)
+    label = F.concat(F.lit("Speaker "), (F.pmod(F.col("_jumps"), F.lit(n)) + 1).cast("string"))
+    return counted.withColumn("gap_speaker", label).drop("_end", "_jumps")
+
+
 def majority_speaker(segs: DataFrame, turns: DataFrame, relabel: bool = True) -> DataFrame:
     """Speaker with the largest summed overlap, else the first turn around the midpoint.
 
     Adds ``assigned`` and ``overlap_ms`` (0 without overlap). Equal sums go to the speaker
-    whose turn comes first. Segments nothing covers keep ``speaker_id``.
+    whose turn comes first. Segments nothing covers keep ``speaker_id``; a job without any usable
+    turn takes the labels of ``speakers_by_gap``.
     """
     known = turns.dropna(subset=["speaker", "turn_start", "turn_end"])
+    with_turns = known.select("job_id").distinct()
     slim = segs.select("job_id", "seg_no", "start_ms", "end_ms")
     overlap = F.least("end_ms", "turn_end") - F.greatest("start_ms", "turn_start")
     # Twice the midpoint stays an integer, compared with doubled turn ends.
@@ -76,11 +91,14 @@ def majority_speaker(segs: DataFrame, turns: DataFrame, relabel: bool = True) ->
         F.max_by(F.struct("speaker", "overlap_ms"), rank).alias("best"), F.min_by("speaker", "mid_turn").alias("mid_speaker")
     )
     found = F.coalesce(F.col("best.speaker"), F.col("mid_speaker"))
+    gaps = speakers_by_gap(segs, GAP_SPEAKERS).select("job_id", "seg_no", "gap_speaker")
+    bare = gaps.join(with_turns, "job_id", "left_anti")
     return (
         segs.join(best, ["job_id", "seg_no"], "left")
+        .join(bare, ["job_id", "seg_no"], "left")
         .select(
             *segs.columns,
-            F.coalesce(display_label(found) if relabel else found, F.col("speaker_id")).alias("assigned"),
+            F.coalesce(display_label(found) if relabel else found, "gap_speaker", "speaker_id").alias("assigned"),
             F.coalesce(F.col("best.overlap_ms"), F.lit(0).cast("long")).alias("overlap_ms"),
         )
     )

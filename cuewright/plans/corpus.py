@@ -26,10 +26,10 @@ sh AS (SELECT id, audio_path, language_id, duration_ms, (ROW_NUMBER() OVER (ORDE
 @query(
     "src_test_list",
     sql="""SELECT conv_id || '-' || turn AS id, text, role AS ref_text, CASE WHEN turn=1 THEN NULL ELSE 'en' END AS language_id, LENGTH(text)/15.0::DOUBLE AS duration
-FROM conversations WHERE turn <> 3""",
+FROM conversations WHERE turn NOT IN (3, 5)""",
 )
 def src_test_list(spark, sf_dir):
-    """Write a test list with blank and broken lines, then read it."""
+    """Write a test list with blank and broken lines, numbers in quotes and text after the object, then read it."""
     rows = table(spark, sf_dir, "conversations")
     entry = F.struct(
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
@@ -39,9 +39,16 @@ def src_test_list(spark, sf_dir):
         (F.length("text") / 15.0).alias("duration"),
     )
     line = F.to_json(entry)
-    broken = F.when(F.col("turn") == 3, F.expr("left(line, length(line) - 4)")).otherwise(F.col("line"))
+    length = F.col("duration").cast("string")
+    quoted = F.regexp_replace("line", '"duration":[^,}]+', F.concat(F.lit('"duration":"'), length, F.lit('"')))
+    broken = (
+        F.when(F.col("turn") == 3, F.expr("left(line, length(line) - 4)"))
+        .when(F.col("turn") == 5, F.concat("line", F.lit(" junk")))
+        .when(F.col("turn") == 4, quoted)
+        .otherwise(F.col("line"))
+    )
     path = scratch_path(spark, "test-list")
-    lines = rows.select(line.alias("line")  , "turn").select(F.explode(F.array(broken, F.lit(""))).alias("value"))
+    lines = rows.select(line.alias("line"), "turn", entry["duration"].alias("duration")).select(F.explode(F.array(broken, F.lit(""))).alias("value"))
     lines.write.text(path)
     good, _ = readers.test_list(spark, path)
     return good.select("id", "text", "ref_text", "language_id", "duration")
@@ -61,7 +68,7 @@ def src_manifest(spark, sf_dir):
         "language_id",
     )
     rows.write.json(path)
-    return readers.manifest(spark, path)
+    return readers.manifest(spark, path).select("id", "audio_path", "text", "language_id")
 
 
 @query(
@@ -107,16 +114,18 @@ def _write_config(spark, sf_dir):
 
 @query(
     "src_training_csv",
-    sql="SELECT 'wav/' || c_custkey || '.wav' AS audio_path, c_mktsegment AS text FROM customer WHERE c_acctbal > 0 AND c_nationkey <> 3",
+    sql="""SELECT 'wav/' || c_custkey || '.wav' AS audio_path, c_mktsegment || CASE WHEN c_custkey%5=0 THEN chr(10) || 'second, "line"' ELSE '' END AS text
+FROM customer WHERE c_acctbal > 0 AND c_nationkey <> 3""",
 )
 def src_training_csv(spark, sf_dir):
     path = scratch_path(spark, "csv")
     name = F.concat(F.lit(" 'wav/"), F.col("c_custkey").cast("string"), F.lit(".wav' "))
+    second = F.when(F.col("c_custkey") % 5 == 0, F.lit("\nsecond, \"line\"")).otherwise("")
     rows = table(spark, sf_dir, "customer").select(
         F.when(F.col("c_acctbal") > 0, name).otherwise("  ").alias("audio_path"),
-        F.when(F.col("c_nationkey") != 3, F.concat(F.lit("  "), "c_mktsegment", F.lit(" "))).otherwise("").alias("transcription"),
+        F.when(F.col("c_nationkey") != 3, F.concat(F.lit("  "), "c_mktsegment", second, F.lit(" "))).otherwise("").alias("transcription"),
     )
-    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return readers.training_csv(spark, path)
 
 
@@ -393,7 +402,11 @@ def duration_batches(spark, sf_dir):
     return corpus.batches_by_duration(views.manifest(spark, sf_dir).select("id", "duration_ms"), 16)
 
 
-@query("shuffle_seeded")
+@query(
+    "shuffle_seeded",
+    views="v_manifest",
+    sql="SELECT id, ROW_NUMBER() OVER (ORDER BY MD5(id || ':42:1'), id) AS position FROM v_manifest",
+)
 def shuffle_seeded(spark, sf_dir):
     return corpus.seeded_shuffle(views.manifest(spark, sf_dir).select("id"), 42, 1)
 
@@ -412,7 +425,13 @@ def union_splits(spark, sf_dir):
     return train.unionAll(dev)
 
 
-@query("set_weighted_mux")
+MUX_SQL = """WITH w AS (SELECT id, language_id AS source, CAST(FLOOR(-LN(1.0 - CAST('0x' || LEFT(MD5('7:' || language_id || ':' || id), 12) AS BIGINT)/281474976710656.0::DOUBLE)
+    / CASE WHEN language_id='en' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * 1048576.0::DOUBLE) AS BIGINT) AS wait FROM v_manifest),
+t AS (SELECT *, SUM(wait) OVER (PARTITION BY source ORDER BY id ROWS UNBOUNDED PRECEDING) AS due FROM w)
+SELECT id, source, ROW_NUMBER() OVER (ORDER BY due, source, id) AS position FROM t"""
+
+
+@query("set_weighted_mux", views="v_manifest", sql=MUX_SQL)
 def mux(spark, sf_dir):
     rows = views.manifest(spark, sf_dir).select("id", F.col("language_id").alias("source"))
     weight = F.when(F.col("source") == "en", 2.0).otherwise(1.0)
@@ -479,11 +498,11 @@ def position_ids(spark, sf_dir):
 @query(
     "grp_pack_duration",
     views="v_manifest",
-    sql=f"""WITH RECURSIVE x AS (SELECT 1) {PACK_SQL.format(rows='SELECT 0 AS grp, ROW_NUMBER() OVER (ORDER BY duration_ms DESC, id) AS rn, id, duration_ms AS len FROM v_manifest', budget=120000)}
-SELECT CAST(grp AS BIGINT) AS block, id, len AS duration_ms, batch_no FROM walk""",
+    sql=f"""WITH RECURSIVE {SHARD_SQL} {PACK_SQL.format(rows='SELECT shard AS grp, ROW_NUMBER() OVER (PARTITION BY shard ORDER BY duration_ms DESC, id) AS rn, id, duration_ms AS len FROM sh', budget=120000)}
+SELECT grp AS shard, id, len AS duration_ms, batch_no FROM walk""",
 )
 def pack_duration(spark, sf_dir):
-    return corpus.pack_longest_first(views.manifest(spark, sf_dir), 120000)
+    return corpus.pack_longest_first(sharded(spark, sf_dir), 120000)
 
 
 @query(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuewright import views
-from cuewright.functions import chunks, describe, nepali, spoken
+from cuewright.functions import chunks, describe
+from cuewright.functions import text as T
 from cuewright.operators import segmenting
 from cuewright.plans import shapes
 from cuewright.plans.registry import query
@@ -44,28 +45,25 @@ def wrap_lines(spark, sf_dir):
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("str_numbers_to_words")
-def numbers_to_words(spark, sf_dir):
-    body = F.concat(F.lit("At 7:05 the 21st guest paid $12.50, 40% of 1984 or 3.25 [pause 300ms] "), "text")
-    return docs(spark, sf_dir).select("doc_id", spoken.spoken_text(body, F.col("lang")).alias("out"))
-
-
-@query("str_words_to_digits")
-def words_to_digits(spark, sf_dir):
-    body = F.concat(F.lit("nine thousand eight hundred forty-five, दुई हजार एकासी । "), "text")
-    return docs(spark, sf_dir).select("doc_id", spoken.words_to_digits(body).alias("out"))
-
-
 @query("str_collapse_repeats")
 def collapse_repeats(spark, sf_dir):
     body = F.concat(F.lit("URL url, URL. url URL URL "), "text", F.repeat(F.lit(" thanks for watching"), F.lit(7)))
     return docs(spark, sf_dir).select("doc_id", chunks.without_loops(body).alias("out"))
 
 
-@query("str_html_text")
+PAGE_SQL = r"""WITH v AS (SELECT page_id, regexp_replace(COALESCE(html, ''), '(?is)<(script|style|head)\b.*?</(script|style|head)\s*>', '', 'g') AS h FROM pages),
+t AS (SELECT page_id, regexp_extract(h, '(?is)<(title|h1|h2)\b[^>]*>(.*?)</(title|h1|h2)\s*>', 2) AS title,
+  regexp_replace(h, '(?is)<(title|h1|h2)\b[^>]*>.*?</(title|h1|h2)\s*>', '<br>') AS rest FROM v),
+b AS (SELECT page_id, trim(regexp_replace(title, '(?s)<[^>]*>', '', 'g'), chr(10) || ' ') AS title,
+  regexp_replace(regexp_replace(rest, '(?is)<(p|br|div|h1|h2|h3|li|tr)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') AS body FROM t),
+l AS (SELECT page_id, title, regexp_replace(regexp_replace(body, '[ \t\r]*\n[ \t\r]*', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS body FROM b)
+SELECT page_id, replace(replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS title,
+  replace(replace(replace(replace(replace(replace(trim(body, chr(10) || chr(9) || chr(13) || ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS body FROM l"""
+
+
+@query("str_html_text", sql=PAGE_SQL)
 def html_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", chunks.page_text("html").alias("p"))
-    return rows.select("page_id", F.col("p.title").alias("title"), F.col("p.body").alias("body"))
+    return table(spark, sf_dir, "pages").select("page_id", *T.page_text(F.col("html")))
 
 
 LINE_SQL = """l AS (SELECT doc_id, TRIM(regexp_replace(UNNEST(ls), '\\s+', ' ', 'g')) AS line, UNNEST(range(1, len(ls)+1)) AS i
@@ -267,14 +265,3 @@ def reference_slices(spark, sf_dir):
 def segment_refs(spark, sf_dir):
     original = F.when(F.col("seg_no") % 2 == 0, F.upper("speaker_id")).otherwise("")
     return segmenting.segment_references(views.segments(spark, sf_dir).withColumn("text_original", original))
-
-
-LOANWORDS = {"office": "अफिस", "bank": "बैंक", "nepal": "नेपाल"}
-
-
-@query("str_nepali_normalize")
-def nepali_normalize(spark, sf_dir):
-    """German rows are taken as Nepali ones with Latin words in them."""
-    lang = F.when(F.col("lang") == "de", "ne").otherwise(F.col("lang"))
-    body = F.concat(F.lit("Rs 1500, 2082-05-15, 7:30 बजे, NEA office [pause 1s] "), "text")
-    return docs(spark, sf_dir).select("doc_id", nepali.normalize_nepali(body, lang, LOANWORDS).alias("out"))

@@ -374,7 +374,7 @@ def distribution(spark, sf_dir):
 
 
 ERR_SQL = """er AS (SELECT event_id, ts AS created_at, json_extract_string(props, '$.k') AS k, value, user_id FROM events WHERE event_type='error'),
-fe AS (SELECT *, 'failed item ' || k AS message, CASE WHEN value < 20 THEN 'NETWORK_ERROR' ELSE 'UNKNOWN' END AS error_class,
+fe AS (SELECT *, 'failed item ' || k || ' in ~/x' AS message, CASE WHEN value < 20 THEN 'NETWORK_ERROR' ELSE 'UNKNOWN' END AS error_class,
   CASE WHEN value < 15 THEN '' ELSE '/api/dub/' || user_id END AS route FROM er),
 fp AS (SELECT *, LEFT(SHA1(error_class || '|' || 'RuntimeError' || '|' || LEFT(message, 200)), 16) AS fingerprint FROM fe)"""
 
@@ -384,7 +384,7 @@ def errors(spark, sf_dir):
     rows = rows.select(
         "event_id",
         F.col("ts").alias("created_at"),
-        F.concat(F.lit("failed item "), F.get_json_object("props", "$.k")).alias("message"),
+        F.concat(F.lit("failed item "), F.get_json_object("props", "$.k"), F.lit(" in /home/u"), F.col("user_id").cast("string"), F.lit("/x")).alias("message"),
         F.when(F.col("value") < 20, "NETWORK_ERROR").otherwise("UNKNOWN").alias("error_class"),
         F.when(F.col("value") < 15, "").otherwise(F.concat(F.lit("/api/dub/"), F.col("user_id").cast("string"))).alias("route"),
         "user_id",

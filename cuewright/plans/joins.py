@@ -20,13 +20,18 @@ WITH ov AS (SELECT s.job_id, s.seg_no, t.speaker, SUM(LEAST(end_ms, turn_end)-GR
 best AS (SELECT * FROM ov QUALIFY ROW_NUMBER() OVER (PARTITION BY job_id, seg_no ORDER BY o DESC, f) = 1),
 mid AS (SELECT s.job_id, s.seg_no, ARG_MIN(t.speaker, t.turn_no) AS speaker FROM v_segments s JOIN v_turns t
   ON s.job_id=t.job_id AND turn_start*2 <= start_ms+end_ms AND start_ms+end_ms <= turn_end*2 GROUP BY 1,2),
-got AS (SELECT s.*, COALESCE(b.speaker, m.speaker) AS sp, COALESCE(b.o, 0) AS o FROM v_segments s
+gap AS (SELECT job_id, seg_no, SUM(j) OVER (PARTITION BY job_id ORDER BY seg_no ROWS UNBOUNDED PRECEDING) % 2 AS k
+  FROM (SELECT *, CASE WHEN start_ms - LAG(end_ms) OVER (PARTITION BY job_id ORDER BY seg_no) > 1200 THEN 1 ELSE 0 END AS j FROM v_segments)),
+got AS (SELECT s.*, CASE WHEN s.job_id%9=4 THEN NULL ELSE COALESCE(b.speaker, m.speaker) END AS sp, CASE WHEN s.job_id%9=4 THEN 0 ELSE COALESCE(b.o, 0) END AS o, g.k FROM v_segments s
+  JOIN gap g ON g.job_id=s.job_id AND g.seg_no=s.seg_no
   LEFT JOIN best b ON b.job_id=s.job_id AND b.seg_no=s.seg_no LEFT JOIN mid m ON m.job_id=s.job_id AND m.seg_no=s.seg_no)
 SELECT job_id, seg_no, speaker_id, start_ms, end_ms, CAST(o AS BIGINT) AS overlap_ms,
-  CASE WHEN sp IS NULL THEN speaker_id ELSE 'Speaker ' || CAST(CAST(SUBSTR(sp, 9) AS INT)+1 AS VARCHAR) END AS assigned FROM got""",
+  CASE WHEN job_id%9=4 THEN 'Speaker ' || CAST(k+1 AS VARCHAR) WHEN sp IS NULL THEN speaker_id ELSE 'Speaker ' || CAST(CAST(SUBSTR(sp, 9) AS INT)+1 AS VARCHAR) END AS assigned FROM got""",
 )
 def overlap_majority(spark, sf_dir):
-    out = timeline.majority_speaker(views.segments(spark, sf_dir), views.turns(spark, sf_dir))
+    """Every ninth job has no turns."""
+    turns = views.turns(spark, sf_dir).filter(F.col("job_id") % 9 != 4)
+    out = timeline.majority_speaker(views.segments(spark, sf_dir), turns)
     return out.select("job_id", "seg_no", "speaker_id", "start_ms", "end_ms", "overlap_ms", "assigned")
 
 

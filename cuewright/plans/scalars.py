@@ -149,7 +149,7 @@ def explode_segments(spark, sf_dir):
 def flatten_keys(spark, sf_dir):
     size = F.struct(F.col("p_size").alias("value"), F.lit("mm").alias("unit"))
     nested = F.to_json(F.struct(F.struct(F.col("p_name").alias("name"), size.alias("size")).alias("common"), F.col("p_type").alias("type")))
-    return documents.flatten_keys(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), nested.alias("doc")), "doc", 4)
+    return documents.flatten_keys(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), nested.alias("doc")), "doc")
 
 
 @query(
@@ -197,12 +197,11 @@ def fit_fingerprint(spark, sf_dir):
 @query(
     "hash_transcript",
     views="v_segments",
-    sql="""WITH b AS (SELECT job_id, seg_no//4 AS b, SHA256(STRING_AGG(TRIM(text) || chr(0), '' ORDER BY seg_no)) AS d, COUNT(*) AS n FROM v_segments GROUP BY 1,2)
-SELECT job_id, LEFT(CASE WHEN COUNT(*)=1 THEN MIN(d) ELSE SHA256(STRING_AGG(d, '' ORDER BY b)) END, 16) AS digest FROM b GROUP BY 1""",
+    sql="""WITH b AS (SELECT job_id, seg_no//4096 AS b, SHA256(STRING_AGG(TRIM(text) || chr(0), '' ORDER BY seg_no)) AS d FROM v_segments GROUP BY 1,2)
+SELECT job_id, LEFT(SHA256(STRING_AGG(d, '' ORDER BY b)), 16) AS digest FROM b GROUP BY 1""",
 )
 def transcript_hash(spark, sf_dir):
-    """Blocks of four segments, so that both the plain and the two-level digest occur."""
-    return documents.transcript_digest(views.segments(spark, sf_dir), 4)
+    return documents.transcript_digest(views.segments(spark, sf_dir))
 
 
 SPAN_FIELDS = {"voice": "speaker_id", "text": "text", "pause": "CAST(350 AS VARCHAR)", "speed": "NULL"}
@@ -213,7 +212,8 @@ SEGMENT_KEY = {"sr": "'24000'", "engine": "'e'", "voice": "speaker_id", "text":
     "hash_cache_keys",
     views="v_segments",
     sql=f"""WITH s AS (SELECT job_id, seg_no, SHA1({canonical_sql(SPAN_FIELDS)}) AS d, LEFT(SHA1({canonical_sql(SEGMENT_KEY)} || CASE WHEN seg_no=3 THEN 'nonce=3' ELSE '' END), 20) AS k FROM v_segments),
-c AS (SELECT job_id, LEFT(SHA1('sr=24000;engine=e;' || STRING_AGG(d, '' ORDER BY seg_no)), 20) AS cache_key FROM s GROUP BY 1)
+b AS (SELECT job_id, seg_no//4096 AS b, SHA1('sr=24000;engine=e;' || STRING_AGG(d, '' ORDER BY seg_no)) AS d FROM s GROUP BY 1,2),
+c AS (SELECT job_id, LEFT(SHA1(STRING_AGG(d, '' ORDER BY b)), 20) AS cache_key FROM b GROUP BY 1)
 SELECT job_id, seg_no, k AS segment_key, cache_key FROM s JOIN c USING (job_id)""",
 )
 def cache_keys(spark, sf_dir):

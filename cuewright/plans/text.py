@@ -175,13 +175,13 @@ def target_script(spark, sf_dir):
     "str_guess_language",
     views="v_segments",
     sql="""WITH t AS (SELECT job_id, BOOL_OR(k=0) AS ja, BOOL_OR(k=1) AS ko, BOOL_OR(k=2) AS ru FROM (
-  SELECT job_id, CASE WHEN contains(text, 'qu') THEN 0 WHEN contains(text, 'sch') THEN 1 WHEN contains(text, 'oun') THEN 2 END AS k FROM v_segments WHERE text <> '' QUALIFY ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY seg_no) <= 8) x GROUP BY 1)
+  SELECT job_id, CASE WHEN contains(text, 'qu') THEN 0 WHEN contains(text, 'sch') THEN 1 WHEN contains(text, 'oun') THEN 2 END AS k FROM v_segments QUALIFY ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY seg_no) <= 8) x GROUP BY 1)
 SELECT job_id, CASE WHEN ja THEN 'ja' WHEN ko THEN 'ko' WHEN ru THEN 'ru' END AS guess FROM t""",
 )
 def guess_language(spark, sf_dir):
     """Marker letters of other scripts are put into the given Latin texts first."""
     mark = F.when(F.contains("text", F.lit("qu")), "か").when(F.contains("text", F.lit("sch")), "한").when(F.contains("text", F.lit("oun")), "ж")
-    segs = views.segments(spark, sf_dir).filter(F.col("text") != "").select("job_id", "seg_no", F.concat("text", F.coalesce(mark, F.lit(""))).alias("text"))
+    segs = views.segments(spark, sf_dir).select("job_id", "seg_no", F.concat("text", F.coalesce(mark, F.lit(""))).alias("text"))
     first = scan(segs, ["job_id"], ["seg_no"], [row_number("rn")]).filter(F.col("rn") <= 8)
     joined = first.groupBy("job_id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
     return joined.select("job_id", T.guess_language(F.col("text")).alias("guess"))

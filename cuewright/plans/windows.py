@@ -31,7 +31,7 @@ def event_seq(spark, sf_dir):
 SELECT job_id, seg_no, 'Speaker ' || CAST(SUM(j) OVER (PARTITION BY job_id ORDER BY seg_no ROWS UNBOUNDED PRECEDING) % 3 + 1 AS VARCHAR) AS gap_speaker FROM g""",
 )
 def speaker_gap(spark, sf_dir):
-    return sequences.speakers_by_gap(views.segments(spark, sf_dir), 3).select("job_id", "seg_no", "gap_speaker")
+    return timeline.speakers_by_gap(views.segments(spark, sf_dir), 3).select("job_id", "seg_no", "gap_speaker")
 
 
 @query(

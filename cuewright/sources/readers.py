@@ -12,20 +12,27 @@ TEST_LIST = T.StructType(
     + [T.StructField("instruct", T.StringType())]
 )
 MANIFEST = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "audio_path", "text", "language_id")])
-BAD = "_bad_line"
+WHITE = " \t\r\n\f\v"
 CONFIG = "map<string, array<struct<language_id: string, manifest_path: array<string>, repeat: int>>>"
 STAMP = r"(\d{1,2}):([0-5]?\d):([0-5]?\d)[,.](\d{1,3})"
 TIMING = rf"(?m)^[^\S\n]*{STAMP}[^\S\n]*-->[^\S\n]*{STAMP}.*$"
 
 
 def _json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows, raw bad lines). The line is parsed once; blank lines are skipped."""
-    full = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", full, options).alias("r"))
-    good = parsed.filter(F.col(f"r.{BAD}").isNull()).select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields])
-    return good, parsed.filter(F.col(f"r.{BAD}").isNotNull()).select("value")
+    """(good rows with a last column ``extras``, raw bad lines). Blank lines are skipped.
+
+    A good line is one JSON object and nothing after it. Fields are cast one by one, so a number in
+    quotes counts and an unreadable value is null; fields outside the schema go to ``extras``, a map
+    of texts.
+    """
+    lines = spark.read.text(path).withColumn("value", F.btrim("value", F.lit(WHITE))).filter(F.col("value") != "")
+    parsed = lines.withColumn("v", F.try_parse_json("value"))
+    is_object = F.col("value").startswith("{") & F.col("value").endswith("}") & F.col("v").isNotNull()
+    fields = [F.try_variant_get("v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in schema.fields]
+    known = [F.lit(f.name) for f in schema.fields]
+    extras = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, _: ~k.isin(*known))
+    good = parsed.filter(is_object).select(*fields, extras.alias("extras"))
+    return good, parsed.filter(~is_object).select("value")
 
 
 def test_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -34,7 +41,7 @@ def test_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def manifest(spark: SparkSession, path: str, extras: T.StructType | None = None) -> DataFrame:
-    """Training manifest; rows without audio_path are left out."""
+    """Training manifest; rows without audio_path are left out, unknown fields kept in ``extras``."""
     schema = T.StructType([*MANIFEST.fields, *(extras.fields if extras else [])])
     good, _ = _json_lines(spark, path, schema)
     return good.filter(F.coalesce("audio_path", F.lit("")) != "")
@@ -42,7 +49,7 @@ def manifest(spark: SparkSession, path: str, extras: T.StructType | None = None)
 
 def shard_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``data.lst`` lines of four fields; any other number of fields fails the job."""
-    lines = spark.read.text(path).select(F.trim("value").alias("v")).filter(F.col("v") != "")
+    lines = spark.read.text(path).select(F.btrim("value", F.lit(WHITE)).alias("v")).filter(F.col("v") != "")
     parts = lines.select("v", F.split("v", r"\s+").alias("p"))
     wrong = F.raise_error(F.concat(F.lit("shard manifest line needs four fields: "), F.col("v")))
     checked = parts.withColumn("p", F.when(F.size("p") == 4, F.col("p")).otherwise(wrong.cast("array<string>")))
@@ -70,7 +77,7 @@ def training_csv(spark: SparkSession, path: str) -> DataFrame:
 
     Fails when no usable row remains, as soon as the result is used.
     """
-    rows = spark.read.option("header", True).option("escape", '"').csv(path)
+    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     rows = rows.toDF(*[c.lstrip("﻿").strip() for c in rows.columns])
     audio = F.trim(F.btrim(F.trim("audio_path"), F.lit("'\"")))
     out = rows.select(audio.alias("audio_path"), F.trim("transcription").alias("text"))

@@ -16,23 +16,24 @@ def write(tmp_path, name, text, encoding="utf-8"):
 
 
 def test_test_list_separates_bad_lines(spark, tmp_path):
-    path = write(tmp_path, "t.jsonl", '{"id": "a", "text": "x", "duration": 1.5}\n\n{"id": "b", "te\n{"id": "c", "extra": 1}\n')
+    path = write(tmp_path, "t.jsonl", '{"id": "a", "text": "x", "duration": 1.5}\n\n{"id": "b", "te\n{"id": "c", "extra": 1, "duration": "3.5"}\n{"id": "d"} x\n')
     good, bad = readers.test_list(spark, path)
-    assert [(r["id"], r["duration"], r["language_id"]) for r in good.orderBy("id").collect()] == [("a", 1.5, None), ("c", None, None)]
-    assert [r["value"] for r in bad.collect()] == ['{"id": "b", "te']
+    assert [(r["id"], r["duration"], r["language_id"]) for r in good.orderBy("id").collect()] == [("a", 1.5, None), ("c", 3.5, None)]
+    assert good.filter("id = 'c'").first()["extras"] == {"extra": "1"}
+    assert sorted(r["value"] for r in bad.collect()) == ['{"id": "b", "te', '{"id": "d"} x']
 
 
 def test_shard_manifest_needs_four_fields(spark, tmp_path):
-    good = readers.shard_manifest(spark, write(tmp_path, "a.lst", "x.tar  x.jsonl 3 4.500\n\ny.tar y.jsonl 1 0.1\n"))
+    good = readers.shard_manifest(spark, write(tmp_path, "a.lst", "\tx.tar  x.jsonl 3 4.500\n\ny.tar y.jsonl 1 0.1\n"))
     assert sorted(tuple(r) for r in good.collect()) == [("x.tar", "x.jsonl", 3, 4.5), ("y.tar", "y.jsonl", 1, 0.1)]
     with pytest.raises(PySparkException, match="four fields"):
         readers.shard_manifest(spark, write(tmp_path, "b.lst", "x.tar x.jsonl 3\n")).collect()
 
 
 def test_training_csv(spark, tmp_path):
-    text = "audio_path,transcription\r\n 'a.wav' , hello \r\n\"b.wav\",\r\n,text\r\n\"c.wav\",\"x, y\"\r\n"
+    text = "audio_path,transcription\r\n 'a.wav' , hello \r\n\"b.wav\",\r\n,text\r\n\"c.wav\",\"x, y\"\r\n\"d.wav\",\"one\ntwo\"\r\n"
     rows = readers.training_csv(spark, write(tmp_path, "t.csv", text, "utf-8-sig"))
-    assert sorted(tuple(r) for r in rows.collect()) == [("a.wav", "hello"), ("c.wav", "x, y")]
+    assert sorted(tuple(r) for r in rows.collect()) == [("a.wav", "hello"), ("c.wav", "x, y"), ("d.wav", "one\ntwo")]
     with pytest.raises(ValueError, match="no usable rows"):
         readers.training_csv(spark, write(tmp_path, "e.csv", "audio_path,transcription\n,\n"))
 
