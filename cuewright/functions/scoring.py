@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cuewright.functions import text as T
 
-COUNTS = "truth string, hypo string, substitutions long, deletions long, insertions long, wer double, word_num long, error string"
+COUNTS = "substitutions long, deletions long, insertions long, wer double, word_num long, error string"
 
 
 def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
@@ -135,24 +135,24 @@ def wer_counts(pairs: DataFrame, keep: list[str], truth: Column, hypo: Column) -
 
     A pair that cannot be scored keeps its row with ``error`` set. An empty truth counts one
     word, as splitting it on a space gives one empty piece.
+
+    Only the counts come back from Python, so an aggregation reads no texts beyond the UDF's input.
     """
 
-    def score(t: str, h: str) -> tuple:
-        try:
-            ref, hyp = t.split(), h.split()
-            s, d, i = edit_counts(ref, hyp)
-            return t, h, s, d, i, (s + d + i) / max(len(ref), 1), len(t.split(" ")), None
-        except Exception as failure:
-            return t, h, None, None, None, None, None, f"{type(failure).__name__}: {failure}"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["truth", "hypo", "substitutions", "deletions", "insertions", "wer", "word_num", "error"]
-        for pdf in batches:
-            scored = pd.DataFrame([score(t, h) for t, h in zip(pdf["_t"], pdf["_h"])], columns=names, index=pdf.index)
-            whole = ["substitutions", "deletions", "insertions", "word_num"]
-            scored[whole] = scored[whole].astype("Int64")
-            yield pd.concat([pdf[keep], scored], axis=1)
-
-    source = pairs.select(*keep, truth.alias("_t"), hypo.alias("_h"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keep).schema)
-    return source.mapInPandas(run, f"{kept}, {COUNTS}")
+    @F.pandas_udf(COUNTS)
+    def score(truths: pd.Series, hypos: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame([_scored(t, h) for t, h in zip(truths, hypos)], columns=[c.split()[0] for c in COUNTS.split(", ")])
+        whole = ["substitutions", "deletions", "insertions", "word_num"]
+        return out.astype({c: "Int64" for c in whole})
+
+    texts = pairs.select(*keep, truth.alias("truth"), hypo.alias("hypo"))
+    return texts.withColumn("_s", score("truth", "hypo")).select(*keep, "truth", "hypo", "_s.*")
+
+
+def _scored(t: str, h: str) -> tuple:
+    try:
+        ref, hyp = t.split(), h.split()
+        s, d, i = edit_counts(ref, hyp)
+        return s, d, i, (s + d + i) / max(len(ref), 1), len(t.split(" ")), None
+    except Exception as failure:
+        return None, None, None, None, None, f"{type(failure).__name__}: {failure}"

@@ -314,12 +314,12 @@ def word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
     keyed = words.select(
         F.struct("job_id", "seg_no", "word_no").alias("w"),
         "job_id",
-        (F.col("seg_no") * 1_000_000 + F.col("word_no")).alias("seg_no"),
+        (F.shiftleft("seg_no", 32) + F.col("word_no")).alias("seg_no"),
         F.col("word_start").alias("start_ms"),
         F.col("word_end").alias("end_ms"),
         F.lit(None).cast("string").alias("speaker_id"),
     )
-    found = majority_speaker(keyed, turns)
+    found = majority_speaker(keyed, turns, by_gap=False)
     return found.select("w.job_id", "w.seg_no", "w.word_no", F.col("assigned").alias("label"))
 
 

@@ -59,15 +59,14 @@ def speakers_by_gap(segs: DataFrame, speakers: int | None = None, gap_ms: int =
     return counted.withColumn("gap_speaker", label).drop("_end", "_jumps")
 
 
-def majority_speaker(segs: DataFrame, turns: DataFrame, relabel: bool = True) -> DataFrame:
+def majority_speaker(segs: DataFrame, turns: DataFrame, relabel: bool = True, by_gap: bool = True) -> DataFrame:
     """Speaker with the largest summed overlap, else the first turn around the midpoint.
 
     Adds ``assigned`` and ``overlap_ms`` (0 without overlap). Equal sums go to the speaker
     whose turn comes first. Segments nothing covers keep ``speaker_id``; a job without any usable
-    turn takes the labels of ``speakers_by_gap``.
+    turn takes the labels of ``speakers_by_gap``, unless ``by_gap`` is off.
     """
     known = turns.dropna(subset=["speaker", "turn_start", "turn_end"])
-    with_turns = known.select("job_id").distinct()
     slim = segs.select("job_id", "seg_no", "start_ms", "end_ms")
     overlap = F.least("end_ms", "turn_end") - F.greatest("start_ms", "turn_start")
     # Twice the midpoint stays an integer, compared with doubled turn ends.
@@ -91,16 +90,15 @@ def majority_speaker(segs: DataFrame, turns: DataFrame, relabel: bool = True) ->
         F.max_by(F.struct("speaker", "overlap_ms"), rank).alias("best"), F.min_by("speaker", "mid_turn").alias("mid_speaker")
     )
     found = F.coalesce(F.col("best.speaker"), F.col("mid_speaker"))
-    gaps = speakers_by_gap(segs, GAP_SPEAKERS).select("job_id", "seg_no", "gap_speaker")
-    bare = gaps.join(with_turns, "job_id", "left_anti")
-    return (
-        segs.join(best, ["job_id", "seg_no"], "left")
-        .join(bare, ["job_id", "seg_no"], "left")
-        .select(
-            *segs.columns,
-            F.coalesce(display_label(found) if relabel else found, "gap_speaker", "speaker_id").alias("assigned"),
-            F.coalesce(F.col("best.overlap_ms"), F.lit(0).cast("long")).alias("overlap_ms"),
-        )
+    joined, otherwise = segs.join(best, ["job_id", "seg_no"], "left"), [F.col("speaker_id")]
+    if by_gap:
+        bare = segs.join(known.select("job_id").distinct(), "job_id", "left_anti")
+        gaps = speakers_by_gap(bare, GAP_SPEAKERS).select("job_id", "seg_no", "gap_speaker")
+        joined, otherwise = joined.join(gaps, ["job_id", "seg_no"], "left"), [F.col("gap_speaker"), *otherwise]
+    return joined.select(
+        *segs.columns,
+        F.coalesce(display_label(found) if relabel else found, *otherwise).alias("assigned"),
+        F.coalesce(F.col("best.overlap_ms"), F.lit(0).cast("long")).alias("overlap_ms"),
     )
 
 

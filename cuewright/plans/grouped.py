@@ -145,7 +145,7 @@ def fragments(spark, sf_dir):
     rows = w.groupBy("job_id", "seg_no", "frag", "speaker_id").agg(
         F.min("word_start").alias("start_ms"), F.max("word_end").alias("end_ms"), F.array_join(F.transform(parts, lambda p: p["word"]), " ").alias("text")
     )
-    return rows.select("job_id", (F.col("seg_no") * 100_000 + F.col("frag")).alias("seg_no"), "start_ms", "end_ms", "text", "speaker_id")
+    return rows.select("job_id", (F.shiftleft("seg_no", 32) + F.col("frag")).alias("seg_no"), "start_ms", "end_ms", "text", "speaker_id")
 
 
 @query("grp_merge_short", views="v_words")

@@ -85,7 +85,7 @@ def spread(df: DataFrame) -> DataFrame:
     left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def ship_package(spark: SparkSession) -> None:
