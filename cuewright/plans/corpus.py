@@ -254,25 +254,41 @@ def _span_sql(mark: str) -> str:
 DUAL_SQL = "TRIM(text) || CASE WHEN TRIM(UPPER(speaker_id))=TRIM(text) THEN '' ELSE chr(10) || '<i>' || UPPER(speaker_id) || '</i>' END"
 
 
+def stored_files(spark, blocks, label: str, body: str = "block"):
+    """Write one subtitle file per job and read the files back whole."""
+    path = scratch_path(spark, label)
+    subtitles.write_subtitles(blocks, path, body)
+    return subtitles.read_subtitles(spark, path)
+
+
+def _files_sql(rows: str) -> str:
+    return f"SELECT job_id, STRING_AGG(block || chr(10), '' ORDER BY cue_no) AS content FROM ({rows}) GROUP BY 1"
+
+
 @query(
     "sink_srt",
     views="v_segments",
-    sql=f"SELECT job_id, seg_no+1 AS cue_no, CAST(seg_no+1 AS VARCHAR) || chr(10) || {_span_sql(',')} || chr(10) || {DUAL_SQL} || chr(10) AS block FROM v_segments",
+    sql=_files_sql(
+        f"SELECT job_id, seg_no+1 AS cue_no, CAST(seg_no+1 AS VARCHAR) || chr(10) || {_span_sql(',')} || chr(10) || {DUAL_SQL} || chr(10) AS block FROM v_segments"
+    ),
 )
 def sink_srt(spark, sf_dir):
-    return subtitles.cue_blocks(subtitle_cues(spark, sf_dir), ",", "original")
+    return stored_files(spark, subtitles.cue_blocks(subtitle_cues(spark, sf_dir), ",", "original"), "srt")
 
 
 @query(
     "sink_vtt",
     views="v_segments",
-    sql=f"""SELECT job_id, seg_no+1 AS cue_no, CAST(seg_no+1 AS VARCHAR) || chr(10) || {_span_sql('.')} || chr(10) || TRIM(text) || chr(10) AS block FROM v_segments
-UNION ALL SELECT DISTINCT job_id, 0, 'WEBVTT' || chr(10) FROM v_segments""",
+    sql=_files_sql(
+        f"""SELECT job_id, seg_no+1 AS cue_no, CAST(seg_no+1 AS VARCHAR) || chr(10) || {_span_sql('.')} || chr(10) || TRIM(text) || chr(10) AS block FROM v_segments
+UNION ALL SELECT DISTINCT job_id, 0, 'WEBVTT' || chr(10) FROM v_segments"""
+    ),
 )
 def sink_vtt(spark, sf_dir):
-    return subtitles.vtt_blocks(subtitle_cues(spark, sf_dir))
+    return stored_files(spark, subtitles.vtt_blocks(subtitle_cues(spark, sf_dir)), "vtt")
 
 
+ASS_HEADER_SQL = subtitles.ASS_HEADER.rstrip().replace("'", "''").replace("\n", "' || chr(10) || '")
 ASS_CLOCK = """CAST({c}//360000 AS VARCHAR) || ':' || LPAD(CAST({c}//6000%60 AS VARCHAR), 2, '0') || ':' || LPAD(CAST({c}//100%60 AS VARCHAR), 2, '0') || '.' || LPAD(CAST({c}%100 AS VARCHAR), 2, '0')"""
 
 
@@ -284,11 +300,13 @@ ASS_CLOCK = """CAST({c}//360000 AS VARCHAR) || ':' || LPAD(CAST({c}//6000%60 AS
 w AS (SELECT *, UNNEST(range(1, len(tk)+1)) AS i, CAST(end_ms-start_ms AS DOUBLE)/len(tk) AS step FROM t),
 g AS (SELECT job_id, cue_no, start_ms, end_ms, STRING_AGG('{{\\kf' || CAST(GREATEST(1, CAST(ROUND_EVEN((CASE WHEN i < len(tk) THEN start_ms+i*step ELSE end_ms END - (start_ms+(i-1)*step))/10, 0) AS BIGINT)) AS VARCHAR)
   || '}}' || REPLACE(REPLACE(tk[i], '{{', '\\{{'), '}}', '\\}}'), ' ' ORDER BY i) AS k FROM w GROUP BY ALL),
-cs AS (SELECT *, CAST(ROUND_EVEN(start_ms/10.0::DOUBLE, 0) AS BIGINT) AS a, CAST(ROUND_EVEN(end_ms/10.0::DOUBLE, 0) AS BIGINT) AS b FROM g)
-SELECT job_id, cue_no, 'Dialogue: 0,' || {ASS_CLOCK.format(c='a')} || ',' || {ASS_CLOCK.format(c='b')} || ',Default,,0,0,0,,' || k AS event FROM cs""",
+cs AS (SELECT *, CAST(ROUND_EVEN(start_ms/10.0::DOUBLE, 0) AS BIGINT) AS a, CAST(ROUND_EVEN(end_ms/10.0::DOUBLE, 0) AS BIGINT) AS b FROM g),
+e AS (SELECT job_id, cue_no, 'Dialogue: 0,' || {ASS_CLOCK.format(c='a')} || ',' || {ASS_CLOCK.format(c='b')} || ',Default,,0,0,0,,' || k AS block FROM cs
+  UNION ALL SELECT DISTINCT job_id, 0, '{ASS_HEADER_SQL}' FROM cs)
+{_files_sql('SELECT * FROM e')}""",
 )
 def sink_ass_karaoke(spark, sf_dir):
-    return subtitles.karaoke_events(subtitle_cues(spark, sf_dir))
+    return stored_files(spark, subtitles.karaoke_blocks(subtitle_cues(spark, sf_dir)), "ass")
 
 
 @query(
@@ -569,8 +587,8 @@ def udf_processor(spark, sf_dir):
 @query(
     "sink_eval_json",
     sql="""WITH c AS (SELECT event_type AS suite, event_id AS case_id, user_id%9<>0 AND user_id%10<>0 AND value > 20 AS passed FROM events)
-SELECT suite, 0::BIGINT AS line_no, '{"suite":"' || suite || '","total":' || COUNT(*) || ',"passed":' || COUNT(*) FILTER (passed) || ',"failed":' || COUNT(*) FILTER (NOT passed) || ',"pass_rate":' || CAST(ROUND(COUNT(*) FILTER (passed)/CAST(COUNT(*) AS DOUBLE), 4) AS VARCHAR) || '}' AS line FROM c GROUP BY 1
-UNION ALL SELECT suite, case_id+1, '{"case_id":' || case_id || ',"passed":' || CASE WHEN passed THEN 'true' ELSE 'false' END || '}' FROM c""",
+SELECT suite, '{"suite":"' || suite || '","total":' || COUNT(*) || ',"passed":' || COUNT(*) FILTER (passed) || ',"failed":' || COUNT(*) FILTER (NOT passed) || ',"pass_rate":' || CAST(ROUND(COUNT(*) FILTER (passed)/CAST(COUNT(*) AS DOUBLE), 4) AS VARCHAR) || '}' AS line FROM c GROUP BY 1
+UNION ALL SELECT suite, '{"case_id":' || case_id || ',"passed":' || CASE WHEN passed THEN 'true' ELSE 'false' END || '}' FROM c""",
 )
 def eval_json(spark, sf_dir):
     from cuewright.operators.rollups import pass_rate
@@ -578,4 +596,6 @@ def eval_json(spark, sf_dir):
 
     cases = _cases(spark, sf_dir)
     ok = F.col("transcript").isNotNull() & F.col("judge_error").isNull() & F.col("judge_passed")
-    return writers.eval_report_lines(cases.withColumn("passed", ok), pass_rate(cases, ["suite"]))
+    path = scratch_path(spark, "evaluation")
+    writers.write_ordered_lines(writers.eval_report_lines(cases.withColumn("passed", ok), pass_rate(cases, ["suite"])), path, "suite", "line_no")
+    return spark.read.schema("value string, suite string").text(path).select("suite", F.col("value").alias("line"))

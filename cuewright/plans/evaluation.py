@@ -9,7 +9,8 @@ from cuewright.functions import scoring, speech
 from cuewright.functions import text as T
 from cuewright.operators import evaluation
 from cuewright.plans.registry import query
-from cuewright.session import spread
+from cuewright.session import scratch_path, spread
+from cuewright.sources import writers
 from cuewright.views import table
 
 # Counting errors by position needs pairs with one best alignment. Words altered here carry a letter
@@ -91,13 +92,15 @@ def wer_mean_of_rows(spark, sf_dir):
     "sink_wer_report",
     views="v_pairs",
     sql=f"""WITH {PAIRS_SQL}, {SCORES_SQL}, g AS (SELECT lang_name, {MICRO.format(d=3)} FROM sc GROUP BY 1), o AS (SELECT {MICRO.format(d=2)} FROM sc)
-SELECT 1 AS section, conv_id || '-' || turn AS name, conv_id || '-' || turn || chr(9) || CAST(ROUND(wer, 6) AS VARCHAR) || chr(9) || insertions || chr(9) || deletions || chr(9) || substitutions AS line FROM sc
-UNION ALL SELECT 2, lang_name, '[' || lang_name || ']' || chr(9) || CAST(wer AS VARCHAR) || chr(9) || insertions || chr(9) || deletions || chr(9) || substitutions || chr(9) || words FROM g
-UNION ALL SELECT 3, 'Overall', '[Overall]' || chr(9) || CAST(wer AS VARCHAR) || chr(9) || insertions || chr(9) || deletions || chr(9) || substitutions || chr(9) || words FROM o""",
+SELECT 1 AS section, conv_id || '-' || turn || chr(9) || CAST(ROUND(wer, 6) AS VARCHAR) || chr(9) || insertions || chr(9) || deletions || chr(9) || substitutions AS line FROM sc
+UNION ALL SELECT 2, '[' || lang_name || ']' || chr(9) || CAST(wer AS VARCHAR) || chr(9) || insertions || chr(9) || deletions || chr(9) || substitutions || chr(9) || words FROM g
+UNION ALL SELECT 3, '[Overall]' || chr(9) || CAST(wer AS VARCHAR) || chr(9) || insertions || chr(9) || deletions || chr(9) || substitutions || chr(9) || words FROM o""",
 )
 def report(spark, sf_dir):
     rows = scores(spark, sf_dir).withColumn("name", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    return evaluation.wer_report(rows, "lang_name", "name")
+    path = scratch_path(spark, "wer-report")
+    writers.write_ordered_lines(evaluation.wer_report(rows, "lang_name", "name"), path, "section", "name")
+    return spark.read.schema("value string, section int").text(path).select("section", F.col("value").alias("line"))
 
 
 MEANS_SQL = """g AS (SELECT grp, SUM(v) AS s, COUNT(*) AS n FROM x GROUP BY 1)

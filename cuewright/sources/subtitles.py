@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.functions.lists import let
@@ -155,3 +155,17 @@ def write_subtitles(blocks: DataFrame, path: str, body: str = "block") -> None:
     """One folder per job, cues in order. Large jobs keep their order across part files."""
     ordered = blocks.repartitionByRange("job_id", "cue_no").sortWithinPartitions("job_id", "cue_no")
     ordered.select("job_id", F.col(body).alias("value")).write.mode("overwrite").partitionBy("job_id").text(path)
+
+
+def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
+    """``job_id, content`` of the files that ``write_subtitles`` left, parts of a job in order."""
+    files = spark.read.schema("value string, job_id long").text(path, wholetext=True).withColumn("part", F.input_file_name())
+    whole = files.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("part", "value"))).alias("parts"))
+    return whole.select("job_id", F.array_join(F.transform("parts", lambda p: p["value"]), "").alias("content"))
+
+
+def karaoke_blocks(cues: DataFrame) -> DataFrame:
+    """Event lines of each job behind the file header, as ``job_id, cue_no, block``."""
+    events = karaoke_events(cues).withColumnRenamed("event", "block")
+    heads = events.select("job_id").distinct().select("job_id", F.lit(0).cast("long").alias("cue_no"), F.lit(ASS_HEADER.rstrip()).alias("block"))
+    return events.unionByName(heads)

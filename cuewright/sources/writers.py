@@ -48,3 +48,9 @@ def eval_report_lines(cases: DataFrame, summary: DataFrame) -> DataFrame:
         F.to_json(F.struct("case_id", "passed")).alias("line"),
     )
     return head.unionByName(body)
+
+
+def write_ordered_lines(df: DataFrame, path: str, group: str, order: str, line: str = "line") -> None:
+    """Text files in one folder per ``group``, lines in order across the part files of a folder."""
+    ordered = df.repartitionByRange(group, order).sortWithinPartitions(group, order)
+    ordered.select(group, F.col(line).alias("value")).write.mode("overwrite").partitionBy(group).text(path)
