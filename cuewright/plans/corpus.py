@@ -538,13 +538,37 @@ def pack_bucket(spark, sf_dir):
     return corpus.pack_buckets(sharded(spark, sf_dir), 60000, 6)
 
 
-@query("num_cond_flags")
+def _draw_sql(salt: str) -> str:
+    return f"(CAST('0x' || LEFT(MD5(id || ':11:' || {salt}), 12) AS BIGINT)/281474976710656.0::DOUBLE)"
+
+
+def _flags_sql(clean: str) -> str:
+    return f"""d AS (SELECT *, {clean} AS clean_start FROM v_manifest),
+e AS (SELECT *, clean_start IS NULL AND {_draw_sql("'drop'")} < 0.1 AS drop_cond FROM d),
+f AS (SELECT *, NOT drop_cond AND {_draw_sql("'language'")} < 0.8 AS use_language, NOT drop_cond AND {_draw_sql("'instruct'")} < 0.5 AS use_instruct FROM e),
+fl AS (SELECT *, CASE WHEN drop_cond OR (use_instruct AND {_draw_sql("'only'")} < 0.3) THEN 0.0::DOUBLE ELSE 0.0::DOUBLE + {_draw_sql("'prompt'")} * 0.3::DOUBLE END AS prompt_ratio,
+  0.0::DOUBLE + {_draw_sql("'mask'")} * 1.0::DOUBLE AS mask_ratio FROM f)"""
+
+
+@query(
+    "num_cond_flags",
+    views="v_manifest",
+    sql=f"WITH {_flags_sql('CASE WHEN source=$$src3$$ THEN 40 END')} SELECT id, clean_start, drop_cond, use_language, use_instruct, prompt_ratio, mask_ratio FROM fl",
+)
 def cond_flags(spark, sf_dir):
     clean = F.when(F.col("source") == "src3", 40)
     return corpus.condition_flags(views.manifest(spark, sf_dir).select("id", clean.alias("clean_start")), 11)
 
 
-@query("num_mask_tokens")
+MASK_SQL = f"""WITH {_flags_sql('NULL')},
+t AS (SELECT id, drop_cond, mask_ratio, string_split_regex(text, '\\s+') AS w, CAST(FLOOR(len(string_split_regex(text, '\\s+')) * prompt_ratio) AS INTEGER) AS prompt_length FROM fl),
+u AS (SELECT *, UNNEST(range(0, len(w))) AS i FROM t),
+m AS (SELECT *, i >= prompt_length AND {_draw_sql('i')} < mask_ratio AS masked FROM u)
+SELECT id, CAST(len(w) AS INTEGER) AS n, prompt_length, CAST(COUNT(*) FILTER (masked) AS INTEGER) AS masked,
+  CAST(COUNT(*) FILTER (NOT (masked OR (drop_cond AND i < prompt_length))) AS INTEGER) AS no_loss FROM m GROUP BY ALL"""
+
+
+@query("num_mask_tokens", views="v_manifest", sql=MASK_SQL)
 def mask_tokens(spark, sf_dir):
     """Word lengths of each text stand in for its audio tokens."""
     words = F.transform(F.split("text", r"\s+"), lambda w: F.length(w))
