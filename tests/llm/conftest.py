@@ -5,21 +5,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from plain import sentence  # noqa: E402
+
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, key string, kept string, words int, n int, bucket int, "
     "rep long, spans string, item string, tokens string, p string, t string"
 )
 
 
-def sentence(seed, n):
-    """n invented words that depend on the seed only."""
-    out, x = [], seed * 7919 + 17
-    for _ in range(n):
-        x = (x * 1103515245 + 12345) % 2**31
-        out.append("".join("bcdfglmnprst"[(x >> s) % 12] + "aeiou"[(x >> s) % 5] for s in (4, 9, 14)))
-    return " ".join(out)
-
-
 @pytest.fixture(scope="session")
 def make_docs(spark):
     def make(rows):

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import plain
 import pytest
-from conftest import sentence
+from plain import sentence
 
 from cuewright.llm import components, near_dup, suffix_dedup, window_dedup
 
@@ -103,3 +103,17 @@ def test_components(spark):
 @pytest.mark.parametrize("run", [suffix_dedup.remove_repeats, window_dedup.remove_repeats, near_dup.near_duplicates])
 def test_empty_table(make_docs, run):
     assert run(make_docs([(1, "x")]).filter("doc_id < 0")).count() == 0
+
+
+def test_replies_to_repeated_rows_of_other_chunks(make_docs, monkeypatch):
+    """Chunks of one row: equal rows ask in different chunks and still share one right answer."""
+    from cuewright.llm import exchange
+
+    monkeypatch.setattr(exchange.chunks, "__defaults__", (1,))
+    a, b = sentence(41, 120), sentence(42, 80)
+    rows = [(3, a + " " + b), (3, a + " " + b), (2, a), (7, b), (7, b), (9, "z " + a)]
+    got = window_dedup.remove_repeats(make_docs(rows)).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == Counter(plain.window_dedup(rows))
+    got = suffix_dedup.remove_repeats(make_docs(rows)).collect()
+    want = Counter(plain.suffix_dedup(rows))
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == want

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import plain
-from conftest import sentence
+from plain import sentence
 from pyspark.sql import functions as F
 
 from cuewright.llm import chat_format, decontamination, mixing, pu_learning, quality_classifier, quality_rules, token_counts, toxicity
