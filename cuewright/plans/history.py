@@ -242,13 +242,14 @@ def default_chain(spark, sf_dir):
 @query(
     "anti_missing_keys",
     sql="""WITH base AS (SELECT DISTINCT p_brand || '.' || p_type AS key FROM part),
-loc AS (SELECT DISTINCT CASE WHEN p_size%2=0 THEN 'de' ELSE 'fr' END AS lang, p_brand || '.' || p_type AS key FROM part WHERE p_size > 44)
+loc AS (SELECT DISTINCT CASE WHEN p_size%2=0 THEN 'de' ELSE 'fr' END AS lang, p_brand || '.' || p_type || CASE WHEN p_size > 44 THEN '' ELSE '.old' END AS key FROM part)
 SELECT l.lang, base.key FROM base, (SELECT UNNEST(['de', 'fr']) AS lang) l WHERE NOT EXISTS (SELECT 1 FROM loc WHERE loc.lang=l.lang AND loc.key=base.key)""",
 )
 def missing_keys(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("key", F.concat("p_brand", F.lit("."), "p_type"))
     lang = F.when(F.col("p_size") % 2 == 0, "de").otherwise("fr")
-    locales = part.filter(F.col("p_size") > 44).select(lang.alias("lang"), "key")
+    kept = F.when(F.col("p_size") > 44, "").otherwise(".old")
+    locales = part.select(lang.alias("lang"), F.concat("key", kept).alias("key"))
     return lookups.missing_keys(part.select("key"), locales, ["de", "fr"])
 
 
@@ -305,13 +306,13 @@ def merge_glossary(spark, sf_dir):
 
 @query(
     "set_merge_catalogs",
-    sql="""WITH a AS (SELECT l_partkey AS id, MIN(l_suppkey) AS v FROM lineitem WHERE l_quantity > 49 GROUP BY 1),
+    sql="""WITH a AS (SELECT CASE WHEN l_quantity > 49 THEN l_partkey ELSE -1-l_partkey END AS id, MIN(l_suppkey) AS v FROM lineitem GROUP BY 1),
 b AS (SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS v FROM part)
 SELECT id, v, 'orders' AS origin FROM a UNION ALL SELECT id, v, 'parts' FROM b WHERE id NOT IN (SELECT id FROM a)""",
 )
 def merge_catalogs(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") > 49)
-    first = items.groupBy(F.col("l_partkey").alias("id")).agg(F.min("l_suppkey").alias("v"))
+    known = F.when(F.col("l_quantity") > 49, F.col("l_partkey")).otherwise(-1 - F.col("l_partkey"))
+    first = table(spark, sf_dir, "lineitem").groupBy(known.alias("id")).agg(F.min("l_suppkey").alias("v"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("v"))
     return lookups.merge_catalogs([("orders", first), ("parts", parts)])
 
@@ -613,11 +614,11 @@ def priority_fifo(spark, sf_dir):
 
 @query(
     "sort_nulls",
-    sql="""SELECT c_custkey AS client_id, l AS last_seen FROM customer LEFT JOIN (SELECT o_custkey, MAX(o_orderdate) AS l FROM orders WHERE o_totalprice > 400000 GROUP BY 1) x ON o_custkey=c_custkey""",
+    sql="""SELECT c_custkey AS client_id, l AS last_seen FROM customer LEFT JOIN (SELECT o_custkey, MAX(CASE WHEN o_totalprice > 400000 THEN o_orderdate END) AS l FROM orders GROUP BY 1) x ON o_custkey=c_custkey""",
 )
 def sort_nulls(spark, sf_dir):
-    seen = table(spark, sf_dir, "orders").filter(F.col("o_totalprice") > 400000)
-    seen = seen.groupBy(F.col("o_custkey").alias("client_id")).agg(F.max("o_orderdate").alias("last_seen"))
+    large = F.when(F.col("o_totalprice") > 400000, F.col("o_orderdate"))
+    seen = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("client_id")).agg(F.max(large).alias("last_seen"))
     clients = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("client_id"))
     return clients.join(seen, "client_id", "left").orderBy(F.desc_nulls_last("last_seen"), F.desc("client_id"))
 

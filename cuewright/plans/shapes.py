@@ -50,8 +50,8 @@ fit AS (SELECT job_id, seg_no, start_ms, end_ms, effective_ms, total_ms, ROUND_E
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One analysed video frame per turn that is not a system turn, at the turn's start."""
-    t = views.turns(spark, sf_dir).filter(F.col("speaker") != "SPEAKER_00")
+    """One analysed video frame per turn, at the turn's start."""
+    t = views.turns(spark, sf_dir)
     span = F.col("turn_end") - F.col("turn_start")
     return (
         t.select(
@@ -72,4 +72,4 @@ frames AS (SELECT job_id, turn_start AS frame_ms,
   ARG_MIN(CASE WHEN turn_end-turn_start < 20000 THEN 'low' WHEN turn_end-turn_start < 40000 THEN 'medium' ELSE 'high' END, turn_no) AS complexity,
   ARG_MIN(CASE WHEN speaker = 'SPEAKER_01' THEN 'calm' ELSE 'tense' END, turn_no) AS mood,
   ARG_MIN(CASE WHEN turn_no < 3 THEN 'dark' ELSE 'bright' END, turn_no) AS brightness
-  FROM v_turns WHERE speaker <> 'SPEAKER_00' GROUP BY 1, 2)"""
+  FROM v_turns GROUP BY 1, 2)"""

@@ -166,12 +166,13 @@ def rolling_rate(spark, sf_dir):
     "win_history_window",
     views="v_takes",
     sql="""SELECT id, created_at, starred FROM v_takes WHERE (starred=1 OR id IN (SELECT id FROM v_takes ORDER BY created_at DESC, id DESC LIMIT 50))
-  AND (audio_path IN (SELECT 'f' || s_suppkey FROM supplier UNION ALL SELECT 'f' || p_partkey FROM part WHERE p_size > 10) OR audio_path IS NULL)""",
+  AND (audio_path IN (SELECT 'f' || s_suppkey FROM supplier UNION ALL SELECT CASE WHEN p_size > 10 THEN 'f' ELSE 'g' END || p_partkey FROM part) OR audio_path IS NULL)""",
 )
 def history_window(spark, sf_dir):
     files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("audio_path"))
-    more = table(spark, sf_dir, "part").filter(F.col("p_size") > 10)
-    files = files.unionByName(more.select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("audio_path")))
+    folder = F.when(F.col("p_size") > 10, "f").otherwise("g")
+    more = table(spark, sf_dir, "part").select(F.concat(folder, F.col("p_partkey").cast("string")).alias("audio_path"))
+    files = files.unionByName(more)
     return sequences.history_window(views.takes(spark, sf_dir), files).select("id", "created_at", "starred")
 
 
