@@ -105,3 +105,12 @@ def test_fill_batches_matches_a_plain_loop():
             want.append(number)
             used += size
         assert fill_batches(np.array(sizes, dtype=np.int64), 25).tolist() == want
+
+
+def test_null_keys_are_one_group(spark):
+    from cuewright.operators.pergroup import by_group
+
+    big = 2**60 + 1
+    rows = spark.createDataFrame([(None, 1, big), (None, 2, None), (7, 1, 5), (None, 3, 4)], "k long, o long, v long")
+    got = by_group(rows, ["k"], ["o"], ["o", "v"], lambda key, held: [(*key, len(held), held[0][1])], "k long, n long, first long")
+    assert sorted(map(tuple, got.collect()), key=str) == [(7, 1, 5), (None, 3, big)]

@@ -261,3 +261,15 @@ def test_majority_tie_goes_to_the_first_turn_and_midpoint_is_the_fallback(spark)
     )
     got = {r["seg_no"]: (r["assigned"], r["overlap_ms"]) for r in timeline.majority_speaker(segs, turns).collect()}
     assert got == {0: ("B", 100), 1: ("C", 0), 2: ("old", 0)}
+
+
+def test_job_without_usable_turns_is_labelled_by_gaps(spark):
+    segs = spark.createDataFrame(
+        [(1, 0, 0, 1000, "x"), (1, 1, 1500, 2000, "x"), (1, 2, 4000, 5000, "x"), (2, 0, 0, 1000, "y")],
+        "job_id long, seg_no long, start_ms long, end_ms long, speaker_id string",
+    )
+    turns = spark.createDataFrame(
+        [(1, 0, 0, 900, None), (2, 0, 0, 900, "SPEAKER_03")], "job_id long, turn_no long, turn_start long, turn_end long, speaker string"
+    )
+    got = {(r["job_id"], r["seg_no"]): r["assigned"] for r in timeline.majority_speaker(segs, turns).collect()}
+    assert got == {(1, 0): "Speaker 1", (1, 1): "Speaker 1", (1, 2): "Speaker 2", (2, 0): "Speaker 4"}

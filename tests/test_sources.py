@@ -114,3 +114,13 @@ def test_bucket_packing_drops_the_open_batch_on_request(spark):
     assert corpus.pack_buckets(rows, 4000).agg(F.max("batch_no")).first()[0] == 2
     assert corpus.pack_buckets(rows, 4000, drop_last=True).count() == 6
     assert corpus.pack_buckets(rows, 10**9, max_rows=3).groupBy("batch_no").count().count() == 3
+
+
+def test_batches_do_not_depend_on_rows_per_task(spark):
+    rows = spark.range(30).selectExpr("id", "id % 2 AS shard", "(id * 37) % 29 + 1 AS duration_ms")
+    whole = sorted(corpus.pack_longest_first(rows, 60).collect())
+    spark.conf.set("cuewright.rowsPerTask", "7")
+    try:
+        assert sorted(corpus.pack_longest_first(rows, 60).collect()) == whole
+    finally:
+        spark.conf.unset("cuewright.rowsPerTask")
