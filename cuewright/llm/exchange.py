@@ -13,13 +13,13 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cuewright.llm.common import KEY
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 PACKED = "bucket int, ids binary, keys binary, counts binary, hashes binary, silent binary, known binary"
-ANSWERS = "doc_id long, key long, bucket int, bits binary"
+REPLIES = "docs int, ids binary, keys binary, places binary, sizes binary, bits binary"
+ANSWERS = "doc_id long, key long, replies array<struct<bucket:int,bits:binary>>"
 
 
 def chunks(batches: Iterable[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -100,21 +100,26 @@ def packed_rows(
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
 
-def answers(packed: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """``ANSWERS`` rows: for each document and bucket with any yes, the bits of its items there.
+def answers(packed: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], buckets: int) -> DataFrame:
+    """``doc_id, key, replies``: for each document with any yes, its bits of each bucket.
 
     ``decide(hashes, ids, silent)`` gets all items of a bucket with their document ids, and the
-    silent hashes; it returns a mask over the items.
+    silent hashes; it returns a mask over the items. A bucket packs its replies by groups of
+    documents, and each group is unpacked into one row per document.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        out_id, out_key, out_bucket, out_bits = [], [], [], []
+    def judge(table: pa.Table) -> pa.Table:
         known = table.column("known").to_pylist()
         ids = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
         keys = [np.frombuffer(x, np.int64) for x in table.column("keys").to_pylist()]
+        replies: dict[int, list[tuple[int, int, int, bytes]]] = {}
+
+        def reply(ident: int, key: int, bucket: int, bits: bytes) -> None:
+            replies.setdefault(ident % buckets, []).append((ident, key, bucket, bits))
+
         for i, bits in enumerate(known):
             if bits is not None:
-                out_id.append(int(ids[i][0])), out_key.append(int(keys[i][0])), out_bucket.append(-1), out_bits.append(bits)
+                reply(int(ids[i][0]), int(keys[i][0]), -1, bits)
         rows = [i for i, bits in enumerate(known) if bits is None]
         if rows:
             bucket = table.column("bucket")[0].as_py()
@@ -127,12 +132,30 @@ def answers(packed: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndar
             total = np.concatenate([[0], np.cumsum(yes)])
             starts = ends - counts
             for d in np.flatnonzero(total[ends] > total[starts]):
-                out_id.append(int(doc_ids[d])), out_key.append(int(doc_keys[d])), out_bucket.append(bucket)
-                out_bits.append(np.packbits(yes[starts[d] : ends[d]]).tobytes())
-        arrays = [pa.array(out_id, pa.int64()), pa.array(out_key, pa.int64()), pa.array(out_bucket, pa.int32()), pa.array(out_bits, pa.binary())]
-        return pa.Table.from_arrays(arrays, names=["doc_id", "key", "bucket", "bits"])
-
-    return packed.groupBy("bucket").applyInArrow(run, ANSWERS)
+                reply(int(doc_ids[d]), int(doc_keys[d]), bucket, np.packbits(yes[starts[d] : ends[d]]).tobytes())
+        columns: list[list] = [[] for _ in REPLIES.split(", ")]
+        for group, told in replies.items():
+            ids, keys, places, bits = zip(*told)
+            row = [np.array(ids, np.int64), np.array(keys, np.int64), np.array(places, np.int32), np.array([len(b) for b in bits], np.int32)]
+            for column, value in zip(columns, [group, *[x.tobytes() for x in row], b"".join(bits)]):
+                column.append(value)
+        kinds = [pa.int32()] + [pa.binary()] * 5
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in REPLIES.split(", ")])
+
+    def unpack(table: pa.Table) -> pa.Table:
+        told: dict[tuple[int, int], dict[int, bytes]] = {}
+        for row in table.to_pylist():
+            ids, keys = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["keys"], np.int64)
+            places, sizes = np.frombuffer(row["places"], np.int32), np.frombuffer(row["sizes"], np.int32)
+            ends = np.cumsum(sizes)
+            for ident, key, place, a, b in zip(ids.tolist(), keys.tolist(), places.tolist(), (ends - sizes).tolist(), ends.tolist()):
+                told.setdefault((ident, key), {})[place] = row["bits"][a:b]
+        lists = [[{"bucket": b, "bits": x} for b, x in sorted(r.items())] for r in told.values()]
+        kind = pa.list_(pa.struct([("bucket", pa.int32()), ("bits", pa.binary())]))
+        arrays = [pa.array([k[0] for k in told], pa.int64()), pa.array([k[1] for k in told], pa.int64()), pa.array(lists, kind)]
+        return pa.Table.from_arrays(arrays, names=["doc_id", "key", "replies"])
+
+    return packed.groupBy("bucket").applyInArrow(judge, REPLIES).groupBy("docs").applyInArrow(unpack, ANSWERS)
 
 
 def answered(docs: DataFrame, replies: DataFrame, how: str = "left") -> DataFrame:
@@ -140,9 +163,7 @@ def answered(docs: DataFrame, replies: DataFrame, how: str = "left") -> DataFram
 
     ``how="inner"`` leaves out documents without any yes.
     """
-    once = replies.dropDuplicates(["doc_id", "key", "bucket"])
-    grouped = once.groupBy(*KEY).agg(F.collect_list(F.struct("bucket", "bits")).alias("replies"))
-    return docs.join(grouped, KEY, how).select(*KEY, "text", "replies")
+    return docs.join(replies, KEY, how).select(*KEY, "text", "replies")
 
 
 def read_bits(replies: list[dict] | None, hashes: np.ndarray, buckets: int, asked: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:

@@ -262,7 +262,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """``doc_id, key, spans`` of keyed rows: pairs of byte offsets, possibly several rows a document."""
     buckets = pieces(rows, BUCKET_BYTES)
     packed = rows.mapInArrow(lambda it: _ask(it, buckets), PACKED)
-    marked = answered(rows, answers(packed, _twice), "inner")
+    marked = answered(rows, answers(packed, _twice, buckets), "inner")
     stretches = marked.mapInArrow(lambda it: _stretches(it, buckets), STRETCHES)
     return stretches.groupBy("bucket").applyInArrow(_sorted, SPANS)
 

@@ -23,7 +23,7 @@ from cuewright.llm.exchange import PACKED, answered, answers, chunks, mix, packe
 WINDOW = 50
 BASE = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
 UNBASE = pow(BASE, -1, 1 << 64)
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 _codes: dict[bytes, int] = {}
 
 
@@ -137,6 +137,6 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     rows = keyed(docs, id_col, text_col)
     buckets = pieces(rows, BUCKET_BYTES)
     packed = rows.mapInArrow(lambda it: _pack(it, size, buckets), PACKED)
-    joined = answered(rows, answers(packed, _smaller_elsewhere))
+    joined = answered(rows, answers(packed, _smaller_elsewhere, buckets))
     cut = joined.select("doc_id", "text", "replies").mapInArrow(lambda it: _cut(it, size, buckets), OUT)
     return cut.select(real_id(), "n_words", "n_removed", "spans", "kept")
