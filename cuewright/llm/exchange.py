@@ -1,8 +1,8 @@
-"""Hashes of many small items, packed by bucket, and yes/no answers for each document that sent them.
+"""Hashes of many small items, packed by bucket, and answers for each document that sent them.
 
 A map task turns a chunk of texts into one hash array per bucket instead of one row per item, so
 Spark shuffles a few hundred binary rows per task. What a bucket finds out about an item goes back
-as one bit at the item's place in the sequence its document sent to that bucket; the document is
+as a two-bit code at the item's place in the sequence its document sent to that bucket; the document is
 met again by its (doc_id, key) and recomputes the sequence.
 """
 
@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from cuewright.llm.common import KEY
 
 CHUNK_BYTES = 6 << 20
-PACKED = "bucket int, ids binary, keys binary, counts binary, hashes binary, silent binary, known binary"
-REPLIES = "docs int, ids binary, keys binary, places binary, sizes binary, bits binary"
-ANSWERS = "doc_id long, key long, replies array<struct<bucket:int,bits:binary>>"
+PACKED = "bucket int, tag long, ids binary, keys binary, counts binary, hashes binary, silent binary, known binary"
+REPLIES = "docs int, ids binary, keys binary, tags binary, places binary, sizes binary, codes binary"
+ANSWERS = "doc_id long, key long, replies array<struct<tag:bigint,bucket:int,codes:binary>>"
 
 
 def chunks(batches: Iterable[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -56,19 +56,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def pack(codes: np.ndarray) -> bytes:
+    """Codes 0 to 3, two bits each."""
+    return np.packbits(np.stack([codes >> 1, codes & 1], axis=1).astype(np.uint8)).tobytes()
+
+
+def unpack(data: bytes, count: int) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=2 * count).reshape(-1, 2)
+    return bits[:, 0] * 2 + bits[:, 1]
+
+
 def packed_rows(
-    ids: np.ndarray, keys: np.ndarray, hashes: np.ndarray, owner: np.ndarray, asks: np.ndarray, silent: np.ndarray, known: np.ndarray, buckets: int
+    ids: np.ndarray, keys: np.ndarray, hashes: np.ndarray, owner: np.ndarray, known: np.ndarray, silent: np.ndarray, buckets: int
 ) -> pa.RecordBatch:
-    """Rows for one chunk. ``hashes`` with ``owner`` (row in the chunk) stand in document order.
+    """Rows for one chunk. ``hashes`` (items x columns) with ``owner`` (row in the chunk) stand in document order.
 
-    ``asks`` marks items that need an answer; ``silent`` are hashes that only take part in the count;
-    ``known`` marks items already settled in this chunk, passed through as bits over all items of the
-    document under bucket -1.
+    ``known`` holds the codes of items settled in this chunk, 0 for those that need an answer;
+    ``silent`` are hashes that only take part in the decision. Settled codes pass through as bits
+    over all items of the document under bucket -1. ``tag`` names the chunk, so that answers to
+    repeated rows of other chunks are kept apart.
     """
-    place = bucket_of(hashes[asks], buckets)
+    tag = int(mix(np.array([ids[0] ^ keys[0], len(ids)], np.int64).view(np.uint64)).view(np.int64).sum()) if len(ids) else 0
+    asks = known == 0
+    place = bucket_of(hashes[asks][:, 0], buckets)
     order = np.argsort(place, kind="stable")
     asked, who, cuts = hashes[asks][order], owner[asks][order], np.searchsorted(place[order], np.arange(buckets + 1))
-    quiet_place = bucket_of(silent, buckets)
+    quiet_place = bucket_of(silent[:, 0], buckets)
     quiet_order = np.argsort(quiet_place, kind="stable")
     quiet, quiet_cuts = silent[quiet_order], np.searchsorted(quiet_place[quiet_order], np.arange(buckets + 1))
     out: dict[str, list] = {c.split()[0]: [] for c in PACKED.split(", ")}
@@ -82,102 +95,96 @@ def packed_rows(
         extra = quiet[quiet_cuts[b] : quiet_cuts[b + 1]]
         if len(part) or len(extra):
             docs, counts = np.unique(part, return_counts=True)
-            add(
-                b,
-                ids[docs].tobytes(),
-                keys[docs].tobytes(),
-                counts.astype(np.int32).tobytes(),
-                asked[cuts[b] : cuts[b + 1]].tobytes(),
-                extra.tobytes(),
-                None,
-            )
+            sent = asked[cuts[b] : cuts[b + 1]].tobytes()
+            add(b, tag, ids[docs].tobytes(), keys[docs].tobytes(), counts.astype(np.int32).tobytes(), sent, extra.tobytes(), None)
     edges = np.searchsorted(owner, np.arange(len(ids) + 1))
-    settled = np.add.reduceat(np.append(known, False), np.minimum(edges[:-1], len(known))) if len(ids) else []
-    for d in np.flatnonzero((np.diff(edges) > 0) & (np.asarray(settled) > 0)):
-        bits = np.packbits(known[edges[d] : edges[d + 1]])
-        add(int(ids[d] % buckets), ids[d].tobytes(), keys[d].tobytes(), None, None, None, bits.tobytes())
-    kinds = [pa.int32()] + [pa.binary()] * 6
+    settled = np.concatenate([[0], np.cumsum(known > 0)])
+    for d in np.flatnonzero(settled[edges[1:]] > settled[edges[:-1]]):
+        codes = pack(known[edges[d] : edges[d + 1]])
+        add(int(ids[d] % buckets), tag, ids[d].tobytes(), keys[d].tobytes(), None, None, None, codes)
+    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 6
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
 
-def answers(packed: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], buckets: int) -> DataFrame:
-    """``doc_id, key, replies``: for each document with any yes, its bits of each bucket.
+def answers(packed: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], width: int, buckets: int) -> DataFrame:
+    """``doc_id, key, replies``: for each document with any answer but 0, its codes of each bucket.
 
     ``decide(hashes, ids, silent)`` gets all items of a bucket with their document ids, and the
-    silent hashes; it returns a mask over the items. A bucket packs its replies by groups of
-    documents, and each group is unpacked into one row per document.
+    silent hashes, both with ``width`` columns; it returns a code from 0 to 3 for each item. A bucket
+    packs its replies by groups of documents, and each group is unpacked into one row per document.
     """
 
     def judge(table: pa.Table) -> pa.Table:
-        known = table.column("known").to_pylist()
+        known, tags = table.column("known").to_pylist(), table.column("tag").to_pylist()
         ids = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
         keys = [np.frombuffer(x, np.int64) for x in table.column("keys").to_pylist()]
-        replies: dict[int, list[tuple[int, int, int, bytes]]] = {}
+        replies: dict[int, list[tuple[int, int, int, int, bytes]]] = {}
 
-        def reply(ident: int, key: int, bucket: int, bits: bytes) -> None:
-            replies.setdefault(ident % buckets, []).append((ident, key, bucket, bits))
+        def reply(ident: int, key: int, tag: int, bucket: int, codes: bytes) -> None:
+            replies.setdefault(ident % buckets, []).append((ident, key, tag, bucket, codes))
 
-        for i, bits in enumerate(known):
-            if bits is not None:
-                reply(int(ids[i][0]), int(keys[i][0]), -1, bits)
-        rows = [i for i, bits in enumerate(known) if bits is None]
+        for i, codes in enumerate(known):
+            if codes is not None:
+                reply(int(ids[i][0]), int(keys[i][0]), tags[i], -1, codes)
+        rows = [i for i, codes in enumerate(known) if codes is None]
         if rows:
             bucket = table.column("bucket")[0].as_py()
             picked = table.take(rows)
             join = lambda name, kind: np.frombuffer(b"".join(picked.column(name).to_pylist()), kind)
-            counts, hashes, silent = join("counts", np.int32), join("hashes", np.uint64), join("silent", np.uint64)
+            counts = join("counts", np.int32)
+            hashes, silent = (join(c, np.uint64).reshape(-1, width) for c in ("hashes", "silent"))
             doc_ids, doc_keys = np.concatenate([ids[i] for i in rows]), np.concatenate([keys[i] for i in rows])
-            yes = decide(hashes, np.repeat(doc_ids, counts), silent)
+            doc_tags = np.repeat([tags[i] for i in rows], [len(ids[i]) for i in rows])
+            codes = decide(hashes, np.repeat(doc_ids, counts), silent)
             ends = np.cumsum(counts)
-            total = np.concatenate([[0], np.cumsum(yes)])
+            total = np.concatenate([[0], np.cumsum(codes > 0)])
             starts = ends - counts
             for d in np.flatnonzero(total[ends] > total[starts]):
-                reply(int(doc_ids[d]), int(doc_keys[d]), bucket, np.packbits(yes[starts[d] : ends[d]]).tobytes())
+                reply(int(doc_ids[d]), int(doc_keys[d]), int(doc_tags[d]), bucket, pack(codes[starts[d] : ends[d]]))
         columns: list[list] = [[] for _ in REPLIES.split(", ")]
         for group, told in replies.items():
-            ids, keys, places, bits = zip(*told)
-            row = [np.array(ids, np.int64), np.array(keys, np.int64), np.array(places, np.int32), np.array([len(b) for b in bits], np.int32)]
-            for column, value in zip(columns, [group, *[x.tobytes() for x in row], b"".join(bits)]):
+            ids, keys, tags, places, codes = zip(*told)
+            numbers = (np.array(v, np.int64).tobytes() for v in (ids, keys, tags, places, [len(c) for c in codes]))
+            for column, value in zip(columns, [group, *numbers, b"".join(codes)]):
                 column.append(value)
-        kinds = [pa.int32()] + [pa.binary()] * 5
+        kinds = [pa.int32()] + [pa.binary()] * 6
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in REPLIES.split(", ")])
 
-    def unpack(table: pa.Table) -> pa.Table:
-        told: dict[tuple[int, int], dict[int, bytes]] = {}
+    def deliver(table: pa.Table) -> pa.Table:
+        told: dict[tuple[int, int], dict[tuple[int, int], bytes]] = {}
         for row in table.to_pylist():
-            ids, keys = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["keys"], np.int64)
-            places, sizes = np.frombuffer(row["places"], np.int32), np.frombuffer(row["sizes"], np.int32)
+            ids, keys, tags, places, sizes = (np.frombuffer(row[c], np.int64) for c in ("ids", "keys", "tags", "places", "sizes"))
             ends = np.cumsum(sizes)
-            for ident, key, place, a, b in zip(ids.tolist(), keys.tolist(), places.tolist(), (ends - sizes).tolist(), ends.tolist()):
-                told.setdefault((ident, key), {})[place] = row["bits"][a:b]
-        lists = [[{"bucket": b, "bits": x} for b, x in sorted(r.items())] for r in told.values()]
-        kind = pa.list_(pa.struct([("bucket", pa.int32()), ("bits", pa.binary())]))
+            for ident, key, tag, place, a, b in zip(*(v.tolist() for v in (ids, keys, tags, places, ends - sizes, ends))):
+                told.setdefault((ident, key), {})[tag, place] = row["codes"][a:b]
+        lists = [[{"tag": t, "bucket": b, "codes": x} for (t, b), x in sorted(r.items())] for r in told.values()]
+        kind = pa.list_(pa.struct([("tag", pa.int64()), ("bucket", pa.int32()), ("codes", pa.binary())]))
         arrays = [pa.array([k[0] for k in told], pa.int64()), pa.array([k[1] for k in told], pa.int64()), pa.array(lists, kind)]
         return pa.Table.from_arrays(arrays, names=["doc_id", "key", "replies"])
 
-    return packed.groupBy("bucket").applyInArrow(judge, REPLIES).groupBy("docs").applyInArrow(unpack, ANSWERS)
+    return packed.groupBy("bucket").applyInArrow(judge, REPLIES).groupBy("docs").applyInArrow(deliver, ANSWERS)
 
 
 def answered(docs: DataFrame, replies: DataFrame, how: str = "left") -> DataFrame:
-    """``doc_id, key, text, replies``: each document with its bits; repeated rows share theirs.
+    """``doc_id, key, text, replies``: each document with its answers; repeated rows share theirs.
 
-    ``how="inner"`` leaves out documents without any yes.
+    ``how="inner"`` leaves out documents without any answer.
     """
     return docs.join(replies, KEY, how).select(*KEY, "text", "replies")
 
 
-def read_bits(replies: list[dict] | None, hashes: np.ndarray, buckets: int, asked: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """The mask over a document's items. ``asked(known)`` says which items it had sent for an answer."""
-    known = np.zeros(len(hashes), bool)
-    if not replies or not len(hashes):
-        return known
-    bits = {r["bucket"]: np.frombuffer(r["bits"], np.uint8) for r in replies}
-    if -1 in bits:
-        known = np.unpackbits(bits.pop(-1), count=len(hashes)).astype(bool)
-    out = known.copy()
-    sent = np.flatnonzero(asked(known))
-    place = bucket_of(hashes[sent], buckets)
-    for b, got in bits.items():
-        mine = sent[place == b]
-        out[mine] = np.unpackbits(got, count=len(mine)).astype(bool)
+def read_codes(replies: list[dict] | None, hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The code of each of a document's items. Where repeated rows got several, the smallest but 0."""
+    out = np.zeros(len(hashes), np.uint8)
+    by_tag: dict[int, dict[int, bytes]] = {}
+    for r in replies or ():
+        by_tag.setdefault(r["tag"], {})[r["bucket"]] = r["codes"]
+    for told in by_tag.values():
+        codes = unpack(told.pop(-1), len(hashes)) if -1 in told else np.zeros(len(hashes), np.uint8)
+        sent = np.flatnonzero(codes == 0)
+        place = bucket_of(hashes[sent], buckets)
+        for b, got in told.items():
+            mine = sent[place == b]
+            codes[mine] = unpack(got, len(mine))
+        out = np.where((out == 0) | ((codes > 0) & (codes < out)), codes, out)
     return out

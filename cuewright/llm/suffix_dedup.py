@@ -1,6 +1,6 @@
 """Suffix-array deduplication of exact substrings, by deep-shallow sorting.
 
-Two equal strings of 200 bytes hold the same smallest hash of 128 bytes at the same place. So a
+Two equal strings of 200 bytes hold the same smallest hash of 96 bytes at the same place. So a
 text is cut into stretches of windows that share that place (their anchor), and only stretches whose
 anchor occurs more than once in the corpus are sorted: their windows, all suffixes that a repeat can
 start with, meet in the task of their anchor. There multikey quicksort orders them to a shallow
@@ -8,13 +8,15 @@ depth, and what still agrees is ordered by blind tries: each member of a group i
 the first one, branches off at its first differing word, and members on one branch form the next,
 smaller trie. Equal suffixes end in one leaf; a leaf that was reached twice is a repeat.
 
-Equal stretches inside a chunk of texts travel once, so a passage that many documents share costs
-each task one row. Stretches around a string of 128 to 199 bytes, which is too short to go, are
+Equal stretches are merged before they are sorted: of those with one content only the one in the
+document with the smallest id travels, with the weight of two, so a passage that many documents
+share is sorted once. Stretches around a string of 96 to 199 bytes, which is too short to go, are
 bounded by the number of different surroundings it has.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import KEY, keyed, pieces, real_id
-from cuewright.llm.exchange import PACKED, answered, answers, bucket_of, chunks, mix, packed_rows, read_bits
+from cuewright.llm.common import KEY, NO_ID, keyed, pieces, real_id
+from cuewright.llm.exchange import PACKED, answered, answers, bucket_of, chunks, mix, packed_rows, read_codes
 from cuewright.llm.window_dedup import BASE, UNBASE, runs
 
 LENGTH = 200
-GRAM = 128
+GRAM = 96
 SEGMENT = 1 << 19
 BUCKET_BYTES = 24 << 20
 BLOCK = 1 << 19
@@ -70,60 +72,75 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return tuple(np.concatenate(f) if f else np.empty(0, k) for f, k in zip(found, kinds))
 
 
-def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    for ids, keys, texts in chunks(batches):
-        made = [anchors(t)[3] for t in texts]
-        hashes = np.concatenate(made)
-        owner = np.repeat(np.arange(len(texts)), [len(m) for m in made])
-        values, back, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        known = counts[back] > 1
-        yield packed_rows(ids, keys, hashes, owner, ~known, values[counts > 1], known, buckets)
+ALONE, FIRST, AGAIN = 1, 2, 3  # of stretches with a repeated anchor: the only one, the first, another of its content
+
+
+def contents(data: bytes, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each stretch."""
+    ends = (first + count + LENGTH - 1).tolist()
+    made = (hashlib.blake2b(data[a:b], digest_size=8).digest() for a, b in zip(first.tolist(), ends))
+    return np.frombuffer(b"".join(made), np.uint64)
 
 
-def _twice(hashes: np.ndarray, ids: np.ndarray, silent: np.ndarray) -> np.ndarray:
-    _, back, counts = np.unique(np.concatenate([hashes, silent]), return_inverse=True, return_counts=True)
-    return counts[back[: len(hashes)]] > 1
+def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    for ids, keys, texts in chunks(batches):
+        items = []
+        for data in texts:
+            first, count, _, grams = anchors(data)
+            items.append(np.stack([grams, contents(data, first, count)], axis=1))
+        again = np.concatenate([[False], (ids[1:] == ids[:-1]) & (keys[1:] == keys[:-1])])  # repeated rows ask once
+        owner = np.repeat(np.arange(len(texts)), [len(m) for m in items])
+        pairs = np.concatenate(items)
+        asking = ~again[owner]
+        own, owner = pairs[asking], owner[asking]
+        _, lead, back, counts = np.unique(own, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        known = np.where(lead[back.ravel()] == np.arange(len(own)), 0, AGAIN).astype(np.uint8)
+        silent = np.concatenate([own[lead[counts > 1]], np.unique(pairs[~asking], axis=0)])
+        yield packed_rows(ids, keys, own, owner, known, silent, buckets)
+
+
+def _roles(pairs: np.ndarray, ids: np.ndarray, silent: np.ndarray) -> np.ndarray:
+    every = np.concatenate([pairs, silent])
+    order = np.lexsort((np.concatenate([ids, np.full(len(silent), NO_ID)]), every[:, 1], every[:, 0]))
+    ranked = every[order]
+    new_gram = np.concatenate([[True], ranked[1:, 0] != ranked[:-1, 0]])[: len(order)]
+    new_pair = new_gram | np.concatenate([[True], ranked[1:, 1] != ranked[:-1, 1]])[: len(order)]
+
+    def group_sizes(fresh: np.ndarray) -> np.ndarray:
+        starts = np.flatnonzero(fresh)
+        return np.repeat(np.diff(np.append(starts, len(fresh))), np.diff(np.append(starts, len(fresh))))
+
+    of_gram, of_pair = group_sizes(new_gram), group_sizes(new_pair)
+    who = np.concatenate([ids, np.full(len(silent), NO_ID)])[order]
+    least = who[np.maximum.accumulate(np.where(new_pair, np.arange(len(order)), 0))]
+    code = np.where(of_pair > 1, np.where(who == least, FIRST, AGAIN), np.where(of_gram > 1, ALONE, 0))
+    out = np.empty(len(order), np.uint8)
+    out[order] = code
+    return out[: len(pairs)]
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Each different stretch of a chunk with a repeated anchor, and spans that repeat inside the chunk."""
-    told: dict[tuple[int, int], list] = {}
-
-    def noted() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ident, key, replies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
-                told[ident, key] = replies
-            yield batch
-
-    for ids, keys, texts in chunks(noted()):
-        seen: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-        grams: list[int] = []
-        for d, (ident, key, data) in enumerate(zip(ids.tolist(), keys.tolist(), texts)):
-            first, count, place, hashes = anchors(data)
-            marks = read_bits(told.get((ident, key)), hashes, buckets, np.logical_not)
-            for a, n, p, g in zip(*(v[marks].tolist() for v in (first, count, place, hashes))):
-                at = seen.setdefault((p - a, data[a : a + n + LENGTH - 1]), [])
-                if not at:
-                    grams.append(g)
-                at.append((d, a))
-        told.clear()
-        out: dict[str, list] = {c.split()[0]: [] for c in STRETCHES.split(", ")}
-        settled: dict[int, list[tuple[int, int]]] = {}
-        places = bucket_of(np.array(grams, np.uint64), buckets).tolist()
-        for b, g, ((place, body), at) in zip(places, grams, seen.items()):
-            d, a = at[0]
-            row = (b, g - (1 << 64) if g >> 63 else g, place, len(at) > 1, int(ids[d]), int(keys[d]), a, body, None)
-            for column, value in zip(out.values(), row):
-                column.append(value)
-            if len(at) > 1:
-                for d, a in at:
-                    settled.setdefault(d, []).append((a, a + len(body)))
-        for d, spans in settled.items():
-            row = (int(ids[d] % buckets), 0, 0, False, int(ids[d]), int(keys[d]), 0, None, _joined(np.array(spans)).tobytes())
-            for column, value in zip(out.values(), row):
-                column.append(value)
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
+    """Stretches to sort, and spans that are settled because their stretch occurs again."""
+    columns = [c.split()[0] for c in STRETCHES.split(", ")]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    for batch in batches:
+        out: list[list] = [[] for _ in columns]
+        for ident, key, text, replies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+            data = text.as_buffer().to_pybytes()
+            first, count, place, grams = anchors(data)
+            codes = read_codes(replies, grams, buckets)
+            sent = np.flatnonzero((codes == ALONE) | (codes == FIRST))
+            rows = list(zip(bucket_of(grams[sent], buckets).tolist(), grams[sent].view(np.int64).tolist(), (place - first)[sent].tolist()))
+            for (b, g, p), a, n, code in zip(rows, first[sent].tolist(), count[sent].tolist(), codes[sent].tolist()):
+                row = (b, g, p, code == FIRST, ident, key, a, data[a : a + n + LENGTH - 1], None)
+                for column, value in zip(out, row):
+                    column.append(value)
+            twice = codes >= FIRST
+            if twice.any():
+                spans = _joined(np.stack([first[twice], (first + count)[twice] + LENGTH - 1], axis=1))
+                for column, value in zip(out, (ident % buckets, 0, 0, False, ident, key, 0, None, spans.tobytes())):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=columns)
 
 
 def _joined(spans: np.ndarray) -> np.ndarray:
@@ -262,7 +279,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """``doc_id, key, spans`` of keyed rows: pairs of byte offsets, possibly several rows a document."""
     buckets = pieces(rows, BUCKET_BYTES)
     packed = rows.mapInArrow(lambda it: _ask(it, buckets), PACKED)
-    marked = answered(rows, answers(packed, _twice, buckets), "inner")
+    marked = answered(rows, answers(packed, _roles, 2, buckets), "inner")
     stretches = marked.mapInArrow(lambda it: _stretches(it, buckets), STRETCHES)
     return stretches.groupBy("bucket").applyInArrow(_sorted, SPANS)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cuewright.llm.common import keyed, pieces, real_id
-from cuewright.llm.exchange import PACKED, answered, answers, chunks, mix, packed_rows, read_bits
+from cuewright.llm.exchange import PACKED, answered, answers, chunks, mix, packed_rows, read_codes
 
 WINDOW = 50
 BASE = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
@@ -67,17 +67,18 @@ def _pack(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterato
         first = np.empty(len(order), np.int64)
         first[order] = ids[owner[order[fresh]]][np.cumsum(fresh) - 1]
         known = ids[owner] > first
-        yield packed_rows(ids, keys, hashes, owner, ~known, np.empty(0, np.uint64), known, buckets)
+        yield packed_rows(ids, keys, hashes[:, None], owner, known.astype(np.uint8), np.empty((0, 1), np.uint64), buckets)
 
 
 def _smaller_elsewhere(hashes: np.ndarray, ids: np.ndarray, silent: np.ndarray) -> np.ndarray:
+    hashes = hashes[:, 0]
     order = np.argsort(hashes)
     if not len(order):
-        return np.zeros(0, bool)
+        return np.zeros(0, np.uint8)
     ranked, their = hashes[order], ids[order]
     starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
     least = np.repeat(np.minimum.reduceat(their, starts), np.diff(np.append(starts, len(order))))
-    out = np.empty(len(order), bool)
+    out = np.empty(len(order), np.uint8)
     out[order] = their > least
     return out
 
@@ -116,7 +117,7 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator
             spans = np.empty((0, 2), np.int64)
             kept, removed = words, 0
             if told:
-                marks = read_bits(told, rolling(word_codes(words), size), buckets, np.logical_not)
+                marks = read_codes(told, rolling(word_codes(words), size), buckets)
                 gone = covered(marks, size, len(words))
                 spans, removed = runs(gone), int(gone.sum())
                 kept = [w for w, g in zip(words, gone.tolist()) if not g]
@@ -137,6 +138,6 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     rows = keyed(docs, id_col, text_col)
     buckets = pieces(rows, BUCKET_BYTES)
     packed = rows.mapInArrow(lambda it: _pack(it, size, buckets), PACKED)
-    joined = answered(rows, answers(packed, _smaller_elsewhere, buckets))
+    joined = answered(rows, answers(packed, _smaller_elsewhere, 1, buckets))
     cut = joined.select("doc_id", "text", "replies").mapInArrow(lambda it: _cut(it, size, buckets), OUT)
     return cut.select(real_id(), "n_words", "n_removed", "spans", "kept")
