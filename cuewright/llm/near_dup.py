@@ -9,7 +9,7 @@ more than 31 with a chance near 1e-5.
 Texts with equal shingle sets are one class, and only classes are compared. Members of a key are
 first linked to one leader each. Then only keys whose members are still in different components are
 searched in full: signatures of cross-component pairs are compared block by block inside the tasks,
-nearest first, and pairs that are still apart go on to the next round. Every link is confirmed on the
+the nearest of each member first, and then all that are still apart. Every link is confirmed on the
 full shingle sets.
 """
 
@@ -37,9 +37,10 @@ CHUNK = 4
 CHECKED = 256  # symbols of 8 bits that screen a pair before its sets are compared
 SCREEN = 157  # pairs at 0.75 agree in 192 of 256 on average, with a deviation of 7
 GROUP = 2048
+NEAREST = 8
 _rng = np.random.default_rng(20240229)
-FACTORS = _rng.integers(0, 1 << 63, CHECKED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _rng.integers(0, 1 << 63, CHECKED, dtype=np.uint64)
+FACTORS = _rng.integers(0, 1 << 31, CHECKED, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+SHIFTS = _rng.integers(0, 1 << 32, CHECKED, dtype=np.uint32)
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -53,10 +54,11 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
 
 def minima(items: np.ndarray) -> np.ndarray:
     """The smallest value of each of the hash functions over a set, mixed."""
-    low = np.full(CHECKED, np.iinfo(np.uint64).max, np.uint64)
+    short = (items >> np.uint64(32)).astype(np.uint32)
+    low = np.full(CHECKED, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(items), 1024):
-        low = np.minimum(low, (items[at : at + 1024, None] * FACTORS + SHIFTS).min(axis=0))
-    return mix(low)
+        low = np.minimum(low, (short[at : at + 1024, None] * FACTORS + SHIFTS).min(axis=0))
+    return mix(low.astype(np.uint64))
 
 
 def chunk_keys(low: np.ndarray) -> np.ndarray:
@@ -70,12 +72,12 @@ def chunk_keys(low: np.ndarray) -> np.ndarray:
     return np.concatenate(keys).astype(np.int64)
 
 
-SIGNED = "doc_id long, key long, n_shingles long, class string, keys array<long>, checks binary"
+SIGNED = "doc_id long, key long, n_shingles long, class string, keys array<long>, symbols binary, checks binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, classes, keys, checks = [], [], [], []
+        sizes, classes, keys, symbols, checks = [], [], [], [], []
         for text in batch.column(2):
             items = shingles(text.as_buffer().to_pybytes())
             sizes.append(len(items))
@@ -83,11 +85,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low = minima(items)
                 classes.append(hashlib.blake2b(items.tobytes(), digest_size=16).hexdigest())
                 keys.append(chunk_keys(low))
+                symbols.append((low[:SYMBOLS] & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
                 checks.append((low >> np.uint64(56)).astype(np.uint8).tobytes())
             else:
-                classes.append(None), keys.append(None), checks.append(None)
-        arrays = [pa.array(sizes, pa.int64()), pa.array(classes, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(checks, pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "key", "n_shingles", "class", "keys", "checks"])
+                classes.append(None), keys.append(None), symbols.append(None), checks.append(None)
+        arrays = [pa.array(sizes, pa.int64()), pa.array(classes, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
+        arrays += [pa.array(symbols, pa.binary()), pa.array(checks, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=[c.split()[0] for c in SIGNED.split(", ")])
 
 
 @F.pandas_udf(T.IntegerType())
@@ -133,9 +137,22 @@ def _screen(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(agreement("x", "y") >= SCREEN).select("a", "b")
 
 
+def shared_entries(reps: DataFrame) -> DataFrame:
+    """``k, rep, n`` of the keys that n > 1 representatives share."""
+    entries = reps.select("rep", F.explode("keys").alias("k"))
+    sizes = entries.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return entries.join(sizes, "k")
+
+
 def leader_pairs(entries: DataFrame) -> DataFrame:
-    """``a, b``: each member with the leader (smallest member) it shares most keys with."""
-    leaders = entries.groupBy("k").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    """``a, b``: each member with the leader it shares most keys with.
+
+    The leader of a key is the member that meets most others under all its keys: the text that the
+    others were made from, where it is there.
+    """
+    met = entries.groupBy("rep").agg(F.sum("n").alias("met"))
+    rank = F.struct(F.col("met"), (-F.col("rep")).alias("rep"))
+    leaders = entries.join(met, "rep").groupBy("k").agg(F.max(rank).alias("m")).select("k", (-F.col("m.rep")).alias("b"))
     shared = entries.join(leaders, "k").filter("rep <> b").groupBy("rep", "b").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy("rep").agg(F.max(F.struct(F.col("n"), (-F.col("b")).alias("b"))).alias("m"))
     return best.select(F.col("rep").alias("a"), (-F.col("m.b")).alias("b"))
@@ -153,40 +170,50 @@ def mixed_members(entries: DataFrame, components: DataFrame, reps: DataFrame) ->
     own, so no task holds more than two blocks.
     """
     labelled = with_component(entries, components, "home")
-    per_key = labelled.groupBy("k").agg(F.min("home").alias("lo"), F.max("home").alias("hi"), F.count(F.lit(1)).alias("n"))
-    members = labelled.join(per_key.filter("lo <> hi").select("k", "n"), "k").join(reps.select("rep", "checks"), "rep")
+    per_key = labelled.groupBy("k").agg(F.min("home").alias("lo"), F.max("home").alias("hi"))
+    members = labelled.join(per_key.filter("lo <> hi").select("k"), "k").join(reps.select("rep", "symbols", "checks"), "rep")
     blocks = F.ceil(F.col("n") / GROUP).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda c: F.struct(F.least(c, mine).alias("u"), F.greatest(c, mine).alias("v")))
-    return members.select("k", "rep", "home", "checks", mine.alias("block"), F.explode(pairs).alias("g")).select("*", "g.u", "g.v").drop("g")
+    return members.select("k", "rep", "home", "symbols", "checks", mine.alias("block"), F.explode(pairs).alias("g")).select("*", "g.u", "g.v").drop("g")
 
 
 FOUND = "a long, b long, more boolean"
 
 
-def _search(low: int, high: int):
-    """Pairs of one group in different components, by rank among the near ones of each member."""
+def _search(low: int, high: int | None):
+    """Pairs of one group in different components, by rank among the near ones of each member.
+
+    A pair that shares several keys is given under the first of them only.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         reps, home, now, block = (table.column(c).to_numpy() for c in ("rep", "home", "now", "block"))
-        u, v = table.column("u")[0].as_py(), table.column("v")[0].as_py()
+        place = table.column("k")[0].as_py() >> 48
+        within = table.column("u")[0].as_py() == table.column("v")[0].as_py()
+        symbols = np.frombuffer(b"".join(table.column("symbols").to_pylist()), np.uint16).reshape(len(reps), -1)
         checks = np.frombuffer(b"".join(table.column("checks").to_pylist()), np.uint8).reshape(len(reps), -1)
         order = np.argsort(reps)
-        reps, home, now, block, checks = reps[order], home[order], now[order], block[order], checks[order]
+        reps, home, now, block, symbols, checks = (v[order] for v in (reps, home, now, block, symbols, checks))
         a, b, more = [], [], False
         for i in range(len(reps)):
-            other = np.flatnonzero((home != home[i]) if u == v else (home != home[i]) & (block != block[i]))
-            other = other[other > i]
+            away = home[i + 1 :] != home[i]
+            other = np.flatnonzero(away if within else away & (block[i + 1 :] != block[i])) + i + 1
             if not len(other) or (now[other] == now[i]).all():
                 continue
             alike = (checks[other] == checks[i]).sum(axis=1)
             near = alike >= SCREEN
             ranked = other[near][np.argsort(-alike[near], kind="stable")]
             apart = now[ranked] != now[i]
+            more |= high is not None and bool(apart[high:].any())
             picked = ranked[low:high][apart[low:high]]
-            a += [int(reps[i])] * len(picked)
-            b += reps[picked].tolist()
-            more |= bool(apart[high:].any())
+            if len(picked):
+                same = (symbols[picked] == symbols[i]).reshape(len(picked), -1, CHUNK)
+                chunk = (same.sum(axis=2) >= CHUNK - 1).argmax(axis=1)
+                first = chunk * CHUNK + (~same[np.arange(len(picked)), chunk]).argmax(axis=1)
+                picked = picked[first == place]
+                a += [int(reps[i])] * len(picked)
+                b += reps[picked].tolist()
         a, b, flags = [*a, -1], [*b, -1], [*[False] * len(a), more]
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(flags, pa.bool_())], names=["a", "b", "more"])
 
@@ -196,23 +223,22 @@ def _search(low: int, high: int):
 def components(rows: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(class representatives, components of those with a link)."""
     usable = signed.filter(f"class IS NOT NULL AND doc_id <> {NO_ID}")
-    first = F.min(F.struct("doc_id", "key", "keys", "checks")).alias("m")
-    picked = usable.groupBy("class").agg(first).select("class", F.col("m.doc_id").alias("rep"), "m.key", "m.keys", "m.checks")
+    first = F.min(F.struct("doc_id", "key", "keys", "symbols", "checks")).alias("m")
+    picked = usable.groupBy("class").agg(first).select("class", F.col("m.doc_id").alias("rep"), "m.key", "m.keys", "m.symbols", "m.checks")
     reps = stored(picked, "classes")
-    entries = reps.select("rep", F.explode("keys").alias("k"))
+    entries = stored(shared_entries(reps), "entries")
     links = stored(confirmed(stored(_screen(leader_pairs(entries), reps), "pairs"), rows, reps), "confirmed")
     found = smallest_reachable(links)
     members = stored(mixed_members(entries, found, reps), "members")
-    low, high = 0, 4
-    while True:
+    for low, high in ((0, NEAREST), (NEAREST, None)):
         groups = with_component(members, found, "now").groupBy("k", "u", "v")
         search = stored(groups.applyInArrow(_search(low, high), FOUND), "search")
         pairs = search.filter("a >= 0").select("a", "b").distinct()
         links = stored(links.unionByName(confirmed(stored(pairs, "pairs"), rows, reps)), "confirmed")
         found = smallest_reachable(links)
         if not search.filter("more").limit(1).count():
-            return reps, found
-        low, high = high, high * 8
+            break
+    return reps, found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
