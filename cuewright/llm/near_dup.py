@@ -35,9 +35,9 @@ SHINGLE = 5
 SYMBOLS = 64
 CHUNK = 4
 CHECKED = 256  # symbols of 8 bits that screen a pair before its sets are compared
-SCREEN = 157  # pairs at 0.75 agree in 192 of 256 on average, with a deviation of 7
+SCREEN = 165  # pairs at 0.75 agree in 192 of 256 on average; this is four deviations below
 GROUP = 2048
-NEAREST = 8
+NEAREST = 4
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 1 << 31, CHECKED, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFTS = _rng.integers(0, 1 << 32, CHECKED, dtype=np.uint32)
@@ -169,13 +169,14 @@ def mixed_members(entries: DataFrame, components: DataFrame, reps: DataFrame) ->
     A key with more than ``GROUP`` members is cut into blocks; each pair of blocks is a group of its
     own, so no task holds more than two blocks.
     """
-    labelled = with_component(entries, components, "home")
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    labelled = with_component(entries, components, "home").join(sizes.withColumnRenamed("component", "home"), "home", "left").fillna(1, ["size"])
     per_key = labelled.groupBy("k").agg(F.min("home").alias("lo"), F.max("home").alias("hi"))
     members = labelled.join(per_key.filter("lo <> hi").select("k"), "k").join(reps.select("rep", "symbols", "checks"), "rep")
     blocks = F.ceil(F.col("n") / GROUP).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda c: F.struct(F.least(c, mine).alias("u"), F.greatest(c, mine).alias("v")))
-    return members.select("k", "rep", "home", "symbols", "checks", mine.alias("block"), F.explode(pairs).alias("g")).select("*", "g.u", "g.v").drop("g")
+    return members.select("k", "rep", "home", "size", "symbols", "checks", mine.alias("block"), F.explode(pairs).alias("g")).select("*", "g.u", "g.v").drop("g")
 
 
 FOUND = "a long, b long, more boolean"
@@ -184,21 +185,22 @@ FOUND = "a long, b long, more boolean"
 def _search(low: int, high: int | None):
     """Pairs of one group in different components, by rank among the near ones of each member.
 
-    A pair that shares several keys is given under the first of them only.
+    The member of the smaller first component looks for partners, and a pair that shares several keys
+    is given under the first of them only.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        reps, home, now, block = (table.column(c).to_numpy() for c in ("rep", "home", "now", "block"))
+        reps, home, size, now, block = (table.column(c).to_numpy() for c in ("rep", "home", "size", "now", "block"))
         place = table.column("k")[0].as_py() >> 48
         within = table.column("u")[0].as_py() == table.column("v")[0].as_py()
         symbols = np.frombuffer(b"".join(table.column("symbols").to_pylist()), np.uint16).reshape(len(reps), -1)
         checks = np.frombuffer(b"".join(table.column("checks").to_pylist()), np.uint8).reshape(len(reps), -1)
         order = np.argsort(reps)
-        reps, home, now, block, symbols, checks = (v[order] for v in (reps, home, now, block, symbols, checks))
+        reps, home, size, now, block, symbols, checks = (v[order] for v in (reps, home, size, now, block, symbols, checks))
         a, b, more = [], [], False
         for i in range(len(reps)):
-            away = home[i + 1 :] != home[i]
-            other = np.flatnonzero(away if within else away & (block[i + 1 :] != block[i])) + i + 1
+            away = (size > size[i]) | ((size == size[i]) & (home > home[i]))
+            other = np.flatnonzero(away if within else away & (block != block[i]))
             if not len(other) or (now[other] == now[i]).all():
                 continue
             alike = (checks[other] == checks[i]).sum(axis=1)
@@ -214,7 +216,9 @@ def _search(low: int, high: int | None):
                 picked = picked[first == place]
                 a += [int(reps[i])] * len(picked)
                 b += reps[picked].tolist()
-        a, b, flags = [*a, -1], [*b, -1], [*[False] * len(a), more]
+        flags = [False] * len(a)
+        if more:
+            a, b, flags = [*a, -1], [*b, -1], [*flags, True]
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(flags, pa.bool_())], names=["a", "b", "more"])
 
     return run
