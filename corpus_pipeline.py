@@ -7,37 +7,46 @@ documents of the next one. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.llm import decontamination, mixing, near_dup, quality_rules, suffix_dedup
+from cuewright.llm.common import KEY, text_key
 from cuewright.llm.plans import MIX, domains, table
 from cuewright.plans.registry import query
 from cuewright.session import scratch_path
 
 
-def _selected(docs: DataFrame, verdicts: DataFrame, keep: Column) -> DataFrame:
-    """Rows of ``docs`` whose id has a verdict that keeps it; null ids match null ids."""
-    chosen = verdicts.filter(keep).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
+def _same(docs: DataFrame, found: DataFrame, by: list[str]) -> Column:
+    """``_c`` of ``found`` for each c of ``by`` is that of the row: its id, the hash of its text, columns; null is null."""
+    mine = {"doc_id": docs["doc_id"].cast("long"), "key": text_key(docs["text"])}
+    return reduce(and_, [(mine[c] if c in mine else docs[c]).eqNullSafe(found[f"_{c}"]) for c in by])
+
+
+def _selected(docs: DataFrame, verdicts: DataFrame, keep: Column, by: list[str] = KEY) -> DataFrame:
+    """Rows of ``docs`` that their own verdict keeps; rows that share an id, or have none, are told apart by ``by``."""
+    chosen = verdicts.filter(keep).select(*[F.col(c).alias(f"_{c}") for c in by]).distinct()
+    return docs.join(chosen, _same(docs, chosen, by), "left_semi")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _selected(docs, quality_rules.judge(docs), F.col("kept"))
+    return _selected(docs, quality_rules.judge(docs, with_key=True), F.col("kept"), [*KEY, "lang", "source"])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near duplicates."""
-    return _selected(docs, near_dup.near_duplicates(docs), F.col("kept"))
+    return _selected(docs, near_dup.near_duplicates(docs, with_key=True), F.col("kept"))
 
 
 def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_id", "_text"])
+        texts = [b.decode("utf-8", "ignore") for b in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_doc_id", "_key", "_text"])
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +54,10 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``text`` and ``n_chars`` change where something was removed; documents with nothing left go.
     """
-    cut = suffix_dedup.remove_repeats(docs).filter("n_removed > 0")
-    changed = cut.select("doc_id", "kept").mapInArrow(_whole_characters, "_id long, _text string").dropDuplicates(["_id"])
-    joined = docs.join(changed, docs["doc_id"].cast("long").eqNullSafe(changed["_id"]), "left")
+    cut = suffix_dedup.remove_repeats(docs, with_key=True).filter("n_removed > 0")
+    changed = cut.select(*KEY, "kept").mapInArrow(_whole_characters, "_doc_id long, _key long, _text string")
+    changed = changed.dropDuplicates(["_doc_id", "_key"])  # repeated rows share one result
+    joined = docs.join(changed, _same(docs, changed, KEY), "left")
     text = F.coalesce(F.col("_text"), docs["text"])
     new = {"text": text, "n_chars": F.when(F.col("_text").isNull(), docs["n_chars"]).otherwise(F.length("_text"))}
     kept = joined.filter(F.col("_text").isNull() | (F.trim("_text") != ""))
@@ -56,7 +66,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by a benchmark item."""
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), with_key=True)
     return _selected(docs, found, ~F.col("contaminated"))
 
 

@@ -12,6 +12,11 @@ BLANKS = r"[\x20\x09-\x0D]+"
 KEY = ["doc_id", "key"]
 
 
+def text_key(text: Column) -> Column:
+    """The hash of a text that tells apart rows that share an id; a null text reads as the empty text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, key, text`` of every row and no other column, so that extra columns cannot clash.
 
@@ -22,7 +27,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ship_package(docs.sparkSession)
     text = F.coalesce(docs[text_col], F.lit(""))
     ident = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
-    return docs.select(ident.alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return docs.select(ident.alias("doc_id"), text_key(docs[text_col]).alias("key"), text.alias("text"))
 
 
 def real_id() -> Column:

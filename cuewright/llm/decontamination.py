@@ -68,6 +68,7 @@ def contaminated(
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
+    with_key: bool = False,
 ) -> DataFrame:
     """``doc_id, n_words, n_hit, n_near, matches, items, contaminated`` of every row of ``docs``.
 
@@ -76,7 +77,8 @@ def contaminated(
     ``n_near`` counts windows whose rarest words all occur within ``slop`` places of their order.
     ``contaminated`` means that at least 1 word in 20 is hit. Null, empty and wordless texts have no
     words and no hits; items without words are never found; an empty benchmark finds nothing.
-    Repeated documents each get their row, repeated items count once.
+    Repeated documents each get their row, repeated items count once. ``with_key`` adds the row's
+    ``key``, the hash of its text.
     """
     rows = keyed(docs, id_col, text_col)
     items = stored(item_words(benchmark, item_col, "text"), "items")
@@ -113,10 +115,10 @@ def contaminated(
     )
     per_doc = candidates.groupBy(*KEY).agg(F.flatten(F.collect_list(listed)).alias("found"), F.count(F.lit(1)).alias("n_near"))
 
-    joined = rows.join(per_doc, KEY, "left").select("doc_id", "n_near", "found", terms(F.col("text")).alias("words"))
+    joined = rows.join(per_doc, KEY, "left").select(*KEY, "n_near", "found", terms(F.col("text")).alias("words"))
     true = F.filter("found", lambda c: (c["start"] >= 0) & (F.slice("words", F.greatest(c["start"], F.lit(0)) + 1, F.size(c["phrase"])) == c["phrase"]))
     checked = joined.select(
-        "doc_id",
+        *KEY,
         F.size("words").cast("long").alias("n_words"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.coalesce(
@@ -128,4 +130,4 @@ def contaminated(
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     out = checked.select("*", F.size(touched).cast("long").alias("n_hit"), names.alias("items"))
     flag = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return out.select(real_id(), "n_words", "n_hit", "n_near", "matches", "items", flag.alias("contaminated"))
+    return out.select(real_id(), "n_words", "n_hit", "n_near", "matches", "items", flag.alias("contaminated"), *["key"] * with_key)

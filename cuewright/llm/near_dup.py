@@ -245,7 +245,7 @@ def components(rows: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame
     return reps, found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
 
     Words are lower-cased (A-Z) and stand between blanks, tabs and line ends; a document's set holds
@@ -253,13 +253,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a similarity of 0.75 or more are linked; ``component_id`` is the smallest id that can be reached
     over links and ``kept`` marks the document that bears it. Null, empty and wordless texts have an
     empty set and stay alone. Rows without id are not linked: no component, kept. Rows that share an
-    id count as one document.
+    id count as one document. ``with_key`` adds the row's ``key``, the hash of its text.
     """
     rows = keyed(docs, id_col, text_col)
     signed = stored(rows.mapInArrow(_sign, SIGNED), "signatures")
     reps, found = components(rows, signed)
     classes = with_component(reps.select("class", "rep"), found, "component").select("class", "component")
-    joined = signed.select("doc_id", "n_shingles", "class").join(classes, "class", "left")
+    joined = signed.select("doc_id", "key", "n_shingles", "class").join(classes, "class", "left")
     component: Column = F.when(F.col("doc_id") != NO_ID, F.coalesce("component", "doc_id"))
     kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
-    return joined.select(real_id(), "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return joined.select(real_id(), "n_shingles", component.alias("component_id"), kept.alias("kept"), *["key"] * with_key)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import stored, words
+from cuewright.llm.common import stored, text_key, words
 
 RATES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
 SPAN = 8
@@ -35,17 +35,19 @@ class Fences:
     sketch_k: int = 4096
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
     """One row of counts per row of ``docs``: base measures, rates, language and source.
 
     A null text counts as empty: all counts 0, rates 0, ``base_failed``. Columns beyond id, text,
-    ``lang`` and ``source`` are not read.
+    ``lang`` and ``source`` are not read. ``with_key`` adds the row's ``key``, the hash of its text.
     """
+    carried = ["key"] * with_key
     plain = docs.select(
         docs[id_col].alias("doc_id"),
         docs["lang"].alias("lang"),
         docs["source"].alias("source"),
         F.coalesce(docs[text_col], F.lit("")).alias("t"),
+        *[text_key(docs[text_col]).alias(c) for c in carried],
     )
     split = plain.select(
         "doc_id",
@@ -54,6 +56,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         words(F.col("t")).alias("w"),
         F.length(F.regexp_replace("t", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        *carried,
     )
     counted = split.select(
         "doc_id",
@@ -65,6 +68,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
+        *carried,
     )
     base = [c for c in counted.columns if c != "h"]
     # Hashes of one word become hashes of 2, 4 and 8 words from the same place on.
@@ -96,6 +100,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         _rate("n_dup_lines", "n_lines").alias("dup_line_rate"),
         _rate("n_repeat_words", "n_words").alias("repeat_rate"),
         _rate("word_chars", "n_words").alias("word_length"),
+        *carried,
     )
 
 
@@ -134,15 +139,15 @@ def thresholds(measured: DataFrame, fences: Fences = Fences()) -> DataFrame:
     return wide.select("lang", "source", *limits)
 
 
-def judge(docs: DataFrame, fences: Fences = Fences(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, fences: Fences = Fences(), id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
     """Counts and verdict of every row: ``doc_id, lang, source``, counts, rates, ``base_failed, kept``.
 
     ``kept`` is false where ``base_failed`` is true (fewer than 20 words, or over 30 % of the words
     in repeated 8-word windows) or a rate lies outside the fences of the row's (language, source).
     Rows without id, language or source are judged like others; repeated rows each get a row; an
-    empty table gives no rows; ties at a fence are kept.
+    empty table gives no rows; ties at a fence are kept. ``with_key`` adds ``key``, the hash of the text.
     """
-    measured = stored(measure(docs, id_col, text_col), "quality-measures")
+    measured = stored(measure(docs, id_col, text_col, with_key), "quality-measures")
     limits = thresholds(measured, fences).select(
         F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[f"{r}_{e}" for r in RATES for e in ("low", "high")]
     )

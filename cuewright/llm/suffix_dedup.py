@@ -250,7 +250,7 @@ def _sorted(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(arrays, names=["doc_id", "key", "spans"])
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, key long"
 _OUT = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -258,6 +258,7 @@ _OUT = pa.schema(
         ("n_removed", pa.int64()),
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         ("kept", pa.binary()),
+        ("key", pa.int64()),
     ]
 )
 
@@ -265,12 +266,12 @@ _OUT = pa.schema(
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for ident, text, told in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+        for ident, text, told, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             data = text.as_buffer().to_pybytes()
             spans = _joined(np.frombuffer(b"".join(told), np.int64).reshape(-1, 2)) if told else np.empty((0, 2), np.int64)
             edges = [0, *spans.ravel().tolist(), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            rows.append((ident, len(data), len(data) - len(kept), [{"start": a, "end": b} for a, b in spans.tolist()], kept))
+            rows.append((ident, len(data), len(data) - len(kept), [{"start": a, "end": b} for a, b in spans.tolist()], kept, key))
         columns = list(zip(*rows)) or [()] * len(_OUT)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT)], schema=_OUT)
 
@@ -284,17 +285,17 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     return stretches.groupBy("bucket").applyInArrow(_sorted, SPANS)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept`` of every row of ``docs``.
 
     Every byte goes that lies in a string of 200 bytes which also starts anywhere else, in the same
     text or another; overlapping places count and strings are judged on the input. ``spans`` are the
     maximal removed runs as byte offsets, end excluded, ``kept`` the remaining bytes. Null and empty
     texts, and texts under 200 bytes, lose nothing. Repeated rows count as separate texts and so
-    remove each other.
+    remove each other. ``with_key`` adds the row's ``key``, the hash of its text.
     """
     rows = keyed(docs, id_col, text_col)
     found = repeated_spans(rows).groupBy(*KEY).agg(F.collect_list("spans").alias("spans"))
-    joined = rows.join(found, KEY, "left").select("doc_id", "text", "spans")
+    joined = rows.join(found, KEY, "left").select("doc_id", "text", "spans", "key")
     cut = joined.mapInArrow(_cut, OUT)
-    return cut.select(real_id(), "n_bytes", "n_removed", "spans", "kept")
+    return cut.select(real_id(), "n_bytes", "n_removed", "spans", "kept", *["key"] * with_key)

@@ -48,3 +48,44 @@ def test_stages(spark, tmp_path):
             assert docs.filter(F.col("n_chars") != F.length("text")).count() == 0
     assert {r["doc_id"] for r in docs.collect()} == set(state)
     assert corpus_pipeline.run(spark, base).count() == len(state)
+
+
+def test_rows_without_id_or_with_a_shared_id_keep_their_own_results(spark, tmp_path):
+    base, repeat, leak = str(tmp_path), sentence(2, 100), sentence(900, 30)
+    own = [sentence(700 + k, 60) for k in range(4)]
+    rows = [
+        (None, own[0] + " " + repeat),
+        (None, own[1]),
+        (None, own[1]),
+        (None, "short"),
+        (None, own[2] + " " + leak),
+        (None, None),
+        (5, own[3]),
+        (5, repeat + " " + own[0][:90]),
+        (5, "la la " * 60),
+        (5, sentence(4, 30) + " " + leak),
+        (6, sentence(8, 70)),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+
+    def texts(df):
+        return sorted((str(r["doc_id"]), str(r["text"])) for r in df.collect())
+
+    def want(some):
+        return sorted((str(i), str(t)) for i, t in some)
+
+    bad = ("short", None, "la la " * 60)
+    assert texts(corpus_pipeline.rules(spark, docs, base)) == want((i, t) for i, t in rows if t not in bad)
+    cut = [(r[0], r[4].decode("utf-8", "ignore")) for r in plain.suffix_dedup(rows)]
+    left = want((i, t if raw else raw) for (i, t), (_, raw) in zip(cut, rows) if t.strip() or not raw)
+    assert texts(corpus_pipeline.substrings(spark, docs, base)) == left
+    assert texts(corpus_pipeline.benchmark(spark, docs, base)) == want((i, t) for i, t in rows if leak not in (t or ""))
+
+
+def test_near_stage_decides_on_each_text_of_a_shared_id(spark, tmp_path):
+    a, b = sentence(1, 120), sentence(3, 90)
+    rows = [(1, a), (9, a), (9, b), (None, a), (None, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.near(spark, docs, str(tmp_path)).collect())
+    assert got == sorted([("1", a), ("9", b), ("None", a), ("None", b)])
