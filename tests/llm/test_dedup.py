@@ -117,3 +117,18 @@ def test_replies_to_repeated_rows_of_other_chunks(make_docs, monkeypatch):
     got = suffix_dedup.remove_repeats(make_docs(rows)).collect()
     want = Counter(plain.suffix_dedup(rows))
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == want
+
+
+def test_screen_keeps_a_pair_that_agrees_in_few_symbols(make_docs):
+    """A pair at exactly 0.75 that shares keys, but agrees in only 163 of the 256 symbols of the screen."""
+    w = [f"w523x{j}" for j in range(11)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:10], "other"])), (3, sentence(51, 40))]
+    low = [near_dup.minima(near_dup.shingles(t.encode())) >> np.uint64(56) for _, t in rows[:2]]
+    assert (low[0] == low[1]).sum() == 163
+    got = {r["doc_id"]: tuple(r[1:]) for r in near_dup.near_duplicates(make_docs(rows)).collect()}
+    assert got == plain.near_duplicates(rows) and got[2] == (7, 1, False)
+
+
+def test_rounds_lose_no_pair(make_docs, monkeypatch):
+    monkeypatch.setattr(near_dup, "ROUNDS", ((0, 1), (1, 2), (2, None)))
+    test_near_chain_and_group(make_docs)
