@@ -10,8 +10,9 @@ smaller trie. Equal suffixes end in one leaf; a leaf that was reached twice is a
 
 Equal stretches are merged before they are sorted: of those with one content only the one in the
 document with the smallest id travels, with the weight of two, so a passage that many documents
-share is sorted once. Stretches around a string of 96 to 199 bytes, which is too short to go, are
-bounded by the number of different surroundings it has.
+share is sorted once. A string of 96 to 199 bytes, which is too short to go, can be the anchor of very
+many different stretches. Where there are more than ``CROWD``, they are not sorted in one task: their
+windows are dealt out by their own hashes, which equal windows share, and counted.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm.common import KEY, NO_ID, keyed, pieces, real_id
+from cuewright.llm.common import KEY, NO_ID, keyed, pieces, real_id, stored
 from cuewright.llm.exchange import PACKED, answered, answers, bucket_of, chunks, mix, packed_rows, read_codes
 from cuewright.llm.window_dedup import BASE, UNBASE, runs
 
@@ -33,10 +34,12 @@ GRAM = 96
 SEGMENT = 1 << 19
 BUCKET_BYTES = 24 << 20
 BLOCK = 1 << 19
+CROWD = 4096
 WORD = 8
 SHALLOW = 2
 STRETCHES = "bucket int, gram long, place int, many boolean, doc_id long, key long, start long, body binary, spans binary"
 SPANS = "doc_id long, key long, spans binary"
+WINDOWS = "window long, weight int, doc_id long, key long, start long"
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -119,17 +122,51 @@ def _roles(pairs: np.ndarray, ids: np.ndarray, silent: np.ndarray) -> np.ndarray
     return out[: len(pairs)]
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _sent(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple]:
+    """(doc_id, key, bytes, stretches as in ``anchors``, their codes) of each row."""
+    for ident, key, text, replies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+        data = text.as_buffer().to_pybytes()
+        found = anchors(data)
+        yield ident, key, data, found, read_codes(replies, found[3], buckets)
+
+
+def _anchored(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """How many stretches of a batch are to be sorted around each anchor."""
+    for batch in batches:
+        grams = [found[3][(codes == ALONE) | (codes == FIRST)] for *_, found, codes in _sent(batch, buckets)]
+        values, counts = np.unique(np.concatenate(grams) if grams else np.empty(0, np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["gram", "n"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], buckets: int, crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Hashes of the windows around crowded anchors; those of a repeated stretch weigh two."""
+    for batch in batches:
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in WINDOWS.split(", ")]
+        for ident, key, data, (first, count, _, grams), codes in _sent(batch, buckets):
+            for s in np.flatnonzero(((codes == ALONE) | (codes == FIRST)) & np.isin(grams, crowded)).tolist():
+                starts = np.arange(first[s], first[s] + count[s])
+                hashes = contents(data, starts, np.ones(len(starts), np.int64)).view(np.int64)
+                for column, value in zip(out, (hashes, 2 if codes[s] == FIRST else 1, ident, key, starts)):
+                    column.append(np.broadcast_to(np.asarray(value, np.int64), len(starts)))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        arrays = [pa.array(np.concatenate(c)).cast(k) for c, k in zip(out, kinds)]
+        yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in WINDOWS.split(", ")])
+
+
+def _window_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [np.array([a, a + LENGTH], np.int64).tobytes() for a in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.binary())], names=["doc_id", "key", "spans"])
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], buckets: int, crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Stretches to sort, and spans that are settled because their stretch occurs again."""
     columns = [c.split()[0] for c in STRETCHES.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
     for batch in batches:
         out: list[list] = [[] for _ in columns]
-        for ident, key, text, replies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-            data = text.as_buffer().to_pybytes()
-            first, count, place, grams = anchors(data)
-            codes = read_codes(replies, grams, buckets)
-            sent = np.flatnonzero((codes == ALONE) | (codes == FIRST))
+        for ident, key, data, (first, count, place, grams), codes in _sent(batch, buckets):
+            sent = np.flatnonzero(((codes == ALONE) | (codes == FIRST)) & ~np.isin(grams, crowded))
             rows = list(zip(bucket_of(grams[sent], buckets).tolist(), grams[sent].view(np.int64).tolist(), (place - first)[sent].tolist()))
             for (b, g, p), a, n, code in zip(rows, first[sent].tolist(), count[sent].tolist(), codes[sent].tolist()):
                 row = (b, g, p, code == FIRST, ident, key, a, data[a : a + n + LENGTH - 1], None)
@@ -276,13 +313,26 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT)], schema=_OUT)
 
 
+def judged(rows: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(rows with the answers about their stretches, stretches to sort and settled spans, crowded anchors)."""
+    packed = rows.mapInArrow(lambda it: _ask(it, buckets), PACKED)
+    marked = answered(rows, stored(answers(packed, _roles, 2, buckets), "replies"), "inner")
+    around = marked.mapInArrow(lambda it: _anchored(it, buckets), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    crowded = np.array([r["gram"] for r in around.filter(F.col("n") > CROWD).collect()], np.int64).view(np.uint64)
+    return marked, marked.mapInArrow(lambda it: _stretches(it, buckets, crowded), STRETCHES), crowded
+
+
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """``doc_id, key, spans`` of keyed rows: pairs of byte offsets, possibly several rows a document."""
     buckets = pieces(rows, BUCKET_BYTES)
-    packed = rows.mapInArrow(lambda it: _ask(it, buckets), PACKED)
-    marked = answered(rows, answers(packed, _roles, 2, buckets), "inner")
-    stretches = marked.mapInArrow(lambda it: _stretches(it, buckets), STRETCHES)
-    return stretches.groupBy("bucket").applyInArrow(_sorted, SPANS)
+    marked, stretches, crowded = judged(rows, buckets)
+    spans = stretches.groupBy("bucket").applyInArrow(_sorted, SPANS)
+    if not len(crowded):
+        return spans
+    counted = stored(marked.mapInArrow(lambda it: _windows(it, buckets, crowded), WINDOWS), "crowded")
+    twice = counted.groupBy("window").agg(F.sum("weight").alias("total")).filter("total > 1").select("window")
+    again = counted.filter("weight = 1").join(twice, "window").select("doc_id", "key", "start")
+    return spans.unionByName(again.mapInArrow(_window_spans, SPANS))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:

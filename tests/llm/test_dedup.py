@@ -8,6 +8,7 @@ import pytest
 from plain import sentence
 
 from cuewright.llm import components, near_dup, suffix_dedup, window_dedup
+from cuewright.llm.common import keyed
 
 
 def ids(rows):
@@ -132,3 +133,18 @@ def test_screen_keeps_a_pair_that_agrees_in_few_symbols(make_docs):
 def test_rounds_lose_no_pair(make_docs, monkeypatch):
     monkeypatch.setattr(near_dup, "ROUNDS", ((0, 1), (1, 2), (2, None)))
     test_near_chain_and_group(make_docs)
+
+
+def test_crowded_anchor_is_not_sorted_in_one_group(make_docs, monkeypatch):
+    """A line of 150 bytes with different neighbours, some of which repeat: no group holds more than CROWD stretches."""
+    line, tail = sentence(61, 60)[:150], sentence(62, 60)
+    rows = [(k, sentence(300 + k, 20) + line + sentence(400 + k, 20)) for k in range(40)]
+    rows += [(50, "x " + tail[:90] + line + tail[100:130]), (51, "y " + tail[:90] + line + "z" + tail[140:]), (None, "q" + line + sentence(403, 20))]
+    rows += [(60, rows[0][1]), (60, rows[0][1]), (61, rows[0][1][:-1] + "#")]
+    monkeypatch.setattr(suffix_dedup, "CROWD", 8)
+    _, stretches, crowded = suffix_dedup.judged(keyed(make_docs(rows)), 8)
+    groups = stretches.filter("body IS NOT NULL").groupBy("gram").count().collect()
+    assert len(crowded) and max(r["count"] for r in groups) <= 8
+    got = suffix_dedup.remove_repeats(make_docs(rows)).collect()
+    want = Counter(plain.suffix_dedup(rows))
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == want
