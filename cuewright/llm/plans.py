@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewright.llm import chat_format, decontamination, mixing, near_dup, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, window_dedup
+from cuewright.llm import (
+    centroid_clustering,
+    chat_format,
+    collocations,
+    decontamination,
+    exact_dedup,
+    mixing,
+    near_dup,
+    quality_classifier,
+    quality_rules,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    window_dedup,
+)
 from cuewright.plans.registry import query
 
 
@@ -184,3 +198,88 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs, domains(docs, table(spark, sf_dir, "labels")), MIX)
     return mixed.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(MIX)], "rate")
+
+
+COPIES_SQL = r"""
+WITH t AS (SELECT doc_id, length(COALESCE(text, '')) AS points,
+    sha256(regexp_replace(COALESCE(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents),
+f AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id) AS keep_id,
+    count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM f
+"""
+
+
+@query("op11_exact_dedup", COPIES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+PHRASES_SQL = r"""
+WITH p AS (SELECT COALESCE(lang, 'und') AS lang, unnest(string_split_regex(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+q AS (SELECT lang, row_number() OVER () AS id, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+w AS (SELECT lang, id, unnest(w) AS w1, unnest(range(1, len(w) + 1)) AS i FROM q),
+t AS (SELECT lang, w1, lead(w1) OVER s AS w2, lead(w1, 2) OVER s AS w3 FROM w WINDOW s AS (PARTITION BY lang, id ORDER BY i)),
+f1 AS MATERIALIZED (SELECT lang, w1, CAST(count(*) AS HUGEINT) AS f FROM t GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT lang, w1, w2, CAST(count(*) AS HUGEINT) AS f FROM t WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, CAST(count(*) AS HUGEINT) AS f FROM t WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+s AS (SELECT lang, w1 || ' ' || w2 AS phrase, f2.f AS a, 1 AS cut, x.f AS l, y.f AS r FROM f2 JOIN f1 x USING (lang, w1)
+    JOIN (SELECT lang, w1 AS w2, f FROM f1) y USING (lang, w2)
+    WHERE NOT EXISTS (FROM f3 WHERE f3.lang = f2.lang AND f3.w1 = f2.w1 AND f3.w2 = f2.w2 AND 100 * f3.f >= 50 * f2.f)
+      AND NOT EXISTS (FROM f3 WHERE f3.lang = f2.lang AND f3.w2 = f2.w1 AND f3.w3 = f2.w2 AND 100 * f3.f >= 50 * f2.f)
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, f3.f, 1, x.f, y.f FROM f3 JOIN f1 x USING (lang, w1)
+    JOIN (SELECT lang, w1 AS w2, w2 AS w3, f FROM f2) y USING (lang, w2, w3)
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, f3.f, 2, x.f, y.f FROM f3 JOIN f2 x USING (lang, w1, w2)
+    JOIN (SELECT lang, w1 AS w3, f FROM f1) y USING (lang, w3)),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM (SELECT *, (1000000 * a * a) // (l * r) AS score FROM s)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM m WHERE place = 1),
+n AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", PHRASES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+CENTROIDS, ROUNDS = 40, 5
+
+
+def clusters_sql() -> str:
+    """Rounds as one common table each: distances to all centroids, the nearest one, floors of means."""
+    steps = [
+        """v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64)
+  WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS number, v AS c
+  FROM (SELECT v, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT {CENTROIDS}))""",
+    ]
+    for r in range(ROUNDS + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (SELECT vec_id, v, min(struct_pack(distance := d, number := number)) AS near FROM (SELECT vec_id, v, number,
+    CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT) AS d FROM v, c{r}) GROUP BY vec_id, v)"""
+        )
+        if r < ROUNDS:
+            steps.append(
+                f"""m{r} AS (SELECT number, i, sum(x) AS s, count(*) AS n
+  FROM (SELECT near.number AS number, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY number, i),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.number, COALESCE(q.c, c{r}.c) AS c FROM c{r} LEFT JOIN
+  (SELECT number, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM m{r} GROUP BY number) q ON q.number = c{r}.number)"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + f"""
+SELECT vec_id, CAST(near.number AS INTEGER) AS cluster, near.distance AS distance,
+  CAST(sum(near.distance) OVER (PARTITION BY near.number) AS BIGINT) AS cluster_inertia, CAST(sum(near.distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{ROUNDS} JOIN c{ROUNDS} ON number = near.number"""
+    )
+
+
+@query("op13_centroid_clustering", clusters_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"), CENTROIDS, ROUNDS).drop("centroid")
