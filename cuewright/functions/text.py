@@ -546,7 +546,7 @@ def token_drift(reference: Column, hypothesis: Column) -> Column:
 HIDDEN = r"(?is)<(script|style|head)\b.*?</(script|style|head)\s*>"
 HEADING = r"(?is)<(title|h1|h2)\b[^>]*>(.*?)</(title|h1|h2)\s*>"
 BREAKING = r"(?is)<(p|br|div|h1|h2|h3|li|tr)\b[^>]*>"
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+PAGE_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
 def page_text(html: Column) -> list[Column]:
@@ -564,6 +564,6 @@ def page_text(html: Column) -> list[Column]:
     body = F.regexp_replace(F.regexp_replace(rest, BREAKING, "\n"), r"(?s)<[^>]*>", "")
     body = F.regexp_replace(F.regexp_replace(body, r"[ \t\r]*\n[ \t\r]*", "\n"), r"\n{3,}", "\n\n")
     out = {"title": title, "body": F.btrim(body, F.lit("\n\t\r "))}
-    for entity, char in ENTITIES.items():
+    for entity, char in PAGE_ENTITIES.items():
         out = {name: F.replace(column, F.lit(entity), F.lit(char)) for name, column in out.items()}
     return [column.alias(name) for name, column in out.items()]
