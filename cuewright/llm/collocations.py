@@ -26,7 +26,7 @@ from cuewright.session import ship_package
 DEPTH = 3
 BUDGET = 2_000_000  # suffixes a group should hold, some 200 MB
 LEAST_GROUPS = 64
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 NO_LANG = "und"
 HEAVY = "lang string, first string, second string, f long"
 PACKED = "part int, lang string, words binary, wide boolean, ids binary, counts binary"
@@ -80,12 +80,13 @@ def suffixes(parts: list[tuple[bytes, int]]) -> tuple[pa.Array, np.ndarray]:
     kinds = _KIND[data]
     inside = kinds == 0
     starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]])) if len(data) else np.empty(0, np.int64)
-    upto = np.cumsum(inside)
-    offsets = np.append(upto[starts] - 1, upto[-1] if len(upto) else 0).astype(np.int32)
+    upto = np.cumsum(inside, dtype=np.int32)
+    offsets = np.append(upto[starts] - 1, upto[-1:] if len(upto) else [0]).astype(np.int32)
+    del upto
     column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside].tobytes())])
     coded = column.dictionary_encode()
     ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    piece = np.cumsum(kinds == 2)[starts]
+    piece = np.cumsum(kinds == 2, dtype=np.int32)[starts]
     out = np.zeros((DEPTH, len(ids)), np.int64)
     out[0] = ids
     for d in range(1, DEPTH):
