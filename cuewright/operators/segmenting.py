@@ -1,9 +1,8 @@
-"""Segments from words, folding of fragments, scene cuts, speaker re-splits, cue merging, references."""
+"""Segments from words, scene cuts, speaker re-splits, cue merging, references."""
 
 from __future__ import annotations
 
 import re
-from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cuewright.operators.greedy import greedy_groups
 from cuewright.operators.intervals import interval_join
-from cuewright.operators.ordered import following, largest_group, previous, running_sum, scan
+from cuewright.operators.ordered import following, scan
 from cuewright.operators.pergroup import by_group
 from cuewright.operators.sequences import label_runs
 from cuewright.operators.timeline import majority_speaker, near_other_speaker
@@ -20,16 +19,12 @@ from cuewright.operators.timeline import majority_speaker, near_other_speaker
 MIN_MS, IDEAL_MS, MAX_MS = 1500, 4500, 9000
 MIN_CHARS, MAX_CHARS, MIN_WORDS = 12, 140, 3
 LONG_PAUSE_MS = 350
-MERGE_GAP_MS, STRAY_GAP_MS, STRAY_MS, STRAY_CHARS = 600, 2000, 500, 4
-STITCH_MS, STITCH_GAP_MS = 2500, 900
 SENTENCE_BONUS, CLAUSE_BONUS = 2000, 800
 SENTENCE_MARK = r"[.!?。！？।؟…؛܀։՝።။၊]"
 SENTENCE_TAIL = SENTENCE_MARK + r"[\"')\]]?$"
 CLAUSE_TAIL = r"[,;:—、،؍]$"
-FOLD_PASSES, STITCH_PASSES = 64, 32
 SLICE_MIN_MS, REF_MIN_MS, REF_IDEAL_MS, REF_MAX_MS, SEGMENT_REF_MS = 1500, 5000, 8000, 15000, 3000
 CUE_MIN_MS, CUE_MIN_CHARS, CUE_MAX_CHARS, CUE_MAX_CPS = 1200, 8, 84, 17
-SLICE_BLOCKS = 256
 WORD_NEEDS = ["word_start", "word_end", "chars", "pause", "ends_sentence", "ends_clause"]
 
 
@@ -86,164 +81,6 @@ def words_to_segments(words: DataFrame, limit: int | None = None) -> DataFrame:
     )
 
 
-def is_short(start: Column, end: Column, text: Column) -> Column:
-    """Below the floor in time, characters or words; unspaced text counts half its glyphs as words."""
-    tokens = F.size(F.split(F.trim(text), r"\s+"))
-    glyphs = F.floor(F.length(F.regexp_replace(text, r"\s", "")) / 2)
-    words = F.when(tokens >= MIN_WORDS, tokens).otherwise(F.greatest(tokens, glyphs))
-    return (end - start < MIN_MS) | (F.length(text) < MIN_CHARS) | (words < MIN_WORDS)
-
-
-class _Part:
-    """A segment while it is being folded."""
-
-    __slots__ = ("start", "end", "text", "speaker", "first", "joined")
-
-    def __init__(self, start, end, text, speaker, first):
-        self.start, self.end, self.text, self.speaker, self.first, self.joined = start, end, text, speaker, first, 1
-
-    @property
-    def length(self) -> int:
-        return self.end - self.start
-
-    def short(self) -> bool:
-        tokens = len(self.text.split())
-        words = tokens if tokens >= MIN_WORDS else max(tokens, len(re.sub(r"\s", "", self.text)) // 2)
-        return self.length < MIN_MS or len(self.text) < MIN_CHARS or words < MIN_WORDS
-
-    def stray(self) -> bool:
-        return self.length < STRAY_MS or len(self.text) < STRAY_CHARS
-
-    def take_after(self, other: _Part) -> None:
-        self.text, self.end = f"{self.text} {other.text}", max(self.end, other.end)
-        self.joined += other.joined
-
-    def take_before(self, other: _Part) -> None:
-        self.text, self.start, self.first = f"{other.text} {self.text}", min(self.start, other.start), other.first
-        self.joined += other.joined
-
-
-def _fold_target(part: _Part, back: _Part | None, ahead: _Part | None) -> _Part | None:
-    """Neighbour a fragment joins: close same speaker (the shorter), same speaker, then anyone."""
-    near = STRAY_GAP_MS if part.stray() else MERGE_GAP_MS
-    gaps = {id(n): gap for n, gap in ((back, part.start - back.end if back else 0), (ahead, ahead.start - part.end if ahead else 0))}
-    sides = [n for n in (back, ahead) if n]
-    same = [n for n in sides if n.speaker == part.speaker]
-    close = [n for n in same if gaps[id(n)] <= near]
-    if close:
-        return min(close, key=lambda n: n.length)
-    if same:
-        return same[0]
-    if part.stray() and len(sides) == 2:
-        return min(sides, key=lambda n: gaps[id(n)])
-    return sides[0] if sides else None
-
-
-def _fold_pass(parts: list[_Part]) -> list[_Part]:
-    done: list[_Part] = []
-    waiting = deque(parts)
-    while waiting:
-        part = waiting.popleft()
-        back, ahead = (done[-1] if done else None), (waiting[0] if waiting else None)
-        target = _fold_target(part, back, ahead) if part.short() else None
-        if target is None:
-            done.append(part)
-        elif target is back:
-            back.take_after(part)
-        else:
-            ahead.take_before(part)
-    return done
-
-
-def _stitch_pass(parts: list[_Part]) -> list[_Part]:
-    done: list[_Part] = []
-    for part in parts:
-        last = done[-1] if done else None
-        if (
-            last
-            and last.speaker == part.speaker
-            and part.start - last.end <= STITCH_GAP_MS
-            and max(last.length, part.length) <= STITCH_MS
-            and part.end - last.start <= MAX_MS
-        ):
-            last.text, last.end, last.joined = f"{last.text} {part.text}", part.end, last.joined + part.joined
-        else:
-            done.append(part)
-    return done
-
-
-def _repeat(step, parts: list[_Part], passes: int) -> list[_Part]:
-    for _ in range(passes):
-        after = step(parts)
-        if len(after) == len(parts):
-            return after
-        parts = after
-    return parts
-
-
-SEGMENT_SCHEMA = "job_id long, seg_no long, start_ms long, end_ms long, text string, speaker_id string, joined long"
-SEGMENT_COLUMNS = ["job_id", "seg_no", "start_ms", "end_ms", "text", "speaker_id"]
-
-
-def _in_blocks(segs: DataFrame, barrier: Column, steps: list[tuple], limit: int | None, bound: int | None) -> DataFrame:
-    """Run passes over stretches of a job between barriers that no pass can ever cross.
-
-    A long job becomes many groups, a short one a single group. Passes only ever join rows, so
-    a bound on the rows of a job holds for all later steps.
-    """
-    bound = largest_group(segs, ["job_id"]) if bound is None else bound
-    looks = [previous("_p_end", F.col("end_ms")), previous("_p_start", F.col("start_ms")), previous("_p_text", F.col("text")), previous("_p_who", F.col("speaker_id"))]
-    seen = scan(segs.select(*SEGMENT_COLUMNS), ["job_id"], ["seg_no"], looks, limit, bound)
-    walled = seen.withColumn("_wall", F.coalesce(barrier, F.lit(False)).cast("int"))
-    counted = scan(walled, ["job_id"], ["seg_no"], [running_sum("_block", F.col("_wall"))], limit, bound)
-    keyed = counted.withColumn("_group", F.floor(F.col("_block") / SLICE_BLOCKS)).select(*SEGMENT_COLUMNS, "_group")
-
-    def run(key: tuple, rows: list[tuple]) -> list[tuple]:
-        parts = [_Part(*row) for row in rows]
-        for step, passes in steps:
-            parts = _repeat(step, parts, passes)
-        return [(key[0], p.first, p.start, p.end, p.text, p.speaker, p.joined) for p in parts]
-
-    needs = ["start_ms", "end_ms", "text", "speaker_id", "seg_no"]
-    return by_group(keyed, ["job_id", "_group"], ["seg_no"], needs, run, SEGMENT_SCHEMA)
-
-
-def _tidy(segs: DataFrame) -> DataFrame:
-    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
-    speaker = F.coalesce(F.nullif(F.col("speaker_id"), F.lit("")), F.lit("Speaker 1"))
-    rows = segs.withColumn("text", text).withColumn("speaker_id", speaker)
-    return rows.filter((F.col("end_ms") > F.col("start_ms")) & (F.col("text") != ""))
-
-
-def _both_long() -> Column:
-    # A fragment moves only into a neighbour, never past one; two neighbours above the floor
-    # stay apart in every pass, since folding only lengthens them.
-    return ~is_short(F.col("_p_start"), F.col("_p_end"), F.col("_p_text")) & ~is_short(F.col("start_ms"), F.col("end_ms"), F.col("text"))
-
-
-def merge_short(segs: DataFrame, limit: int | None = None, bound: int | None = None) -> DataFrame:
-    """Fold fragments into neighbours until none is left that can be."""
-    return _in_blocks(segs, _both_long(), [(_fold_pass, FOLD_PASSES)], limit, bound)
-
-
-def stitch(segs: DataFrame, limit: int | None = None, bound: int | None = None) -> DataFrame:
-    """Join close neighbours of one speaker while both are brief."""
-    apart = (
-        (F.col("_p_who") != F.col("speaker_id"))
-        | (F.col("start_ms") - F.col("_p_end") > STITCH_GAP_MS)
-        | (F.col("_p_end") - F.col("_p_start") > STITCH_MS)
-        | (F.col("end_ms") - F.col("start_ms") > STITCH_MS)
-    )
-    return _in_blocks(segs, apart, [(_stitch_pass, STITCH_PASSES)], limit, bound)
-
-
-def clean_up(segs: DataFrame, limit: int | None = None) -> DataFrame:
-    """Drop empty segments, then fold, stitch and fold again."""
-    bound = largest_group(segs, ["job_id"])
-    folded = merge_short(_tidy(segs), limit, bound)
-    return merge_short(stitch(folded, limit, bound), limit, bound).drop("joined")
-
-
 def _boundary(text: str, ideal: int) -> int:
     """Offset of the sentence end, else clause end, else blank, nearest the ideal place."""
     for pattern in (rf"({SENTENCE_MARK}[\"')\]]?)(?:\s+|$)", r"([,;:—、،؍])(?:\s+|$)"):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuewright import views
 from cuewright.functions import chunks, describe
 from cuewright.functions import text as T
-from cuewright.operators import segmenting
+from cuewright.operators import folding, segmenting
 from cuewright.plans import shapes
 from cuewright.plans.registry import query
 from cuewright.session import spread
@@ -148,19 +148,46 @@ def fragments(spark, sf_dir):
     return rows.select("job_id", (F.shiftleft("seg_no", 32) + F.col("frag")).alias("seg_no"), "start_ms", "end_ms", "text", "speaker_id")
 
 
-@query("grp_merge_short", views="v_words")
+def folding_sql(*phases: str, where: str = "TRUE") -> str:
+    """The passes as a machine that handles one part of each job per step: ``rest`` waits, ``done`` is behind.
+
+    A pass that joins nothing ends its phase, ``fold`` or ``stitch``.
+    """
+    stitching = " OR ".join(f"phase = {i}" for i, name in enumerate(phases, 1) if name == "stitch") or "FALSE"
+    return f"""WITH RECURSIVE fr AS (SELECT job_id, seg_no*4294967296+(word_no-1)//(seg_no%4+1) AS seg, ANY_VALUE(speaker_id) AS who, MIN(word_start) AS a, MAX(word_end) AS b,
+  STRING_AGG(word, ' ' ORDER BY word_no) AS t FROM v_words GROUP BY 1,2),
+m(job_id, rest, done, n0, pass, phase) USING KEY (job_id) AS (
+  SELECT job_id, LIST({{'s': a, 'e': b, 't': t, 'w': who, 'f': seg, 'n': 1::BIGINT}} ORDER BY seg), []::STRUCT(s BIGINT, e BIGINT, t VARCHAR, w VARCHAR, f BIGINT, n BIGINT)[], COUNT(*), 1, 1
+  FROM fr WHERE {where} GROUP BY job_id
+  UNION
+  SELECT job_id,
+    CASE WHEN p IS NULL THEN CASE WHEN finished THEN [] ELSE done END WHEN target = 2 THEN list_prepend({{'s': LEAST(h.s, p.s), 'e': h.e, 't': p.t || ' ' || h.t, 'w': h.w, 'f': p.f, 'n': p.n + h.n}}, rest[3:]) ELSE rest[2:] END,
+    CASE WHEN p IS NULL THEN CASE WHEN finished THEN done ELSE [] END WHEN target = 0 THEN list_append(done, p) WHEN target = 1
+      THEN list_append(done[1:len(done)-1], {{'s': k.s, 'e': CASE WHEN stitching THEN p.e ELSE GREATEST(k.e, p.e) END, 't': k.t || ' ' || p.t, 'w': k.w, 'f': k.f, 'n': k.n + p.n}}) ELSE done END,
+    CASE WHEN p IS NULL THEN len(done) ELSE n0 END, CASE WHEN p IS NOT NULL THEN pass WHEN settled THEN 1 ELSE pass + 1 END, CASE WHEN p IS NULL AND settled THEN phase + 1 ELSE phase END
+  FROM (SELECT *, settled AND phase = {len(phases)} AS finished, CASE WHEN stitching THEN CASE WHEN sk AND gk <= 900 AND GREATEST(k.e-k.s, p.e-p.s) <= 2500 AND p.e-k.s <= 9000 THEN 1 ELSE 0 END
+      WHEN NOT short THEN 0 WHEN sk AND gk <= near AND sh AND gh <= near THEN CASE WHEN k.e-k.s <= h.e-h.s THEN 1 ELSE 2 END WHEN sk AND gk <= near THEN 1 WHEN sh AND gh <= near THEN 2
+      WHEN sk THEN 1 WHEN sh THEN 2 WHEN stray AND k IS NOT NULL AND h IS NOT NULL THEN CASE WHEN gk <= gh THEN 1 ELSE 2 END WHEN k IS NOT NULL THEN 1 WHEN h IS NOT NULL THEN 2 ELSE 0 END AS target
+    FROM (SELECT *, len(done) = n0 OR pass = CASE WHEN stitching THEN 32 ELSE 64 END AS settled, p.e-p.s < 1500 OR LENGTH(p.t) < 12 OR CASE WHEN tok >= 3 THEN tok ELSE GREATEST(tok, LENGTH(REPLACE(p.t, ' ', ''))//2) END < 3 AS short,
+        CASE WHEN stray THEN 2000 ELSE 600 END AS near, p.s-k.e AS gk, h.s-p.e AS gh, COALESCE(k.w = p.w, FALSE) AS sk, COALESCE(h.w = p.w, FALSE) AS sh
+      FROM (SELECT *, p.e-p.s < 500 OR LENGTH(p.t) < 4 AS stray, len(string_split(p.t, ' ')) AS tok
+        FROM (SELECT *, rest[1] AS p, rest[2] AS h, done[len(done)] AS k, {stitching} AS stitching FROM m WHERE phase <= {len(phases)}) z1) z2) z3) z4)
+SELECT job_id, d.f AS seg_no, d.s AS start_ms, d.e AS end_ms, d.t AS text, d.w AS speaker_id, d.n AS joined FROM (SELECT job_id, UNNEST(done) AS d FROM m WHERE phase > {len(phases)})"""
+
+
+@query("grp_merge_short", views="v_words", sql=folding_sql("fold"))
 def merge_short(spark, sf_dir):
-    return segmenting.merge_short(fragments(spark, sf_dir))
+    return folding.merge_short(fragments(spark, sf_dir))
 
 
-@query("grp_stitch", views="v_words")
+@query("grp_stitch", views="v_words", sql=folding_sql("stitch"))
 def stitch(spark, sf_dir):
-    return segmenting.stitch(fragments(spark, sf_dir))
+    return folding.stitch(fragments(spark, sf_dir))
 
 
-@query("grp_clean_up", views="v_words")
+@query("grp_clean_up", views="v_words", sql=folding_sql("fold", "stitch", "fold", where="b > a AND t <> ''").replace(", d.n AS joined", ""))
 def clean_up(spark, sf_dir):
-    return segmenting.clean_up(fragments(spark, sf_dir))
+    return folding.clean_up(fragments(spark, sf_dir))
 
 
 @query("grp_scene_cuts", views="v_segments")

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cuewright.operators import folding
 from cuewright.operators import segmenting as S
 from cuewright.operators import timeline
 
@@ -148,23 +149,62 @@ def loop_result(rows, *steps):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit", [10_000, 25])
+@pytest.mark.parametrize("limit", [10_000, 90, 25])
 @pytest.mark.parametrize(
     "operator, steps",
     [
-        (S.merge_short, [fold_by_index]),
-        (S.stitch, [stitch_by_index]),
-        (S.clean_up, [fold_by_index, stitch_by_index, fold_by_index]),
+        (folding.merge_short, [fold_by_index]),
+        (folding.stitch, [stitch_by_index]),
+        (folding.clean_up, [fold_by_index, stitch_by_index, fold_by_index]),
     ],
 )
-def test_folding(spark, monkeypatch, operator, steps, limit):
-    monkeypatch.setattr(S, "SLICE_BLOCKS", 3)
+def test_folding(spark, operator, steps, limit):
     rows = segment_rows()
     df = spark.createDataFrame(rows, "job_id long, seg_no long, start_ms long, end_ms long, text string, speaker_id string")
     got = sorted((r["job_id"], r["start_ms"], r["end_ms"], r["text"], r["speaker_id"]) for r in operator(df, limit).collect())
     assert got == loop_result(rows, *steps)
 
 
+def test_folding_a_job_of_fragments_in_chunks(spark):
+    """No row is a boundary by itself; a stretch of one speaker grows over several chunks."""
+    rnd, rows, clock = random.Random(6), [], 0
+    for i in range(600):
+        clock += rnd.choice([0, 50, 650, 2100])
+        length = rnd.choice([100, 300, 700])
+        who = "A" if 150 <= i < 330 else rnd.choice("AB")
+        rows.append((1, i, clock, clock + length, rnd.choice(["go", "on it", "a"]), who))
+        clock += length
+    df = spark.createDataFrame(rows, "job_id long, seg_no long, start_ms long, end_ms long, text string, speaker_id string")
+    want = [(p["s"], p["e"], p["t"], p["w"]) for p in fold_by_index([{"s": s, "e": e, "t": t, "w": w} for _, _, s, e, t, w in rows])]
+    got = [(r["start_ms"], r["end_ms"], r["text"], r["speaker_id"]) for r in folding.merge_short(df, 50).orderBy("seg_no").collect()]
+    assert got == want
+
+
+def test_chunked_pass_starts_again_where_a_guess_was_wrong(spark, monkeypatch):
+    monkeypatch.setattr(folding, "WARM_UP", 1)
+    rows = segment_rows(n=160, seed=9)
+    df = spark.createDataFrame(rows, "job_id long, seg_no long, start_ms long, end_ms long, text string, speaker_id string")
+    got = sorted((r["job_id"], r["start_ms"], r["end_ms"], r["text"], r["speaker_id"]) for r in folding.merge_short(df, 20).collect())
+    assert got == loop_result(rows, fold_by_index)
+
+
+@pytest.mark.parametrize("limit", [10_000, 2])
+def test_folding_carries_columns(spark, limit):
+    rows = [
+        (None, 1, 0, 300, "Yes,", "A", None, "p1", [("Yes,", 0)]),
+        (None, 2, 300, 2900, "this is long enough.", "A", "kept", None, [("this", 300), ("is", 400)]),
+        (None, 3, 9000, 12000, "Another line of words.", "B", "own", "p3", None),
+        (7, 1, 0, 2000, "Alone in its job here.", "C", None, None, None),
+    ]
+    schema = "job_id long, seg_no long, start_ms long, end_ms long, text string, speaker_id string, note string, pin string, words array<struct<w:string,at:long>>"
+    got = folding.merge_short(spark.createDataFrame(rows, schema), limit)
+    assert got.columns == [*schema.replace("array<struct<w:string,at:long>>", "x").replace(" long", "").replace(" string", "").replace(" x", "").split(", "), "joined"]
+    found = {(r["job_id"], r["seg_no"]): tuple(r)[2:] for r in got.collect()}
+    assert found[None, 1] == (0, 2900, "Yes, this is long enough.", "A", "kept", "p1", [("Yes,", 0), ("this", 300), ("is", 400)], 2)
+    assert found[None, 3] == (9000, 12000, "Another line of words.", "B", "own", "p3", [], 1)
+    assert found[7, 1][-1] == 1 and len(found) == 3
+
+
 @pytest.mark.parametrize("limit", [10_000, 30])
 def test_merge_cues(spark, limit):
     rows = [(j, i, s, e, t, w) for j, i, s, e, t, w in segment_rows()]
