@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from cuewright import views
@@ -10,7 +12,8 @@ from cuewright.operators import filters, lookups, rollups
 from cuewright.operators.timeline import top_per_group
 from cuewright.plans import shapes
 from cuewright.plans.registry import query
-from cuewright.session import small_side, spread
+from cuewright.session import scratch_path, small_side, spread
+from cuewright.sources.keyed_store import KeyedStore, upsert
 from cuewright.views import table
 
 
@@ -654,4 +657,9 @@ def upsert_history(spark, sf_dir):
         F.when(F.col("o_custkey") % 2 != 0, "new").alias("content_hash"),
         (F.col("o_custkey") + 1).alias("segments"),
     )
-    return lookups.upsert_history(stored, incoming, ["language", "content_hash"])
+    store = KeyedStore(spark, scratch_path(spark, "history"), stored.schema, ["id"], 16)
+    store.merge(stored, upsert(["id"]), "load")
+    merge = partial(lookups.upsert_history, guarded=["language", "content_hash"])
+    for half in (0, 1):
+        store.merge(incoming.filter(F.col("id") % 2 == half), merge, f"incoming {half}")
+    return store.read()

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from cuewright import views
 from cuewright.functions.sentences import Release
-from cuewright.operators.sequences import EVENT_CAP  # noqa: F401
 from cuewright.plans.history import ERR_SQL, errors
 from cuewright.plans.registry import query
 from cuewright.plans.windows import EVENT_KEEP, RATE_MS, downloads
@@ -26,11 +25,17 @@ def paths(spark, label):
     return scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
 
 
-@query("stm_event_replay", views="v_job_events", sql="SELECT job_id, seq, event_id, kind FROM v_job_events WHERE seq > 5")
+@query(
+    "stm_event_replay",
+    views="v_job_events",
+    sql="""SELECT job_id, seq, event_id, kind FROM (SELECT *, MIN(CASE WHEN kind='purchase' THEN seq END) OVER (PARTITION BY job_id) AS final FROM v_job_events) x WHERE seq > 5 AND seq <= COALESCE(final, seq)""",
+)
 def event_replay(spark, sf_dir):
+    """Events of jobs that a purchase ends."""
+    jobs.use_state_store(spark)
     out, checkpoint = paths(spark, "replay")
-    log = views.job_events(spark, sf_dir).select("job_id", "seq", "event_id", "kind")
-    jobs.run_append(jobs.replay(as_stream(spark, log, "log"), 5), out, checkpoint)
+    log = views.job_events(spark, sf_dir).select("job_id", F.col("created_at").cast("timestamp").alias("ts"), "seq", "event_id", "kind")
+    jobs.run_append(jobs.replay(as_stream(spark, log, "log"), 5, ("purchase",)), out, checkpoint)
     return spark.read.parquet(out)
 
 
@@ -108,8 +113,9 @@ SELECT session, fingerprint, k[2] AS event_id FROM f QUALIFY ROW_NUMBER() OVER (
 )
 def error_dedupe(spark, sf_dir):
     out, checkpoint = paths(spark, "first-errors")
+    jobs.use_state_store(spark)
     stream = as_stream(spark, session_errors(spark, sf_dir), "errors")
-    jobs.run_batches(stream, jobs.first_errors(spark, out, SESSION_CAP), checkpoint)
+    jobs.run_append(jobs.first_errors(stream, SESSION_CAP), out, checkpoint)
     return spark.read.parquet(out).select("session", "fingerprint", "event_id")
 
 
@@ -119,9 +125,9 @@ def error_dedupe(spark, sf_dir):
 )
 def error_rollup(spark, sf_dir):
     out, checkpoint = paths(spark, "rollup")
-    jobs.run_updates(jobs.error_rollup(as_stream(spark, session_errors(spark, sf_dir), "errors")), out, checkpoint)
-    rows = jobs.latest_updates(spark, out, ["fingerprint"])
-    return rows.select("fingerprint", "count", *[F.col(c).cast("string").alias(c) for c in ("first_seen", "last_seen")])
+    store = jobs.ERROR_ROLLUP.store(spark, out)
+    jobs.maintain(as_stream(spark, session_errors(spark, sf_dir), "errors"), jobs.ERROR_ROLLUP, store, checkpoint)
+    return store.read().select("fingerprint", "count", *[F.col(c).cast("string").alias(c) for c in ("first_seen", "last_seen")])
 
 
 @query(
@@ -131,10 +137,11 @@ def error_rollup(spark, sf_dir):
 def job_status(spark, sf_dir):
     kind = F.col("event_type")
     status = F.when(kind == "signup", "pending").when(kind == "purchase", "done").when(kind == "error", "failed").otherwise("running")
-    changes = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), status.alias("status"), F.col("ts").alias("created_at"), "event_id")
+    changes = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("created_at"), "event_id")
     out, checkpoint = paths(spark, "status")
-    jobs.run_updates(jobs.job_status(as_stream(spark, changes, "changes")), out, checkpoint)
-    rows = jobs.sweep_orphans(jobs.latest_updates(spark, out, ["job_id"]))
+    store = jobs.JOB_STATUS.store(spark, out)
+    jobs.maintain(as_stream(spark, changes, "changes"), jobs.JOB_STATUS, store, checkpoint)
+    rows = jobs.sweep_orphans(jobs.job_status(store.read()))
     return rows.withColumn("updated_at", F.col("updated_at").cast("string"))
 
 
@@ -164,5 +171,6 @@ def token_rate(spark, sf_dir):
         F.round(F.col("value") * 1000).cast("long").alias("audio_ms"),
     )
     out, checkpoint = paths(spark, "token-rate")
-    jobs.run_updates(jobs.token_rates(as_stream(spark, rows, "token-events")), out, checkpoint)
-    return jobs.latest_updates(spark, out, ["session"])
+    store = jobs.TOKEN_TIMES.store(spark, out)
+    jobs.maintain(as_stream(spark, rows, "token-events"), jobs.TOKEN_TIMES, store, checkpoint)
+    return jobs.token_rates(store.read())

@@ -1,23 +1,27 @@
 """Streaming jobs: each takes a streaming DataFrame and gives one, or writes per micro-batch.
 
-Batches that update stored results write below ``batch=<id>`` and overwrite that folder, so a
-batch repeated after a failure leaves no trace of its first run.
+Running results are kept in a ``KeyedStore``: each batch is reduced to one row per key and merged into the
+buckets it touches, under the batch's number, so a batch repeated after a failure changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuewright.functions.sentences import Release
 from cuewright.operators.timeline import top_per_group
-from cuewright.streaming.processors import RollingRates, Sentences, Utterances
+from cuewright.sources.keyed_store import KeyedStore
+from cuewright.streaming.processors import FirstErrors, Replay, RollingRates, Sentences, Utterances
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TERMINAL = ("done", "failed", "cancelled")
+DAY_MS = 86_400_000
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -42,26 +46,43 @@ def run_batches(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoin
     query.trigger(availableNow=True).start().awaitTermination()
 
 
-def run_updates(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Keep every update of a running aggregate, one folder per batch."""
+@dataclass(frozen=True)
+class Rollup:
+    """A result per key that batches add to.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    ``reduce`` gives one row per key of a batch; ``merged`` says how two rows of a key become one.
+    """
+
+    schema: str
+    keys: list[str]
+    reduce: Callable[[DataFrame], DataFrame]
+    merged: Callable[[], list[Column]]
+
+    def store(self, spark: SparkSession, path: str, buckets: int = 16) -> KeyedStore:
+        return KeyedStore(spark, path, self.schema, self.keys, buckets)
 
-    run_batches(df, write, checkpoint, "update")
+    def combine(self, stored: DataFrame, changes: DataFrame) -> DataFrame:
+        return stored.unionByName(changes.select(*stored.columns)).groupBy(*self.keys).agg(*self.merged())
 
 
-def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Newest update of every key."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in (*keys, "batch")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
-    return newest.select(*keys, "v.*")
+def maintain(stream: DataFrame, rollup: Rollup, store: KeyedStore, checkpoint: str) -> None:
+    """Keep ``store`` up to date with a stream. There is no state but the store."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        reduced = f"{store.path}/changes"
+        rollup.reduce(batch).write.mode("overwrite").parquet(reduced)
+        changes = batch.sparkSession.read.schema(store.schema).parquet(reduced)
+        store.merge(changes, rollup.combine, f"batch {batch_id}")
+
+    run_batches(stream, each, checkpoint)
 
 
-def replay(events: DataFrame, after_seq: int) -> DataFrame:
-    """Events past a sequence number, then whatever arrives."""
-    return events.filter(F.col("seq") > after_seq)
+def replay(events: DataFrame, after_seq: int, terminal: tuple[str, ...] = TERMINAL, job_ids: list[int] | None = None, delay: str = "30 seconds") -> DataFrame:
+    """Events (job_id, ts, seq, event_id, kind) past a sequence number, then whatever arrives, until the job ends."""
+    chosen = events if job_ids is None else events.filter(F.col("job_id").isin(job_ids))
+    wanted = chosen.filter((F.col("seq") > after_seq) | F.col("kind").isin(*terminal))
+    out = "job_id long, seq long, event_id long, kind string"
+    return wanted.withWatermark("ts", delay).groupBy("job_id").transformWithStateInPandas(Replay(after_seq, terminal), out, "Append", "EventTime")
 
 
 def sentences(tokens: DataFrame, rules: Release, delay: str = "10 minutes") -> DataFrame:
@@ -79,38 +100,32 @@ def utterances(audio: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return audio.withWatermark("ts", delay).groupBy("session").transformWithStateInPandas(Utterances(), out, "Append", "EventTime")
 
 
-def simple_sessions(audio: DataFrame, gap: str = "3 seconds", delay: str = "10 minutes") -> DataFrame:
-    """Bursts by session window: the utterances wherever every burst has enough bytes."""
-    grouped = audio.withWatermark("ts", delay).groupBy("session", F.session_window("ts", gap).alias("w"))
-    return grouped.agg(F.sum("bytes").alias("bytes")).select("session", "w.start", "w.end", "bytes")
-
-
-def rolling_rates(samples: DataFrame, window_ms: int) -> DataFrame:
+def rolling_rates(samples: DataFrame, window_ms: int, delay: str = "30 seconds") -> DataFrame:
+    """Rates of downloads (job_id, at_ms, sample_no, bytes_done, total_bytes); samples later than the delay are dropped."""
     out = "job_id long, at_ms long, sample_no long, bytes_done long, rate double"
-    return samples.groupBy("job_id").transformWithStateInPandas(RollingRates(window_ms), out, "Append", "None")
-
-
-def window_rates(samples: DataFrame, width: str = "8 seconds", step: str = "1 second", delay: str = "30 seconds") -> DataFrame:
-    """Rates on a sliding grid, without Python state: bytes gained per window and second."""
-    grouped = samples.withWatermark("ts", delay).groupBy("job_id", F.window("ts", width, step).alias("w"))
-    ends = grouped.agg(
-        (F.max("bytes_done") - F.min("bytes_done")).alias("gain"), (F.max("at_ms") - F.min("at_ms")).alias("ms")
-    )
-    return ends.select("job_id", "w.start", F.when(F.col("ms") > 0, F.col("gain") * 1000.0 / F.col("ms")).otherwise(0.0).alias("rate"))
+    timed = samples.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", delay)
+    return timed.groupBy("job_id").transformWithStateInPandas(RollingRates(window_ms), out, "Append", "EventTime")
 
 
-def error_rollup(errors: DataFrame) -> DataFrame:
-    """Running count, first and last time per fingerprint."""
-    return errors.groupBy("fingerprint").agg(
+ERROR_ROLLUP = Rollup(
+    "fingerprint string, count long, first_seen timestamp, last_seen timestamp",
+    ["fingerprint"],
+    lambda errors: errors.groupBy("fingerprint").agg(
         F.count(F.lit(1)).alias("count"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen")
-    )
+    ),
+    lambda: [F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")],
+)
 
+JOB_STATUS = Rollup(
+    "job_id long, latest struct<created_at: timestamp, event_id: bigint, status: string>",
+    ["job_id"],
+    lambda changes: changes.groupBy("job_id").agg(F.max(F.struct("created_at", "event_id", "status")).alias("latest")),
+    lambda: [F.max("latest").alias("latest")],
+)
 
-def job_status(changes: DataFrame) -> DataFrame:
-    """Latest status per job."""
-    return changes.groupBy("job_id").agg(
-        F.max_by("status", F.struct("created_at", "event_id")).alias("status"), F.max("created_at").alias("updated_at")
-    )
+
+def job_status(stored: DataFrame) -> DataFrame:
+    return stored.select("job_id", "latest.status", F.col("latest.created_at").alias("updated_at"))
 
 
 def sweep_orphans(jobs: DataFrame) -> DataFrame:
@@ -118,45 +133,48 @@ def sweep_orphans(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("status", F.when(F.col("status").isin("pending", "running"), "failed").otherwise(F.col("status")))
 
 
-def token_rates(events: DataFrame) -> DataFrame:
-    """Per session: time to the first audio, total time and real-time factor (ts_ms, kind, audio_ms)."""
-    audio = F.col("kind") == "audio"
-    grouped = events.groupBy("session").agg(
-        F.min("ts_ms").alias("_start"),
-        F.min(F.when(audio, F.col("ts_ms"))).alias("_first"),
-        F.max("ts_ms").alias("_end"),
-        F.sum(F.when(audio, F.col("audio_ms")).otherwise(0)).alias("audio_ms"),
-    )
-    elapsed = F.col("_end") - F.col("_start")
-    return grouped.select(
+def _audio(column: str) -> Column:
+    return F.when(F.col("kind") == "audio", F.col(column))
+
+
+TOKEN_TIMES = Rollup(
+    "session long, begin_ms long, first_ms long, end_ms long, audio_ms long",
+    ["session"],
+    lambda events: events.groupBy("session").agg(
+        F.min("ts_ms").alias("begin_ms"), F.min(_audio("ts_ms")).alias("first_ms"), F.max("ts_ms").alias("end_ms"),
+        F.coalesce(F.sum(_audio("audio_ms")), F.lit(0)).alias("audio_ms"),
+    ),
+    lambda: [F.min("begin_ms").alias("begin_ms"), F.min("first_ms").alias("first_ms"), F.max("end_ms").alias("end_ms"), F.sum("audio_ms").alias("audio_ms")],
+)
+
+
+def token_rates(stored: DataFrame) -> DataFrame:
+    """Per session: time to the first audio, total time and real-time factor."""
+    elapsed = F.col("end_ms") - F.col("begin_ms")
+    return stored.select(
         "session",
-        (F.col("_first") - F.col("_start")).alias("first_audio_ms"),
+        (F.col("first_ms") - F.col("begin_ms")).alias("first_audio_ms"),
         elapsed.alias("elapsed_ms"),
         "audio_ms",
         F.round(elapsed / F.nullif(F.col("audio_ms"), F.lit(0)), 4).alias("rtf"),
     )
 
 
-def first_errors(spark: SparkSession, path: str, cap: int) -> Callable[[DataFrame, int], None]:
-    """Writer of the first error per (session, fingerprint), at most ``cap`` fingerprints a session.
+def first_errors(errors: DataFrame, cap: int, keep_ms: int = DAY_MS, delay: str = "10 minutes") -> DataFrame:
+    """First error per (session, fingerprint), at most ``cap`` fingerprints a session until it falls silent for ``keep_ms``.
 
-    A batch is reduced to one row per pair before anything is compared with what was sent, and
-    a session's rank continues from the number it has sent.
+    Each task first reduces its rows to the first of each fingerprint, so a session with most of the rows
+    sends few of them. Errors later than the delay are dropped.
     """
-    schema = "session long, fingerprint string, created_at timestamp, event_id long, batch int"
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        sent = spark.read.schema(schema).parquet(path) if batch_id else spark.createDataFrame([], schema)
-        sent = sent.filter(F.col("batch") < batch_id)
-        first = batch.groupBy("session", "fingerprint").agg(F.min(F.struct("created_at", "event_id")).alias("f"))
-        fresh = first.join(sent.select("session", "fingerprint"), ["session", "fingerprint"], "left_anti")
-        used = sent.groupBy("session").agg(F.count(F.lit(1)).alias("used"))
-        w = Window.partitionBy("session").orderBy("f", "fingerprint")
-        ranked = fresh.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap)
-        room = ranked.join(used, "session", "left").filter(F.col("rank") + F.coalesce("used", F.lit(0)) <= cap)
-        room.select("session", "fingerprint", "f.*").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def few(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.sort_values(["created_at", "event_id"]).drop_duplicates(["session", "fingerprint"])
 
-    return each
+    kinds = {f.name: f.dataType.simpleString() for f in errors.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("session", "fingerprint", "created_at", "event_id"))
+    reduced = errors.select("session", "fingerprint", "created_at", "event_id").mapInPandas(few, schema)
+    return reduced.withWatermark("created_at", delay).groupBy("session").transformWithStateInPandas(FirstErrors(cap, keep_ms), schema, "Append", "EventTime")
 
 
 def capped_log(path: str, cap: int) -> Callable[[DataFrame, int], None]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from cuewright.functions.sentences import Release, flush, push
 
 TICK_MS, SILENCE_MS, ENOUGH_BYTES = 2000, 3000, 64_000
 RATE_WINDOW_MS, EMIT_EVERY_MS = 8000, 300
+IDLE_MS = 30_000
 
 
 def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -140,38 +142,148 @@ class Utterances(StatefulProcessor):
         pass
 
 
+def _timer_at(handle: StatefulProcessorHandle, at_ms: int | None) -> None:
+    """Let one timer stand, or none."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer)
+    if at_ms is not None:
+        handle.registerTimer(at_ms)
+
+
 class RollingRates(StatefulProcessor):
-    """Byte samples (at_ms, sample_no, bytes_done) of a download to its rate over the trailing window.
+    """Byte samples (at_ms, sample_no, bytes_done, total_bytes) of a download to its rate over the trailing window.
 
-    The state holds the samples of one window; rates are given at least 0.3 s apart.
+    The state holds the samples of one window; rates are given at least 0.3 s apart. It is removed when
+    the download is complete, or when it has been idle for ``idle_ms`` of event time.
     """
 
-    def __init__(self, window_ms: int = RATE_WINDOW_MS, every_ms: int = EMIT_EVERY_MS):
-        self.window_ms, self.every_ms = window_ms, every_ms
+    def __init__(self, window_ms: int = RATE_WINDOW_MS, every_ms: int = EMIT_EVERY_MS, idle_ms: int = IDLE_MS):
+        self.window_ms, self.every_ms, self.idle_ms = window_ms, every_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.samples = handle.getListState("samples", "at_ms long, bytes_done long")
         self.emitted = handle.getValueState("emitted", "at_ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(s) for s in self.samples.get()] if self.samples.exists() else []
+        held = deque(tuple(s) for s in self.samples.get()) if self.samples.exists() else deque()
         last = self.emitted.get()[0] if self.emitted.exists() else None
         fresh = _in_order(rows, ["at_ms", "sample_no"])
-        out = []
-        for at, number, done in fresh[["at_ms", "sample_no", "bytes_done"]].itertuples(index=False):
+        out, complete = [], False
+        for at, number, done, total in fresh[["at_ms", "sample_no", "bytes_done", "total_bytes"]].itertuples(index=False):
             held.append((int(at), int(done)))
             while held[0][0] < at - self.window_ms:
-                held.pop(0)
+                held.popleft()
             if last is None or at - last >= self.every_ms:
                 (t0, b0), (t1, b1) = held[0], held[-1]
                 out.append((key[0], at, number, done, (b1 - b0) * 1000.0 / (t1 - t0) if t1 > t0 else 0.0))
                 last = int(at)
-        self.samples.put(held)
-        if last is not None:
-            self.emitted.update((last,))
-        yield pd.DataFrame(out, columns=["job_id", "at_ms", "sample_no", "bytes_done", "rate"]).astype(
+            complete = pd.notna(total) and done >= total
+        if complete:
+            self._forget()
+        else:
+            self.samples.put(list(held))
+            if last is not None:
+                self.emitted.update((last,))
+            _timer_at(self.handle, held[-1][0] + self.idle_ms)
+        yield self._out(out)
+
+    def _forget(self) -> None:
+        _timer_at(self.handle, None)
+        self.samples.clear()
+        self.emitted.clear()
+
+    def _out(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["job_id", "at_ms", "sample_no", "bytes_done", "rate"]).astype(
             {"job_id": "int64", "at_ms": "int64", "sample_no": "int64", "bytes_done": "int64", "rate": "float64"}
         )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._forget()
+        yield self._out([])
+
+    def close(self) -> None:
+        pass
+
+
+class Replay(StatefulProcessor):
+    """Events (ts, seq, event_id, kind) of a job past a sequence number, up to the one that ends it.
+
+    After the end only a mark is kept, and that for ``idle_ms`` of event time; jobs without an end keep
+    nothing.
+    """
+
+    def __init__(self, after_seq: int, terminal: tuple[str, ...], idle_ms: int = IDLE_MS):
+        self.after_seq, self.terminal, self.idle_ms = after_seq, terminal, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ended = handle.getValueState("ended", "seq long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = _in_order(rows, ["seq"])
+        end = self.ended.get()[0] if self.ended.exists() else None
+        last = events[events["kind"].isin(self.terminal)]
+        if end is None and len(last):
+            end = int(last["seq"].iloc[0])
+            self.ended.update((end,))
+            _timer_at(self.handle, int(events["ts"].max().timestamp() * 1000) + self.idle_ms)
+        shown = events[(events["seq"] > self.after_seq) & ((events["seq"] <= end) if end is not None else True)]
+        yield shown[["job_id", "seq", "event_id", "kind"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.ended.clear()
+        yield pd.DataFrame({"job_id": pd.Series(dtype="int64"), "seq": pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "kind": pd.Series(dtype="object")})
+
+    def close(self) -> None:
+        pass
+
+
+def earliest(firsts: dict[str, tuple], rows: pd.DataFrame, sent: set[str], most: int) -> dict[str, tuple]:
+    """The ``most`` fingerprints that occur first, with their first (created_at, event_id).
+
+    What is pruned cannot return but with an earlier time, which then is its first.
+    """
+    for name, at, event in rows[["fingerprint", "created_at", "event_id"]].itertuples(index=False):
+        if name not in sent and (name not in firsts or (at, event) < firsts[name]):
+            firsts[name] = (at, event)
+    ranked = sorted(firsts.items(), key=lambda x: (x[1], x[0]))[:most]
+    return dict(ranked)
+
+
+class FirstErrors(StatefulProcessor):
+    """Errors (fingerprint, created_at, event_id) of a session to the first of each fingerprint, ``cap`` at most.
+
+    The state holds the fingerprints sent, never more than ``cap``, and goes when the watermark has passed
+    the session's last error by ``keep_ms``.
+    """
+
+    def __init__(self, cap: int, keep_ms: int):
+        self.cap, self.keep_ms = cap, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sent = handle.getListState("sent", "fingerprint string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        sent = {r[0] for r in self.sent.get()} if self.sent.exists() else set()
+        firsts: dict[str, tuple] = {}
+        newest = None
+        for part in rows:
+            firsts = earliest(firsts, part, sent, self.cap - len(sent))
+            newest = part["created_at"].max() if newest is None else max(newest, part["created_at"].max())
+        if firsts:
+            self.sent.put([(name,) for name in [*sent, *firsts]])
+        _timer_at(self.handle, int(newest.timestamp() * 1000) + self.keep_ms)
+        yield self._out(key, firsts)
+
+    def _out(self, key, firsts: dict[str, tuple]) -> pd.DataFrame:
+        out = pd.DataFrame([(key[0], name, *f) for name, f in firsts.items()], columns=["session", "fingerprint", "created_at", "event_id"])
+        return out.astype({"session": "int64", "fingerprint": "object", "created_at": "datetime64[ns]", "event_id": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.sent.clear()
+        yield self._out(key, {})
+
     def close(self) -> None:
         pass
