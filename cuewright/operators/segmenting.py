@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cuewright.operators.greedy import greedy_groups
 from cuewright.operators.intervals import interval_join
-from cuewright.operators.ordered import following, scan
+from cuewright.operators.ordered import following, largest_group, last_known, next_known, previous, row_number, scan
 from cuewright.operators.pergroup import by_group
 from cuewright.operators.sequences import label_runs
 from cuewright.operators.timeline import majority_speaker, near_other_speaker
@@ -134,16 +134,19 @@ def scene_cuts(segs: DataFrame, cuts: DataFrame) -> DataFrame:
     return whole.unionByName(cut)
 
 
-def smoothed(labels: Column) -> Column:
-    """Single-label flips between equal neighbours removed one after another, in place."""
+def smoothed(rows: DataFrame, keys: list[str], order: str, label: str, limit: int | None = None, bound: int | None = None) -> DataFrame:
+    """``rows`` with single-label flips between equal neighbours removed one after another, in place.
 
-    def add(acc: Column, i: Column) -> Column:
-        back, here, ahead = F.get(acc, i - 1), F.get(labels, i), F.get(labels, i + 1)
-        flip = (i > 0) & (i + 1 < F.size(labels)) & ~here.eqNullSafe(back) & back.eqNullSafe(ahead)
-        return F.concat(acc, F.array(F.when(flip, back).otherwise(here)))
-
-    indexes = F.when(F.size(labels) > 0, F.sequence(F.lit(0), F.size(labels) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(indexes, F.array().cast("array<string>"), add)
+    A label is a flip where its neighbours agree and differ from it. Removing a flip makes the label equal to the
+    one before, so the next cannot be removed as well: of flips that follow each other every other one goes,
+    from the first on. That is a count from the last label that was none.
+    """
+    looks = [row_number("_i"), previous("_back", F.struct(label)), following("_ahead", F.struct(label))]
+    seen = scan(rows, keys, [order], looks, limit, bound)
+    flip = F.coalesce(F.col("_back").eqNullSafe(F.col("_ahead")) & ~F.col(f"_back.{label}").eqNullSafe(F.col(label)) & F.col("_back").isNotNull(), F.lit(False))
+    counted = scan(seen.withColumn("_flip", flip), keys, [order], [last_known("_calm", F.when(~F.col("_flip"), F.col("_i")))], limit, bound)
+    gone = F.col("_flip") & ((F.col("_i") - F.col("_calm")) % 2 == 1)
+    return counted.select(*[F.when(gone, F.col(f"_back.{label}")).otherwise(F.col(label)).alias(label) if c == label else F.col(c) for c in rows.columns])
 
 
 def word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
@@ -160,22 +163,15 @@ def word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
     return found.select("w.job_id", "w.seg_no", "w.word_no", F.col("assigned").alias("label"))
 
 
-def smoothed_words(words: DataFrame, turns: DataFrame) -> DataFrame:
+def smoothed_words(words: DataFrame, turns: DataFrame, limit: int | None = None) -> DataFrame:
     """Words with their speaker label, gaps filled and single flips smoothed inside the segment."""
     keys = ["job_id", "seg_no"]
-    labelled = words.join(word_speakers(words, turns), [*keys, "word_no"])
-    w = Window.partitionBy(*keys).orderBy("word_no")
-    back = F.last("label", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("label", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    filled = labelled.withColumn("label", F.coalesce(back, ahead))
-    rows = F.array_sort(F.collect_list(F.struct("word_no", "label", "word", "word_start", "word_end")))
-    per = filled.groupBy(*keys).agg(rows.alias("ws"))
-    named = per.withColumn("ls", F.transform("ws", lambda x: x["label"]))
-    # Most segments have one speaker and nothing to smooth.
-    one = F.size(F.array_distinct("ls")) <= 1
-    smooth = named.withColumn("ls", F.when(one, F.col("ls")).otherwise(smoothed(F.col("ls"))))
-    paired = F.zip_with("ws", "ls", lambda x, y: F.struct(x["word_no"], x["word"], x["word_start"], x["word_end"], y.alias("label")))
-    return smooth.select(*keys, F.explode(paired).alias("x")).select(*keys, "x.*")
+    labelled = words.join(word_speakers(words, turns), [*keys, "word_no"]).select(*keys, "word_no", "word", "word_start", "word_end", "label")
+    bound = largest_group(words, keys)
+    sides = [last_known("_back", F.col("label")), next_known("_ahead", F.col("label"))]
+    filled = scan(labelled, keys, ["word_no"], sides, limit, bound)
+    filled = filled.withColumn("label", F.coalesce("_back", "_ahead")).drop("_back", "_ahead")
+    return smoothed(filled, keys, "word_no", "label", limit, bound)
 
 
 def resplit_speakers(segs: DataFrame, words: DataFrame, turns: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuewright.operators.asof import asof
 from cuewright.operators.intervals import interval_join
-from cuewright.operators.ordered import following, largest_group, previous, running_sum, scan, sum_before
+from cuewright.operators.ordered import following, largest_group, previous, row_number, running_max, running_sum, scan, sum_before
 
 AUDIO_ONLY_HARD_CAP = 1.8
 UNDERRUN_TOLERANCE = 0.95
@@ -150,28 +150,32 @@ def carry_metadata(cues: DataFrame, prior: DataFrame, default_speaker: str = "Sp
     )
 
 
-def near_other_speaker(segs: DataFrame, guard_ms: int = ADJACENT_GUARD_MS) -> DataFrame:
-    """Flag ``near_other``: an edge lies within the guard of another speaker's segment."""
-    me = segs.select("job_id", "seg_no", "speaker_id", "start_ms", "end_ms")
-    other = segs.select(
-        "job_id",
-        F.col("speaker_id").alias("o_speaker"),
-        F.col("start_ms").alias("o_start"),
-        F.col("end_ms").alias("o_end"),
-    )
-    gap = F.greatest(F.col("o_start") - F.col("end_ms"), F.col("start_ms") - F.col("o_end"))
-    hit = interval_join(
-        me,
-        other,
-        ["job_id"],
-        (F.col("start_ms") - guard_ms, F.col("end_ms") + guard_ms),
-        (F.col("o_start"), F.col("o_end")),
-        (F.col("o_speaker") != F.col("speaker_id")) & (gap < guard_ms),
-    )
-    flagged = hit.select("job_id", "seg_no").distinct().withColumn("near_other", F.lit(True))
-    return segs.join(flagged, ["job_id", "seg_no"], "left").withColumn(
-        "near_other", F.coalesce("near_other", F.lit(False))
-    )
+def near_other_speaker(segs: DataFrame, guard_ms: int = ADJACENT_GUARD_MS, limit: int | None = None) -> DataFrame:
+    """Flag ``near_other``: an edge lies within the guard of another speaker's segment.
+
+    A sweep over the job's clock, no pairs: each segment enters at its start and asks at its end plus
+    the guard for the latest end of another speaker so far. Two running values answer that: the latest end
+    with its speaker, who leads, and the latest end of anyone else. When the lead passes on, the
+    old leader's end is the latest of all others, so the second value starts anew from there.
+    Segments without a speaker are never near anyone.
+    """
+    keys = ["job_id"]
+    known = F.col("speaker_id").isNotNull()
+    asks = segs.select("*", F.lit(0).alias("_kind"), (F.col("end_ms") + guard_ms).alias("_at"))
+    enters = segs.filter(known).select("*", F.lit(1).alias("_kind"), F.col("start_ms").alias("_at"))
+    order = ["_at", "_kind", "seg_no", "speaker_id"]
+    bound = 2 * largest_group(segs, keys)
+    events = scan(asks.unionByName(enters), keys, order, [row_number("_nth")], limit, bound)
+    entry = F.when(F.col("_kind") == 1, F.struct(F.col("end_ms").alias("end"), (-F.col("_nth")).alias("first"), F.col("speaker_id").alias("who")))
+    led = scan(events, keys, ["_nth"], [running_max("_lead", entry)], limit, bound)
+    led = scan(led, keys, ["_nth"], [previous("_was", F.col("_lead"))], limit, bound)
+    changed = F.col("_was").isNotNull() & (F.col("_was.who") != F.col("_lead.who"))
+    reigns = scan(led, keys, ["_nth"], [running_sum("_reign", changed.cast("int"))], limit, bound)
+    other = F.when(changed, F.col("_was.end")).when((F.col("_kind") == 1) & (F.col("speaker_id") != F.col("_lead.who")), F.col("end_ms"))
+    found = scan(reigns, [*keys, "_reign"], ["_nth"], [running_max("_others", other)], limit, bound)
+    latest = F.when(F.col("_lead.who") != F.col("speaker_id"), F.col("_lead.end")).otherwise(F.col("_others"))
+    near = F.coalesce(known & (latest > F.col("start_ms") - guard_ms), F.lit(False))
+    return found.filter(F.col("_kind") == 0).select(*segs.columns, near.alias("near_other"))
 
 
 def _first_seen_vote(frames: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

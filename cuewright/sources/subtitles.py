@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.functions.lists import let
+from cuewright.session import ship_package
+
+SLICE_CUES = 50_000
 
 ASS_HEADER = """[Script Info]
 ScriptType: v4.00+
@@ -121,16 +129,12 @@ def karaoke_events(cues: DataFrame) -> DataFrame:
     split = even_split(F.col("_text"), F.col("_s"), F.col("_e"))
     words = F.coalesce(F.col("words"), split) if "words" in cues.columns else split
     rows = rows.withColumn("_w", words)
-    # Starts never run backwards nor leave the cue.
-    starts = F.aggregate(
-        "_w",
-        F.array().cast("array<double>"),
-        lambda acc, w: F.concat(
-            acc,
-            F.array(F.least(F.greatest(w["start"], F.coalesce(F.try_element_at(acc, F.lit(-1)), F.col("_s"))), F.col("_e"))),
-        ),
-    )
-    rows = rows.withColumn("_st", starts).withColumn("_n", F.size("_w"))
+    # Starts never run backwards nor leave the cue. Most are in order, and then one look at each is enough.
+    inside = F.transform("_w", lambda w: F.least(F.greatest(w["start"], F.col("_s")), F.col("_e")))
+    rows = rows.withColumn("_in", inside)
+    in_order = F.forall(F.zip_with(F.slice("_in", 1, F.greatest(F.size("_in") - 1, F.lit(0))), F.slice("_in", 2, F.size("_in")), lambda a, b: a <= b), lambda ok: ok)
+    upto = F.transform("_in", lambda x, i: F.array_max(F.slice("_in", 1, i + 1)))
+    rows = rows.withColumn("_st", F.when(in_order, F.col("_in")).otherwise(upto)).withColumn("_n", F.size("_w"))
 
     def tag(w: Column, i: Column) -> Column:
         until = F.coalesce(F.get("_st", i + 1), F.col("_e"))
@@ -151,17 +155,90 @@ def karaoke_events(cues: DataFrame) -> DataFrame:
     return rows.select("job_id", "cue_no", line.alias("event"))
 
 
+def _located(path: str) -> tuple[pa_fs.FileSystem, str]:
+    """The file system of a path, local or remote, and the path in it."""
+    path = path.rstrip("/")
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.removeprefix("file:")
+    return pa_fs.FileSystem.from_uri(path)
+
+
+INDEX = "job_id long, slice long, file string, offset long, bytes long"
+
+
 def write_subtitles(blocks: DataFrame, path: str, body: str = "block") -> None:
-    """One folder per job, cues in order. Large jobs keep their order across part files."""
-    ordered = blocks.repartitionByRange("job_id", "cue_no").sortWithinPartitions("job_id", "cue_no")
-    ordered.select("job_id", F.col(body).alias("value")).write.mode("overwrite").partitionBy("job_id").text(path)
+    """Files of many jobs each, cues in order, with an index of where every job stands.
+
+    Each task writes one file and keeps its place in ``index``; a job of more than ``SLICE_CUES`` cues is spread over
+    several. The index names files of tasks that ended well and is written last, as a whole: what a failed or
+    repeated task left behind is in no index; ``clean_subtitles`` removes it.
+    """
+    spark = blocks.sparkSession
+    ship_package(spark)
+    root, kind = path.rstrip("/"), blocks.schema["job_id"].dataType.simpleString()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = blocks.select("job_id", F.floor(F.col("cue_no") / SLICE_CUES).alias("slice"), "cue_no", F.concat(F.col(body), F.lit("\n")).alias("block"))
+    ordered = slices.repartition(parts, "job_id", "slice").sortWithinPartitions("job_id", "slice", "cue_no")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = _located(root)
+        files.create_dir(base)
+        name = f"part-{uuid.uuid4().hex}.txt"
+        rows: list[list] = []
+        at = 0
+        out = None
+        for batch in batches:
+            for job, part, text in zip(*(batch.column(c).to_pylist() for c in ("job_id", "slice", "block"))):
+                data = (text or "").encode()
+                out = out or files.open_output_stream(f"{base}/{name}")
+                out.write(data)
+                if not rows or rows[-1][:2] != [job, part]:
+                    rows.append([job, part, name, at, 0])
+                rows[-1][4] += len(data)
+                at += len(data)
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["job_id", "slice", "file", "offset", "bytes"])
+
+    schema = INDEX.replace("job_id long", f"job_id {kind}")
+    index = ordered.mapInArrow(pack, schema)
+    index.write.mode("overwrite").parquet(f"{root}/index")
+
+
+def clean_subtitles(spark: SparkSession, path: str) -> int:
+    """Remove files that the index does not name; how many there were."""
+    files, base = _located(path)
+    used = {r["file"] for r in spark.read.parquet(f"{path.rstrip('/')}/index").select("file").distinct().collect()}
+    left = [f.path for f in files.get_file_info(pa_fs.FileSelector(base)) if f.base_name.startswith("part-") and f.base_name not in used]
+    for name in left:
+        files.delete_file(name)
+    return len(left)
 
 
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
-    """``job_id, content`` of the files that ``write_subtitles`` left, parts of a job in order."""
-    files = spark.read.schema("value string, job_id long").text(path, wholetext=True).withColumn("part", F.input_file_name())
-    whole = files.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("part", "value"))).alias("parts"))
-    return whole.select("job_id", F.array_join(F.transform("parts", lambda p: p["value"]), "").alias("content"))
+    """``job_id, content`` of the files that ``write_subtitles`` left, slices of a job in order."""
+    ship_package(spark)
+    root = path.rstrip("/")
+    index = spark.read.parquet(f"{root}/index")
+    kind = index.schema["job_id"].dataType.simpleString()
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = _located(root)
+        opened: dict[str, pa.NativeFile] = {}
+        for batch in batches:
+            texts = []
+            for name, at, size in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "bytes"))):
+                if name not in opened:
+                    for old in opened.values():
+                        old.close()
+                    opened = {name: files.open_input_file(f"{base}/{name}")}
+                opened[name].seek(at)
+                texts.append(opened[name].read(size).decode())
+            yield pa.RecordBatch.from_arrays([batch.column("job_id"), batch.column("slice"), pa.array(texts, pa.string())], names=["job_id", "slice", "text"])
+
+    texts = index.mapInArrow(fetch, f"job_id {kind}, slice long, text string")
+    whole = texts.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("slice", "text"))).alias("parts"))
+    return whole.select("job_id", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("content"))
 
 
 def karaoke_blocks(cues: DataFrame) -> DataFrame:

@@ -228,17 +228,33 @@ def test_merge_cues(spark, limit):
     assert got == sorted(want)
 
 
-def test_smoothing_is_sequential(spark):
+@pytest.mark.parametrize("limit", [10_000, 5])
+def test_smoothing_is_sequential(spark, limit):
     rnd = random.Random(7)
-    cases = [[rnd.choice("AAB") for _ in range(rnd.randint(0, 9))] for _ in range(200)]
-    df = spark.createDataFrame(pd.DataFrame({"i": range(len(cases)), "ls": cases}), "i long, ls array<string>")
-    got = {r["i"]: r["out"] for r in df.select("i", S.smoothed(F.col("ls")).alias("out")).collect()}
+    cases = [[rnd.choice(["A", "A", "B", None][: 3 + i % 2]) for _ in range(rnd.randint(1, 12))] for i in range(200)]
+    rows = [(i, k, x) for i, labels in enumerate(cases) for k, x in enumerate(labels)]
+    df = spark.createDataFrame(rows, "i long, k long, label string")
+    got = {(r["i"], r["k"]): r["label"] for r in S.smoothed(df, ["i"], "k", "label", limit).collect()}
     for i, labels in enumerate(cases):
         want = list(labels)
         for k in range(1, len(want) - 1):
             if want[k] != want[k - 1] and want[k - 1] == want[k + 1]:
                 want[k] = want[k - 1]
-        assert got[i] == want
+        assert [got[i, k] for k in range(len(want))] == want
+
+
+@pytest.mark.parametrize("limit", [10_000, 30])
+def test_near_other_speaker_matches_all_pairs(spark, limit):
+    rnd, rows = random.Random(5), []
+    for i in range(260):
+        start = rnd.randint(0, 40) * 100 + rnd.choice([0, 0, 1])
+        job = rnd.choice([1, 1, 1, 2, None])
+        rows.append((job, i, rnd.choice(["A", "A", "A", "B", "C", None]), start * (3 if job == 2 else 8), start * (3 if job == 2 else 8) + rnd.choice([0, 100, 300, 2000])))
+    df = spark.createDataFrame(rows, "job_id long, seg_no long, speaker_id string, start_ms long, end_ms long")
+    got = {r["seg_no"]: r["near_other"] for r in timeline.near_other_speaker(df, 300, limit).collect()}
+    for job, i, who, a, b in rows:
+        near = any(j == job and w and who and w != who and max(c - b, a - d) < 300 for j, _, w, c, d in rows)
+        assert got[i] == near, (job, i, who, a, b)
 
 
 def test_resplit_covers_the_segment_and_leaves_one_speaker_alone(spark):

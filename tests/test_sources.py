@@ -58,17 +58,45 @@ def test_srt_of_blank_lines_is_quick(spark):
     assert readers.parse_srt(frame, "srt").count() == 0
 
 
-def test_subtitle_files_keep_cue_order(spark, tmp_path):
-    rows = [(j, i, i * 1000, i * 1000 + 900, f"t{i}", f"o{i}" if i % 2 else f"t{i}") for j in (1, 2) for i in range(1, 40)]
+@pytest.mark.parametrize("per_slice", [50_000, 7])
+def test_subtitle_files_keep_cue_order(spark, tmp_path, monkeypatch, per_slice):
+    monkeypatch.setattr(subtitles, "SLICE_CUES", per_slice)
+    rows = [(j, i, i * 1000, i * 1000 + 900, f"t{i}", f"o{i}" if i % 2 else f"t{i}") for j in range(60) for i in range(1, 40)]
     cues = spark.createDataFrame(rows, "job_id long, cue_no long, start_ms long, end_ms long, text string, orig string")
     path = str(tmp_path / "srt")
     subtitles.write_subtitles(subtitles.cue_blocks(cues, ",", "orig"), path)
-    text = "\n".join(r["value"] for r in spark.read.text(path + "/job_id=1").collect())
+    files = list((tmp_path / "srt").glob("part-*.txt"))
+    assert 0 < len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = {r["job_id"]: r["content"] for r in subtitles.read_subtitles(spark, path).collect()}
+    assert len(found) == 60 and len(set(found.values())) == 1
+    text = found[1]
     numbers = [int(line) for line in text.split("\n") if line.isdigit()]
-    assert numbers == sorted(numbers) and len(numbers) == 39
+    assert numbers == list(range(1, 40))
     assert "00:00:01,000 --> 00:00:01,900\nt1\n<i>o1</i>" in text and "<i>t2" not in text
 
 
+def test_files_of_failed_tasks_are_in_no_index(spark, tmp_path):
+    cues = spark.createDataFrame([(1, 1, "ä\n"), (None, 1, "no job\n")], "job_id long, cue_no long, block string")
+    path = str(tmp_path / "srt")
+    subtitles.write_subtitles(cues, path)
+    (tmp_path / "srt" / "part-left.txt").write_text("half a fi")
+    assert {r["job_id"]: r["content"] for r in subtitles.read_subtitles(spark, path).collect()} == {1: "ä\n\n", None: "no job\n\n"}
+    assert subtitles.clean_subtitles(spark, path) == 1
+    subtitles.write_subtitles(cues.filter("job_id = 1"), path)
+    assert subtitles.clean_subtitles(spark, path) >= 1
+    assert subtitles.read_subtitles(spark, path).count() == 1
+
+
+def test_karaoke_starts_never_run_backwards(spark):
+    cue = spark.createDataFrame([(1, 1, 0, 1000, "a b c d")], "job_id long, cue_no long, start_ms long, end_ms long, text string")
+    for starts in ([100.0, 50.0, 400.0, 2000.0], [100.0, 200.0, 400.0, 800.0]):
+        words = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(s).alias("start"), F.lit(0.0).alias("end")) for t, s in zip("abcd", starts)])
+        event = subtitles.karaoke_events(cue.withColumn("words", words)).first()["event"]
+        clamped = [min(max(starts[: i + 1]), 1000.0) for i in range(4)] + [1000.0]
+        want = "".join(f"{{\\kf{max(1, round((b - a) / 10))}}}{t}" + (" " if t != "d" else "") for t, a, b in zip("abcd", clamped, clamped[1:]))
+        assert event.endswith(want), (event, want)
+
+
 def test_karaoke_uses_given_words(spark):
     cue = spark.createDataFrame([(1, 1, 1000, 3000, "{a} b")], "job_id long, cue_no long, start_ms long, end_ms long, text string")
     words = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(s).alias("start"), F.lit(e).alias("end")) for t, s, e in [("{a}", 1500.0, 1800.0), ("b", 1400.0, 9000.0)]])
