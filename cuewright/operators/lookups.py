@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cuewright.operators.timeline import top_per_group
 
 
-def join_labels(samples: DataFrame, labels: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Samples with their label; ``label_state`` is ``missing`` where there is none."""
-    marked = labels.withColumn("_has", F.lit(True))
-    state = F.when(F.col("_has"), "ok").otherwise("missing")
-    return samples.join(marked, list(on), "left").withColumn("label_state", state).drop("_has")
+def join_labels(samples: DataFrame, labels: DataFrame, on: Sequence[str], seen: Observation | None = None, strict: bool = False) -> DataFrame:
+    """Samples with their label; ``label_state`` is ``missing`` where there is none.
+
+    ``seen`` counts samples and ``missing`` labels while the result is used, without a second pass. With
+    ``strict`` the first sample without a label fails the job and is named.
+    """
+    joined = samples.join(labels.withColumn("_has", F.lit(True)), list(on), "left")
+    missing = F.col("_has").isNull()
+    name = F.concat_ws(", ", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in on])
+    otherwise = F.raise_error(F.concat(F.lit("no label for "), name)).cast("string") if strict else F.lit("missing")
+    out = joined.withColumn("label_state", F.when(missing, otherwise).otherwise("ok"))
+    if seen is not None:
+        out = out.observe(seen, F.count(F.lit(1)).alias("samples"), F.count_if(missing).alias("missing"))
+    return out.drop("_has")
 
 
 def overlay_texts(segs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -28,8 +37,9 @@ def overlay_texts(segs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def stale_segments(current: DataFrame, stored: DataFrame, on: Sequence[str]) -> DataFrame:
-    """``state`` is fresh where the stored fingerprint equals the current one, else stale."""
+    """``state`` is fresh where the stored fingerprint equals the current one, else stale; rows without id are left out."""
     prior = stored.select(*on, F.col("fingerprint").alias("_old"))
+    current = current.dropna(subset=list(on))
     state = F.when(F.col("_old") == F.col("fingerprint"), "fresh").otherwise("stale")
     return current.join(prior, list(on), "left").withColumn("state", state).drop("_old")
 

@@ -101,14 +101,19 @@ def build_bucket(body: Column, version: str | None = None) -> Column:
 
 
 def crash_report(reports: DataFrame, version: str | None = None) -> DataFrame:
-    """Counts per crash class and build bucket; classes without reports show zeros."""
+    """Counts per crash class and build bucket; classes without reports show zeros.
+
+    ``recurrence`` is the number of reports of any class from current builds.
+    """
     names = [n for n, _ in CRASH_TITLES]
     rows = reports.select(crash_class(F.col("title")).alias("crash_class"), build_bucket(F.col("body"), version).alias("b"))
     counted = rows.filter(F.col("crash_class").isNotNull()).groupBy("crash_class").agg(
         *[F.count_if(F.col("b") == b).alias(b) for b in BUILDS]
     )
     classes = reports.sparkSession.createDataFrame([(n,) for n in names], "crash_class string")
-    return F.broadcast(classes).join(counted, "crash_class", "left").fillna(0, BUILDS)
+    whole = F.broadcast(classes).join(counted, "crash_class", "left").fillna(0, BUILDS)
+    total = counted.agg(F.coalesce(F.sum(BUILDS[0]), F.lit(0)).alias("recurrence"))
+    return whole.crossJoin(F.broadcast(total))  # one row
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, ids: Sequence[str]) -> DataFrame:

@@ -173,15 +173,21 @@ def src_srt(spark, sf_dir):
     return clean.select("job_id.job_id", "job_id.doc_no", "cue_no", "start_ms", "end_ms", "cue_text")
 
 
-@query("src_sql_tables", sql="SELECT o_orderkey AS id, o_custkey AS project_id, o_orderstatus AS status, o_orderdate AS created_at FROM orders")
+@query(
+    "src_sql_tables",
+    sql="""SELECT o_orderkey AS id, o_custkey AS project_id, c_name AS project, o_orderstatus AS status, CASE WHEN o_orderkey%2=0 THEN NULL ELSE o_orderdate END AS created_at
+FROM orders JOIN customer ON c_custkey=o_custkey""",
+)
 def src_sql_tables(spark, sf_dir):
-    """A job table with an additive schema: parts written before and after a column was added."""
-    path = scratch_path(spark, "jobs")
-    rows = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at")
-    )
-    rows.write.parquet(path)
-    return spark.read.option("mergeSchema", True).parquet(path)
+    """Jobs and projects; the job table has parts from before and from after a column was added."""
+    root = scratch_path(spark, "tables")
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+    jobs.filter("id % 2 = 0").drop("created_at").write.parquet(f"{root}/jobs")
+    jobs.filter("id % 2 <> 0").write.mode("append").parquet(f"{root}/jobs")
+    table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("project")).write.parquet(f"{root}/projects")
+    found = readers.stored_tables(spark, root)
+    named = found["jobs"].join(found["projects"].withColumnRenamed("id", "project_id"), "project_id")
+    return named.select("id", "project_id", "project", "status", "created_at")
 
 
 @query(

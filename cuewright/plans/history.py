@@ -440,8 +440,8 @@ def _reports(spark, sf_dir):
 
 @query(
     "agg_crash_pivot",
-    sql=f"""WITH {CRASH_SQL} SELECT n.crash_class, COUNT(*) FILTER (b='current') AS current, COUNT(*) FILTER (b='outdated') AS outdated, COUNT(*) FILTER (b='unknown') AS unknown
-FROM (SELECT UNNEST(['unreachable', 'never-started', 'backend-died']) AS crash_class) n LEFT JOIN c USING (crash_class) GROUP BY 1""",
+    sql=f"""WITH {CRASH_SQL} SELECT n.crash_class, COUNT(*) FILTER (b='current') AS current, COUNT(*) FILTER (b='outdated') AS outdated, COUNT(*) FILTER (b='unknown') AS unknown,
+  CAST(SUM(COUNT(*) FILTER (b='current')) OVER () AS BIGINT) AS recurrence FROM (SELECT UNNEST(['unreachable', 'never-started', 'backend-died']) AS crash_class) n LEFT JOIN c USING (crash_class) GROUP BY 1""",
 )
 def crash_pivot(spark, sf_dir):
     return rollups.crash_report(_reports(spark, sf_dir), "1.2.0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,19 +72,27 @@ def data_config(spark: SparkSession, path: str) -> DataFrame:
     return paths.select("split", "language_id", "manifest_path", F.explode(copies).alias("copy_no"))
 
 
-def training_csv(spark: SparkSession, path: str) -> DataFrame:
+def _counted(rows: DataFrame, good: Column, seen: Observation | None, rejected: str) -> DataFrame:
+    """Rows that are ``good``; ``seen`` counts them and the others while they flow."""
+    marked = rows.withColumn("_good", F.coalesce(good, F.lit(False)))
+    if seen is not None:
+        marked = marked.observe(seen, F.count_if("_good").alias("kept"), F.count_if(~F.col("_good")).alias(rejected))
+    return marked.filter("_good").drop("_good")
+
+
+def training_csv(spark: SparkSession, path: str, seen: Observation | None = None) -> DataFrame:
     """CSV of audio_path and transcription, quotes and blanks trimmed, incomplete rows left out.
 
-    Fails when no usable row remains, as soon as the result is used.
+    Fails when no usable row remains. ``seen`` counts ``kept`` and ``rejected`` rows while the result is used.
     """
     rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     rows = rows.toDF(*[c.lstrip("﻿").strip() for c in rows.columns])
     audio = F.trim(F.btrim(F.trim("audio_path"), F.lit("'\"")))
     out = rows.select(audio.alias("audio_path"), F.trim("transcription").alias("text"))
-    usable = out.filter((F.coalesce("audio_path", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != ""))
-    if usable.limit(1).count() == 0:
+    usable = (F.col("audio_path") != "") & (F.col("text") != "")
+    if out.filter(usable).limit(1).count() == 0:
         raise ValueError(f"no usable rows in {path}")
-    return usable
+    return _counted(out, usable, seen, "rejected")
 
 
 def language_map(spark: SparkSession, path: str) -> DataFrame:
@@ -108,9 +116,11 @@ def _stamp_ms(h: Column, m: Column, s: Column, ms: Column) -> Column:
     return whole * 1000 + F.rpad(ms, 3, "0").cast("long")
 
 
-def parse_srt(docs: DataFrame, text: str) -> DataFrame:
+def parse_srt(docs: DataFrame, text: str, seen: Observation | None = None) -> DataFrame:
     """Cues of SRT documents, malformed ones left out; one row per cue.
 
+    ``seen`` counts ``kept`` cues and those ``skipped`` for an empty text or a span that does not go forward.
+
     Bodies run from one timing line to the next; the index of the following cue at the end of
     a body is taken off.
     """
@@ -124,10 +134,19 @@ def parse_srt(docs: DataFrame, text: str) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace("c.body", "^\n+", ""), "\n+$", "")
     body = F.regexp_replace(body, r"(?U)(?:(?:^|\n)[^\S\n]*\d+[^\S\n]*)+$", "")
     lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return cues.select(
+    parsed = cues.select(
         *keep,
         (F.col("pos") + 1).cast("long").alias("cue_no"),
         _stamp_ms(*part[:4]).alias("start_ms"),
         _stamp_ms(*part[4:]).alias("end_ms"),
         F.array_join(lines, "\n").alias("cue_text"),
-    ).filter((F.col("end_ms") > F.col("start_ms")) & (F.col("cue_text") != ""))
+    )
+    return _counted(parsed, (F.col("end_ms") > F.col("start_ms")) & (F.col("cue_text") != ""), seen, "skipped")
+
+
+def stored_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Every table below ``root``, a folder each. Columns that later parts added are null in earlier ones."""
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(base) if s.isDirectory() and not s.getPath().getName().startswith(("_", "."))]
+    return {name: spark.read.option("mergeSchema", True).parquet(f"{root}/{name}") for name in sorted(names)}

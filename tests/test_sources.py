@@ -2,10 +2,12 @@
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from cuewright.operators import corpus
 from cuewright.session import scratch_path
+from cuewright.operators import lookups
 from cuewright.sources import readers, subtitles, writers
 
 
@@ -38,6 +40,45 @@ def test_training_csv(spark, tmp_path):
         readers.training_csv(spark, write(tmp_path, "e.csv", "audio_path,transcription\n,\n"))
 
 
+def test_counters_come_with_the_rows(spark, tmp_path):
+    text = "audio_path,transcription\na.wav,hello\nb.wav,\n,text\n"
+    seen = Observation("csv")
+    assert readers.training_csv(spark, write(tmp_path, "t.csv", text), seen).count() == 1
+    assert seen.get == {"kept": 1, "rejected": 2}
+    seen = Observation("srt")
+    frame = spark.createDataFrame([("d", SRT)], "doc string, srt string")
+    assert len(readers.parse_srt(frame, "srt", seen).collect()) == 3
+    assert seen.get == {"kept": 3, "skipped": 1}
+
+
+def test_missing_labels_are_counted_or_fail(spark):
+    samples = spark.createDataFrame([(1, "s"), (2, "s"), (None, "s")], "id long, shard string")
+    labels = spark.createDataFrame([(1, 5)], "id long, quality long")
+    seen = Observation("labels")
+    got = {r["id"]: r["label_state"] for r in lookups.join_labels(samples, labels, ["id"], seen).collect()}
+    assert got == {1: "ok", 2: "missing", None: "missing"} and seen.get == {"samples": 3, "missing": 2}
+    assert lookups.join_labels(samples.filter("id = 1"), labels, ["id"], strict=True).count() == 1
+    with pytest.raises(PySparkException, match="no label for id 2"):
+        lookups.join_labels(samples.filter("id = 2"), labels, ["id"], strict=True).collect()
+
+
+def test_rows_without_id_are_neither_fresh_nor_stale(spark):
+    schema = "job_id long, seg_no long, fingerprint string"
+    current = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, None, "c"), (None, 1, "d")], schema)
+    stored = spark.createDataFrame([(1, 1, "a"), (1, 2, "x"), (1, None, "c")], schema)
+    got = {(r["job_id"], r["seg_no"]): r["state"] for r in lookups.stale_segments(current, stored, ["job_id", "seg_no"]).collect()}
+    assert got == {(1, 1): "fresh", (1, 2): "stale"}
+
+
+def test_stored_tables_with_an_added_column(spark, tmp_path):
+    spark.createDataFrame([(1, "a")], "id long, status string").write.parquet(str(tmp_path / "jobs"))
+    spark.createDataFrame([(2, "b", 7)], "id long, status string, owner long").write.mode("append").parquet(str(tmp_path / "jobs"))
+    spark.range(1).write.parquet(str(tmp_path / "projects"))
+    found = readers.stored_tables(spark, str(tmp_path))
+    assert sorted(found) == ["jobs", "projects"]
+    assert sorted(tuple(r) for r in found["jobs"].select("id", "status", "owner").collect()) == [(1, "a", None), (2, "b", 7)]
+
+
 def test_data_config(spark, tmp_path):
     path = write(tmp_path, "c.json", '{"train": [{"language_id": "en", "manifest_path": ["a", "b"], "repeat": 2}, {"manifest_path": ["c"]}], "dev": [{"manifest_path": ["d"], "repeat": 0}]}')
     rows = readers.data_config(spark, path).collect()
