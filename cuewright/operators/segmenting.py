@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuewright.functions.lists import let
 from cuewright.operators.greedy import greedy_groups
 from cuewright.operators.intervals import interval_join
 from cuewright.operators.ordered import following, largest_group, last_known, next_known, previous, row_number, scan
 from cuewright.operators.pergroup import by_group
 from cuewright.operators.sequences import label_runs
-from cuewright.operators.timeline import majority_speaker, near_other_speaker
+from cuewright.operators.timeline import display_label, near_other_speaker
 
 # Fixed values (milliseconds and characters).
 MIN_MS, IDEAL_MS, MAX_MS = 1500, 4500, 9000
@@ -149,24 +150,43 @@ def smoothed(rows: DataFrame, keys: list[str], order: str, label: str, limit: in
     return counted.select(*[F.when(gone, F.col(f"_back.{label}")).otherwise(F.col(label)).alias(label) if c == label else F.col(c) for c in rows.columns])
 
 
-def word_speakers(words: DataFrame, turns: DataFrame) -> DataFrame:
-    """Majority speaker of every word, null where no turn covers it."""
-    keyed = words.select(
-        F.struct("job_id", "seg_no", "word_no").alias("w"),
-        "job_id",
-        (F.shiftleft("seg_no", 32) + F.col("word_no")).alias("seg_no"),
-        F.col("word_start").alias("start_ms"),
-        F.col("word_end").alias("end_ms"),
-        F.lit(None).cast("string").alias("speaker_id"),
-    )
-    found = majority_speaker(keyed, turns, by_gap=False)
-    return found.select("w.job_id", "w.seg_no", "w.word_no", F.col("assigned").alias("label"))
+def labelled_words(words: DataFrame, turns: DataFrame) -> DataFrame:
+    """``words`` with ``label``, the majority speaker of every word, null where no turn covers it.
+
+    Turns meet segments, not words: each segment carries the turns around it as an array in turn order, and
+    a word is labelled from the array of its segment. The largest summed overlap wins, at a tie the
+    speaker whose turn comes first; a word without overlap takes the first turn around its midpoint.
+    """
+    keys = ["job_id", "seg_no"]
+    spans = words.groupBy(*keys).agg(F.min("word_start").alias("_from"), F.max("word_end").alias("_to"))
+    known = turns.dropna(subset=["speaker", "turn_start", "turn_end"]).select("job_id", "turn_no", "turn_start", "turn_end", "speaker")
+    touch = (F.col("turn_start") <= F.col("_to")) & (F.col("turn_end") >= F.col("_from"))
+    met = interval_join(spans, known, ["job_id"], (F.col("_from"), F.col("_to")), (F.col("turn_start"), F.col("turn_end")), touch)
+    listed = met.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("turn_no", "turn_start", "turn_end", "speaker"))).alias("_turns"))
+
+    def overlap(t: Column) -> Column:
+        return F.least("word_end", t["turn_end"]) - F.greatest("word_start", t["turn_start"])
+
+    def most(heard: Column) -> Column:
+        def score(name: Column, i: Column) -> Column:
+            own = F.filter(heard, lambda t: t["speaker"] == name)
+            total = F.aggregate(own, F.lit(0).cast("long"), lambda n, t: n + overlap(t))
+            return F.struct(total.alias("ms"), (-i).alias("order"), name.alias("name"))
+
+        ranked = F.transform(F.array_distinct(F.transform(heard, lambda t: t["speaker"])), score)
+        return F.when(F.size(heard) <= 1, F.get(heard, F.lit(0))["speaker"]).otherwise(F.array_max(ranked)["name"])
+
+    mid2 = F.col("word_start") + F.col("word_end")
+    around = F.filter("_turns", lambda t: (t["turn_start"] * 2 <= mid2) & (mid2 <= t["turn_end"] * 2))
+    best = let(F.filter("_turns", lambda t: overlap(t) > 0), most)
+    found = F.coalesce(best, F.get(around, F.lit(0))["speaker"])
+    return words.join(listed, keys, "left").select(*words.columns, display_label(found).alias("label"))
 
 
 def smoothed_words(words: DataFrame, turns: DataFrame, limit: int | None = None) -> DataFrame:
     """Words with their speaker label, gaps filled and single flips smoothed inside the segment."""
     keys = ["job_id", "seg_no"]
-    labelled = words.join(word_speakers(words, turns), [*keys, "word_no"]).select(*keys, "word_no", "word", "word_start", "word_end", "label")
+    labelled = labelled_words(words, turns).select(*keys, "word_no", "word", "word_start", "word_end", "label")
     bound = largest_group(words, keys)
     sides = [last_known("_back", F.col("label")), next_known("_ahead", F.col("label"))]
     filled = scan(labelled, keys, ["word_no"], sides, limit, bound)
