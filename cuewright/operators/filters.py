@@ -87,19 +87,23 @@ def allowed_properties(props: Column, allowed: Sequence[str], longest: int) -> C
 
 
 def resolve_languages(df: DataFrame, column: str, dim: DataFrame) -> DataFrame:
-    """Adds ``iso_code``: registered tag, registered base tag, name, else a 2-3 letter prefix.
+    """Adds ``iso_code``: registered tag or alias, its base, name, else a 2-3 letter prefix.
 
-    ``dim`` is the language table (code, name), broadcast where its size allows.
+    ``dim`` is the language table (code, name and, if given, ``aliases``: an array of native names, other codes
+    and spellings), broadcast where its size allows. A key that several languages share goes to the first code.
     """
     dim = small_side(dim)
     plain = F.lower(F.trim(F.col(column)))
     key = F.replace(plain, F.lit("_"), F.lit("-"))
     base = F.split_part(key, F.lit("-"), F.lit(1))
     rows = df.withColumn("_plain", plain).withColumn("_key", key).withColumn("_base", base)
-    whole = dim.select(F.col("code").alias("_key"), F.col("code").alias("_by_key"))
-    start = dim.select(F.col("code").alias("_base"), F.col("code").alias("_by_base"))
-    named = dim.select(F.col("name").alias("_plain"), F.col("code").alias("_by_name"))
-    for side, on in ((whole, "_key"), (start, "_base"), (named, "_plain")):
+    other = F.coalesce("aliases", F.array().cast("array<string>")) if "aliases" in dim.columns else F.array().cast("array<string>")
+    spelled = dim.select("code", F.explode(F.concat(F.array("code"), other)).alias("k")).select("code", F.lower(F.trim("k")).alias("k"))
+    keys = small_side(spelled.filter("k <> ''").groupBy("k").agg(F.min("code").alias("code")))
+    names = small_side(dim.groupBy(F.lower(F.trim("name")).alias("_plain")).agg(F.min("code").alias("_by_name")))
+    whole = keys.select(F.col("k").alias("_key"), F.col("code").alias("_by_key"))
+    start = keys.select(F.col("k").alias("_base"), F.col("code").alias("_by_base"))
+    for side, on in ((whole, "_key"), (start, "_base"), (names, "_plain")):
         rows = rows.join(side, on, "left")
     prefix = F.when(F.col("_base").rlike("^[a-z]{2,3}$"), F.col("_base"))
     code = F.coalesce("_by_key", "_by_base", "_by_name", prefix)

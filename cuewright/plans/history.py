@@ -13,6 +13,7 @@ from cuewright.operators.timeline import top_per_group
 from cuewright.plans import shapes
 from cuewright.plans.registry import query
 from cuewright.session import scratch_path, small_side, spread
+from cuewright.sources import readers
 from cuewright.sources.keyed_store import KeyedStore, upsert
 from cuewright.views import table
 
@@ -29,42 +30,63 @@ def label(spark, sf_dir):
 
 
 LANG_DIM = rows_sql(LANGUAGES, "code, iso3, name")
+LANG_SQL = f"""dim AS (SELECT code, iso3, name, NULL AS alias FROM {LANG_DIM}
+  UNION ALL SELECT 'n' || n_nationkey, 'x' || n_nationkey, LOWER(n_name), LOWER(n_name) || ' tongue' FROM nation)"""
 
 
-def _languages(spark):
-    return small_side(spark.createDataFrame(LANGUAGES, "code string, iso3 string, name string"))
+def _languages(spark, sf_dir):
+    """A language map file with the given languages and one more per nation, read back; the latter have an alias."""
+    path = scratch_path(spark, "language-map")
+    given = spark.createDataFrame([(c, n, i) for c, i, n in LANGUAGES], "language_id string, language_name string, iso_639_3_id string")
+    number = F.col("n_nationkey").cast("string")
+    more = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), number).alias("language_id"), F.lower("n_name").alias("language_name"), F.concat(F.lit("x"), number).alias("iso_639_3_id"))
+    given.unionByName(more).withColumn("train_data_duration", F.lit(1.0)).write.option("sep", "\t").option("header", True).csv(path)
+    found = readers.language_map(spark, path)
+    alias = F.when(F.col("language_id").rlike("^n[0-9]"), F.array(F.concat("language_name", F.lit(" Tongue"))))
+    return found.select(F.col("language_id").alias("code"), F.col("iso_639_3_id").alias("iso3"), F.col("language_name").alias("name"), alias.alias("aliases"))
 
 
 @query(
     "join_language_dim",
     views="v_manifest",
-    sql=f"SELECT m.id, m.language_id, dim.iso3 AS iso_code FROM v_manifest m LEFT JOIN (SELECT * FROM {LANG_DIM}) dim ON dim.code=m.language_id",
+    sql=f"""WITH {LANG_SQL}, m AS (SELECT id, CASE WHEN id%7=0 THEN 'n' || (id%25) ELSE language_id END AS language_id FROM v_manifest)
+SELECT m.id, m.language_id, dim.iso3 AS iso_code FROM m LEFT JOIN dim ON dim.code=m.language_id""",
 )
 def language_dim(spark, sf_dir):
-    dim = _languages(spark).select(F.col("code").alias("language_id"), F.col("iso3").alias("iso_code"))
-    return views.manifest(spark, sf_dir).select("id", "language_id").join(dim, "language_id", "left")
+    """Every seventh document is in the language of a nation."""
+    dim = small_side(_languages(spark, sf_dir).select(F.col("code").alias("language_id"), F.col("iso3").alias("iso_code")))
+    nation = F.concat(F.lit("n"), (F.col("id") % 25).cast("string"))
+    docs = views.manifest(spark, sf_dir).select("id", F.when(F.col("id") % 7 == 0, nation).otherwise(F.col("language_id")).alias("language_id"))
+    return docs.join(dim, "language_id", "left")
 
 
 @query(
     "join_language_resolve",
-    sql=f"""WITH dim AS (SELECT * FROM {LANG_DIM}),
-raw AS (SELECT d.doc_id, CASE d.doc_id%5 WHEN 0 THEN d.lang WHEN 1 THEN ' ' || UPPER(d.lang) || '_XX ' WHEN 2 THEN dim.name WHEN 3 THEN 'Auto' ELSE 'x' || d.lang || '-' || d.source END AS label
-  FROM documents d LEFT JOIN dim ON dim.code=d.lang),
-k AS (SELECT *, REPLACE(LOWER(TRIM(label)), '_', '-') AS key FROM raw)
+    sql=f"""WITH {LANG_SQL},
+raw AS (SELECT d.doc_id, CASE d.doc_id%7 WHEN 0 THEN d.lang WHEN 1 THEN ' ' || UPPER(d.lang) || '_XX ' WHEN 2 THEN dim.name WHEN 3 THEN 'Auto' WHEN 4 THEN 'x' || d.lang || '-' || d.source
+    WHEN 5 THEN UPPER(n_name) || ' Tongue' ELSE LOWER(n_name) || ' tongue_XX' END AS label
+  FROM documents d LEFT JOIN dim ON dim.code=d.lang LEFT JOIN nation ON n_nationkey=d.doc_id%25),
+k AS (SELECT *, REPLACE(LOWER(TRIM(label)), '_', '-') AS key FROM raw),
+s AS (SELECT code, code AS k FROM dim UNION ALL SELECT code, alias FROM dim WHERE alias IS NOT NULL)
 SELECT k.doc_id, k.label, CASE WHEN key IN ('', 'auto') THEN NULL ELSE COALESCE(a.code, b.code, n.code,
   CASE WHEN REGEXP_FULL_MATCH(SPLIT_PART(key, '-', 1), '[a-z]{{2,3}}') THEN SPLIT_PART(key, '-', 1) END) END AS iso_code
-FROM k LEFT JOIN dim a ON a.code=key LEFT JOIN dim b ON b.code=SPLIT_PART(key, '-', 1) LEFT JOIN dim n ON n.name=LOWER(TRIM(label))""",
+FROM k LEFT JOIN s a ON a.k=key LEFT JOIN s b ON b.k=SPLIT_PART(key, '-', 1) LEFT JOIN dim n ON n.name=LOWER(TRIM(label))""",
 )
 def language_resolve(spark, sf_dir):
-    dim = _languages(spark)
+    """Labels as users write them: codes, tags, names, and aliases with and without a region."""
+    dim = _languages(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    named = docs.join(dim.select(F.col("code").alias("lang"), "name"), "lang", "left")
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("_n"), "n_name")
+    named = docs.join(dim.select(F.col("code").alias("lang"), "name"), "lang", "left").join(nations, F.col("doc_id") % 25 == F.col("_n"), "left")
+    kind = F.col("doc_id") % 7
     label = (
-        F.when(F.col("doc_id") % 5 == 0, F.col("lang"))
-        .when(F.col("doc_id") % 5 == 1, F.concat(F.lit(" "), F.upper("lang"), F.lit("_XX ")))
-        .when(F.col("doc_id") % 5 == 2, F.col("name"))
-        .when(F.col("doc_id") % 5 == 3, F.lit("Auto"))
-        .otherwise(F.concat(F.lit("x"), "lang", F.lit("-"), "source"))
+        F.when(kind == 0, F.col("lang"))
+        .when(kind == 1, F.concat(F.lit(" "), F.upper("lang"), F.lit("_XX ")))
+        .when(kind == 2, F.col("name"))
+        .when(kind == 3, F.lit("Auto"))
+        .when(kind == 4, F.concat(F.lit("x"), "lang", F.lit("-"), "source"))
+        .when(kind == 5, F.concat(F.upper("n_name"), F.lit(" Tongue")))
+        .otherwise(F.concat(F.lower("n_name"), F.lit(" tongue_XX")))
     )
     return filters.resolve_languages(named.select("doc_id", label.alias("label")), "label", dim)
 

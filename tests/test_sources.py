@@ -5,9 +5,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from cuewright.operators import corpus
+from cuewright.operators import corpus, filters, lookups
 from cuewright.session import scratch_path
-from cuewright.operators import lookups
 from cuewright.sources import readers, subtitles, writers
 
 
@@ -70,6 +69,16 @@ def test_rows_without_id_are_neither_fresh_nor_stale(spark):
     assert got == {(1, 1): "fresh", (1, 2): "stale"}
 
 
+def test_languages_by_alias_base_and_name(spark):
+    dim = spark.createDataFrame(
+        [("ne", "Nepali", ["npi", "नेपाली", "nepali (nepal)"]), ("xx", "Other", ["npi"]), ("hi", "Hindi", None), ("zz", "hindi", [])], "code string, name string, aliases array<string>"
+    )
+    cases = {" NPI ": "ne", "npi_XX": "ne", "नेपाली": "ne", "Nepali (Nepal)": "ne", "HINDI": "hi", "hi-IN": "hi", "Auto": None, "": None, None: None, "qq-A": "qq", "klingon": None}
+    frame = spark.createDataFrame([(k,) for k in cases], "label string")
+    assert {r["label"]: r["iso_code"] for r in filters.resolve_languages(frame, "label", dim).collect()} == cases
+    assert filters.resolve_languages(frame.filter("label = 'hi-IN'"), "label", dim.drop("aliases")).first()["iso_code"] == "hi"
+
+
 def test_stored_tables_with_an_added_column(spark, tmp_path):
     spark.createDataFrame([(1, "a")], "id long, status string").write.parquet(str(tmp_path / "jobs"))
     spark.createDataFrame([(2, "b", 7)], "id long, status string, owner long").write.mode("append").parquet(str(tmp_path / "jobs"))
