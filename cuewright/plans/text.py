@@ -84,14 +84,15 @@ def safety_filters(spark, sf_dir):
 
 @query(
     "str_outside_brackets",
-    sql="""SELECT doc_id, REPLACE(REPLACE(text, 'e', 'E'), chr(10), ' [pause 300ms] ') || ' [open EE' AS out FROM (SELECT doc_id, regexp_replace(text, '[\\[\\]]', '', 'g') AS text FROM documents) t""",
+    sql=r"""SELECT doc_id, array_to_string(list_transform(range(1, len(p)+1), lambda i: REPLACE(p[i], 'e', 'E') || COALESCE(s[i], '')), '') AS out
+FROM (SELECT doc_id, string_split_regex(t, '\[[^\]\[\n]{0,128}\]') AS p, regexp_extract_all(t, '\[[^\]\[\n]{0,128}\]') AS s
+  FROM (SELECT doc_id, REPLACE(text, chr(10), ' [pause 300ms] ') || ' [open ee [see] [e' || chr(10) || 'e]' AS t FROM documents) x) y""",
 )
 def outside_brackets(spark, sf_dir):
-    plain = F.regexp_replace("text", r"[\[\]]", "")
-    marked = F.concat(F.replace(plain, F.lit("\n"), F.lit(" [pause 300ms] ")), F.lit(" [open ee"))
+    """Lines joined by pause markers, and brackets that stay open, hold a bracket or a line end."""
+    marked = F.concat(F.replace("text", F.lit("\n"), F.lit(" [pause 300ms] ")), F.lit(" [open ee [see] [e\ne]"))
     out = T.outside_brackets(marked, lambda t: F.replace(t, F.lit("e"), F.lit("E")))
-    # The unclosed bracket is plain text, its letters are rewritten too.
-    return docs(spark, sf_dir).select("doc_id", F.replace(out, F.lit(" [opEn EE"), F.lit(" [open EE")).alias("out"))
+    return docs(spark, sf_dir).select("doc_id", out.alias("out"))
 
 
 @query(
