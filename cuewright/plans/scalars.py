@@ -226,7 +226,17 @@ def cache_keys(spark, sf_dir):
     return segs.select("job_id", "seg_no", key.alias("segment_key")).join(chapters, "job_id")
 
 
-@query("hash_segment_seed", views="v_segments")
+# CRC-32 by bytes: the table of a byte comes from eight steps of the reversed polynomial.
+CRC_SQL = """tab AS (SELECT LIST(c ORDER BY n) AS tab FROM (SELECT n, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS c FROM range(256) AS r(n))),
+bytes AS (SELECT job_id, seg_no, list_transform(range(1, octet_length(encode(text)) + 1), lambda i: CAST('0x' || SUBSTR(hex(encode(text)), 2*i-1, 2) AS BIGINT)) AS b FROM v_segments),
+crc AS (SELECT job_id, seg_no, xor(list_reduce(b, lambda c, v: xor(c >> 8, tab[(xor(c, v) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM bytes, tab)"""
+
+
+@query(
+    "hash_segment_seed",
+    views="v_segments",
+    sql=f"WITH {CRC_SQL} SELECT job_id, seg_no, CAST((1234 + crc + seg_no * {documents.NONCE_MIX}) % {documents.SEED_SPACE} AS BIGINT) AS seed FROM crc",
+)
 def segment_seed(spark, sf_dir):
     seed = documents.segment_seed(F.lit(1234).cast("long"), F.col("text"), F.col("seg_no"))
     return views.segments(spark, sf_dir).select("job_id", "seg_no", seed.alias("seed"))
