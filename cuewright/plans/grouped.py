@@ -132,7 +132,24 @@ def describe_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", describe.instruct(tokens).alias("instruct"))
 
 
-@query("grp_words_to_segments", views="v_words")
+# The greedy grouping as a machine that takes one word of each job per step.
+SEGMENT_SQL = f"""WITH RECURSIVE o AS (SELECT *, LEAD(word_start) OVER (PARTITION BY job_id ORDER BY seg_no, word_no) AS nx FROM v_words),
+w AS (SELECT job_id, LIST(word_start ORDER BY seg_no, word_no) AS b, LIST(word_end ORDER BY seg_no, word_no) AS e, LIST(LENGTH(word)+1 ORDER BY seg_no, word_no) AS ch, LIST(word ORDER BY seg_no, word_no) AS word,
+  LIST(regexp_matches(word, '{segmenting.SENTENCE_TAIL.replace("'", "''")}') ORDER BY seg_no, word_no) AS sent, LIST(regexp_matches(word, '{segmenting.CLAUSE_TAIL}') ORDER BY seg_no, word_no) AS cl,
+  LIST(GREATEST(COALESCE(nx-word_end, 0), 0) ORDER BY seg_no, word_no) AS pa, COUNT(*) AS n FROM o GROUP BY 1),
+m(job_id, i, head, heads) USING KEY (job_id) AS (
+  SELECT job_id, 1::BIGINT, 1::BIGINT, [1::BIGINT] FROM w
+  UNION
+  SELECT job_id, i+1, next, CASE WHEN next <> head AND next <= n THEN list_append(heads, next) ELSE heads END FROM (
+    SELECT *, CASE WHEN sent[i] AND span >= 4500 AND held >= 12 THEN i+1 WHEN NOT whole THEN head WHEN sent[i] OR cl[i] OR pa[i] >= 350 THEN i+1
+      ELSE COALESCE(list_min(list_transform(list_filter(range(head, i), lambda k: e[k]-b[head] >= 1500 AND e[i]-b[k+1] >= 1500),
+        lambda k: {{'score': ABS(e[k]-b[head]-4500) - CASE WHEN sent[k] THEN 2000 WHEN cl[k] THEN 800 ELSE 0 END, 'k': k}})).k, i)+1 END AS next
+    FROM (SELECT *, span >= 9000 OR held >= 140 AS whole FROM (SELECT m.i, m.head, m.heads, w.*, e[i]-b[head] AS span, list_sum(ch[head:i]) AS held FROM m JOIN w USING (job_id) WHERE m.i <= w.n) x) y) z)
+SELECT job_id, head, b[head] AS start_ms, e[upto] AS end_ms, array_to_string(word[head:upto], ' ') AS text, upto-head+1 AS words
+FROM (SELECT w.*, head, COALESCE(LEAD(head) OVER (PARTITION BY w.job_id ORDER BY head)-1, n) AS upto FROM w JOIN (SELECT job_id, UNNEST(heads) AS head FROM m) h USING (job_id)) x"""
+
+
+@query("grp_words_to_segments", views="v_words", sql=SEGMENT_SQL)
 def words_to_segments(spark, sf_dir):
     return segmenting.words_to_segments(views.words(spark, sf_dir))
 
