@@ -85,7 +85,7 @@ def _chunked(numbered, keys, heads, needs, key_schema, limit) -> DataFrame:
         renewed = current.select(*by, F.coalesce("_before", F.lit(1)).alias("_entry"), (F.coalesce("_before", F.lit(1)) != F.col("_entry")).alias("_moved"))
         renewed = renewed.checkpoint()
         if renewed.filter((F.col("_entry") <= (F.col("_chunk") - 1) * limit) & (F.col("_chunk") > 0)).limit(1).count():
-            raise ValueError(f"a group is longer than {limit} rows; raise the rows per task")
+            return _chunked(numbered, keys, heads, needs, key_schema, 2 * limit)  # a group is longer than a chunk
         moved = renewed.filter("_moved").select(*by, "_entry")
         entries = renewed.select(*by, "_entry")
         if moved.limit(1).count() == 0:

@@ -69,6 +69,14 @@ def test_words_to_segments(spark, limit):
     assert got == sorted(want)
 
 
+def test_groups_longer_than_a_chunk_widen_it(spark):
+    rows = [(1, 0, i, f"w{i}", 100 * i, 100 * i + 100) for i in range(200)]
+    df = spark.createDataFrame(rows, "job_id long, seg_no long, word_no long, word string, word_start long, word_end long")
+    got = sorted((r["start_ms"], r["end_ms"]) for r in S.words_to_segments(df, 6).collect())
+    groups = segments_by_loop([(w, a, b) for _, _, _, w, a, b in rows])
+    assert got == [(g[0][1], g[-1][2]) for g in groups] and max(len(g) for g in groups) > 12
+
+
 def segment_rows(n=250, seed=4):
     rnd, rows, clock = random.Random(seed), [], 0
     for i in range(n):
