@@ -7,11 +7,11 @@ threshold meets under a key. At a similarity of 0.75 a pair differs in 16 symbol
 more than 31 with a chance near 1e-5; that all chunks have two wrong symbols has a chance of 5e-10.
 
 Texts with equal shingle sets are one class, and only classes are compared. Members of a key are
-first linked to one leader each. Then only keys whose members are still in different components are
-searched in full: signatures of cross-component pairs are compared block by block inside the tasks,
-the nearest of each member first, and then all that are still apart. A screen on sizes, which is
-exact, and on further symbols goes before the sets: it loses fewer pairs than the index. Every link
-is confirmed on the full shingle sets.
+first linked to one leader each. Keys with the same leader then make a bundle, in which a member and
+its shingle set stand once, however many keys it has there. Bundles that still span components are
+searched in tasks of bounded size: every pair that meets under a key is compared on full sets there,
+nothing is screened out but by set sizes, and only links that join two components leave the task. So
+rows follow the members, not the pairs.
 """
 
 from __future__ import annotations
@@ -20,13 +20,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cuewright.llm.common import NO_ID, keyed, real_id, stored
+from cuewright.llm.common import KEY, NO_ID, keyed, real_id, stored
 from cuewright.llm.components import smallest_reachable
 from cuewright.llm.exchange import mix
 from cuewright.llm.window_dedup import rolling, word_codes
@@ -35,13 +33,11 @@ from cuewright.session import small_side
 SHINGLE = 5
 SYMBOLS = 64
 CHUNK = 4
-CHECKED = 256  # symbols of 8 bits that screen a pair before its sets are compared
-SCREEN = 145  # pairs at 0.75 agree in 193 of 256 on average; fewer than this with a chance of 4e-11, the index misses 5e-10
-GROUP = 2048
-ROUNDS = ((0, 4), (4, 32), (32, None))  # ranks among the near ones of a member; a round sees what the last has joined
+BLOCK = 1 << 20  # shingles that a block of members may hold in expectation; a task holds two blocks
+FOLLOWERS = 1 << 20  # shingles of members compared with one copy of their leader's set
 _rng = np.random.default_rng(20240229)
-FACTORS = _rng.integers(0, 1 << 31, CHECKED, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-SHIFTS = _rng.integers(0, 1 << 32, CHECKED, dtype=np.uint32)
+FACTORS = _rng.integers(0, 1 << 31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+SHIFTS = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32)
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -54,199 +50,214 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
 
 
 def minima(items: np.ndarray) -> np.ndarray:
-    """The smallest value of each of the hash functions over a set, mixed."""
+    """The smallest value of each of the hash functions over a set, mixed, as symbols of 16 bits."""
     short = (items >> np.uint64(32)).astype(np.uint32)
-    low = np.full(CHECKED, np.iinfo(np.uint32).max, np.uint32)
+    low = np.full(SYMBOLS, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(items), 1024):
-        low = np.minimum(low, (short[at : at + 1024, None] * FACTORS + SHIFTS).min(axis=0))
-    return mix(low.astype(np.uint64))
+        low = np.minimum(low, (FACTORS[:, None] * short[at : at + 1024] + SHIFTS[:, None]).min(axis=1))
+    return mix(low.astype(np.uint64)).astype(np.uint16)
 
 
-def chunk_keys(low: np.ndarray) -> np.ndarray:
+def chunk_keys(symbols: np.ndarray) -> np.ndarray:
     """One exact key per chunk and symbol left out: 6 bits of place, then three 16-bit symbols."""
-    symbols = (low[:SYMBOLS] & np.uint64(0xFFFF)).reshape(-1, CHUNK)
+    chunks = symbols.astype(np.uint64).reshape(-1, CHUNK)
     keys = []
     for skip in range(CHUNK):
-        a, b, c = np.delete(symbols, skip, axis=1).T
-        place = np.arange(len(symbols), dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(skip)
+        a, b, c = np.delete(chunks, skip, axis=1).T
+        place = np.arange(len(chunks), dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(skip)
         keys.append(place << np.uint64(48) | a << np.uint64(32) | b << np.uint64(16) | c)
     return np.concatenate(keys).astype(np.int64)
 
 
-SIGNED = "doc_id long, key long, n_shingles long, class string, keys array<long>, symbols binary, checks binary"
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+SIGNED = "doc_id long, key long, n_shingles long, node long, keys array<long>, symbols binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, classes, keys, symbols, checks = [], [], [], [], []
+        sizes, nodes, keys, symbols = [], [], [], []
         for text in batch.column(2):
             items = shingles(text.as_buffer().to_pybytes())
             sizes.append(len(items))
             if len(items):
                 low = minima(items)
-                classes.append(hashlib.blake2b(items.tobytes(), digest_size=16).hexdigest())
+                nodes.append(int.from_bytes(hashlib.blake2b(items.tobytes(), digest_size=8).digest(), "little", signed=True))
                 keys.append(chunk_keys(low))
-                symbols.append((low[:SYMBOLS] & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
-                checks.append((low >> np.uint64(56)).astype(np.uint8).tobytes())
+                symbols.append(low.tobytes())
             else:
-                classes.append(None), keys.append(None), symbols.append(None), checks.append(None)
-        arrays = [pa.array(sizes, pa.int64()), pa.array(classes, pa.string()), pa.array(keys, pa.list_(pa.int64()))]
-        arrays += [pa.array(symbols, pa.binary()), pa.array(checks, pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=[c.split()[0] for c in SIGNED.split(", ")])
+                nodes.append(None), keys.append(None), symbols.append(None)
+        arrays = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(symbols, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=_names(SIGNED))
 
 
-@F.pandas_udf(T.IntegerType())
-def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Equal symbols of two check signatures."""
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    left, right = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((left == right).sum(axis=1).astype(np.int32))
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = pa.array([shingles(t.as_buffer().to_pybytes()).tobytes() for t in batch.column(1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["node", "items"])
 
 
-@F.pandas_udf(T.BooleanType())
-def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    """``100 * intersection >= 75 * union`` of two shingle sets."""
-    out = []
-    for x, y in zip(a, b):
-        left, right = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(left, right, assume_unique=True))
-        out.append(100 * both >= 75 * (len(left) + len(right) - both))
-    return pd.Series(out, dtype=bool)
+def full_sets(nodes: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """``node, items`` of the classes in ``nodes``, made again from the text of one document each."""
+    chosen = small_side(stored(nodes.distinct().join(reps.select("node", *KEY), "node"), "needed"))
+    texts = rows.join(chosen, KEY).select("node", "text")
+    return stored(texts.mapInArrow(_sets, "node long, items binary").dropDuplicates(["node"]), "sets")
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = pa.array([shingles(t.as_buffer().to_pybytes()).tobytes() for t in batch.column(1)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["rep", "items"])
+LINKS = "a long, b long"
+
+
+def _links(a: list[int], b: list[int]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=_names(LINKS))
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of class representatives whose full sets are similar enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    chosen = small_side(stored(needed.join(reps.select("rep", "key"), "rep"), "needed"))
-    texts = rows.withColumnRenamed("doc_id", "rep").join(chosen, ["rep", "key"]).select("rep", "text")
-    sets = texts.mapInArrow(_sets, "rep long, items binary").dropDuplicates(["rep"])
-    left = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").filter(linked("x", "y")).select("a", "b")
+class Overlaps:
+    """The shingle sets of one task, with small codes for their items."""
 
+    def __init__(self, column: pa.ChunkedArray) -> None:
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in column]
+        self.sizes = np.fromiter((len(s) for s in sets), np.int64, len(sets))
+        items, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        self.codes = np.split(codes, np.cumsum(self.sizes)[:-1])
+        self.marks = np.zeros(len(items), bool)
 
-def _screen(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    left = reps.select(F.col("rep").alias("a"), F.col("checks").alias("x"), F.col("n_shingles").alias("m"))
-    right = reps.select(F.col("rep").alias("b"), F.col("checks").alias("y"), F.col("n_shingles").alias("n"))
-    sized = pairs.join(left, "a").join(right, "b").filter("100 * least(m, n) >= 75 * greatest(m, n)")
-    return sized.filter(agreement("x", "y") >= SCREEN).select("a", "b")
+    def similar(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` with ``100 * intersection >= 75 * union``."""
+        others = others[100 * np.minimum(self.sizes[others], self.sizes[one]) >= 75 * np.maximum(self.sizes[others], self.sizes[one])]
+        if not len(others):
+            return others
+        self.marks[self.codes[one]] = True
+        hits = self.marks[np.concatenate([self.codes[o] for o in others])].astype(np.int64)
+        self.marks[self.codes[one]] = False
+        both = np.add.reduceat(hits, np.cumsum(self.sizes[others]) - self.sizes[others])
+        return others[100 * both >= 75 * (self.sizes[others] + self.sizes[one] - both)]
 
 
 def shared_entries(reps: DataFrame) -> DataFrame:
-    """``k, rep, n`` of the keys that n > 1 representatives share."""
-    entries = reps.select("rep", F.explode("keys").alias("k"))
+    """``k, node, n`` of the keys that n > 1 classes share."""
+    entries = reps.select("node", F.explode("keys").alias("k"))
     sizes = entries.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return entries.join(sizes, "k")
 
 
-def leader_pairs(entries: DataFrame) -> DataFrame:
-    """``a, b``: each member with the leader it shares most keys with.
+def with_leaders(entries: DataFrame) -> DataFrame:
+    """``k, node, leader``: the leader of a key is the member that meets most others under all its keys.
 
-    The leader of a key is the member that meets most others under all its keys: the text that the
-    others were made from, where it is there.
+    That is the text that the others were made from, where it is there.
     """
-    met = entries.groupBy("rep").agg(F.sum("n").alias("met"))
-    rank = F.struct(F.col("met"), (-F.col("rep")).alias("rep"))
-    leaders = entries.join(met, "rep").groupBy("k").agg(F.max(rank).alias("m")).select("k", (-F.col("m.rep")).alias("b"))
-    shared = entries.join(leaders, "k").filter("rep <> b").groupBy("rep", "b").agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("rep").agg(F.max(F.struct(F.col("n"), (-F.col("b")).alias("b"))).alias("m"))
-    return best.select(F.col("rep").alias("a"), (-F.col("m.b")).alias("b"))
+    met = entries.groupBy("node").agg(F.sum("n").alias("met"))
+    leaders = entries.join(met, "node").groupBy("k").agg(F.max(F.struct("met", "node")).alias("m")).select("k", F.col("m.node").alias("leader"))
+    return entries.join(leaders, "k").select("k", "node", "leader")
 
 
-def with_component(df: DataFrame, components: DataFrame, name: str) -> DataFrame:
-    now = components.select(F.col("node").alias("rep"), F.col("component").alias(name))
-    return df.join(now, "rep", "left").withColumn(name, F.coalesce(name, "rep"))
+def _follow(table: pa.Table) -> pa.Table:
+    nodes, leader = table.column("node").to_pylist(), table.column("leader")[0].as_py()
+    one = nodes.index(leader)
+    near = Overlaps(table.column("items")).similar(one, np.array([i for i in range(len(nodes)) if i != one], np.int64))
+    return _links([leader] * len(near), [nodes[i] for i in near])
 
 
-def mixed_members(entries: DataFrame, components: DataFrame, reps: DataFrame) -> DataFrame:
-    """Members of keys that span components, with the pairs of blocks they take part in.
+def leader_links(led: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Confirmed links of members with the leader each shares most keys with.
 
-    A key with more than ``GROUP`` members is cut into blocks; each pair of blocks is a group of its
-    own, so no task holds more than two blocks.
+    The followers of one leader are dealt over parts, each of which gets a copy of the leader's set.
     """
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    labelled = with_component(entries, components, "home").join(sizes.withColumnRenamed("component", "home"), "home", "left").fillna(1, ["size"])
-    per_key = labelled.groupBy("k").agg(F.min("home").alias("lo"), F.max("home").alias("hi"))
-    members = labelled.join(per_key.filter("lo <> hi").select("k"), "k").join(reps.select("rep", "n_shingles", "symbols", "checks"), "rep")
-    blocks = F.ceil(F.col("n") / GROUP).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda c: F.struct(F.least(c, mine).alias("u"), F.greatest(c, mine).alias("v")))
-    return members.select("k", "rep", "home", "size", "n_shingles", "symbols", "checks", mine.alias("block"), F.explode(pairs).alias("g")).select("*", "g.u", "g.v").drop("g")
+    shared = led.filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("m")).select("node", F.col("m.leader").alias("leader"))
+    sizes = reps.select("node", "n_shingles")
+    sized = best.join(sizes, "node").join(sizes.select(F.col("node").alias("leader"), F.col("n_shingles").alias("theirs")), "leader")
+    sized = stored(sized.filter("100 * least(n_shingles, theirs) >= 75 * greatest(n_shingles, theirs)"), "followers")
+    parts = sized.groupBy("leader").agg(F.ceil(F.sum("n_shingles") / FOLLOWERS).cast("int").alias("parts"))
+    followers = sized.join(parts, "leader").select("node", "leader", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    filled = followers.select("leader", "part").distinct().select(F.col("leader").alias("node"), "leader", "part")
+    sets = full_sets(sized.select(F.explode(F.array("node", "leader")).alias("node")), rows, reps)
+    return followers.unionByName(filled).join(sets, "node").groupBy("leader", "part").applyInArrow(_follow, LINKS)
 
 
-FOUND = "a long, b long, more boolean"
+def with_component(df: DataFrame, components: DataFrame, name: str) -> DataFrame:
+    now = components.select("node", F.col("component").alias(name))
+    return df.join(now, "node", "left").withColumn(name, F.coalesce(name, "node"))
 
 
-def _search(low: int, high: int | None):
-    """Pairs of one group in different components, by rank among the near ones of each member.
+def bundles(led: DataFrame, components: DataFrame, reps: DataFrame) -> DataFrame:
+    """``leader, u, v, block, node, home``: the members of bundles that span components, by pairs of blocks.
 
-    The member of the smaller first component looks for partners, and a pair that shares several keys
-    is given under the first of them only.
+    The heaviest component of a bundle needs no comparison within itself: its members are dealt to
+    blocks of their own, and only the blocks of the others are paired with all blocks. A bundle that
+    fits one block stays one group.
     """
-
-    def run(table: pa.Table) -> pa.Table:
-        names = ("rep", "home", "size", "now", "block", "n_shingles")
-        reps, home, size, now, block, lengths = (table.column(c).to_numpy() for c in names)
-        place = table.column("k")[0].as_py() >> 48
-        within = table.column("u")[0].as_py() == table.column("v")[0].as_py()
-        symbols = np.frombuffer(b"".join(table.column("symbols").to_pylist()), np.uint16).reshape(len(reps), -1)
-        checks = np.frombuffer(b"".join(table.column("checks").to_pylist()), np.uint8).reshape(len(reps), -1)
-        order = np.argsort(reps)
-        reps, home, size, now, block, lengths, symbols, checks = (v[order] for v in (reps, home, size, now, block, lengths, symbols, checks))
-        a, b, more = [], [], False
-        for i in range(len(reps)):
-            away = (size > size[i]) | ((size == size[i]) & (home > home[i]))
-            sized = 100 * np.minimum(lengths, lengths[i]) >= 75 * np.maximum(lengths, lengths[i])  # or they cannot be linked
-            other = np.flatnonzero(away & sized if within else away & sized & (block != block[i]))
-            if not len(other) or (now[other] == now[i]).all():
-                continue
-            alike = (checks[other] == checks[i]).sum(axis=1)
-            near = alike >= SCREEN
-            ranked = other[near][np.argsort(-alike[near], kind="stable")]
-            apart = now[ranked] != now[i]
-            more |= high is not None and bool(apart[high:].any())
-            picked = ranked[low:high][apart[low:high]]
-            if len(picked):
-                same = (symbols[picked] == symbols[i]).reshape(len(picked), -1, CHUNK)
-                chunk = (same.sum(axis=2) >= CHUNK - 1).argmax(axis=1)
-                first = chunk * CHUNK + (~same[np.arange(len(picked)), chunk]).argmax(axis=1)
-                picked = picked[first == place]
-                a += [int(reps[i])] * len(picked)
-                b += reps[picked].tolist()
-        flags = [False] * len(a)
-        if more:
-            a, b, flags = [*a, -1], [*b, -1], [*flags, True]
-        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(flags, pa.bool_())], names=["a", "b", "more"])
-
-    return run
-
-
-def components(rows: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(class representatives, components of those with a link)."""
-    usable = signed.filter(f"class IS NOT NULL AND doc_id <> {NO_ID}")
-    first = F.min(F.struct("doc_id", "key", "n_shingles", "keys", "symbols", "checks")).alias("m")
-    picked = usable.groupBy("class").agg(first).select("class", F.col("m.doc_id").alias("rep"), "m.key", "m.n_shingles", "m.keys", "m.symbols", "m.checks")
+    members = led.select("leader", "node").distinct().join(reps.select("node", "n_shingles"), "node")
+    members = with_component(members, components, "home").withColumn("weight", F.col("n_shingles") + SYMBOLS)
+    homes = members.groupBy("leader", "home").agg(F.sum("weight").alias("w"))
+    heavy = F.max(F.struct("w", "home")).alias("top")
+    spans = homes.groupBy("leader").agg(heavy, F.sum("w").alias("all"), F.count(F.lit(1)).alias("homes")).filter("homes > 1")
+    whole = F.col("all") <= BLOCK
+    spans = spans.select(
+        "leader",
+        F.col("top.home").alias("main"),
+        F.when(whole, 1).otherwise(F.ceil((F.col("all") - F.col("top.w")) / BLOCK)).cast("int").alias("rest"),
+        F.when(whole, 0).otherwise(F.ceil(F.col("top.w") / BLOCK)).cast("int").alias("mains"),
+    )
+    dealt = members.join(spans, "leader")
+    draw, in_main = F.xxhash64("node"), (F.col("home") == F.col("main")) & (F.col("mains") > 0)
+    block = F.when(in_main, F.col("rest") + F.pmod(draw, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(draw, "rest")).cast("int")
+    peers = F.sequence(F.lit(0), F.when(in_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1)
+    paired = dealt.select("leader", "node", "home", block.alias("block"), F.explode(peers).alias("peer"))
+    return paired.select("leader", F.least("block", "peer").alias("u"), F.greatest("block", "peer").alias("v"), "block", "node", "home")
+
+
+def _meet(symbols: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+    """Those of ``others`` that share a key with ``one``: a chunk with at most one wrong symbol."""
+    same = (symbols[others] == symbols[one]).view(np.uint32)  # the four symbols of a chunk, a byte each
+    equal = (same * np.uint32(0x01010101)) >> np.uint32(24)
+    return others[(equal >= CHUNK - 1).any(axis=1)]
+
+
+def _search(table: pa.Table) -> pa.Table:
+    """Links that join two components, among the pairs of one or of two blocks that meet under a key."""
+    nodes, home, block = (table.column(c).to_numpy() for c in ("node", "home", "block"))
+    within = table.column("u")[0].as_py() == table.column("v")[0].as_py()
+    first = table.column("u")[0].as_py()
+    symbols = np.frombuffer(b"".join(table.column("symbols").to_pylist()), np.uint16).reshape(len(nodes), -1)
+    seekers = np.arange(len(nodes)) if within else np.flatnonzero(block == first)
+    sought = seekers if within else np.flatnonzero(block != first)
+    if not len(seekers) or not len(sought):
+        return _links([], [])
+    sets, now, a, b = Overlaps(table.column("items")), home.copy(), [], []
+    for i in seekers:
+        others = sought[now[sought] != now[i]]
+        if within:
+            others = others[others > i]
+        for j in sets.similar(i, _meet(symbols, i, others)) if len(others) else ():
+            if now[j] != now[i]:
+                now[now == now[j]] = now[i]
+                a.append(int(nodes[i])), b.append(int(nodes[j]))
+    return _links(a, b)
+
+
+def shared_ids(usable: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share an id but not a set: they are one document."""
+    rows = usable.select("doc_id", "node")
+    spread = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("doc_id", "a")
+    return rows.join(spread, "doc_id").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def components(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """``node, component_id``: the smallest document id that the members of a class can reach."""
+    usable = signed.filter(f"node IS NOT NULL AND doc_id <> {NO_ID}")
+    first = F.min(F.struct("doc_id", "key", "n_shingles", "keys", "symbols")).alias("m")
+    picked = usable.groupBy("node").agg(first).select("node", "m.doc_id", "m.key", "m.n_shingles", "m.keys", "m.symbols")
     reps = stored(picked, "classes")
-    entries = stored(shared_entries(reps), "entries")
-    links = stored(confirmed(stored(_screen(leader_pairs(entries), reps), "pairs"), rows, reps), "confirmed")
-    found = smallest_reachable(links)
-    members = stored(mixed_members(entries, found, reps), "members")
-    for low, high in ROUNDS:
-        groups = with_component(members, found, "now").groupBy("k", "u", "v")
-        search = stored(groups.applyInArrow(_search(low, high), FOUND), "search")
-        pairs = search.filter("a >= 0").select("a", "b").distinct()
-        links = stored(links.unionByName(confirmed(stored(pairs, "pairs"), rows, reps)), "confirmed")
-        found = smallest_reachable(links)
-        if not search.filter("more").limit(1).count():
-            break
-    return reps, found
+    led = stored(with_leaders(stored(shared_entries(reps), "entries")), "led")
+    links = stored(leader_links(led, rows, reps).unionByName(shared_ids(usable)), "links")
+    paired = stored(bundles(led, smallest_reachable(links), reps), "bundles")
+    sets = full_sets(paired.select("node"), rows, reps).join(reps.select("node", "symbols"), "node")
+    found = paired.join(sets, "node").groupBy("leader", "u", "v").applyInArrow(_search, LINKS)
+    reached = with_component(reps.select("node", "doc_id"), smallest_reachable(links.unionByName(stored(found, "links"))), "component")
+    smallest = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return reached.join(smallest, "component").select("node", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
@@ -257,13 +268,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a similarity of 0.75 or more are linked; ``component_id`` is the smallest id that can be reached
     over links and ``kept`` marks the document that bears it. Null, empty and wordless texts have an
     empty set and stay alone. Rows without id are not linked: no component, kept. Rows that share an
-    id count as one document. ``with_key`` adds the row's ``key``, the hash of its text.
+    id count as one document, so the sets of all of them share a component. ``with_key`` adds the
+    row's ``key``, the hash of its text.
     """
     rows = keyed(docs, id_col, text_col)
     signed = stored(rows.mapInArrow(_sign, SIGNED), "signatures")
-    reps, found = components(rows, signed)
-    classes = with_component(reps.select("class", "rep"), found, "component").select("class", "component")
-    joined = signed.select("doc_id", "key", "n_shingles", "class").join(classes, "class", "left")
-    component: Column = F.when(F.col("doc_id") != NO_ID, F.coalesce("component", "doc_id"))
+    joined = signed.select(*KEY, "n_shingles", "node").join(components(rows, signed), "node", "left")
+    component: Column = F.when(F.col("doc_id") != NO_ID, F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
     return joined.select(real_id(), "n_shingles", component.alias("component_id"), kept.alias("kept"), *["key"] * with_key)

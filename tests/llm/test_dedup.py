@@ -90,8 +90,9 @@ def test_near_chain_and_group(make_docs):
     assert got == plain.near_duplicates(rows)
 
 
-def test_blocks_of_a_large_key_lose_no_pair(make_docs, monkeypatch):
-    monkeypatch.setattr(near_dup, "GROUP", 4)
+def test_blocks_of_a_large_bundle_lose_no_pair(make_docs, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 3000)
+    monkeypatch.setattr(near_dup, "FOLLOWERS", 1000)
     test_near_chain_and_group(make_docs)
 
 
@@ -120,19 +121,33 @@ def test_replies_to_repeated_rows_of_other_chunks(make_docs, monkeypatch):
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == want
 
 
-def test_screen_keeps_a_pair_that_agrees_in_few_symbols(make_docs):
-    """A pair at exactly 0.75 that shares keys, but agrees in only 163 of the 256 symbols of the screen."""
+def test_pair_at_the_threshold(make_docs):
+    """A pair at exactly 0.75 is confirmed on full sets, however many symbols of its signatures agree."""
     w = [f"w523x{j}" for j in range(11)]
     rows = [(1, " ".join(w)), (2, " ".join([*w[:10], "other"])), (3, sentence(51, 40))]
-    low = [near_dup.minima(near_dup.shingles(t.encode())) >> np.uint64(56) for _, t in rows[:2]]
-    assert (low[0] == low[1]).sum() == 163
     got = {r["doc_id"]: tuple(r[1:]) for r in near_dup.near_duplicates(make_docs(rows)).collect()}
     assert got == plain.near_duplicates(rows) and got[2] == (7, 1, False)
 
 
-def test_rounds_lose_no_pair(make_docs, monkeypatch):
-    monkeypatch.setattr(near_dup, "ROUNDS", ((0, 1), (1, 2), (2, None)))
-    test_near_chain_and_group(make_docs)
+def test_rows_of_a_shared_id_are_one_document(make_docs):
+    a, b = sentence(71, 60), sentence(72, 60)
+    rows = [(1, a), (9, a), (9, b), (12, b), (15, b + " more"), (20, sentence(73, 60)), (9, "")]
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(make_docs(rows)).collect())
+    assert got == Counter([(1, 1, True), (9, 1, False), (9, 1, False), (12, 1, False), (15, 1, False), (20, 20, True), (9, 9, True)])
+
+
+def test_hostile_group_links_and_rows(make_docs, spark, monkeypatch):
+    """A group far below and around the threshold, more members than a block: the brute-force components, rows by members."""
+    rng = np.random.default_rng(8)
+    base = sentence(81, 120).split()
+    rows = []
+    for k in range(150):
+        change = set(rng.choice(len(base), int(rng.integers(1, 9)), replace=False).tolist())
+        rows.append((k, " ".join(w if j not in change else f"x{k}y{j}" for j, w in enumerate(base))))
+    monkeypatch.setattr(near_dup, "BLOCK", 6000)
+    got = {r["doc_id"]: tuple(r[1:]) for r in near_dup.near_duplicates(make_docs(rows)).collect()}
+    want = plain.near_duplicates(rows)
+    assert got == want and 1 < len({v[1] for v in want.values()}) < 150
 
 
 def test_crowded_anchor_is_not_sorted_in_one_group(make_docs, monkeypatch):
