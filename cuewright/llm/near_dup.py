@@ -21,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import KEY, NO_ID, keyed, real_id, stored
 from cuewright.llm.components import smallest_reachable
 from cuewright.llm.exchange import mix
-from cuewright.llm.window_dedup import rolling, word_codes
+from cuewright.llm.window_dedup import rolling
 from cuewright.session import small_side
 
 SHINGLE = 5
@@ -38,6 +39,19 @@ FOLLOWERS = 1 << 20  # shingles of members compared with one copy of their leade
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 1 << 31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFTS = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32)
+OTHERS = np.array([[c for c in range(CHUNK) if c != skip] for skip in range(CHUNK)])
+PLACES = np.arange(SYMBOLS, dtype=np.uint64).reshape(-1, CHUNK) << np.uint64(48)
+
+
+class _Codes(dict):
+    """64-bit digests of words, each made when it is first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
+
+
+_codes = _Codes()
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -45,7 +59,9 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     words = text.lower().split()  # of bytes: A-Z only
     if not words:
         return np.empty(0, np.uint64)
-    codes = word_codes(words)
+    if len(_codes) > 500_000:
+        _codes.clear()
+    codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
     return np.unique(rolling(codes, min(size, len(codes))))
 
 
@@ -60,13 +76,8 @@ def minima(items: np.ndarray) -> np.ndarray:
 
 def chunk_keys(symbols: np.ndarray) -> np.ndarray:
     """One exact key per chunk and symbol left out: 6 bits of place, then three 16-bit symbols."""
-    chunks = symbols.astype(np.uint64).reshape(-1, CHUNK)
-    keys = []
-    for skip in range(CHUNK):
-        a, b, c = np.delete(chunks, skip, axis=1).T
-        place = np.arange(len(chunks), dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(skip)
-        keys.append(place << np.uint64(48) | a << np.uint64(32) | b << np.uint64(16) | c)
-    return np.concatenate(keys).astype(np.int64)
+    a, b, c = np.moveaxis(symbols.astype(np.uint64).reshape(-1, CHUNK)[:, OTHERS], 2, 0)
+    return (PLACES | a << np.uint64(32) | b << np.uint64(16) | c).ravel().view(np.int64)
 
 
 def _names(schema: str) -> list[str]:
