@@ -47,18 +47,22 @@ r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
     CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0 END AS r2,
     CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END AS r3,
     CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS r4 FROM m),
-q AS (SELECT lang, source, GROUPING(lang, source) AS lvl, count(*) AS n,
-    quantile_disc(r1, 0.25) AS a1, quantile_disc(r1, 0.75) AS b1, quantile_disc(r2, 0.25) AS a2, quantile_disc(r2, 0.75) AS b2,
-    quantile_disc(r3, 0.25) AS a3, quantile_disc(r3, 0.75) AS b3, quantile_disc(r4, 0.25) AS a4, quantile_disc(r4, 0.75) AS b4
-  FROM r GROUP BY GROUPING SETS ((lang, source), (lang), ())),
-f AS (SELECT r.*, CASE WHEN s.n >= 100 THEN s WHEN l.n >= 100 THEN l ELSE w END AS z
-  FROM r JOIN q s ON s.lvl = 0 AND r.lang IS NOT DISTINCT FROM s.lang AND r.source IS NOT DISTINCT FROM s.source
-  JOIN q l ON l.lvl = 1 AND r.lang IS NOT DISTINCT FROM l.lang JOIN q w ON w.lvl = 3)
+q AS (SELECT lang, source, GROUPING(lang, source) AS lvl, count(*) AS n, quantile_disc(r4, 0.1) AS l4, quantile_disc(r4, 0.01) AS b4,
+    quantile_disc(r1, 0.5) AS m1, quantile_disc(r1, 0.9) AS u1, quantile_disc(r1, 0.99) AS e1,
+    quantile_disc(r2, 0.5) AS m2, quantile_disc(r2, 0.99) AS u2, quantile_disc(r2, 0.99) AS e2,
+    quantile_disc(r3, 0.5) AS m3, quantile_disc(r3, 0.99) AS u3, quantile_disc(r3, 0.99) AS e3,
+    quantile_disc(r4, 0.5) AS m4, quantile_disc(r4, 0.9) AS u4, quantile_disc(r4, 0.99) AS e4
+  FROM r WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source), (lang), ())),
+f AS (SELECT r.*, CASE WHEN s.n >= 100 THEN s WHEN l.n >= 100 THEN l ELSE w END AS y,
+    CASE WHEN s.n >= 1000 THEN s WHEN l.n >= 1000 THEN l ELSE w END AS z
+  FROM r LEFT JOIN q s ON s.lvl = 0 AND r.lang IS NOT DISTINCT FROM s.lang AND r.source IS NOT DISTINCT FROM s.source
+  LEFT JOIN q l ON l.lvl = 1 AND r.lang IS NOT DISTINCT FROM l.lang LEFT JOIN q w ON w.lvl = 3)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed
-  AND r1 BETWEEN z.a1 - 4.0 * (z.b1 - z.a1) - 0.05 AND z.b1 + 4.0 * (z.b1 - z.a1) + 0.05
-  AND r2 BETWEEN z.a2 - 4.0 * (z.b2 - z.a2) - 0.2 AND z.b2 + 4.0 * (z.b2 - z.a2) + 0.2
-  AND r3 BETWEEN z.a3 - 4.0 * (z.b3 - z.a3) - 0.2 AND z.b3 + 4.0 * (z.b3 - z.a3) + 0.2
-  AND r4 BETWEEN z.a4 - 4.0 * (z.b4 - z.a4) - 2.0 AND z.b4 + 4.0 * (z.b4 - z.a4) + 2.0 AS kept
+  AND r1 <= y.u1 + 2.0 * (y.u1 - y.m1) + 0.1 * (y.e1 - y.u1) + 0.01
+  AND r2 <= z.u2 + 2.0 * (z.u2 - z.m2) + 0.1 * (z.e2 - z.u2) + 0.01
+  AND r3 <= z.u3 + 2.0 * (z.u3 - z.m3) + 0.1 * (z.e3 - z.u3) + 0.01
+  AND r4 BETWEEN y.l4 + 2.0 * (y.l4 - y.m4) + 0.1 * (y.b4 - y.l4) - 0.5
+             AND y.u4 + 2.0 * (y.u4 - y.m4) + 0.1 * (y.e4 - y.u4) + 0.5 AS kept
 FROM f
 """
 

@@ -16,22 +16,29 @@ from pyspark.sql import functions as F
 from cuewright.llm.common import stored, text_key, words
 
 RATES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
+TWO_SIDED = ("word_length",)
 SPAN = 8
 
 
 @dataclass(frozen=True)
 class Fences:
-    """``upper = q3 + reach * (q3 - q1) + slack`` and likewise below, per rate.
-
-    ``slack`` keeps documents that differ by trifles where a group has no spread at all.
-    ``least`` is the number of documents below which a group's thresholds come from its language,
-    and those of a thin language from the corpus. ``sketch_k`` sets the sketch size: ranks are
-    exact up to that many values and within about 2 / sketch_k of the group beyond.
+    """``upper = u + reach * (u - median) + tail * (q99 - u) + guard``, ``u`` being the rate's ``level`` quantile.
+
+    All of it but ``guard`` comes from the group, so a rate that is usual in a source is not odd there.
+    Symbols are rare in prose and mark damage, so their fence starts from the 0.9 quantile; sound texts
+    repeat lines and windows now and then, so theirs starts from 0.99. Only ``word_length`` has a lower
+    fence, the mirror image: few symbols or repeats are never a fault. ``guard`` is a tie guard for
+    groups without spread. A quantile is taken from a sketch with ``beyond`` documents or more above
+    it: thinner groups use the sketch of their language, and thin languages that of the corpus.
+    ``sketch_k`` sets the sketch size: ranks are exact up to that many values and within about
+    2 / sketch_k of the group beyond.
     """
 
-    reach: float = 4.0
-    slack: tuple[float, ...] = (0.05, 0.2, 0.2, 2.0)
-    least: int = 100
+    level: tuple[float, ...] = (0.9, 0.99, 0.99, 0.9)
+    guard: tuple[float, ...] = (0.01, 0.01, 0.01, 0.5)
+    reach: float = 2.0
+    tail: float = 0.1
+    beyond: int = 10
     sketch_k: int = 4096
 
 
@@ -111,10 +118,11 @@ def _rate(part: str, whole: str) -> Column:
 def thresholds(measured: DataFrame, fences: Fences = Fences()) -> DataFrame:
     """``lang, source`` and a lower and upper limit per rate, one row per group.
 
-    Null languages and sources are groups of their own.
+    Null languages and sources are groups of their own. Documents that fail the base rule are out
+    whatever the fences say, so they take no part in them.
     """
     sketches = [F.kll_sketch_agg_double(r, F.lit(fences.sketch_k)).alias(r) for r in RATES]
-    group = measured.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *sketches)
+    group = measured.filter("NOT base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *sketches)
     group = stored(group, "quality-sketches")
 
     def merged(by: list[str], mark: str) -> DataFrame:
@@ -125,17 +133,18 @@ def thresholds(measured: DataFrame, fences: Fences = Fences()) -> DataFrame:
     whole = merged([], "c")
     wide = group.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(whole, F.lit(True), "left")
     limits = []
-    for rate, slack in zip(RATES, fences.slack):
+    for rate, level, guard in zip(RATES, fences.level, fences.guard):
+        least = round(fences.beyond / (1 - level))
         chosen = (
-            F.when(F.col("n") >= fences.least, F.col(rate))
-            .when(F.col("l_n") >= fences.least, F.col(f"l_{rate}"))
-            .otherwise(F.col(f"c_{rate}"))
+            F.when(F.col("n") >= least, F.col(rate)).when(F.col("l_n") >= least, F.col(f"l_{rate}")).otherwise(F.col(f"c_{rate}"))
         )
-        q1, q3 = (F.kll_sketch_get_quantile_double(chosen, F.lit(q)) for q in (0.25, 0.75))
-        limits += [
-            (q1 - fences.reach * (q3 - q1) - slack).alias(f"{rate}_low"),
-            (q3 + fences.reach * (q3 - q1) + slack).alias(f"{rate}_high"),
-        ]
+
+        def fence(start: float, end: float) -> Column:
+            q, middle, last = (F.kll_sketch_get_quantile_double(chosen, F.lit(x)) for x in (start, 0.5, end))
+            return q + fences.reach * (q - middle) + fences.tail * (last - q)
+
+        low = fence(round(1 - level, 6), 0.01) - guard if rate in TWO_SIDED else F.lit(float("-inf"))
+        limits += [low.alias(f"{rate}_low"), (fence(level, 0.99) + guard).alias(f"{rate}_high")]
     return wide.select("lang", "source", *limits)
 
 

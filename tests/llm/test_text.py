@@ -38,6 +38,34 @@ def test_rules_adapt_to_the_source(make_docs):
     assert not got[999] and all(kept for i, kept in got.items() if i != 999)
 
 
+def test_every_rate_adapts_to_the_source(make_docs):
+    """Each rate has a text that is usual in the source ``own`` and beyond the fence of ``prose``."""
+    def repeated_lines(k):
+        lines = [sentence(k, 5)] + [sentence(1000 * k + j + 7, 5) for j in range(5)]
+        return "\n".join([lines[0], lines[1], lines[0], lines[2], lines[0], *lines[3:]])
+
+    def repeated_window(k):
+        return " ".join([sentence(k, 8), sentence(10000 + k, 50), sentence(k, 8)])
+
+    def tail(k):
+        return sentence(500 + k, 60)
+
+    shapes = {
+        "symbol_rate": lambda k: " | ".join(tail(k).split()),
+        "dup_line_rate": repeated_lines,
+        "repeat_rate": repeated_window,
+        "word_length": lambda k: " ".join(w * 3 for w in tail(k).split()),
+    }
+    for rate, shape in shapes.items():
+        prose = [(k, tail(k), "en", "prose") for k in range(150)]
+        own = [(1000 + k, shape(k), "en", "own") for k in range(150)]
+        odd = [(9999, shape(7), "en", "prose")]
+        judged = quality_rules.judge(make_docs(prose + own + odd), quality_rules.Fences(beyond=1)).collect()
+        refused = {r["doc_id"] for r in judged if not r["kept"]}
+        assert refused == {9999}, rate
+        assert not any(r["base_failed"] for r in judged), rate
+
+
 def test_contaminated_awkward(spark, make_docs, awkward):
     passage = " ".join(sentence(3, 70).split()[10:40]).upper()
     items = [("b1", passage), (None, "one"), ("b2", "é Ü " + sentence(6, 5)), ("b3", None), ("b4", ""), ("b1", passage), ("b5", sentence(77, 40))]
