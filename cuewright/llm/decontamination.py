@@ -4,8 +4,8 @@ A benchmark item is searched by its windows of 13 words. Document frequencies of
 are counted over the corpus first; each window is then represented by its three rarest words, and
 only postings of those words, (word, document, position), are stored. Postings are shifted by the
 word's place in the item, so the words of a phrase agree in the shifted position: intersecting the
-lists of a window, rarest first, leaves candidate starts, and lists that come within ``slop`` places
-of each other are proximity matches. Candidates are confirmed word by word on the text. Only
+lists of a window, rarest first, leaves candidate starts, and starts of the rarest word that all
+other lists come within ``slop`` places of are proximity matches. Candidates are confirmed word by word on the text. Only
 DataFrame functions run here.
 """
 
@@ -55,9 +55,10 @@ def windows(items: DataFrame, frequency: DataFrame, size: int = WINDOW) -> DataF
     return cut.filter(F.col("by_rarity")[0]["n"] > 0).select("item", "item_id", "s", "phrase", picks.alias("picks"))
 
 
-def within(a: str, b: str, slop: int) -> Column:
-    """Some places of two lists lie at most ``slop`` apart."""
-    return F.exists(a, lambda x: F.exists(b, lambda y: F.abs(x - y) <= slop))
+def within(starts: Column, others: Column, slop: int) -> Column:
+    """Those of ``starts`` that have one of ``others`` at most ``slop`` away; linear in both lists."""
+    reached = F.flatten(F.transform(others, lambda d: F.sequence(d - slop, d + slop)))
+    return F.array_intersect(starts, reached)
 
 
 def contaminated(
@@ -70,11 +71,13 @@ def contaminated(
     item_col: str = "item_id",
     with_key: bool = False,
 ) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_near, matches, items, contaminated`` of every row of ``docs``.
+    """``doc_id, n_words, n_hit, n_near, matches, near, items, contaminated`` of every row of ``docs``.
 
     A word is hit when it lies in an occurrence of a benchmark window; ``items`` are the ids of the
     items with such a window, sorted as strings, ``matches`` their occurrences (item_id, start, length).
-    ``n_near`` counts windows whose rarest words all occur within ``slop`` places of their order.
+    ``n_near`` counts windows whose rarest words all occur within ``slop`` places of their order: the
+    rarest word at some place, each other one at most ``slop`` from where that place puts it. ``near``
+    lists such places that are no occurrence (item_id, start the rarest word implies, length).
     ``contaminated`` means that at least 1 word in 20 is hit. Null, empty and wordless texts have no
     words and no hits; items without words are never found; an empty benchmark finds nothing.
     Repeated documents each get their row, repeated items count once. ``with_key`` adds the row's
@@ -103,31 +106,43 @@ def contaminated(
         return F.transform(F.filter("p", lambda e: e["q"] == F.get("picks", F.lit(k))), lambda e: e["d"])
 
     aligned = met.select(*KEY, "item_id", "s", "phrase", "picks", *[starts_of(k).alias(f"d{k}") for k in range(RAREST)])
-    exact, near = F.col("d0"), F.size("d0") > 0
+    exact, near = F.col("d0"), F.col("d0")
     for k in range(1, RAREST):
         extra = F.size("picks") > k
         exact = F.when(extra, F.array_intersect(exact, F.col(f"d{k}"))).otherwise(exact)
-        near = near & (~extra | within("d0", f"d{k}", slop))
-    candidates = aligned.select(*KEY, "item_id", "s", "phrase", exact.alias("starts"), near.alias("near")).filter("near")
+        near = F.when(extra, within(near, F.col(f"d{k}"), slop)).otherwise(near)
+    candidates = aligned.select(*KEY, "item_id", "s", "phrase", exact.alias("starts"), near.alias("near")).filter(F.size("near") > 0)
     listed = F.transform(
         "starts",
         lambda d: F.struct((d + F.col("s")).alias("start"), F.col("item_id").alias("item_id"), F.col("phrase").alias("phrase")),
     )
-    per_doc = candidates.groupBy(*KEY).agg(F.flatten(F.collect_list(listed)).alias("found"), F.count(F.lit(1)).alias("n_near"))
+    apart = F.transform(
+        F.array_except("near", "starts"),
+        lambda d: F.struct(F.col("item_id").alias("item_id"), (d + F.col("s")).alias("start"), F.size("phrase").alias("length")),
+    )
+    per_doc = candidates.groupBy(*KEY).agg(
+        F.flatten(F.collect_list(listed)).alias("found"), F.flatten(F.collect_list(apart)).alias("apart"), F.count(F.lit(1)).alias("n_near")
+    )
+
+    joined = rows.join(per_doc, KEY, "left").select(*KEY, "n_near", "found", "apart", terms(F.col("text")).alias("words"))
+
+    def occurs(c: Column) -> Column:
+        return (c["start"] >= 0) & (F.slice("words", F.greatest(c["start"], F.lit(0)) + 1, F.size(c["phrase"])) == c["phrase"])
+
+    def places_of(found: Column) -> Column:
+        placed = F.transform(found, lambda c: F.struct(c["item_id"].alias("item_id"), c["start"].alias("start"), F.size(c["phrase"]).alias("length")))
+        return F.coalesce(placed, none)
 
-    joined = rows.join(per_doc, KEY, "left").select(*KEY, "n_near", "found", terms(F.col("text")).alias("words"))
-    true = F.filter("found", lambda c: (c["start"] >= 0) & (F.slice("words", F.greatest(c["start"], F.lit(0)) + 1, F.size(c["phrase"])) == c["phrase"]))
+    none = F.array().cast("array<struct<item_id:string,start:int,length:int>>")
     checked = joined.select(
         *KEY,
         F.size("words").cast("long").alias("n_words"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-        F.coalesce(
-            F.transform(true, lambda c: F.struct(c["item_id"].alias("item_id"), c["start"].alias("start"), F.size(c["phrase"]).alias("length"))),
-            F.array().cast("array<struct<item_id:string,start:int,length:int>>"),
-        ).alias("matches"),
+        places_of(F.filter("found", occurs)).alias("matches"),
+        F.concat(F.coalesce("apart", none), places_of(F.filter("found", lambda c: ~occurs(c)))).alias("near"),
     )
     touched = F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["start"], m["start"] + m["length"] - 1))))
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     out = checked.select("*", F.size(touched).cast("long").alias("n_hit"), names.alias("items"))
     flag = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return out.select(real_id(), "n_words", "n_hit", "n_near", "matches", "items", flag.alias("contaminated"), *["key"] * with_key)
+    return out.select(real_id(), "n_words", "n_hit", "n_near", "matches", "near", "items", flag.alias("contaminated"), *["key"] * with_key)

@@ -128,11 +128,29 @@ g AS (SELECT doc_id, i, n, list_aggregate(w[i:i+n-1], 'string_agg', ' ') AS g
 m AS (SELECT doc_id, item_id, i, g.n FROM g JOIN q ON g.g = q.g AND g.n = q.n),
 h AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT doc_id, i, unnest(range(0, n)) AS k FROM m) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id),
+fr AS (SELECT word, count(*) AS f FROM (SELECT unnest(w) AS word FROM dw) GROUP BY word),
+it AS (SELECT item_id, w, row_number() OVER () AS it
+  FROM (SELECT DISTINCT COALESCE(CAST(item_id AS VARCHAR), '') AS item_id, w FROM bw WHERE len(w) > 0)),
+ip AS (SELECT it, q, word, COALESCE(f, 0) AS f FROM (SELECT it, unnest(w) AS word, unnest(range(0, len(w))) AS q FROM it) LEFT JOIN fr USING (word)),
+iw AS (SELECT it, item_id, s, w[s+1:s+13] AS phrase FROM (SELECT *, unnest(range(0, greatest(len(w) - 13, 0) + 1)) AS s FROM it)),
+pk AS (SELECT * FROM (SELECT iw.it, s, q, word, least(3, len(phrase)) AS np, row_number() OVER (PARTITION BY iw.it, s ORDER BY f, q) AS k,
+    min(f) OVER (PARTITION BY iw.it, s) AS rarest FROM iw JOIN ip ON iw.it = ip.it AND q BETWEEN s AND s + 12) WHERE k <= 3 AND rarest > 0),
+po AS (SELECT * FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM dw) WHERE word IN (SELECT word FROM pk)),
+sh AS (SELECT doc_id, it, s, k, np, pos - q AS d FROM po JOIN pk USING (word)),
+ex AS (SELECT DISTINCT doc_id, it, s, k AS other, d + e AS d FROM (SELECT *, unnest(range(-3, 4)) AS e FROM sh WHERE k > 1)),
+nr AS (SELECT sh.doc_id, sh.it, sh.s, sh.d FROM sh LEFT JOIN ex ON sh.doc_id = ex.doc_id AND sh.it = ex.it AND sh.s = ex.s AND sh.d = ex.d
+  WHERE k = 1 GROUP BY ALL HAVING count(other) = any_value(np) - 1),
+nw AS (SELECT doc_id, count(*) AS n_near FROM (SELECT DISTINCT doc_id, it, s FROM nr) GROUP BY doc_id),
+nd AS (SELECT doc_id, string_agg(place, ',' ORDER BY place) AS places FROM (SELECT DISTINCT nr.doc_id, item_id || ':' || CAST(d + nr.s AS VARCHAR) AS place
+    FROM nr JOIN iw ON nr.it = iw.it AND nr.s = iw.s JOIN dw ON nr.doc_id = dw.doc_id
+    WHERE d + nr.s < 0 OR w[d+nr.s+1:d+nr.s+len(phrase)] <> phrase) GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(COALESCE(n_items, 0) AS BIGINT) AS n_items, sha256(COALESCE(items, '')) AS items_sha256,
-  COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= len(w) AS contaminated
+  COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= len(w) AS contaminated,
+  CAST(COALESCE(n_near, 0) AS BIGINT) AS n_near, sha256(COALESCE(places, '')) AS near_sha256
 FROM dw LEFT JOIN h ON dw.doc_id = h.doc_id LEFT JOIN n ON dw.doc_id = n.doc_id
+LEFT JOIN nw ON dw.doc_id = nw.doc_id LEFT JOIN nd ON dw.doc_id = nd.doc_id
 """
 
 
@@ -140,7 +158,10 @@ FROM dw LEFT JOIN h ON dw.doc_id = h.doc_id LEFT JOIN n ON dw.doc_id = n.doc_id
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+    places = F.transform("near", lambda m: F.concat_ws(":", m["item_id"], m["start"].cast("string")))
+    near = F.sha2(F.array_join(F.array_sort(F.array_distinct(places)), ","), 256).alias("near_sha256")
+    n_items = F.size("items").cast("long").alias("n_items")
+    return found.select("doc_id", "n_words", "n_hit", n_items, digest, "contaminated", "n_near", near)
 
 
 STYLES = (

@@ -85,6 +85,40 @@ def test_proximity_without_phrase(spark, make_docs):
     assert got[1] == (0, 1) and got[2] == (13, 1) and got[3] == (0, 0)
 
 
+def test_proximity_against_all_places(spark, make_docs):
+    """Proximity matches against every place of the rarest words, and one place for all of them."""
+    rng = np.random.default_rng(8)
+    names = [f"w{k}" for k in range(30)]
+    docs = [(d, " ".join(names[j] for j in rng.integers(0, 30, 60))) for d in range(40)]
+    items = [(f"i{k}", " ".join(names[j] for j in rng.integers(0, 30, n))) for k, n in enumerate((1, 2, 3, 5, 13, 20))]
+    docs += [(100, items[5][1]), (101, "x " + items[4][1].replace(" ", " y ", 1)), (102, None)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r["doc_id"]: (r["n_near"], {tuple(m) for m in r["near"]}) for r in decontamination.contaminated(make_docs(docs), bench).collect()}
+    texts = {d: (t or "").split() for d, t in docs}
+    seen = Counter(w for t in texts.values() for w in t)
+    for d, t in texts.items():
+        n_near, near = 0, set()
+        for item, words in items:
+            words = words.split()
+            for s in range(max(len(words) - 13, 0) + 1):
+                phrase = words[s : s + 13]
+                picks = sorted(range(s, s + len(phrase)), key=lambda q: (seen[words[q]], q))[:3]
+                lists = [[p - q for p, w in enumerate(t) if w == words[q]] for q in picks]
+                starts = [x for x in lists[0] if all(any(abs(x - y) <= 3 for y in other) for other in lists[1:])]
+                n_near += bool(starts) and all(seen[w] for w in phrase)
+                near |= {(item, x + s, len(phrase)) for x in starts if x + s < 0 or t[x + s : x + s + len(phrase)] != phrase}
+        assert got[d] == (n_near, near), d
+
+
+def test_proximity_of_two_frequent_words_is_linear(spark, make_docs):
+    """A text of a megabyte that holds the two words of an item 150,000 times each ends."""
+    long = "the of " * 150_000
+    bench = spark.createDataFrame([("b", "the of"), ("c", "of the of the")], "item_id string, text string")
+    got = decontamination.contaminated(make_docs([(1, long), (2, "of")]), bench).select("doc_id", "n_hit", "n_near", F.size("near").alias("k")).collect()
+    rows = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in got}
+    assert rows == {1: (300_000, 2), 2: (0, 0)}
+
+
 def test_risk_estimator_recovers_a_boundary():
     rng = np.random.default_rng(5)
     pos, neg = rng.normal(1.5, 1.0, (4000, 2)), rng.normal(-1.5, 1.0, (6000, 2))
