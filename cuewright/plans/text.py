@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuewright import views
+from cuewright.functions import failures
 from cuewright.functions import text as T
 from cuewright.operators.ordered import row_number, scan
 from cuewright.plans.registry import query
@@ -290,6 +291,59 @@ def classify_error(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("k", k).select("event_id", T.classify_error(blob).alias("error_class"))
 
 
+# What engines and tools report, and the class each of these is expected to get.
+REPORTS = (
+    ("CUDA error: out of memory", "GPU_OOM"),
+    ("No module named pkg_resources", "PKG_RESOURCES_MISSING"),
+    ("the app is damaged and cannot be opened", "GATEKEEPER_QUARANTINE"),
+    ("WebKit shows a blank page", "APPIMAGE_WEBKIT_WHITESCREEN"),
+    ("Kyutai weights are gated", "POCKETTTS_GATED_WEIGHTS"),
+    ("this gated model asks for a licence", "PYANNOTE_LICENSE_REQUIRED"),
+    ("gated door", ""),
+    ("requested compute type is not there", "COMPUTE_TYPE_UNSUPPORTED"),
+    ("yt-dlp: [Errno 22] Invalid argument", "VIDEO_DOWNLOAD_OS_ERROR"),
+    ("[WinError 2] cannot start \"ffmpeg\"", "MEDIA_TOOL_MISSING"),
+    ("No such file or directory: /tmp/ffmpeg", ""),
+    ("OS error 1455", "WINDOWS_PAGING_FILE_TOO_SMALL"),
+    ("[Errno 22] Invalid argument", "OS_INVALID_ARGUMENT"),
+    ("unexpected end of file in model.safetensors", "MODEL_CACHE_CORRUPT"),
+    ("unexpected end of file in a zip", ""),
+    ("AutoFeatureExtractor: the client has been closed", "MODEL_DOWNLOAD_INTERRUPTED"),
+    ("Could not import module Wav2Vec", "TRANSFORMERS_IMPORT"),
+    ("Using SOCKS proxy without support", "SOCKS_PROXY_SUPPORT_MISSING"),
+    ("SSL: EOF occurred in violation of protocol", "TLS_CONNECTION_DROPPED"),
+    ("SSL: certificate verify failed", "SSL_HANDSHAKE_FAILURE"),
+    ("huggingface says 401.", "HF_AUTH_FAILED"),
+    ("saved to pytest-401 of huggingface", ""),
+    ("Connection refused by models.mirror.test", "HF_MIRROR_UNREACHABLE"),
+    ("Unsupported URL: x", "UNSUPPORTED_VIDEO_URL"),
+    ("Sign in to confirm that you are not a bot", "VIDEO_DOWNLOAD_BOT_CHECK"),
+    ("This video is DRM protected", "VIDEO_DRM_PROTECTED"),
+    ("Read timed out", "VIDEO_DOWNLOAD_NETWORK"),
+    ("[WinError 4551] blocked", "WINDOWS_APP_CONTROL_BLOCKED"),
+    ("untrusted mount point on D", "WINDOWS_UNTRUSTED_MOUNT"),
+    ("Calculated padded input size per channel: (1)", "INPUT_TOO_SHORT"),
+    ("audio_prompt or conds.safetensors is needed", "CLONE_REFERENCE_MISSING"),
+    ("libsndfile: System problem", "AUDIO_IO_FAILED"),
+    ("No module named 'cuewright'", "BROKEN_VENV"),
+    ("No module named 'cuewright_extras'", ""),
+)
+REPORT_CASES = " ".join(f"WHEN {k} THEN '{name}'" for k, (_, name) in enumerate(REPORTS))
+
+
+@query(
+    "str_failure_class",
+    sql=f"SELECT event_id, CASE event_id % {len(REPORTS)} {REPORT_CASES} END AS failure_class FROM events",
+)
+def failure_class(spark, sf_dir):
+    """Reports of every class in both cases of letters, behind the type of the event."""
+    events = table(spark, sf_dir, "events")
+    said = F.get(F.array(*[F.lit(text) for text, _ in REPORTS]), (F.col("event_id") % len(REPORTS)).cast("int"))
+    loud = F.when(F.col("event_id") % 2 == 0, F.upper(said)).otherwise(said)
+    reason = F.concat(F.col("event_type"), F.lit(": "), loud)
+    return events.select("event_id", failures.failure_class(reason, mirror="https://models.mirror.test/hub").alias("failure_class"))
+
+
 @query(
     "str_coarse_stage",
     sql="""SELECT event_id, CASE user_id%3 WHEN 0 THEN event_type WHEN 1 THEN '' ELSE LEFT(event_type || repeat('x', 50), 40) END AS stage FROM events""",

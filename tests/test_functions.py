@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cuewright.functions import chunks, describe, scoring, speech
+from cuewright.functions import chunks, describe, failures, scoring, speech
 from cuewright.functions import text as T
 from cuewright.functions.sentences import Release, flush, push
 
@@ -170,3 +170,24 @@ def test_first_clause_goes_early():
     tokens = [w + " " for w in text.split()]
     assert stream(tokens, early_clause=True)[0] == "Well, since you are asking me about it now,"
     assert stream(tokens)[0] == "Well, since you are asking me about it now, I think so."
+
+
+def test_failure_class_takes_the_first_class(spark):
+    """Order of classes, markers that must meet, the settings, and reasons that say nothing."""
+    cases = [
+        ("CUDA out of memory in pyannote", "GPU_OOM"),
+        ("SSL: EOF occurred in violation of protocol during handshake", "TLS_CONNECTION_DROPPED"),
+        ("unable to download video: [Errno 13] Permission denied", "VIDEO_DOWNLOAD_OS_ERROR"),
+        ("unable to download video: broken pipe", "VIDEO_DOWNLOAD_NETWORK"),
+        ("huggingface build 1.401.2 and x401", ""),
+        ("HF_TOKEN refused: 401", "HF_AUTH_FAILED"),
+        ("connection refused by models.example", ""),
+        ("error no file named a.bin was found in directory b", "MODEL_CACHE_CORRUPT"),
+        ("", ""),
+        (None, ""),
+    ]
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string")
+    got = {r["k"]: r["c"] for r in rows.select("k", failures.failure_class(F.col("t")).alias("c")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
+    mirror = failures.failure_class(F.col("t"), mirror="https://models.example/hub")
+    assert [r["c"] for r in rows.filter("k = 6").select(mirror.alias("c")).collect()] == ["HF_MIRROR_UNREACHABLE"]
