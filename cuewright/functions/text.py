@@ -102,6 +102,7 @@ DIRECTION_HINTS = {
 DIRECTION_ORDER = ["emotion", "energy", "pace", "intimacy", "formality"]
 CHAPTER_LINE = r"(?i)^(?:chapter|part|book|prologue|epilogue|section)\b"
 CHAPTER_LINE_MAX = 60
+LINE_CHARS, LOOP_RUN, LOOP_UNIT = 42, 6, 60
 # Abbreviation, expansion, guard: "cap" before a capitalised word, "digit" before a number.
 ABBREVIATIONS = {
     "en": [
@@ -567,3 +568,56 @@ def page_text(html: Column) -> list[Column]:
     for entity, char in PAGE_ENTITIES.items():
         out = {name: F.replace(column, F.lit(entity), F.lit(char)) for name, column in out.items()}
     return [column.alias(name) for name, column in out.items()]
+
+
+def tokens(text: Column) -> Column:
+    """Words between runs of white space."""
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, though lambdas inside name it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def wrapped(text: Column, width: int = LINE_CHARS) -> Column:
+    """A caption as at most two lines: the longest run of words that fits ``width``, and all others.
+
+    One line where everything fits, or where the first word alone is too long. Null has no lines.
+    """
+    line = F.array_join(tokens(text), " ")
+    first = F.regexp_extract(line, rf"^.{{1,{width}}}(?= |$)", 0)
+    rest = F.ltrim(F.substr(line, F.length(first) + 1))
+    return F.coalesce(F.filter(F.array(first, rest), lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def without_loops(text: Column, run: int = LOOP_RUN, unit: int = LOOP_UNIT) -> Column:
+    """Recogniser loops taken out: ``run`` or more equal tokens, then any 2 to ``unit`` characters as often in a row.
+
+    Tokens are equal without case and punctuation; a token of punctuation only equals none. A text of
+    fewer tokens keeps its blanks unless a loop of characters is cut. Null stays null.
+    """
+
+    def key(word: Column) -> Column:
+        return F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}_]", ""))
+
+    def begins(keys: Column) -> Column:
+        changed = F.transform(keys, lambda k, i: F.when((i == 0) | (k == "") | (k != F.get(keys, i - 1)), i))
+        return F.filter(changed, lambda i: i.isNotNull())
+
+    def kept(words: Column, starts: Column) -> Column:
+        runs = F.transform(starts, lambda b, i: F.struct((b + 1).alias("at"), (F.coalesce(F.get(starts, i + 1), F.size(words)) - b).alias("n")))
+        parts = F.transform(F.filter(runs, lambda r: r["n"] < run), lambda r: F.slice(words, r["at"], r["n"]))
+        return F.array_join(F.flatten(parts), " ")
+
+    def cleared(words: Column) -> Column:
+        found = bound(F.transform(words, key), lambda keys: bound(begins(keys), lambda starts: kept(words, starts)))
+        return F.when(F.size(words) >= run, found)
+
+    once = F.coalesce(bound(tokens(text), cleared), text)
+    loop = rf"(?s)(.{{2,{unit}}}?)\1{{{run - 1},}}"
+
+    def uncut(t: Column) -> Column:
+        return bound(F.regexp_replace(t, loop, ""), lambda cut: F.when(cut == t, t).otherwise(F.array_join(tokens(cut), " ")))
+
+    return bound(once, uncut)

@@ -41,14 +41,14 @@ c AS (SELECT *, SUM(LENGTH(w)+1) OVER (PARTITION BY job_id, seg_no ORDER BY i)-1
 SELECT job_id, seg_no, CASE WHEN first > 42 OR upto <= 42 THEN 0::BIGINT ELSE 1 END AS pos, STRING_AGG(w, ' ' ORDER BY i) AS line FROM c GROUP BY 1,2,3""",
 )
 def wrap_lines(spark, sf_dir):
-    rows = views.segments(spark, sf_dir).select("job_id", "seg_no", F.posexplode(chunks.lines_of(F.col("text"))).alias("pos", "line"))
+    rows = views.segments(spark, sf_dir).select("job_id", "seg_no", F.posexplode(T.wrapped(F.col("text"))).alias("pos", "line"))
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("str_collapse_repeats")
 def collapse_repeats(spark, sf_dir):
     body = F.concat(F.lit("URL url, URL. url URL URL "), "text", F.repeat(F.lit(" thanks for watching"), F.lit(7)))
-    return docs(spark, sf_dir).select("doc_id", chunks.without_loops(body).alias("out"))
+    return docs(spark, sf_dir).select("doc_id", T.without_loops(body).alias("out"))
 
 
 PAGE_SQL = r"""WITH v AS (SELECT page_id, regexp_replace(COALESCE(html, ''), '(?is)<(script|style|head)\b.*?</(script|style|head)\s*>', '', 'g') AS h FROM pages),

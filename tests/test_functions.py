@@ -1,6 +1,7 @@
 """Golden cases and plain-loop comparisons of scalar functions."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,9 +117,9 @@ def test_subtitle_pieces():
     assert chunks._time_at("one two", 4, 0.0, 2.0, words) == 0.4
 
 
-def test_wrap_lines():
-    assert chunks.wrap_lines("aaa bbb ccc ddd eee", 7) == ["aaa bbb", "ccc ddd eee"]
-    assert chunks.wrap_lines("incomprehensible yes no", 7) == ["incomprehensible yes no"]
+def test_wrap_lines(spark):
+    assert one(spark, T.wrapped(F.col("t"), 7), t="aaa bbb ccc ddd eee") == ["aaa bbb", "ccc ddd eee"]
+    assert one(spark, T.wrapped(F.col("t"), 7), t="incomprehensible yes no") == ["incomprehensible yes no"]
 
 
 def test_visible_text(spark):
@@ -127,11 +128,62 @@ def test_visible_text(spark):
     assert title == "Head" and body == "One\n\nTwo\nthree".replace("\n\n", "\n")
 
 
-def test_loops():
-    assert chunks.collapse_loops("URL url, URL. url URL URL stays") == "stays"
-    assert chunks.collapse_loops("no, no, no, no, no") == "no, no, no, no, no"
-    assert chunks.collapse_loops("so " + "thanks for watching " * 6 + "bye") == "so bye"
-    assert chunks.collapse_loops("woooooooow  hm") == "woooooooow  hm"
+def test_recogniser_loops(spark):
+    """Golden cases, and random texts of few letters against a plain loop."""
+    golden = {
+        "URL url, URL. url URL URL stays": "stays",
+        "no, no, no, no, no": "no, no, no, no, no",
+        "so " + "thanks for watching " * 6 + "bye": "so bye",
+        "woooooooow  hm": "woooooooow  hm",
+        ". . . . . . .": ".",
+        "": "",
+        None: None,
+    }
+
+    def plain(text):
+        words, at, kept = text.split(), 0, []
+        keys = [re.sub(r"[\W]", "", w).lower() for w in words]
+        if len(words) >= 6:
+            while at < len(words):
+                end = at + 1
+                while end < len(words) and keys[at] and keys[end] == keys[at]:
+                    end += 1
+                kept += words[at:end] if end - at < 6 else []
+                at = end
+            text = " ".join(kept)
+        at, out = 0, ""
+        while at < len(text):
+            for unit in range(2, 61):
+                n = 1
+                while len(text[at : at + unit]) == unit and text[at + n * unit : at + (n + 1) * unit] == text[at : at + unit]:
+                    n += 1
+                if n >= 6:
+                    at += n * unit
+                    break
+            else:
+                out += text[at]
+                at += 1
+        return text if out == text else " ".join(out.split())
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab ,") * rng.choice((1, 1, 2, 7)) for _ in range(40)) for _ in range(100)]
+    texts += [" ".join(rng.choice(("Ja", "ja,", "no", "-")) for _ in range(40)) for _ in range(50)]
+    cases = [*golden.items(), *[(t, plain(t)) for t in texts]]
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string")
+    got = {r["k"]: r["c"] for r in rows.select("k", T.without_loops(F.col("t")).alias("c")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
+    assert all(plain(t) == want for t, want in golden.items() if t is not None)
+
+
+def test_wrapped_lines(spark):
+    def lines(text, width=42):
+        return one(spark, T.wrapped(F.col("t"), width), t=text)
+
+    assert lines("a bb  ccc", 4) == ["a bb", "ccc"]
+    assert lines("abcdef g", 4) == ["abcdef g"]
+    assert lines("one two three four", 7) == ["one two", "three four"]
+    assert lines(" short ") == ["short"] and lines("") == [] and lines("x" * 43) == ["x" * 43]
+
 
 
 def test_describe(spark):
