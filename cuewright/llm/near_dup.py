@@ -255,14 +255,15 @@ def shared_ids(usable: DataFrame) -> DataFrame:
     return rows.join(spread, "doc_id").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def components(rows: DataFrame, signed: DataFrame) -> DataFrame:
-    """``node, component_id``: the smallest document id that the members of a class can reach."""
+def components(rows: DataFrame, signed: DataFrame, by_id: bool = True) -> DataFrame:
+    """``node, component_id``: the smallest document id that the members of a class can reach, over shared ids too where ``by_id``."""
     usable = signed.filter(f"node IS NOT NULL AND doc_id <> {NO_ID}")
     first = F.min(F.struct("doc_id", "key", "n_shingles", "keys", "symbols")).alias("m")
     picked = usable.groupBy("node").agg(first).select("node", "m.doc_id", "m.key", "m.n_shingles", "m.keys", "m.symbols")
     reps = stored(picked, "classes")
     led = stored(with_leaders(stored(shared_entries(reps), "entries")), "led")
-    links = stored(leader_links(led, rows, reps).unionByName(shared_ids(usable)), "links")
+    known = leader_links(led, rows, reps)
+    links = stored(known.unionByName(shared_ids(usable)) if by_id else known, "links")
     paired = stored(bundles(led, smallest_reachable(links), reps), "bundles")
     sets = full_sets(paired.select("node"), rows, reps).join(reps.select("node", "symbols"), "node")
     found = paired.join(sets, "node").groupBy("leader", "u", "v").applyInArrow(_search, LINKS)
@@ -271,7 +272,7 @@ def components(rows: DataFrame, signed: DataFrame) -> DataFrame:
     return reached.join(smallest, "component").select("node", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False, by_id: bool = True) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
 
     Words are lower-cased (A-Z) and stand between blanks, tabs and line ends; a document's set holds
@@ -279,12 +280,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a similarity of 0.75 or more are linked; ``component_id`` is the smallest id that can be reached
     over links and ``kept`` marks the document that bears it. Null, empty and wordless texts have an
     empty set and stay alone. Rows without id are not linked: no component, kept. Rows that share an
-    id count as one document, so the sets of all of them share a component. ``with_key`` adds the
-    row's ``key``, the hash of its text.
+    id count as one document, so the sets of all of them share a component; without ``by_id`` each of
+    their texts is linked and kept by itself. ``with_key`` adds the row's ``key``, the hash of its text.
     """
     rows = keyed(docs, id_col, text_col)
     signed = stored(rows.mapInArrow(_sign, SIGNED), "signatures")
-    joined = signed.select(*KEY, "n_shingles", "node").join(components(rows, signed), "node", "left")
+    joined = signed.select(*KEY, "n_shingles", "node").join(components(rows, signed, by_id), "node", "left")
     component: Column = F.when(F.col("doc_id") != NO_ID, F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
     return joined.select(real_id(), "n_shingles", component.alias("component_id"), kept.alias("kept"), *["key"] * with_key)
