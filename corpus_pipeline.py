@@ -40,7 +40,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near duplicates."""
-    return _selected(docs, near_dup.near_duplicates(docs, with_key=True), F.col("kept"))
+    return _selected(docs, near_dup.near_duplicates(docs, with_key=True, by_id=False), F.col("kept"))
 
 
 def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
