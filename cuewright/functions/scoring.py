@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -27,6 +28,25 @@ def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
     head = next((i for i in range(shared) if ref[i] != hyp[i]), shared)
     tail = next((i for i in range(shared - head) if ref[-1 - i] != hyp[-1 - i]), shared - head)
     ref, hyp = ref[head : len(ref) - tail], hyp[head : len(hyp) - tail]
+    counts = _paired_counts(ref, hyp)
+    return counts or _aligned_counts(ref, hyp)
+
+
+def _paired_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int] | None:
+    """Counts of pairing words place by place, where no alignment matches more words than that; else none.
+
+    Matches, at most the words the sides share, fix the counts: with M of them and I insertions there are
+    ``len(ref) - M + I`` edits. Where the pairing has as many matches as words are shared and inserts
+    no more than the lengths call for, every shortest alignment has its counts.
+    """
+    shared = sum((Counter(ref) & Counter(hyp)).values())
+    if sum(a == b for a, b in zip(ref, hyp)) < shared:
+        return None
+    return min(len(ref), len(hyp)) - shared, max(len(ref) - len(hyp), 0), max(len(hyp) - len(ref), 0)
+
+
+def _aligned_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
+    """Counts along the path described above, a row of the table for each word of ``ref``."""
     ids = {w: i for i, w in enumerate(dict.fromkeys(ref + hyp))}
     h = np.array([ids[w] for w in hyp], dtype=np.int64)
     steps = np.arange(len(hyp) + 1, dtype=np.int64)
