@@ -98,6 +98,10 @@ UNION ALL SELECT 3, '[Overall]' || chr(9) || CAST(wer AS VARCHAR) || chr(9) || i
 )
 def report(spark, sf_dir):
     rows = scores(spark, sf_dir).withColumn("name", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    # Three sections read the scores, and ordering the lines reads them again: pairs are scored once.
+    scored = scratch_path(spark, "wer-scores")
+    rows.drop("truth", "hypo").write.parquet(scored)
+    rows = spark.read.schema(rows.drop("truth", "hypo").schema).parquet(scored)
     path = scratch_path(spark, "wer-report")
     writers.write_ordered_lines(evaluation.wer_report(rows, "lang_name", "name"), path, "section", "name")
     return spark.read.schema("value string, section int").text(path).select("section", F.col("value").alias("line"))

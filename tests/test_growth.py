@@ -3,8 +3,10 @@
 import random
 import time
 
+from pyspark.sql import functions as F
 
 from cuewright.functions import scoring
+from cuewright.plans import evaluation
 
 
 def test_altered_words_are_counted_without_a_table():
@@ -26,3 +28,15 @@ def test_pairing_gives_the_counts_of_the_table():
         paired += found is not None
         assert found in (None, scoring._aligned_counts(ref, hyp))
     assert paired > 1000
+
+
+def test_report_scores_pairs_once(spark, monkeypatch):
+    seen = []
+
+    def lines(df, path, group, order):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        df.select(F.lit(1).alias(group), F.lit("x").alias("value")).write.partitionBy(group).text(path)
+
+    monkeypatch.setattr(evaluation.writers, "write_ordered_lines", lines)
+    evaluation.report(spark, "/root/testdata/sf0.001")
+    assert "score(" not in seen[0] and "PythonUDF" not in seen[0]
