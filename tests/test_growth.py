@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from cuewright.functions import scoring
+from cuewright.functions import chunks, scoring
 from cuewright.plans import evaluation
 
 
@@ -40,3 +40,18 @@ def test_report_scores_pairs_once(spark, monkeypatch):
     monkeypatch.setattr(evaluation.writers, "write_ordered_lines", lines)
     evaluation.report(spark, "/root/testdata/sf0.001")
     assert "score(" not in seen[0] and "PythonUDF" not in seen[0]
+
+
+def test_pieces_hold_few_rows_at_once(spark):
+    made = []
+
+    def piece(text):
+        made.append(1)
+        return [text, str(len(made))]
+
+    rows = spark.range(1000).coalesce(1).select("id", F.col("id").cast("string").alias("t"))
+    kept = spark.createDataFrame([(1, None)], "id long, t string").unionByName(rows.limit(1))
+    got = kept.select(chunks.list_udf(piece, "string")("t").alias("p")).collect()
+    assert sorted(len(r["p"]) for r in got) == [0, 2]
+    out = rows.select("id", chunks.list_udf(lambda t: [t], "string")("t").alias("p")).collect()
+    assert all(r["p"] == [str(r["id"])] for r in out) and len(out) == 1000
