@@ -6,14 +6,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cuewright.operators.ordered import largest_group, row_number, running_sum, scan
 from cuewright.operators.pergroup import by_group
 
 BUCKETS, SHORTEST_MS, LONGEST_MS = 20, 500, 30_000
 PAD_POSITION, PAD_DOCUMENT, NO_LOSS = 0, -1, -100
+ROWS_AT_ONCE = 128
 
 
 def uniform(*parts: Column) -> Column:
@@ -272,8 +276,8 @@ def text_prompt(text: Column, pinyin: Column, use_pinyin: Column) -> Column:
 def process_samples(df: DataFrame, process, columns: Sequence[str], schema: str) -> DataFrame:
     """Run a batch function over samples; failing samples become rows with ``error`` set.
 
-    ``process(pdf)`` maps a frame to one with the schema's columns. When a batch raises, its
-    rows are tried again in halves, down to the bad ones.
+    ``process(pdf)`` maps a frame, of ``ROWS_AT_ONCE`` rows at most, to one with the schema's columns. When
+    a batch raises, its rows are tried again in halves, down to the bad ones.
     """
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
@@ -287,8 +291,13 @@ def process_samples(df: DataFrame, process, columns: Sequence[str], schema: str)
             half = len(pdf) // 2
             return pd.concat([safe(pdf.iloc[:half]), safe(pdf.iloc[half:])], ignore_index=True)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield safe(pdf)[[*names, "error"]]
+    out = schema + ", error string"
+    arrow = to_arrow_schema(StructType.fromDDL(out))
 
-    return df.select(*columns).mapInPandas(run, schema + ", error string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                done = safe(batch.slice(at, ROWS_AT_ONCE).to_pandas())
+                yield pa.RecordBatch.from_pandas(done[[*names, "error"]], arrow, preserve_index=False)
+
+    return df.select(*columns).mapInArrow(run, out)

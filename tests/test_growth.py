@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from cuewright.functions import chunks, scoring
+from cuewright.operators import corpus
 from cuewright.plans import evaluation
 
 
@@ -55,3 +56,15 @@ def test_pieces_hold_few_rows_at_once(spark):
     assert sorted(len(r["p"]) for r in got) == [0, 2]
     out = rows.select("id", chunks.list_udf(lambda t: [t], "string")("t").alias("p")).collect()
     assert all(r["p"] == [str(r["id"])] for r in out) and len(out) == 1000
+
+
+def test_a_processor_gets_small_frames(spark):
+    def measure(pdf):
+        if (pdf["id"] == 700).any():
+            raise ValueError("bad")
+        return pdf.assign(rows=len(pdf))[["id", "rows"]]
+
+    got = corpus.process_samples(spark.range(1000).coalesce(1), measure, ["id"], "id long, rows long").collect()
+    assert sorted(r["id"] for r in got) == list(range(1000))
+    assert max(r["rows"] or 0 for r in got) <= corpus.ROWS_AT_ONCE
+    assert [(r["id"], r["rows"], r["error"]) for r in got if r["error"]] == [(700, None, "ValueError: bad")]
