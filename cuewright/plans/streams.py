@@ -66,7 +66,9 @@ def tokens(spark, sf_dir):
     words = F.split("text", "(?<=[ \n])")
     start = F.lit("2024-01-01").cast("timestamp")
     rows = table(spark, sf_dir, "conversations").filter(F.trim("text") != "")
-    rows = rows.select((F.shiftleft("conv_id", 32) + F.col("turn")).alias("session"), F.posexplode(words).alias("token_no", "token"), F.size(words).alias("n"))
+    # Split and counted once per turn, before there is a row per word.
+    rows = rows.select((F.shiftleft("conv_id", 32) + F.col("turn")).alias("session"), words.alias("words"), F.size(words).alias("n"))
+    rows = rows.select("session", F.posexplode("words").alias("token_no", "token"), "n")
     return rows.select(
         "session",
         (start + F.make_dt_interval(secs=F.col("token_no") * 0.1)).alias("ts"),

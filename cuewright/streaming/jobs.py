@@ -10,9 +10,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cuewright.functions.sentences import Release
 from cuewright.operators.timeline import top_per_group
@@ -77,19 +79,39 @@ def maintain(stream: DataFrame, rollup: Rollup, store: KeyedStore, checkpoint: s
     run_batches(stream, each, checkpoint)
 
 
+def packed(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows of a key that a task reads together as one row: an array for each column, and their latest ``ts``.
+
+    A row later than the delay goes unnoticed where a timely one is packed with it; timely rows never go.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([f"{key} {kinds[key]}", *[f"{c} array<{kinds[c]}>" for c in columns], "ts timestamp"])
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grouped = pa.Table.from_batches([batch]).group_by(key, use_threads=False)
+            out = grouped.aggregate([*[(c, "list") for c in columns], ("ts", "max")])
+            out = out.select([key, *[f"{c}_list" for c in columns], "ts_max"]).rename_columns(arrow.names)
+            yield from out.cast(arrow).to_batches()
+
+    return rows.select(key, *columns, "ts").mapInArrow(pack, schema)
+
+
 def replay(events: DataFrame, after_seq: int, terminal: tuple[str, ...] = TERMINAL, job_ids: list[int] | None = None, delay: str = "30 seconds") -> DataFrame:
     """Events (job_id, ts, seq, event_id, kind) past a sequence number, then whatever arrives, until the job ends."""
     chosen = events if job_ids is None else events.filter(F.col("job_id").isin(job_ids))
     wanted = chosen.filter((F.col("seq") > after_seq) | F.col("kind").isin(*terminal))
     out = "job_id long, seq long, event_id long, kind string"
-    return wanted.withWatermark("ts", delay).groupBy("job_id").transformWithStateInPandas(Replay(after_seq, terminal), out, "Append", "EventTime")
+    rows = packed(wanted, "job_id", ["seq", "event_id", "kind"]).withWatermark("ts", delay)
+    return rows.groupBy("job_id").transformWithState(Replay(after_seq, terminal), out, "Append", "EventTime")
 
 
 def sentences(tokens: DataFrame, rules: Release, delay: str = "10 minutes") -> DataFrame:
     """Sentences of token streams (session, ts, token_no, token, is_last)."""
-    grouped = tokens.withWatermark("ts", delay).groupBy("session")
+    grouped = packed(tokens, "session", ["token_no", "token", "is_last"]).withWatermark("ts", delay).groupBy("session")
     kind = tokens.schema["session"].dataType.simpleString()
-    return grouped.transformWithStateInPandas(
+    return grouped.transformWithState(
         Sentences(rules), f"session {kind}, sentence_no long, sentence string", "Append", "EventTime"
     )
 
@@ -97,14 +119,16 @@ def sentences(tokens: DataFrame, rules: Release, delay: str = "10 minutes") -> D
 def utterances(audio: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Utterances of audio streams (session, ts, at_ms, row_no, bytes, kind); rows later than the delay are dropped."""
     out = "session long, start_ms long, last_audio_ms long, closed_ms long, bytes long, partials long"
-    return audio.withWatermark("ts", delay).groupBy("session").transformWithStateInPandas(Utterances(), out, "Append", "EventTime")
+    rows = packed(audio, "session", ["at_ms", "row_no", "bytes", "kind"]).withWatermark("ts", delay)
+    return rows.groupBy("session").transformWithState(Utterances(), out, "Append", "EventTime")
 
 
 def rolling_rates(samples: DataFrame, window_ms: int, delay: str = "30 seconds") -> DataFrame:
     """Rates of downloads (job_id, at_ms, sample_no, bytes_done, total_bytes); samples later than the delay are dropped."""
     out = "job_id long, at_ms long, sample_no long, bytes_done long, rate double"
-    timed = samples.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", delay)
-    return timed.groupBy("job_id").transformWithStateInPandas(RollingRates(window_ms), out, "Append", "EventTime")
+    timed = samples.withColumn("ts", F.timestamp_millis("at_ms"))
+    rows = packed(timed, "job_id", ["at_ms", "sample_no", "bytes_done", "total_bytes"]).withWatermark("ts", delay)
+    return rows.groupBy("job_id").transformWithState(RollingRates(window_ms), out, "Append", "EventTime")
 
 
 ERROR_ROLLUP = Rollup(

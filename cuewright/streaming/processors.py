@@ -1,4 +1,8 @@
-"""Keyed state for streams: sentences out of tokens, utterances out of audio, rates out of byte counts."""
+"""Keyed state for streams: sentences out of tokens, utterances out of audio, rates out of byte counts.
+
+Reading a row and calling the state cost far more than the work on a value. So rows come packed, many of a
+key in one with an array per column, and the state or the timers are asked only where something can be there.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cuewright.functions.sentences import Release, flush, push
@@ -15,8 +20,23 @@ RATE_WINDOW_MS, EMIT_EVERY_MS = 8000, 300
 IDLE_MS = 30_000
 
 
-def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
+def _in_order(packs: list[Row], columns: list[str], by: int) -> list[tuple]:
+    """The named columns of all rows in the packs, in the order of the first ``by`` of them; nulls last."""
+    rows = [r for pack in packs for r in zip(*[pack[c] for c in columns])]
+    return sorted(rows, key=lambda r: [(v is None, v) for v in r[:by]])
+
+
+def _latest_ms(packs: list[Row]) -> int:
+    return int(max(p["ts"] for p in packs if p["ts"] is not None).timestamp() * 1000)
+
+
+def _timer_at(handle: StatefulProcessorHandle, at_ms: int | None, standing: bool = True) -> None:
+    """Let one timer stand, or none; ``standing`` says whether an earlier one may be there."""
+    if standing:
+        for timer in list(handle.listTimers()):
+            handle.deleteTimer(timer)
+    if at_ms is not None:
+        handle.registerTimer(at_ms)
 
 
 class Sentences(StatefulProcessor):
@@ -32,32 +52,31 @@ class Sentences(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("open", "buffer string, first boolean, sentence_no long")
 
-    def _out(self, key, number: int, sentences: list[str]) -> pd.DataFrame:
-        texts = pd.Series(sentences, dtype="object")
-        return pd.DataFrame({"session": key[0], "sentence_no": texts.index + number + 1, "sentence": texts}).astype({"sentence": "object"})
+    def _out(self, key, number: int, sentences: list[str]) -> Iterator[Row]:
+        made = Row("session", "sentence_no", "sentence")
+        for i, sentence in enumerate(sentences, number + 1):
+            yield made(key[0], i, sentence)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        buffer, first, number = self.state.get() if self.state.exists() else ("", True, 0)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        buffer, first, number = self.state.get() or ("", True, 0)
+        waited = bool(buffer)
         out: list[str] = []
-        tokens = _in_order(rows, ["token_no"])
-        for token, last in zip(tokens["token"], tokens["is_last"]):
+        packs = list(rows)
+        for _, token, last in _in_order(packs, ["token_no", "token", "is_last"], 1):
             done, buffer, first = push(buffer, first, token, self.rules)
             out += done
             if last:
                 out += flush(buffer)
                 buffer, first = "", True
         self.state.update((buffer, first, number + len(out)))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if buffer:
-            self.handle.registerTimer(int(tokens["ts"].max().timestamp() * 1000) + self.idle_ms)
-        yield self._out(key, number, out)
+        _timer_at(self.handle, _latest_ms(packs) + self.idle_ms if buffer else None, waited)
+        yield from self._out(key, number, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        buffer, _, number = self.state.get() if self.state.exists() else ("", True, 0)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        buffer, _, number = self.state.get() or ("", True, 0)
         out = flush(buffer)
         self.state.update(("", True, number + len(out)))
-        yield self._out(key, number, out)
+        yield from self._out(key, number, out)
 
     def close(self) -> None:
         pass
@@ -98,11 +117,11 @@ class Utterances(StatefulProcessor):
         partials += ticks_between(start, seen, now - 1)
         return (start, last, max(seen, now - 1), total, partials, paused), None
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s = self.state.get() if self.state.exists() else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        s = self.state.get()
+        known = s is not None
         closed = []
-        for at, size, kind in _in_order(rows, ["at_ms", "row_no"])[["at_ms", "bytes", "kind"]].itertuples(index=False):
-            at, size = int(at), int(size)
+        for at, _, size, kind in _in_order(list(rows), ["at_ms", "row_no", "bytes", "kind"], 2):
             if s is not None:
                 s, done = self._advance(s, at)
                 closed += [done] if done else []
@@ -111,45 +130,35 @@ class Utterances(StatefulProcessor):
             start, _, seen, total, partials, paused = s
             paused = kind == "pause" or (paused and kind != "resume")
             s = (start, at, seen, total + (size if kind == "audio" else 0), partials, paused)
-        self._keep(s)
-        yield self._out(key, closed)
+        self._keep(s, known)
+        yield from self._out(key, closed)
 
-    def _keep(self, s: tuple | None) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _keep(self, s: tuple | None, known: bool) -> None:
         if s is None:
+            _timer_at(self.handle, None, known)
             self.state.clear()
             return
         self.state.update(s)
-        if s[3] > ENOUGH_BYTES and not s[5]:
-            self.handle.registerTimer(next_tick(s[0], max(s[1] + SILENCE_MS, s[2])))
+        checked = s[3] > ENOUGH_BYTES and not s[5]
+        _timer_at(self.handle, next_tick(s[0], max(s[1] + SILENCE_MS, s[2])) if checked else None, known)
 
-    def _out(self, key, closed: list[tuple]) -> pd.DataFrame:
-        names = ["start_ms", "last_audio_ms", "closed_ms", "bytes", "partials"]
-        out = pd.DataFrame(closed, columns=names, dtype="int64")
-        out.insert(0, "session", key[0])
-        return out.astype({"session": "int64"})
+    def _out(self, key, closed: list[tuple]) -> Iterator[Row]:
+        made = Row("session", "start_ms", "last_audio_ms", "closed_ms", "bytes", "partials")
+        for utterance in closed:
+            yield made(key[0], *utterance)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
-            yield self._out(key, [])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        s = self.state.get()
+        if s is None:
             return
-        s, done = self._advance(self.state.get(), int(expiredTimerInfo.getExpiryTimeInMs()) + 1)
-        self._keep(s)
-        yield self._out(key, [done] if done else [])
+        s, done = self._advance(s, int(expiredTimerInfo.getExpiryTimeInMs()) + 1)
+        self._keep(s, True)
+        yield from self._out(key, [done] if done else [])
 
     def close(self) -> None:
         pass
 
 
-def _timer_at(handle: StatefulProcessorHandle, at_ms: int | None) -> None:
-    """Let one timer stand, or none."""
-    for timer in list(handle.listTimers()):
-        handle.deleteTimer(timer)
-    if at_ms is not None:
-        handle.registerTimer(at_ms)
-
-
 class RollingRates(StatefulProcessor):
     """Byte samples (at_ms, sample_no, bytes_done, total_bytes) of a download to its rate over the trailing window.
 
@@ -165,42 +174,38 @@ class RollingRates(StatefulProcessor):
         self.samples = handle.getListState("samples", "at_ms long, bytes_done long")
         self.emitted = handle.getValueState("emitted", "at_ms long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = deque(tuple(s) for s in self.samples.get()) if self.samples.exists() else deque()
-        last = self.emitted.get()[0] if self.emitted.exists() else None
-        fresh = _in_order(rows, ["at_ms", "sample_no"])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        emitted = self.emitted.get()
+        last = emitted[0] if emitted else None
+        # The first sample is always given, so no samples are held before one was.
+        held = deque(tuple(s) for s in self.samples.get()) if emitted else deque()
+        made = Row("job_id", "at_ms", "sample_no", "bytes_done", "rate")
         out, complete = [], False
-        for at, number, done, total in fresh[["at_ms", "sample_no", "bytes_done", "total_bytes"]].itertuples(index=False):
-            held.append((int(at), int(done)))
+        for at, number, done, total in _in_order(list(rows), ["at_ms", "sample_no", "bytes_done", "total_bytes"], 2):
+            held.append((at, done))
             while held[0][0] < at - self.window_ms:
                 held.popleft()
             if last is None or at - last >= self.every_ms:
                 (t0, b0), (t1, b1) = held[0], held[-1]
-                out.append((key[0], at, number, done, (b1 - b0) * 1000.0 / (t1 - t0) if t1 > t0 else 0.0))
-                last = int(at)
-            complete = pd.notna(total) and done >= total
-        if complete:
-            self._forget()
-        else:
+                out.append(made(key[0], at, number, done, (b1 - b0) * 1000.0 / (t1 - t0) if t1 > t0 else 0.0))
+                last = at
+            complete = total is not None and done >= total
+        if not complete:
             self.samples.put(list(held))
-            if last is not None:
-                self.emitted.update((last,))
-            _timer_at(self.handle, held[-1][0] + self.idle_ms)
-        yield self._out(out)
+            self.emitted.update((last,))
+            _timer_at(self.handle, held[-1][0] + self.idle_ms, emitted is not None)
+        elif emitted:
+            self._forget()
+        yield from out
 
     def _forget(self) -> None:
         _timer_at(self.handle, None)
         self.samples.clear()
         self.emitted.clear()
 
-    def _out(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["job_id", "at_ms", "sample_no", "bytes_done", "rate"]).astype(
-            {"job_id": "int64", "at_ms": "int64", "sample_no": "int64", "bytes_done": "int64", "rate": "float64"}
-        )
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self._forget()
-        yield self._out([])
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -220,20 +225,22 @@ class Replay(StatefulProcessor):
         self.handle = handle
         self.ended = handle.getValueState("ended", "seq long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = _in_order(rows, ["seq"])
-        end = self.ended.get()[0] if self.ended.exists() else None
-        last = events[events["kind"].isin(self.terminal)]
-        if end is None and len(last):
-            end = int(last["seq"].iloc[0])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        packs = list(rows)
+        events = _in_order(packs, ["seq", "event_id", "kind"], 1)
+        ended = self.ended.get()
+        end = ended[0] if ended else next((seq for seq, _, kind in events if kind in self.terminal), None)
+        if ended is None and end is not None:
             self.ended.update((end,))
-            _timer_at(self.handle, int(events["ts"].max().timestamp() * 1000) + self.idle_ms)
-        shown = events[(events["seq"] > self.after_seq) & ((events["seq"] <= end) if end is not None else True)]
-        yield shown[["job_id", "seq", "event_id", "kind"]]
+            _timer_at(self.handle, _latest_ms(packs) + self.idle_ms, False)
+        made = Row("job_id", "seq", "event_id", "kind")
+        for seq, event, kind in events:
+            if seq > self.after_seq and (end is None or seq <= end):
+                yield made(key[0], seq, event, kind)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.ended.clear()
-        yield pd.DataFrame({"job_id": pd.Series(dtype="int64"), "seq": pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "kind": pd.Series(dtype="object")})
+        yield from ()
 
     def close(self) -> None:
         pass

@@ -5,9 +5,10 @@ import time
 
 from pyspark.sql import functions as F
 
-from cuewright.functions import chunks, scoring
+from cuewright.functions import chunks, scoring, sentences
 from cuewright.operators import corpus
-from cuewright.plans import evaluation
+from cuewright.plans import evaluation, streams
+from cuewright.streaming import jobs
 
 
 def test_altered_words_are_counted_without_a_table():
@@ -68,3 +69,27 @@ def test_a_processor_gets_small_frames(spark):
     assert sorted(r["id"] for r in got) == list(range(1000))
     assert max(r["rows"] or 0 for r in got) <= corpus.ROWS_AT_ONCE
     assert [(r["id"], r["rows"], r["error"]) for r in got if r["error"]] == [(700, None, "ValueError: bad")]
+
+
+def test_rows_of_a_key_reach_the_state_packed(spark):
+    rows = spark.range(600).coalesce(1).select((F.col("id") % 3).alias("job_id"), F.col("id").alias("seq"), F.timestamp_seconds("id").alias("ts"))
+    got = sorted(jobs.packed(rows, "job_id", ["seq"]).select("job_id", "seq", F.unix_seconds("ts").alias("t")).collect())
+    assert [(r["job_id"], r["t"], len(r["seq"])) for r in got] == [(0, 597, 200), (1, 598, 200), (2, 599, 200)]
+    assert sorted(s for r in got for s in r["seq"]) == list(range(600))
+
+
+def test_open_text_without_a_mark_is_not_split(monkeypatch):
+    calls = []
+    whole = sentences.split_sentences
+    monkeypatch.setattr(sentences, "split_sentences", lambda *a: calls.append(a) or whole(*a))
+    buffer, first, out = "", True, []
+    for word in ["one "] * 50 + ["end. ", "And ", "another "]:
+        done, buffer, first = sentences.push(buffer, first, word, sentences.Release())
+        out += done
+    assert out == [("one " * 50 + "end.")] and len(calls) <= 3
+
+
+def test_tokens_are_split_once_per_turn(spark):
+    plan = streams.tokens(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate", 1)
+    assert "split(" not in above
