@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,6 +106,7 @@ DIRECTION_ORDER = ["emotion", "energy", "pace", "intimacy", "formality"]
 CHAPTER_LINE = r"(?i)^(?:chapter|part|book|prologue|epilogue|section)\b"
 CHAPTER_LINE_MAX = 60
 LINE_CHARS, LOOP_RUN, LOOP_UNIT = 42, 6, 60
+LOOP_ROWS = 128
 # Abbreviation, expansion, guard: "cap" before a capitalised word, "digit" before a number.
 ABBREVIATIONS = {
     "en": [
@@ -595,8 +599,19 @@ def without_loops(text: Column, run: int = LOOP_RUN, unit: int = LOOP_UNIT) -> C
     """Recogniser loops taken out: ``run`` or more equal tokens, then any 2 to ``unit`` characters as often in a row.
 
     Tokens are equal without case and punctuation; a token of punctuation only equals none. A text of
-    fewer tokens keeps its blanks unless a loop of characters is cut. Null stays null.
+    fewer tokens keeps its blanks unless a loop of characters is cut. Null stays null. The pattern tries
+    every length at every character; for tables, put the two steps below in selects of their own.
     """
+    loop = rf"(?s)(.{{2,{unit}}}?)\1{{{run - 1},}}"
+
+    def uncut(t: Column) -> Column:
+        return bound(F.regexp_replace(t, loop, ""), lambda cut: F.when(cut == t, t).otherwise(F.array_join(tokens(cut), " ")))
+
+    return bound(without_token_loops(text, run), uncut)
+
+
+def without_token_loops(text: Column, run: int = LOOP_RUN) -> Column:
+    """The first step of ``without_loops``."""
 
     def key(word: Column) -> Column:
         return F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}_]", ""))
@@ -614,10 +629,48 @@ def without_loops(text: Column, run: int = LOOP_RUN, unit: int = LOOP_UNIT) -> C
         found = bound(F.transform(words, key), lambda keys: bound(begins(keys), lambda starts: kept(words, starts)))
         return F.when(F.size(words) >= run, found)
 
-    once = F.coalesce(bound(tokens(text), cleared), text)
-    loop = rf"(?s)(.{{2,{unit}}}?)\1{{{run - 1},}}"
+    return F.coalesce(bound(tokens(text), cleared), text)
 
-    def uncut(t: Column) -> Column:
-        return bound(F.regexp_replace(t, loop, ""), lambda cut: F.when(cut == t, t).otherwise(F.array_join(tokens(cut), " ")))
 
-    return bound(once, uncut)
+def without_character_loops(text: Column, run: int = LOOP_RUN, unit: int = LOOP_UNIT) -> Column:
+    """The second step of ``without_loops``, in an Arrow UDF; ``text`` must be a column without nested lambdas."""
+
+    @F.arrow_udf("string")
+    def uncut(texts: pa.Array) -> pa.Array:
+        parts = []
+        for at in range(0, len(texts), LOOP_ROWS):
+            some = texts.slice(at, LOOP_ROWS).to_pylist()
+            parts.append(pa.array([None if t is None else cut_loops(t, run, unit) for t in some], pa.string()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    return F.coalesce(F.btrim(F.regexp_replace(uncut(text), r"(?U)\s+", " "), F.lit(" ")), text)
+
+
+def cut_loops(text: str, run: int, unit: int) -> str | None:
+    """``text`` without its loops of 2 to ``unit`` characters; none where it has no loop.
+
+    As ``(.{2,unit}?)\\1{run-1,}`` finds them: from the left, the shortest unit first. A loop of ``unit``
+    characters is a stretch equal to itself so many further on; one in ``unit`` of its places tells most texts apart.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    found = []
+    for size in range(2, min(unit, len(codes) // run) + 1):
+        some = codes[:-size:size] == codes[size::size]
+        ahead = some[: len(some) - run + 2]
+        for i in range(1, run - 1):
+            ahead = ahead & some[i : len(some) - run + 2 + i]
+        if not ahead.any():
+            continue
+        edges = np.flatnonzero(np.concatenate(([True], codes[:-size] != codes[size:], [True])))
+        long = np.flatnonzero(np.diff(edges) > (run - 1) * size)
+        found += [(int(edges[i]), size, int(edges[i + 1]) - 1) for i in long]
+    heapify(found)
+    kept, at = [], 0
+    while found:
+        begin, size, end = heappop(found)
+        if begin >= at:
+            kept.append(text[at:begin])
+            at = begin + size * (1 + (end - begin) // size)
+        if end - at >= (run - 1) * size:
+            heappush(found, (at, size, end))
+    return "".join([*kept, text[at:]]) if at else None

@@ -48,7 +48,8 @@ def wrap_lines(spark, sf_dir):
 @query("str_collapse_repeats")
 def collapse_repeats(spark, sf_dir):
     body = F.concat(F.lit("URL url, URL. url URL URL "), "text", F.repeat(F.lit(" thanks for watching"), F.lit(7)))
-    return docs(spark, sf_dir).select("doc_id", T.without_loops(body).alias("out"))
+    once = docs(spark, sf_dir).select("doc_id", T.without_token_loops(body).alias("once"))
+    return once.select("doc_id", T.without_character_loops(F.col("once")).alias("out"))
 
 
 PAGE_SQL = r"""WITH v AS (SELECT page_id, regexp_replace(COALESCE(html, ''), '(?is)<(script|style|head)\b.*?</(script|style|head)\s*>', '', 'g') AS h FROM pages),

@@ -1,11 +1,13 @@
 """What a row, a batch or a key costs: bounds that keep larger tables in proportion."""
 
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
 
 from cuewright.functions import chunks, scoring, sentences
+from cuewright.functions import text as T
 from cuewright.operators import corpus
 from cuewright.plans import evaluation, streams
 from cuewright.streaming import jobs
@@ -93,3 +95,34 @@ def test_tokens_are_split_once_per_turn(spark):
     plan = streams.tokens(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Generate", 1)
     assert "split(" not in above
+
+
+def test_loops_are_cut_as_the_pattern_finds_them():
+    rnd, cut = random.Random(2), 0
+    for _ in range(500):
+        text = ""
+        for _ in range(rnd.randint(1, 8)):
+            unit = "".join(rnd.choice("ab é𝄞") for _ in range(rnd.choice((1, 2, 3, 5, 20, 59, 60, 61))))
+            text += unit * rnd.randint(1, 9) + unit[: rnd.randint(0, len(unit))]
+        found = T.cut_loops(text, 6, 60)
+        cut += found is not None
+        assert (text if found is None else found) == re.sub(r"(?s)(.{2,60}?)\1{5,}", "", text)
+    assert cut > 100
+
+
+def test_a_long_text_is_searched_for_loops_in_bulk():
+    rnd = random.Random(3)
+    text = "".join(rnd.choice("abcdefghijkl mnop") for _ in range(100_000))
+    began = time.process_time()
+    assert T.cut_loops(text + "so " * 6, 6, 60) == text
+    assert time.process_time() - began < 0.1
+
+
+def test_two_steps_cut_what_the_pattern_cuts(spark):
+    rnd = random.Random(5)
+    texts = [None, "", " ", "a  b", "so " * 9, "x y z " * 7 + "end"]
+    texts += ["".join(rnd.choice("ab ,") * rnd.choice((1, 1, 2, 7)) for _ in range(40)) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    once = rows.select("k", T.without_loops(F.col("t")).alias("want"), T.without_token_loops(F.col("t")).alias("once"))
+    got = once.select("want", T.without_character_loops(F.col("once")).alias("out")).collect()
+    assert len(got) == len(texts) and all(r["want"] == r["out"] for r in got)
