@@ -67,13 +67,15 @@ def next_known(name: str, value: Column) -> Step:
     return Step("next_known", name, value)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+def largest_group(df: DataFrame, keys: Sequence[str], rows: Column | None = None) -> int:
     """Rows of the largest key: one partial count per key, one number to the driver.
 
+    ``rows`` is how many a row of ``df`` stands for, if not one.
+
     Counted once per session and plan. The number only picks between two plans that give the
     same rows, so a table that grew since costs speed, never correctness.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*keys).agg((F.count(F.lit(1)) if rows is None else F.sum(rows)).alias("_n"))
     top = counts.agg(F.max("_n"))
     known = (df.sparkSession.sparkContext.applicationId, top.semanticHash())
     if known not in _counted:

@@ -7,7 +7,7 @@ holds one key at a time, and small keys cost no call into Spark each.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from itertools import groupby
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +23,12 @@ def by_group(
     needs: Sequence[str],
     run: Callable[[tuple, list[tuple]], list[tuple]],
     schema: str,
+    at_once: int = 10_000,
 ) -> DataFrame:
     """``run(key, rows)`` for each key, ``rows`` being tuples of the ``needs`` columns in order.
 
+    At most ``at_once`` rows of a batch are Python objects at a time, besides those of an open key.
+
     Rows with a null key form one group per null key. The number of partitions is fixed: the work is
     in Python, where merging small partitions would leave cores idle.
     """
@@ -44,7 +47,8 @@ def by_group(
         open_key, held = None, []
         for batch in batches:
             out: list[tuple] = []
-            rows = zip(*[batch.column(c).to_pylist() for c in columns])
+            parts_of = (batch.slice(at, at_once) for at in range(0, batch.num_rows, at_once))
+            rows = chain.from_iterable(zip(*[part.column(c).to_pylist() for c in columns]) for part in parts_of)
             for key, group in groupby(rows, key=lambda r: r[:width]):
                 if held and key != open_key:
                     out += run(open_key, held)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from cuewright.operators.ordered import following, largest_group, last_known, ne
 from cuewright.operators.pergroup import by_group
 from cuewright.operators.sequences import label_runs
 from cuewright.operators.timeline import display_label, near_other_speaker
+from cuewright.session import rows_per_task
 
 # Fixed values (milliseconds and characters).
 MIN_MS, IDEAL_MS, MAX_MS = 1500, 4500, 9000
@@ -27,6 +29,7 @@ CLAUSE_TAIL = r"[,;:—、،؍]$"
 SLICE_MIN_MS, REF_MIN_MS, REF_IDEAL_MS, REF_MAX_MS, SEGMENT_REF_MS = 1500, 5000, 8000, 15000, 3000
 CUE_MIN_MS, CUE_MIN_CHARS, CUE_MAX_CHARS, CUE_MAX_CPS = 1200, 8, 84, 17
 WORD_NEEDS = ["word_start", "word_end", "chars", "pause", "ends_sentence", "ends_clause"]
+LISTS_AT_ONCE = 128
 
 
 def _sentence_heads(columns: dict[str, list]) -> list[int]:
@@ -64,6 +67,66 @@ def _sentence_heads(columns: dict[str, list]) -> list[int]:
 
 def words_to_segments(words: DataFrame, limit: int | None = None) -> DataFrame:
     """Words of a job grouped into segments at natural boundaries (job_id, head, start, end, text)."""
+    single = [F.array(c).alias(c) for c in ("word", "word_start", "word_end")]
+    return word_lists_to_segments(words.select("job_id", "seg_no", "word_no", *single), limit)
+
+
+def word_lists_to_segments(lists: DataFrame, limit: int | None = None) -> DataFrame:
+    """``words_to_segments`` of rows that hold consecutive words of a segment, ``word_no`` being the first one's number.
+
+    Such rows are dealt out and sorted once and become segments in that pass; where they come by job and segment,
+    they are not even sorted again. Only jobs with more words than the limit are taken apart and cut into chunks.
+    """
+    limit = rows_per_task(lists.sparkSession) if limit is None else limit
+    lists = lists.filter(F.col("job_id").isNotNull())
+    size = F.size("word").cast("long")
+    if largest_group(lists, ["job_id"], size) <= limit:
+        return _segments_of_jobs(lists)
+    large = lists.groupBy("job_id").agg(F.sum(size).alias("_n")).filter(F.col("_n") > limit).select("job_id")
+    small = _segments_of_jobs(lists.join(large, "job_id", "left_anti"))
+    return small.unionByName(_segments_in_chunks(_single_words(lists.join(large, "job_id", "left_semi")), limit))
+
+
+def _segments_of_jobs(lists: DataFrame) -> DataFrame:
+    """Each job in one task, where its words stay until they are segments."""
+    kind = lists.schema["job_id"].dataType.simpleString()
+    rows = lists.select(
+        "job_id",
+        "seg_no",
+        "word_no",
+        "word",
+        "word_start",
+        "word_end",
+        F.transform("word", lambda w: w.rlike(SENTENCE_TAIL)).alias("ends_sentence"),
+        F.transform("word", lambda w: w.rlike(CLAUSE_TAIL)).alias("ends_clause"),
+    )
+    schema = f"job_id {kind}, head long, start_ms long, end_ms long, text string, words long"
+    return by_group(rows, ["job_id"], ["seg_no", "word_no"], rows.columns[1:], _job_segments, schema, LISTS_AT_ONCE)
+
+
+def _job_segments(key: tuple, rows: list[tuple]) -> list[tuple]:
+    """Segments of one job from its rows of word lists."""
+    word, begin, stop, sentence, clause = ([x for r in rows for x in r[c]] for c in range(2, 7))
+    if any(a[0] == b[0] and b[1] < a[1] + len(a[2]) for a, b in pairwise(rows)):  # lists of a repeated segment, word by word
+        place, places = 0, []
+        for before, row in zip([rows[0], *rows], rows):
+            place += before[0] != row[0]
+            places += [(place, row[1] + i) for i in range(len(row[2]))]
+        turn = sorted(range(len(word)), key=lambda i: (places[i], begin[i], stop[i], word[i]))
+        word, begin, stop, sentence, clause = ([c[i] for i in turn] for c in (word, begin, stop, sentence, clause))
+    pause = [max(0, b - a) for a, b in zip(stop, begin[1:])] + [0]
+    columns = zip(WORD_NEEDS, (begin, stop, [len(w) + 1 for w in word], pause, sentence, clause))
+    heads = _sentence_heads(dict(columns))
+    return [(*key, a + 1, begin[a], stop[b - 1], " ".join(word[a:b]), b - a) for a, b in pairwise([*heads, len(word)])]
+
+
+def _single_words(lists: DataFrame) -> DataFrame:
+    paired = F.arrays_zip("word", "word_start", "word_end")
+    one = lists.select("job_id", "seg_no", "word_no", F.posexplode(paired).alias("_i", "_w"))
+    return one.select("job_id", "seg_no", (F.col("word_no") + F.col("_i")).alias("word_no"), "_w.*")
+
+
+def _segments_in_chunks(words: DataFrame, limit: int) -> DataFrame:
     ahead = scan(words, ["job_id"], ["seg_no", "word_no"], [following("_next", F.col("word_start"))], limit)
     rows = ahead.select(
         *words.columns,

@@ -152,7 +152,7 @@ FROM (SELECT w.*, head, COALESCE(LEAD(head) OVER (PARTITION BY w.job_id ORDER BY
 
 @query("grp_words_to_segments", views="v_words", sql=SEGMENT_SQL)
 def words_to_segments(spark, sf_dir):
-    return segmenting.words_to_segments(views.words(spark, sf_dir))
+    return segmenting.word_lists_to_segments(views.word_lists(spark, sf_dir))
 
 
 def fragments(spark, sf_dir):

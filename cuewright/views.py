@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.operators.ordered import row_number, scan, sum_before
@@ -48,11 +48,29 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``words``, those of a segment as arrays in one row; ``word_no`` is the number of the first."""
+    tokens = F.split(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")), " ")
+    rows = segments(spark, sf_dir).filter(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")) != "").withColumn("tokens", tokens)
+    return rows.select(
+        "job_id",
+        "seg_no",
+        "speaker_id",
+        F.lit(1).cast("long").alias("word_no"),
+        F.col("tokens").alias("word"),
+        F.transform("tokens", lambda _, i: _word_edge(i)).alias("word_start"),
+        F.transform("tokens", lambda _, i: _word_edge(i + 1)).alias("word_end"),
+    )
+
+
+def _word_edge(pos: Column) -> Column:
+    """Where the first ``pos`` words of a segment's ``tokens`` end."""
+    return F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * pos / F.size("tokens"))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of a segment spread evenly over it, in integer milliseconds."""
     tokens = F.split(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")), " ")
-    span = F.col("end_ms") - F.col("start_ms")
-    count = F.size("tokens")
     return (
         segments(spark, sf_dir)
         .filter(F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")) != "")
@@ -64,8 +82,8 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
             "speaker_id",
             (F.col("pos") + 1).cast("long").alias("word_no"),
             "word",
-            (F.col("start_ms") + F.floor(span * F.col("pos") / count)).alias("word_start"),
-            (F.col("start_ms") + F.floor(span * (F.col("pos") + 1) / count)).alias("word_end"),
+            _word_edge(F.col("pos")).alias("word_start"),
+            _word_edge(F.col("pos") + 1).alias("word_end"),
         )
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cuewright.functions import chunks, scoring, sentences
 from cuewright.functions import text as T
 from cuewright.operators import corpus
-from cuewright.plans import evaluation, streams
+from cuewright.plans import evaluation, grouped, streams
 from cuewright.streaming import jobs
 
 
@@ -126,3 +126,8 @@ def test_two_steps_cut_what_the_pattern_cuts(spark):
     once = rows.select("k", T.without_loops(F.col("t")).alias("want"), T.without_token_loops(F.col("t")).alias("once"))
     got = once.select("want", T.without_character_loops(F.col("once")).alias("out")).collect()
     assert len(got) == len(texts) and all(r["want"] == r["out"] for r in got)
+
+
+def test_words_stay_in_their_task_until_they_are_segments(spark):
+    plan = grouped.words_to_segments(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Join" not in plan and "explode" not in plan
