@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.operators.ordered import largest_group, row_number, scan
@@ -35,6 +35,27 @@ def _runner(heads: Heads, needs: Sequence[str]):
     return run
 
 
+def by_size(
+    df: DataFrame,
+    keys: Sequence[str],
+    limit: int,
+    whole: Callable[[DataFrame], DataFrame],
+    chunked: Callable[[DataFrame], DataFrame],
+    rows: Column | None = None,
+) -> DataFrame:
+    """``whole`` of the keys within the limit and ``chunked`` of those beyond it; rows with a null key are left out.
+
+    ``whole`` can end a group in the pass that finds it, so its rows need not be joined with their heads.
+    ``rows`` is how many a row of ``df`` stands for, if not one.
+    """
+    df = df.dropna(subset=list(keys))
+    if largest_group(df, keys, rows) <= limit:
+        return whole(df)
+    sizes = df.groupBy(*keys).agg(F.sum(F.lit(1) if rows is None else rows).alias("_n"))
+    large = sizes.filter(F.col("_n") > limit).select(*keys)
+    return whole(df.join(large, list(keys), "left_anti")).unionByName(chunked(df.join(large, list(keys), "left_semi")))
+
+
 def greedy_groups(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], heads: Heads, needs: Sequence[str], limit: int | None = None
 ) -> DataFrame:

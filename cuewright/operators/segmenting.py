@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions.lists import let
-from cuewright.operators.greedy import greedy_groups
+from cuewright.operators.greedy import by_size, greedy_groups
 from cuewright.operators.intervals import interval_join
 from cuewright.operators.ordered import following, largest_group, last_known, next_known, previous, row_number, scan
 from cuewright.operators.pergroup import by_group
@@ -29,6 +29,7 @@ CLAUSE_TAIL = r"[,;:—、،؍]$"
 SLICE_MIN_MS, REF_MIN_MS, REF_IDEAL_MS, REF_MAX_MS, SEGMENT_REF_MS = 1500, 5000, 8000, 15000, 3000
 CUE_MIN_MS, CUE_MIN_CHARS, CUE_MAX_CHARS, CUE_MAX_CPS = 1200, 8, 84, 17
 WORD_NEEDS = ["word_start", "word_end", "chars", "pause", "ends_sentence", "ends_clause"]
+CUE_NEEDS = ["start_ms", "end_ms", "text", "speaker_id"]
 LISTS_AT_ONCE = 128
 
 
@@ -78,13 +79,8 @@ def word_lists_to_segments(lists: DataFrame, limit: int | None = None) -> DataFr
     they are not even sorted again. Only jobs with more words than the limit are taken apart and cut into chunks.
     """
     limit = rows_per_task(lists.sparkSession) if limit is None else limit
-    lists = lists.filter(F.col("job_id").isNotNull())
-    size = F.size("word").cast("long")
-    if largest_group(lists, ["job_id"], size) <= limit:
-        return _segments_of_jobs(lists)
-    large = lists.groupBy("job_id").agg(F.sum(size).alias("_n")).filter(F.col("_n") > limit).select("job_id")
-    small = _segments_of_jobs(lists.join(large, "job_id", "left_anti"))
-    return small.unionByName(_segments_in_chunks(_single_words(lists.join(large, "job_id", "left_semi")), limit))
+    in_chunks = lambda large: _segments_in_chunks(_single_words(large), limit)
+    return by_size(lists, ["job_id"], limit, _segments_of_jobs, in_chunks, F.size("word").cast("long"))
 
 
 def _segments_of_jobs(lists: DataFrame) -> DataFrame:
@@ -300,8 +296,29 @@ def _cue_heads(columns: dict[str, list]) -> list[int]:
 
 def merge_cues(cues: DataFrame, limit: int | None = None) -> DataFrame:
     """Tiny cues folded left to right unless limits, a sentence end or a speaker change forbid it."""
-    needs = ["start_ms", "end_ms", "text", "speaker_id"]
-    grouped = greedy_groups(cues, ["job_id"], ["cue_no"], _cue_heads, needs, limit)
+    limit = rows_per_task(cues.sparkSession) if limit is None else limit
+    return by_size(cues, ["job_id"], limit, _cues_of_jobs, lambda large: _cues_in_chunks(large, limit))
+
+
+def _cues_of_jobs(cues: DataFrame) -> DataFrame:
+    """Each job in one task, which returns its merged cues."""
+    kinds = {f.name: f.dataType.simpleString() for f in cues.schema}
+    schema = f"job_id {kinds['job_id']}, head long, start_ms {kinds['start_ms']}, end_ms {kinds['end_ms']}, text string, speaker_id string, merged long"
+    return by_group(cues, ["job_id"], ["cue_no"], CUE_NEEDS, _job_cues, schema)
+
+
+def _job_cues(key: tuple, rows: list[tuple]) -> list[tuple]:
+    """Merged cues of one job from its cues."""
+    start, end, text, who = columns = [list(c) for c in zip(*rows)]
+    out = []
+    for a, b in pairwise([*_cue_heads(dict(zip(CUE_NEEDS, columns))), len(rows)]):
+        joined = " ".join(t for t in text[a:b] if t is not None).strip(" ")
+        out.append((*key, a + 1, start[a], end[b - 1], joined, next((s for s in reversed(who[a:b]) if s), None), b - a))
+    return out
+
+
+def _cues_in_chunks(cues: DataFrame, limit: int) -> DataFrame:
+    grouped = greedy_groups(cues, ["job_id"], ["cue_no"], _cue_heads, CUE_NEEDS, limit)
     pieces = F.array_sort(F.collect_list(F.struct("_rn", "text")))
     return grouped.groupBy("job_id", "head").agg(
         F.min_by("start_ms", "_rn").alias("start_ms"),

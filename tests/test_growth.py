@@ -131,3 +131,8 @@ def test_two_steps_cut_what_the_pattern_cuts(spark):
 def test_words_stay_in_their_task_until_they_are_segments(spark):
     plan = grouped.words_to_segments(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Join" not in plan and "explode" not in plan
+
+
+def test_cues_are_not_joined_with_their_heads(spark):
+    plan = grouped.subtitle_merge(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
