@@ -6,11 +6,9 @@ documents of the next one. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,19 +41,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _selected(docs, near_dup.near_duplicates(docs, with_key=True, by_id=False), F.col("kept"))
 
 
-def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [b.decode("utf-8", "ignore") for b in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_doc_id", "_key", "_text"])
-
-
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that repeat; bytes of a character that was cut through go as well.
 
     ``text`` and ``n_chars`` change where something was removed; documents with nothing left go.
     """
-    cut = suffix_dedup.remove_repeats(docs, with_key=True).filter("n_removed > 0")
-    changed = cut.select(*KEY, "kept").mapInArrow(_whole_characters, "_doc_id long, _key long, _text string")
+    cut = suffix_dedup.remove_repeats(docs, with_key=True, whole=True).filter("n_removed > 0")
+    changed = cut.select(F.col("doc_id").alias("_doc_id"), F.col("key").alias("_key"), F.col("kept").cast("string").alias("_text"))
     changed = changed.dropDuplicates(["_doc_id", "_key"])  # repeated rows share one result
     joined = docs.join(changed, _same(docs, changed, KEY), "left")
     text = F.coalesce(F.col("_text"), docs["text"])

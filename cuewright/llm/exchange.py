@@ -12,11 +12,13 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from cuewright.llm.common import KEY
 
 CHUNK_BYTES = 6 << 20
+SLICE_BYTES = 1 << 20
 PACKED = "bucket int, tag long, ids binary, keys binary, counts binary, hashes binary, silent binary, known binary"
 REPLIES = "docs int, ids binary, keys binary, tags binary, places binary, sizes binary, codes binary"
 ANSWERS = "doc_id long, key long, replies array<struct<tag:bigint,bucket:int,codes:binary>>"
@@ -39,6 +41,14 @@ def chunks(batches: Iterable[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterat
         yield _columns(rows)
 
 
+def slices(batches: Iterable[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, in parts whose ``text`` has about ``most`` bytes: only those become Python objects at once."""
+    for batch in batches:
+        full = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // most
+        edges = [0, *(np.flatnonzero(full[1:] > full[:-1]) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
+
+
 def _columns(rows: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     rows.sort(key=lambda r: r[:2])
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [r[2] for r in rows]

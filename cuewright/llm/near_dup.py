@@ -102,12 +102,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 nodes.append(None), keys.append(None), symbols.append(None)
         arrays = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(symbols, pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=_names(SIGNED))
+    _codes.clear()  # the worker stays
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = pa.array([shingles(t.as_buffer().to_pybytes()).tobytes() for t in batch.column(1)], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["node", "items"])
+    _codes.clear()
 
 
 def full_sets(nodes: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:

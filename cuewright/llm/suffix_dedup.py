@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuewright.llm.common import KEY, NO_ID, keyed, pieces, real_id, stored
-from cuewright.llm.exchange import PACKED, answered, answers, bucket_of, chunks, mix, packed_rows, read_codes
+from cuewright.llm.exchange import PACKED, answered, answers, bucket_of, chunks, mix, packed_rows, read_codes, slices
 from cuewright.llm.window_dedup import BASE, UNBASE, runs
 
 LENGTH = 200
@@ -132,7 +132,7 @@ def _sent(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple]:
 
 def _anchored(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """How many stretches of a batch are to be sorted around each anchor."""
-    for batch in batches:
+    for batch in slices(batches):
         grams = [found[3][(codes == ALONE) | (codes == FIRST)] for *_, found, codes in _sent(batch, buckets)]
         values, counts = np.unique(np.concatenate(grams) if grams else np.empty(0, np.uint64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["gram", "n"])
@@ -140,7 +140,7 @@ def _anchored(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
 
 def _windows(batches: Iterator[pa.RecordBatch], buckets: int, crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Hashes of the windows around crowded anchors; those of a repeated stretch weigh two."""
-    for batch in batches:
+    for batch in slices(batches):
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in WINDOWS.split(", ")]
         for ident, key, data, (first, count, _, grams), codes in _sent(batch, buckets):
             for s in np.flatnonzero(((codes == ALONE) | (codes == FIRST)) & np.isin(grams, crowded)).tolist():
@@ -163,7 +163,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], buckets: int, crowded: np.ndar
     """Stretches to sort, and spans that are settled because their stretch occurs again."""
     columns = [c.split()[0] for c in STRETCHES.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    for batch in batches:
+    for batch in slices(batches):
         out: list[list] = [[] for _ in columns]
         for ident, key, data, (first, count, place, grams), codes in _sent(batch, buckets):
             sent = np.flatnonzero(((codes == ALONE) | (codes == FIRST)) & ~np.isin(grams, crowded))
@@ -300,17 +300,19 @@ _OUT = pa.schema(
 )
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _cut(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
         rows = []
         for ident, text, told, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             data = text.as_buffer().to_pybytes()
             spans = _joined(np.frombuffer(b"".join(told), np.int64).reshape(-1, 2)) if told else np.empty((0, 2), np.int64)
             edges = [0, *spans.ravel().tolist(), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            rows.append((ident, len(data), len(data) - len(kept), [{"start": a, "end": b} for a, b in spans.tolist()], kept, key))
-        columns = list(zip(*rows)) or [()] * len(_OUT)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT)], schema=_OUT)
+            removed = len(data) - len(kept)
+            if whole:
+                kept = kept.decode("utf-8", "ignore").encode()
+            rows.append((ident, len(data), removed, [{"start": a, "end": b} for a, b in spans.tolist()], kept, key))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
 
 
 def judged(rows: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
@@ -335,17 +337,18 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     return spans.unionByName(again.mapInArrow(_window_spans, SPANS))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_key: bool = False, whole: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept`` of every row of ``docs``.
 
     Every byte goes that lies in a string of 200 bytes which also starts anywhere else, in the same
     text or another; overlapping places count and strings are judged on the input. ``spans`` are the
     maximal removed runs as byte offsets, end excluded, ``kept`` the remaining bytes. Null and empty
     texts, and texts under 200 bytes, lose nothing. Repeated rows count as separate texts and so
-    remove each other. ``with_key`` adds the row's ``key``, the hash of its text.
+    remove each other. ``with_key`` adds the row's ``key``, the hash of its text. ``whole`` takes out of
+    ``kept``, but does not count, what is left of a character that was cut through.
     """
     rows = keyed(docs, id_col, text_col)
     found = repeated_spans(rows).groupBy(*KEY).agg(F.collect_list("spans").alias("spans"))
     joined = rows.join(found, KEY, "left").select("doc_id", "text", "spans", "key")
-    cut = joined.mapInArrow(_cut, OUT)
+    cut = joined.mapInArrow(lambda it: _cut(it, whole), OUT)
     return cut.select(real_id(), "n_bytes", "n_removed", "spans", "kept", *["key"] * with_key)

@@ -13,6 +13,9 @@ from pyspark.sql.functions import broadcast
 
 ROWS_PER_TASK = "cuewright.rowsPerTask"
 BROADCAST_ROWS = "cuewright.broadcastRows"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+# Python workers outlive their tasks: blocks of a MB and more go back to the system when they are freed.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def build_session(master: str = "local[*]", partitions: int = 8, **extra: str) -> SparkSession:
@@ -89,16 +92,21 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the Python workers of this application the package, once.
+    """Give the Python workers of this application the package and their memory settings, once.
 
-    Executors get an archive; the driver's own streaming worker reads the import path instead.
+    Executors get an archive; the driver's own streaming worker reads the import path instead. A
+    session that sets no size of Arrow batches gets 4 MB, as long texts fill memory before 10,000 rows.
     """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     known = context.environment.get("PYTHONPATH")
     context.environment["PYTHONPATH"] = f"{here}{os.pathsep}{known}" if known else here
+    for name, value in WORKER_MEMORY.items():
+        context.environment.setdefault(name, value)
     folder = tempfile.mkdtemp(prefix="spark-")
     context.addPyFile(shutil.make_archive(f"{folder}/cuewright", "zip", here, "cuewright"))
     _shipped.add(context.applicationId)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from plain import sentence
 
@@ -163,3 +164,25 @@ def test_crowded_anchor_is_not_sorted_in_one_group(make_docs, monkeypatch):
     got = suffix_dedup.remove_repeats(make_docs(rows)).collect()
     want = Counter(plain.suffix_dedup(rows))
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got) == want
+
+
+def test_few_texts_of_a_batch_are_objects_at_once():
+    """A batch of 8 MB is cut in parts of about a MB, no row lost, and a text above that goes alone."""
+    texts = [sentence(k % 7, 150) for k in range(8000)] + ["x" * (3 << 20), "", "y"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "spans": [[]] * len(texts), "key": [0] * len(texts)})
+    made = list(suffix_dedup._cut(iter([batch, batch.slice(0, 0)]), False))
+    assert [i for b in made for i in b.column("doc_id").to_pylist()] == list(range(len(texts)))
+    sizes = [sum(b.column("n_bytes").to_pylist()) for b in made]
+    assert len(sizes) > 4 and sorted(sizes)[-2] < 1 << 21 and max(sizes) < 5 << 20
+
+
+def test_workers_get_bounded_batches_and_give_memory_back(spark, make_docs):
+    def seen(batches):
+        import os
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes], "limit": [os.environ.get("MALLOC_MMAP_THRESHOLD_")]})
+
+    rows = keyed(spark.range(0, 9000, 1, 1).selectExpr("id AS doc_id", "repeat('x', 3000) AS text"))
+    got = rows.mapInArrow(seen, "n long, limit string").collect()
+    assert max(r["n"] for r in got) < 8 << 20 and {r["limit"] for r in got} == {"1048576"}

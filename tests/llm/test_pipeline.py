@@ -89,3 +89,13 @@ def test_near_stage_decides_on_each_text_of_a_shared_id(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.near(spark, docs, str(tmp_path)).collect())
     assert got == sorted([("1", a), ("9", b), ("None", a), ("None", b)])
+
+
+def test_substrings_decodes_in_the_pass_that_cuts(spark, tmp_path):
+    """One Python worker a task: the stretches and the cut, no third pass; characters that were cut through go whole."""
+    rows = [(1, "é" * 150 + sentence(1, 40)), (2, "zé" + "é" * 130 + sentence(2, 40)), (3, "ü" + "\u0169" * 120), (4, "\u0168\u0169" * 70)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df = corpus_pipeline.substrings(spark, docs, str(tmp_path))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    want = {r[0]: r[4].decode("utf-8", "ignore") for r in plain.suffix_dedup(rows)}
+    assert {r["doc_id"]: r["text"] for r in df.collect()} == {i: t for i, t in want.items() if t.strip()}
